@@ -61,3 +61,12 @@ def draw(*cols, seed: int):
 def crc32_of_id(col):
     """CRC-32 of an id written as text."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))
+
+
+#: Rows of narrow columns (a few words each) that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if a count proves it small; Spark joins it by shuffle otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmith.deploy import shipped
-from corpusmith.llm import bpe, chat, hosts, shards, simhash, topk
+from corpusmith.llm import bpe, chat, decontam, hosts, lines, quality, shards, simhash, topk, toxicity
 from corpusmith.llm.common import table
 
 #: The rules that op6 is asked for, as (verdict, host and path).
@@ -31,6 +31,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.held_out("doc_id", 3, 1))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     doc = F.regexp_extract(hosts.parts(F.col("url"))[1], r"/([0-9]{1,18})", 1).try_cast("long")
@@ -45,6 +58,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.union(added)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.held_out("doc_id", 4, 2))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.assign(table(spark, sf_dir, "documents"), 8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,8 +72,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: shipped(f) for f in (op1_bpe, op2_simhash, op6_url_filters, op7_chat, op9_sharding, op10_topk)}
+    return {f.__name__: shipped(f) for f in (op1_bpe, op2_simhash, op3_quality, op4_decontamination, op5_line_dedup, op6_url_filters, op7_chat, op8_toxicity, op9_sharding, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from corpusmith.llm.oracles import SQL
+
+    return dict(SQL)
