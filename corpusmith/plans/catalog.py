@@ -1,11 +1,490 @@
-"""Registry of named queries and their SQL twins."""
+"""Registry of named queries; their SQL twins are in corpusmith.plans.sql."""
 
 from __future__ import annotations
 
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusmith import corpus
+from corpusmith.deploy import shipped
+from corpusmith.functions import sequential
+from corpusmith.functions import text as tx
+from corpusmith.operators import evaluate, graph, retrieval, tables
+from corpusmith.plans import sql
+from corpusmith.sources import sinks
+from corpusmith.streaming import flows
+
+QUERIES: dict = {}
+
+#: Fixed inputs of the queries that judge questions and error texts.
+QUESTIONS = ["What is Postgres?", "How does auth depend on tokens?", "Trace the lineage of chunks", "who calls the parser", "impact of the schema change", "define vector search", "FastAPI authentication NOT OAuth2", "PostgreSQL vector search -pinecone -weaviate", "LLM inference without transformers except onnx", "between ingest and query", "list all settings"]
+ERROR_TEXTS = ["Request timed out", "HTTP 429 too many", "422 String should have at most 10", "client error", "malformed JSON", "eval_failed", "missing field", "odd", None]
+TOC = "# Doc\n\n## Table of Contents\n- [A](#a)\n- [B](#b)\n- [C](#c)\n\n## A\ntext\n\n### Index\nmore"
+TRADE_HOPS, WATERMARK = 2, datetime.datetime(1998, 1, 1)
+
+
+def query(f):
+    QUERIES[f.__name__] = shipped(f)
+    return f
+
+
+def rounded(col, places: int = 6):
+    return F.round(col, places)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.dense(_vectors(spark, sf_dir), corpus.centroids(spark, sf_dir), k)
+
+
+def _lexical(spark: SparkSession, sf_dir: str, k: int = retrieval.CANDIDATES) -> DataFrame:
+    return retrieval.bm25(corpus.chunks(spark, sf_dir), corpus.QUERIES, k)
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fuse(_dense(spark, sf_dir, retrieval.CANDIDATES), _lexical(spark, sf_dir))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", "chunk_id", "rank", rounded("score").alias("score"))
+
+
+def _user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as markdown documents, a section a turn."""
+    rows = corpus.table(spark, sf_dir, "conversations")
+    part = F.concat(F.lit("## "), F.coalesce("role", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
+    return turns.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"), F.array_join("parts.part", "\n\n").alias("text"))
+
+
+@query
+def dense_top10(spark, sf_dir):
+    return _ranked(_dense(spark, sf_dir, retrieval.RESULTS))
+
+
+@query
+def bm25_top40(spark, sf_dir):
+    return _ranked(_lexical(spark, sf_dir))
+
+
+@query
+def fts_and_match(spark, sf_dir):
+    return retrieval.matches_all(corpus.chunks(spark, sf_dir), corpus.QUERIES).groupBy("query_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"))
+
+
+@query
+def hybrid_rrf_sql(spark, sf_dir):
+    return _ranked(retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS))
+
+
+@query
+def hybrid_rrf_scoped(spark, sf_dir):
+    chunks, queries = corpus.chunks(spark, sf_dir), corpus.text_queries(spark)
+    d = retrieval.top(retrieval.scope(_dense(spark, sf_dir, 1 << 30), chunks, queries).drop("rank"), retrieval.CANDIDATES)
+    x = retrieval.top(retrieval.scope(_lexical(spark, sf_dir, 1 << 30), chunks, queries).drop("rank"), retrieval.CANDIDATES)
+    return _ranked(retrieval.top(retrieval.fuse(d, x), retrieval.RESULTS))
+
+
+@query
+def hybrid_rrf_attr(spark, sf_dir):
+    labels = corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
+    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "age_days").join(labels, "chunk_id", "left")
+    blended = retrieval.top(retrieval.blend(_lexical(spark, sf_dir, 1 << 30), chunks, 0.5, 0.3), retrieval.CANDIDATES)
+    return _ranked(retrieval.top(retrieval.fuse(_dense(spark, sf_dir, retrieval.CANDIDATES), blended), retrieval.RESULTS))
+
+
+def _lists(spark, sf_dir):
+    d = _dense(spark, sf_dir, retrieval.CANDIDATES).select("query_id", F.lit("dense").alias("list"), (F.col("rank") - 1).alias("pos"), F.col("chunk_id").cast("string").alias("id"))
+    x = _lexical(spark, sf_dir).select("query_id", F.lit("lex").alias("list"), (F.col("rank") - 1).alias("pos"), F.col("chunk_id").cast("string").alias("id"))
+    return d.union(x)
+
+
+@query
+def rrf_zero_based(spark, sf_dir):
+    return retrieval.fuse_zero_based(_lists(spark, sf_dir)).select("query_id", "id", "rank", rounded("score", 9).alias("score"))
+
+
+@query
+def rrf_negation(spark, sf_dir):
+    texts = corpus.chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("id"), "content")
+    negatives = corpus.text_queries(spark).select("query_id", F.array(F.lit(" Aning ")).alias("terms"))
+    return retrieval.fuse_zero_based(_lists(spark, sf_dir), texts=texts, negatives=negatives).select("query_id", "id", "rank", rounded("score", 9).alias("score"))
+
+
+@query
+def negation_partition(spark, sf_dir):
+    rows = retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS).join(corpus.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    return retrieval.negate(rows, F.array(F.lit("onble"))).select("query_id", "chunk_id", rounded("score", 9).alias("score"))
+
+
+def _gated(spark, sf_dir):
+    return retrieval.gate(_dense(spark, sf_dir, retrieval.RESULTS), retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS))
+
+
+@query
+def dense_gate_union(spark, sf_dir):
+    return _gated(spark, sf_dir).select("query_id", "chunk_id", "match_source", rounded("score").alias("score"))
+
+
+@query
+def crag_tiers(spark, sf_dir):
+    return retrieval.confidence_tier(_gated(spark, sf_dir).withColumn("rerank_score", F.lit(None).cast("double")))
+
+
+@query
+def rerank_overlap(spark, sf_dir):
+    rows = retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS).drop("rank").join(corpus.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    rows = rows.join(F.broadcast(corpus.text_queries(spark).select("query_id", "query")), "query_id")
+    return retrieval.rerank(rows, 5).select("query_id", "chunk_id", "rank", rounded("rerank_score").alias("rerank_score"))
+
+
+@query
+def litm_order(spark, sf_dir):
+    return retrieval.middle_last(retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS)).select("query_id", "chunk_id", "slot")
+
+
+@query
+def router_hops(spark, sf_dir):
+    q = spark.createDataFrame([(k, t) for k, t in enumerate(QUESTIONS)], "id int, query string")
+    return q.select("id", tx.graph_hops(F.col("query")).alias("hops"))
+
+
+@query
+def negation_parse(spark, sf_dir):
+    q = spark.createDataFrame([(k, t) for k, t in enumerate(QUESTIONS)], "id int, query string")
+    return q.select("id", tx.clean_query(F.col("query")).alias("cleaned"), F.array_join(tx.negative_terms(F.col("query")), ",").alias("negatives"))
+
+
+@query
+def sanitize_queries(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", tx.sanitize_query(F.col("text")).alias("query"))
+
+
+@query
+def tenant_scope(spark, sf_dir):
+    rows = corpus.scoped(corpus.chunks(spark, sf_dir), 1)
+    return rows.groupBy("collection").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("chars"))
+
+
+@query
+def star_join(spark, sf_dir):
+    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "collection", "tenant")
+    vectors = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("label"))
+    return chunks.join(vectors, "chunk_id").groupBy("tenant", "collection").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+
+
+@query
+def coverage_counts(spark, sf_dir):
+    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "collection")
+    rows = chunks.join(corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+    has = F.count_if(F.col("embedding").isNotNull())
+    return rows.groupBy("collection").agg(F.count("*").alias("n"), has.alias("n_embedded"), (F.count("*") - has).alias("n_missing"))
+
+
+@query
+def graph_traverse(spark, sf_dir):
+    roots = corpus.table(spark, sf_dir, "region").select(F.lit(0).alias("query_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("concept"))
+    rows = graph.traverse(roots, corpus.edges(spark, sf_dir), TRADE_HOPS)
+    return rows.select("concept", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query
+def graph_lineage(spark, sf_dir):
+    root = corpus.table(spark, sf_dir, "supplier").select(F.lit(0).alias("query_id"), F.concat(F.lit("s"), F.min("s_suppkey").over(Window.partitionBy(F.lit(0))).cast("string")).alias("concept")).distinct()
+    return graph.lineage(root, corpus.edges(spark, sf_dir), 1)
+
+
+@query
+def graph_rrf(spark, sf_dir):
+    fused = _fused(spark, sf_dir)
+    scores = graph.graph_scores(fused, corpus.links(spark, sf_dir), corpus.edges(spark, sf_dir), 1)
+    return _ranked(graph.graph_fuse(fused, scores, retrieval.RESULTS))
+
+
+@query
+def graph_bench_sum(spark, sf_dir):
+    return _ranked(graph.graph_sum(_fused(spark, sf_dir), corpus.links(spark, sf_dir), corpus.edges(spark, sf_dir), retrieval.RESULTS))
+
+
+@query
+def link_counts(spark, sf_dir):
+    new = corpus.links(spark, sf_dir).withColumn("version", F.lit(1))
+    rows = graph.ranked_links(new.unionByName(new.withColumns({"version": F.lit(2), "confidence": F.lit(0.9)}).where("confidence > 0")))
+    return rows.groupBy("concept").agg(F.count("*").alias("n"), rounded(F.avg("confidence")).alias("confidence"))
+
+
+@query
+def neighbors_window(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("order"), "role")
+    anchors = rows.where("role = 'system'").unionByName(rows.where("order = 3"))
+    near = graph.neighbours(anchors.select("doc", "order").distinct(), rows)
+    return near.select(F.col("doc").alias("conv_id"), F.col("anchor").alias("anchor"), F.col("order").alias("turn"), "role")
+
+
+@query
+def concept_ilike(spark, sf_dir):
+    nations = corpus.table(spark, sf_dir, "nation").select("n_name")
+    hit = nations.where(F.contains(F.lower("n_name"), F.lit("an")) | F.contains(F.lower("n_name"), F.lit("1")))
+    context = F.concat(F.lit("### Concept: "), F.col("n_name"), F.lit(" (nation)\n"), F.lit("A nation."))
+    return hit.orderBy("n_name").limit(4).select(context.alias("content"), F.lit(1.0).alias("score"), F.concat(F.lit("concept:"), F.col("n_name")).alias("source_url"))
+
+
+@query
+def title_mentions(spark, sf_dir):
+    words = spark.createDataFrame([(w,) for w in sorted({w for _, t in corpus.QUERIES for w in t.lower().split()} - {"not"})], "entity string")
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return docs.crossJoin(F.broadcast(words)).where(F.contains(F.col("text"), F.col("entity"))).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+@query
+def hash_embedding(spark, sf_dir):
+    """Signed hashed word counts of the benchmark items, normalised; one row per filled dimension."""
+    word = F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word")
+    parts = corpus.table(spark, sf_dir, "benchmark").select("item_id", word).withColumn("h", F.sha2("word", 256))
+    at = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % 768
+    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
+    sums = parts.groupBy("item_id", at.alias("dim")).agg(F.sum(sign).alias("x"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("item_id")))
+    return sums.withColumn("x", F.when(norm > 0, F.round(F.col("x") / norm, 8)).otherwise(0.0)).where("x <> 0")
+
+
+@query
+def chunk_simple(spark, sf_dir):
+    """A chunk at each heading of the conversations' markdown."""
+    parts = F.posexplode(F.split(F.col("text"), "(?m)^(?=## )")).alias("at", "content")
+    rows = _user_turns(spark, sf_dir).select("doc_id", parts).where("trim(content) <> ''")
+    title = F.trim(F.regexp_extract("content", r"^#+ ([^\n]*)", 1))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#c"), F.lpad(order.cast("string"), 3, "0")).alias("chunk_id"), F.when(title == "", "Overview").otherwise(title).alias("section"), F.length(F.rtrim(F.regexp_replace("content", r"\s+$", ""))).alias("chars"))
+
+
+@query
+def chunk_pack(spark, sf_dir):
+    rows = sequential.chunk_documents(_user_turns(spark, sf_dir))
+    doc = F.sha2(F.concat(F.lit("conv:"), F.col("doc_id").cast("string")), 256)
+    return rows.select("doc_id", "chunk_order", "token_count", tx.chunk_id(doc, F.col("chunk_order"), F.col("content")).alias("chunk_id"), tx.chunk_quality(F.col("content"), F.col("token_count")).alias("quality"))
+
+
+@query
+def chunk_ids_quality(spark, sf_dir):
+    n = tx.rough_tokens(F.col("text"))
+    rows = corpus.table(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", n.alias("token_count"), tx.chunk_id(F.col("doc_id"), F.lit(0), F.col("text")).alias("chunk_id"), tx.chunk_quality(F.col("text"), n).alias("quality"), F.substring(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("::"), F.col("source")), 256), 1, 24).alias("short_id"))
+
+
+@query
+def parse_confidence(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", tx.extraction_confidence(F.col("text")).alias("confidence"))
+
+
+@query
+def html_to_markdown(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "pages").select("page_id", tx.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query
+def toc_strip(spark, sf_dir):
+    text = F.concat(F.lit(TOC + "\n"), F.col("text"))
+    return corpus.table(spark, sf_dir, "benchmark").select("item_id", tx.strip_toc(text).alias("text"))
+
+
+@query
+def url_params_clean(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "pages").select("page_id", tx.clean_url(F.col("url")).alias("url"))
+
+
+@query
+def canonical_ids(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "pages").select("page_id", tx.canonical_id(F.concat(F.lit(" Document:"), F.col("url"))).alias("id"), tx.concept_name(F.concat(F.lit("## "), F.col("url"), F.lit(" **"))).alias("name"))
+
+
+@query
+def context_normalize(spark, sf_dir):
+    clean = F.udf(lambda t: sequential.normalize_context(t or ""), "string", useArrow=True)
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", clean("text").alias("context"))
+
+
+@query
+def context_compress(spark, sf_dir):
+    rows = retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS).join(corpus.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    return sequential.compress_contexts(rows.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("doc_id"), "content"))
+
+
+@query
+def concept_extract(spark, sf_dir):
+    pages = corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), tx.html_to_markdown(F.col("html")).alias("text"))
+    return sequential.extract_graphs(pages)
+
+
+def _qrels(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("chunk_id"))
+    quality = corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
+    return rows.join(quality, "chunk_id", "left").select("query_id", "chunk_id", (1 + F.coalesce("quality", F.lit(0))).alias("rel"))
+
+
+def _metrics(spark, sf_dir, ranked):
+    return evaluate.judged(ranked, _qrels(spark, sf_dir))
+
+
+@query
+def ndcg_recall_mrr(spark, sf_dir):
+    return _metrics(spark, sf_dir, _dense(spark, sf_dir, retrieval.RESULTS)).select("query_id", *(rounded(c).alias(c) for c in ("ndcg", "recall", "mrr")))
+
+
+@query
+def hit_at_k(spark, sf_dir):
+    return evaluate.hit_rates(_metrics(spark, sf_dir, _dense(spark, sf_dir, retrieval.RESULTS))).select("k", rounded("hit_rate").alias("hit_rate"))
+
+
+@query
+def precision_recall_at5(spark, sf_dir):
+    got = _dense(spark, sf_dir, retrieval.RESULTS).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("g")).select("query_id", F.col("g.chunk_id").alias("got"))
+    expected = _qrels(spark, sf_dir).where("rel > 1").groupBy("query_id").agg(F.collect_list("chunk_id").alias("expected"))
+    rows = evaluate.at_five(got.join(expected, "query_id"))
+    return rows.select("query_id", *(rounded(c).alias(c) for c in ("recall_at_5", "precision_at_5", "mrr")))
+
+
+@query
+def metric_compare_pivot(spark, sf_dir):
+    d = _metrics(spark, sf_dir, _dense(spark, sf_dir, retrieval.RESULTS)).withColumn("system", F.lit("dense"))
+    h = _metrics(spark, sf_dir, retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS)).withColumn("system", F.lit("hybrid"))
+    rows = evaluate.compare(d.unionByName(h), ["ndcg", "recall", "mrr"], ["dense", "hybrid"])
+    return rows.select("metric", rounded("dense").alias("dense"), rounded("hybrid").alias("hybrid"))
+
+
+@query
+def latency_percentiles(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events")
+    pick = lambda p: rounded(F.percentile("value", p))
+    return rows.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
+
+
+@query
+def ingest_dedup(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("collection"), F.sha2("text", 256).alias("content_hash"))
+    old = rows.where("collection = 'src0'").withColumn("collection", F.lit("src1"))
+    return tables.ingest_new(old, rows).groupBy("collection").agg(F.count("*").alias("n_new"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def cascade_delete(spark, sf_dir):
+    docs = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("collection"))
+    parts = {"collections": docs.select(F.col("collection").alias("id")).distinct(), "documents": docs, "links": corpus.links(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("chunk_id").alias("document"), "concept")}
+    left = tables.delete_cascade(parts, {"documents": ("collections", "collection", "id"), "links": ("documents", "document", "id")}, "collections", spark.createDataFrame([("src0",), ("src3",)], "id string"))
+    counts = [left[t].agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("collections", "documents", "links")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query
+def upsert_latest(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.col("event_id").alias("version"))
+    return tables.upsert(rows.where("event_type = 'click'"), rows.where("event_type <> 'click'"), ["user_id"], "version")
+
+
+@query
+def quota_daily(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("tenant"), "ts", F.floor("value").cast("long").alias("tokens"))
+    return tables.quota(rows, 200).groupBy("tenant", "day").agg(F.sum("tokens").alias("tokens"), F.count_if("admitted").alias("n_admitted"), F.count("*").alias("n"))
+
+
+@query
+def rate_per_minute(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events")
+    return rows.groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query
+def log_monthly(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events")
+    return rows.groupBy(F.date_format("ts", "yyyy_MM").alias("partition")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
+
+
+@query
+def export_delta(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"))
+    new, _ = sinks.delta(rows, WATERMARK)
+    return sinks.edge_replica(new).select("id", "sync_hash")
+
+
+@query
+def export_rows(spark, sf_dir):
+    chunks = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_order"), F.col("text").alias("content"), F.col("source").alias("collection"), F.create_map(F.lit("source"), "source", F.lit("namespace"), "lang", F.lit("tags"), F.concat("lang", F.lit(",x"))).alias("metadata"))
+    return tables.export_row(chunks).select("chunk_id", "source", "upstream_license", "document_id", "chunk_index", "content_hash", "namespace", "tags", "collection_name")
+
+
+@query
+def value_counts(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query
+def citations(spark, sf_dir):
+    rows = retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS).join(corpus.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    piece = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.substring("content", 1, 6000))
+    joined = rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n\n").alias("answer"))
+    return joined.select("query_id", F.sha2("answer", 256).alias("answer_sha256"), tx.has_citation(F.col("answer")).alias("cites"), tx.abstains(F.col("answer")).alias("abstains"))
+
+
+@query
+def explain_rows(spark, sf_dir):
+    rows = _gated(spark, sf_dir)
+    return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.max("match_source").alias("mode"), rounded(F.max("score")).alias("best"))
+
+
+@query
+def error_classes(spark, sf_dir):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ERROR_TEXTS)], "id int, error string")
+    return rows.select("id", tx.error_class(F.col("error")).alias("class"))
+
+
+@query
+def valid_rows(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"), F.collect_list("text").alias("texts"), F.collect_list("role").alias("ids"))
+    return tables.valid_rows(rows).select("conv_id", "valid")
+
+
+@query
+def quality_gate(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events").select((F.col("event_type") == "error").alias("failed"), (F.col("value") >= 0).alias("evaluated"))
+    return tables.quality_gate(rows).select(rounded("error_rate").alias("error_rate"), rounded("coverage").alias("coverage"), "verdict")
+
+
+@query
+def json_props(spark, sf_dir):
+    raw = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    return corpus.table(spark, sf_dir, "events").select("event_id", tx.repaired_json(raw).alias("json"))
+
+
+@query
+def vector_literals(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.size("embedding").alias("dim"), F.aggregate("embedding", F.lit(0), lambda s, x: s + (x > 0).cast("int")).alias("n_positive"))
+
+
+@query
+def ext_tumbling(spark, sf_dir):
+    rows = flows.tumbling(corpus.table(spark, sf_dir, "events"))
+    return rows.select(F.col("w.start").alias("start"), "event_type", "n", rounded("total", 4).alias("total"))
+
+
+@query
+def ext_sliding(spark, sf_dir):
+    return flows.sliding(corpus.table(spark, sf_dir, "events"), "2 hours", "1 hour").select(F.col("w.start").alias("start"), "n")
+
+
+@query
+def ext_session(spark, sf_dir):
+    return flows.sessions(corpus.table(spark, sf_dir, "events"), "6 hours").select("user_id", F.col("w.start").alias("start"), "n")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in sql.build().items() if k in QUERIES}
