@@ -81,8 +81,8 @@ FROM sized GROUP BY conv_id
 TOPK = """
 WITH sound AS (
   SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-codes AS (SELECT row, vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 64)) AS c FROM sound),
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+codes AS (SELECT row, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS c FROM sound),
 scored AS (
   SELECT q.row AS query_row, q.vec_id AS query_id, d.vec_id, list_dot_product(q.c, d.c)::BIGINT AS score
   FROM codes q JOIN codes d ON q.vec_id % 20 = 0 AND d.row <> q.row),
