@@ -48,19 +48,18 @@ def csv_table(content: str) -> str:
     return "\n".join([lines[0], "|" + " --- |" * len(rows[0]), *lines[1:]])
 
 
-@F.pandas_udf("string")
-def _csv_tables(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: csv_table(c or ""))
-
-
 def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (path, format, text, confidence, warning) and rejects (path, reason).
     Formats without a parser here are salvaged or rejected."""
     rows = detect(rows.withColumn("length", F.length("content")))
+
+    def tables(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: csv_table(c or ""))
+
     text = F.make_valid_utf8(F.col("content").cast("string"))
     salvaged = F.trim(printable(F.col("content")))
     kind = F.col("format")
-    body = F.when(kind.isin("markdown", "text"), text).when(kind == "html", tx.html_to_markdown(text)).when(kind == "csv", _csv_tables(text)).otherwise(salvaged)
+    body = F.when(kind.isin("markdown", "text"), text).when(kind == "html", tx.html_to_markdown(text)).when(kind == "csv", F.pandas_udf(tables, "string")(text)).otherwise(salvaged)
     sure = F.when(kind.isin("markdown", "text"), 1.0).when(kind == "html", 0.95).when(kind == "csv", 0.98).when(kind == "binary_unknown", 0.3).otherwise(0.4)
     rows = rows.select("path", "format", body.alias("text"), sure.alias("confidence"), "length")
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when((F.col("confidence") < 0.5) & (F.length("text") <= SALVAGED), "no text")
