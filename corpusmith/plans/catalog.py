@@ -11,7 +11,7 @@ from corpusmith import corpus
 from corpusmith.deploy import shipped
 from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
-from corpusmith.operators import evaluate, graph, retrieval, tables
+from corpusmith.operators import evaluate, graph, retrieval, service, tables
 from corpusmith.plans import sql
 from corpusmith.sources import sinks
 from corpusmith.streaming import flows
@@ -482,6 +482,152 @@ def ext_session(spark, sf_dir):
     return flows.sessions(corpus.table(spark, sf_dir, "events"), "6 hours").select("user_id", F.col("w.start").alias("start"), "n")
 
 
+@query
+def auth_lookup(spark, sf_dir):
+    customer = corpus.table(spark, sf_dir, "customer")
+    expires = F.when(F.col("c_custkey") % 3 == 0, F.lit(WATERMARK)).otherwise(F.lit(None).cast("timestamp"))
+    keys = customer.select(F.sha2("c_name", 256).alias("key_hash"), F.col("c_mktsegment").alias("plan"), (F.col("c_acctbal") > 0).alias("is_active"), expires.alias("expires_at"), F.lit(None).cast("timestamp").alias("revoked_at"))
+    return service.authenticate(customer.select(F.col("c_name").alias("token")), keys, WATERMARK).groupBy("plan").agg(F.count("*").alias("n"))
+
+
+@query
+def cache_hit_rate(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", "user_id", "event_type")
+    return service.cache_hits(rows, ["user_id", "event_type"]).groupBy("event_type").agg(F.count_if("hit").alias("n_hits"), F.count("*").alias("n"))
+
+
+@query
+def cache_keys(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "events").select("event_id", service.cache_key(F.col("user_id"), F.col("event_type"), F.col("props")).alias("key"))
+
+
+def _jobs(spark, sf_dir):
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "processing").otherwise("complete")
+    return service.job_states(corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").alias("at"), F.col("event_id").alias("id"), status.alias("status")))
+
+
+@query
+def queue_states(spark, sf_dir):
+    return _jobs(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def queue_dequeue(spark, sf_dir):
+    return service.dequeue(_jobs(spark, sf_dir), 10)
+
+
+@query
+def tombstones(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("version"), "event_type")
+    gone = rows.where("event_type = 'error'").select("user_id", F.col("version").alias("deleted_version"))
+    return service.without_tombstones(rows, gone, "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query
+def failure_report(spark, sf_dir):
+    text = F.when(F.col("event_type") == "error", "timed out").when(F.col("event_type") == "click", F.concat(F.lit("HTTP "), F.col("user_id").cast("string"))).otherwise(F.col("props"))
+    return service.failures(corpus.table(spark, sf_dir, "events").select(text.alias("error")))
+
+
+@query
+def slowest_samples(spark, sf_dir):
+    return service.slowest(corpus.table(spark, sf_dir, "events").select("event_id", "value"), "value", "event_id")
+
+
+@query
+def order_scan(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "orders").select(F.nullif("o_orderstatus", F.lit("O")).alias("status"), F.col("o_orderkey").alias("id"))
+    return rows.orderBy(F.asc_nulls_first("status"), "id").limit(20)
+
+
+@query
+def rerank_gate(spark, sf_dir):
+    asked = corpus.centroids(spark, sf_dir).select("query_id", (F.col("query_id") % 5 + 1).alias("depth"), F.lit(True).alias("asked"))
+    return service.wants_rerank(asked, _gated(spark, sf_dir), 0.45)
+
+
+@query
+def hop_modes(spark, sf_dir):
+    rows = spark.createDataFrame([(k, t, k % 5 + 1, 2 if k % 4 == 0 else None) for k, t in enumerate(QUESTIONS)], "id int, query string, depth int, hops int")
+    return service.hop_mode(rows).select("id", "mode", F.col("walk").alias("hops"))
+
+
+@query
+def fallback_answers(spark, sf_dir):
+    rows = retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS).join(corpus.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    return service.fallback_answers(rows).select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.ceil(F.length("answer") / 500).alias("n_pieces"))
+
+
+@query
+def graph_simulated(spark, sf_dir):
+    matched = retrieval.matches_all(corpus.chunks(spark, sf_dir), corpus.QUERIES)
+    order = Window.partitionBy("query_id").orderBy("chunk_id")
+    seeds = matched.withColumn("place", F.row_number().over(order) - 1).where("place < 5").withColumn("matches", F.lit(2))
+    links = corpus.links(spark, sf_dir)
+    roots = seeds.join(links, "chunk_id").select("query_id", "concept").distinct()
+    return _ranked(retrieval.top(service.simulated_graph_scores(seeds, graph.traverse(roots, corpus.edges(spark, sf_dir), 1), links), retrieval.RESULTS))
+
+
+@query
+def graph_second_ring(spark, sf_dir):
+    """What two hops reach and neither the seeds nor one hop do."""
+    roots = corpus.table(spark, sf_dir, "region").select(F.lit(0).alias("query_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("concept"))
+    two, one = (graph.traverse(roots, corpus.edges(spark, sf_dir), n).select("concept") for n in (2, 1))
+    return two.exceptAll(one).groupBy(F.substring("concept", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def benchmark_questions(spark, sf_dir):
+    topics = [r.n_name for r in corpus.table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").limit(25).collect()]
+    return service.benchmark_questions(["What is {topic}?", "How does {topic} relate to trade?", "How to ship to {topic}"], topics, 120, spark)
+
+
+@query
+def grounding(spark, sf_dir):
+    """Precision at five of what is cited under several names, against what is relevant."""
+    rows = _dense(spark, sf_dir, retrieval.RESULTS).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("g"))
+    name = lambda k: F.concat(F.lit("Chunk "), F.element_at("g", k)["chunk_id"].cast("string"))
+    got = rows.select("query_id", service.harvested_ids([name(k) for k in range(1, 6)] + [F.lit(None).cast("string")]).alias("got"))
+    expected = _qrels(spark, sf_dir).groupBy("query_id").agg(F.collect_list(F.col("chunk_id").cast("string")).alias("expected"))
+    return evaluate.at_five(got.join(expected, "query_id")).select("query_id", rounded("precision_at_5").alias("grounded"))
+
+
+@query
+def index_percentiles(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "events").groupBy("event_type").agg(evaluate.percentile_by_index(F.col("value"), 0.95).alias("p95"))
+
+
+@query
+def document_counts(spark, sf_dir):
+    nation, supplier = corpus.table(spark, sf_dir, "nation"), corpus.table(spark, sf_dir, "supplier")
+    return nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("n"))
+
+
+@query
+def chunk_paragraphs(spark, sf_dir):
+    rows = _user_turns(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("at", "part")).where("trim(part) <> ''")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("part")).alias("chars"))
+
+
+@query
+def filtered_export(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.nullif("o_orderstatus", F.lit("F")).alias("deleted"), "o_orderpriority")
+    kept = tables.since(rows, "at", WATERMARK).where(F.col("deleted").isNull() & F.col("o_orderpriority").startswith("1"))
+    return kept.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.max("at").alias("watermark"))
+
+
+@query
+def chunk_sections(spark, sf_dir):
+    rows = sequential.chunk_documents(_user_turns(spark, sf_dir), how=sequential.sections)
+    return rows.select("doc_id", "chunk_order", "token_count", F.sha2("content", 256).alias("content_hash"))
+
+
+@query
+def markdown_links(spark, sf_dir):
+    clean = F.udf(sequential.normalize_links, "string", useArrow=True)
+    return corpus.table(spark, sf_dir, "pages").select("page_id", clean(F.concat(F.lit("see [page]("), "url", F.lit(")"))).alias("text"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

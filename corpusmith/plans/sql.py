@@ -163,6 +163,7 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
     name = r"trim(regexp_replace('## ' || url || ' **', '^[0-9.\-\s]+|^[#*_`\s]+|[#*_`\s]+$', '', 'g'), ' ')"
     url_parts = r"regexp_extract(url, '^([^?#]*)', 1) AS head, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q, regexp_extract(url, '(#.*)$', 1) AS tail"
     tracking = ", ".join(f"'{t}'" for t in tx.TRACKING)
+    jobs = "WITH jobs AS (SELECT user_id AS job, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' ELSE 'complete' END AS status, ts AS \"at\" FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
     return {
         "dense_top10": f"WITH {DENSE_ALL} {RANKED} dense10",
         "bm25_top40": f"WITH {LEX_ALL} {RANKED} lex40",
@@ -220,6 +221,26 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "quality_gate": "SELECT *, CASE WHEN error_rate < 0.1 AND coverage >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT round(avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS error_rate, round(avg(CASE WHEN value >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS coverage FROM events)",
         "json_props": "SELECT event_id, props AS json FROM events",
         "vector_literals": "SELECT vec_id, len(embedding)::INT AS dim, len(list_filter(embedding, lambda x: x > 0))::INT AS n_positive FROM embeddings",
+        "auth_lookup": "SELECT c_mktsegment AS plan, count(*) AS n FROM customer WHERE c_acctbal > 0 AND c_custkey % 3 <> 0 GROUP BY 1",
+        "cache_hit_rate": "WITH e AS (SELECT event_type, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 3600 SECONDS, false) AS hit FROM events) SELECT event_type, count(*) FILTER (WHERE hit) AS n_hits, count(*) AS n FROM e GROUP BY event_type",
+        "cache_keys": "SELECT event_id, sha256(user_id || chr(31) || event_type || chr(31) || props) AS key FROM events",
+        "queue_states": f"{jobs} SELECT status, count(*) AS n FROM jobs GROUP BY status",
+        "queue_dequeue": f"{jobs} SELECT job, status, \"at\" FROM jobs WHERE status = 'queued' ORDER BY \"at\", job LIMIT 10",
+        "tombstones": "WITH g AS (SELECT user_id, max(event_id) AS gone FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT e.user_id, count(*) AS n FROM events e LEFT JOIN g USING (user_id) WHERE gone IS NULL OR event_id > gone GROUP BY e.user_id",
+        "failure_report": f"SELECT class, count(*) AS n FROM (SELECT {_error_case()} AS class FROM (SELECT lower(coalesce(CASE WHEN event_type = 'error' THEN 'timed out' WHEN event_type = 'click' THEN 'HTTP ' || user_id ELSE props END, '')) AS e FROM events)) GROUP BY class",
+        "slowest_samples": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 5",
+        "order_scan": "SELECT nullif(o_orderstatus, 'O') AS status, o_orderkey AS id FROM orders ORDER BY status NULLS FIRST, id LIMIT 20",
+        "rerank_gate": f"WITH {GATED} SELECT c.query_id, (c.query_id % 5 + 1 = 5) OR (c.query_id % 5 + 1 >= 3 AND NOT EXISTS (SELECT 1 FROM gated g WHERE g.query_id = c.query_id AND match_source = 'dense' AND score >= 0.45)) AS rerank FROM centroids c",
+        "hop_modes": f"SELECT id, CASE WHEN id % 4 = 0 THEN 'manual' WHEN id % 5 + 1 <= 2 THEN 'concept_direct' ELSE 'auto' END AS mode, CASE WHEN id % 4 = 0 THEN 2 WHEN id % 5 + 1 <= 2 THEN 0 WHEN regexp_matches(trim(query), {_text(relational)}) THEN 1 ELSE 0 END AS hops FROM (VALUES {questions}) q(id, query)",
+        "fallback_answers": f"WITH {FUSED}, a AS (SELECT f.query_id, string_agg(trim(d.text, ' '), chr(10) || chr(10) ORDER BY rank) AS answer FROM fused10 f JOIN documents d ON d.doc_id = f.chunk_id WHERE trim(d.text, ' ') <> '' GROUP BY f.query_id) SELECT query_id, sha256(answer) AS answer_sha256, ceil(length(answer)::DOUBLE / 500)::BIGINT AS n_pieces FROM a",
+        "graph_simulated": f"WITH RECURSIVE words AS (SELECT doc_id AS chunk_id, {_tokens('text')} AS words FROM documents), q(query_id, wanted) AS (VALUES {_values((k, '[' + ', '.join(map(_text, r._words(t))) + ']') for k, t in corpus.QUERIES)}), m AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS place FROM words, q WHERE list_has_all(words, wanted)), {EDGES}, starts AS (SELECT query_id, chunk_id, place - 1 AS place FROM m WHERE place <= 5), seeds AS (SELECT DISTINCT s.query_id, l.concept FROM starts s JOIN links l USING (chunk_id)), {_walk('edges', 'seeds', 1)}, parts AS (SELECT query_id, chunk_id, 2 / (1 + 0.1::DOUBLE * place) AS score FROM starts UNION ALL SELECT query_id, chunk_id, confidence * 0.35::DOUBLE / (1.0 + depth) FROM reached JOIN links USING (concept)), total AS (SELECT query_id, chunk_id, sum(score) AS score FROM parts GROUP BY ALL), {_top('best', 'total', r.RESULTS)} {RANKED} best",
+        "graph_second_ring": f"WITH RECURSIVE {EDGES}, roots AS (SELECT 0 AS query_id, 'r' || r_regionkey AS concept FROM region), {_walk('edges', 'roots', 2)} SELECT substr(concept, 1, 1) AS kind, count(*) AS n FROM reached WHERE depth = 2 GROUP BY 1",
+        "benchmark_questions": "WITH t AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS k FROM nation) SELECT i AS id, replace(['What is {topic}?', 'How does {topic} relate to trade?', 'How to ship to {topic}'][i % 3 + 1], '{topic}', n_name) AS query, ['fact', 'relation', 'procedure'][i % 3 + 1] AS kind FROM range(120) g(i) JOIN t ON t.k = (i // 3) % 25",
+        "grounding": f"WITH {DENSE_ALL}, {QRELS} SELECT d.query_id, round(count(q.chunk_id) / 5.0::DOUBLE, 6) AS grounded FROM dense10 d LEFT JOIN qrels q ON q.query_id = d.query_id AND q.chunk_id = d.chunk_id WHERE rank <= 5 GROUP BY d.query_id",
+        "index_percentiles": "SELECT event_type, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95::DOUBLE)::BIGINT) + 1] AS p95 FROM events GROUP BY event_type",
+        "document_counts": "SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1",
+        "chunk_paragraphs": f"WITH {MARKDOWN}, p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part FROM turns) SELECT doc_id, count(*) AS n, sum(length(part))::BIGINT AS chars FROM p WHERE trim(part, ' ') <> '' GROUP BY doc_id",
+        "filtered_export": f"SELECT o_orderpriority, count(*) AS n, max(o_orderdate) AS watermark FROM orders WHERE o_orderdate > TIMESTAMP '{c.WATERMARK:%Y-%m-%d}' AND o_orderstatus = 'F' AND starts_with(o_orderpriority, '1') GROUP BY 1",
         "ext_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
         "ext_sliding": "SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY start",
         "ext_session": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",

@@ -260,3 +260,32 @@ def test_stream_ingest(spark, sf_dir, tmp_path):
     docs.limit(50).write.mode("append").parquet(str(tmp_path / "in"))
     flows.ingest(spark, str(tmp_path / "in"), docs.schema, target, state).awaitTermination()
     assert spark.read.parquet(target).count() == docs.limit(50).select("source", "text").distinct().count()
+
+
+def test_all_tables_or_none(spark, tmp_path):
+    import pytest
+
+    from corpusmith.operators import service
+
+    target = str(tmp_path / "store")
+    service.store_atomically({"documents": spark.range(3), "chunks": spark.range(5)}, target)
+    assert spark.read.parquet(f"{target}/chunks").count() == 5
+    with pytest.raises(Exception):
+        service.store_atomically({"documents": spark.range(1), "chunks": spark.range(1).selectExpr("assert_true(id > 5)")}, str(tmp_path / "other"))
+    assert [p.name for p in tmp_path.iterdir()] == ["store"]
+
+
+def test_keys_and_gates(spark):
+    from corpusmith.operators import service
+
+    now = datetime.datetime(2024, 1, 1)
+    keys = spark.createDataFrame([("a", True, None, None), ("b", False, None, None), ("c", True, now, None), ("d", True, None, now)], "token string, is_active boolean, expires_at timestamp, revoked_at timestamp")
+    keys = keys.withColumn("key_hash", F.sha2("token", 256)).drop("token")
+    assert [r.token for r in service.authenticate(spark.createDataFrame([(t,) for t in "abcdx"], "token string"), keys, now).collect()] == ["a"]
+    asked = spark.createDataFrame([(1, 5, False), (2, 3, True), (3, 3, True), (4, 2, True)], "query_id int, depth int, asked boolean")
+    rows = spark.createDataFrame([(2, "dense", 0.9), (3, "dense", 0.6)], "query_id int, match_source string, score double")
+    assert {r.query_id: r.rerank for r in service.wants_rerank(asked, rows).collect()} == {1: True, 2: False, 3: True, 4: False}
+    modes = spark.createDataFrame([("depends on x", 3, None), ("depends on x", 1, None), ("y", 4, 2)], "query string, depth int, hops int")
+    assert [(r.mode, r.walk) for r in service.hop_mode(modes).collect()] == [("auto", 1), ("concept_direct", 0), ("manual", 2)]
+    blank = spark.createDataFrame([(1, 1, " ")], "query_id int, rank int, content string")
+    assert service.fallback_answers(blank).first().answer == "No matching knowledge was found."
