@@ -11,10 +11,9 @@ def judged(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     chunk_id, rank from 1); qrels: (query_id, chunk_id, rel)."""
     gain = lambda c: (F.pow(F.lit(2.0), F.col(c)) - 1)
     order = Window.partitionBy("query_id").orderBy(F.desc("rel"), "chunk_id")
-    best = qrels.withColumn("place", F.row_number().over(order))
-    ideal = best.groupBy("query_id").agg(
-        F.sum(F.when(F.col("place") <= k, gain("rel") / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("ideal"), F.sum((F.col("rel") > 0).cast("int")).alias("relevant")
-    )
+    best = qrels.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    ideal = best.groupBy("query_id").agg(F.sum(gain("rel") / F.log2(F.col("place") + 1.0)).alias("ideal"))
+    ideal = ideal.join(qrels.groupBy("query_id").agg(F.sum((F.col("rel") > 0).cast("int")).alias("relevant")), "query_id")
     hits = ranked.where(F.col("rank") <= k).join(qrels, ["query_id", "chunk_id"]).groupBy("query_id").agg(
         F.sum(gain("rel") / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.sum((F.col("rel") > 0).cast("int")).alias("found"), F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("first")
     )
@@ -50,7 +49,21 @@ def compare(rows: DataFrame, metrics: list[str], systems: list[str]) -> DataFram
     return long.groupBy("metric").pivot("system", systems).agg(F.avg("value"))
 
 
-def percentile_by_index(values, share: float):
-    """The element at floor(n * share) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * share)) + 1).cast("int"))
+def at_k(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+    """The same from rows: ranked (query_id, chunk_id, rank from 1), relevant (query_id, chunk_id)."""
+    total = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
+    marked = ranked.select("query_id", "chunk_id", "rank").join(relevant.withColumn("hit", F.lit(True)), ["query_id", "chunk_id"], "left")
+    near, hit = F.col("rank") <= k, F.col("hit").isNotNull()
+    rows = marked.groupBy("query_id").agg(F.count_if(near).alias("cut"), F.count_if(near & hit).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first")).join(total, "query_id")
+    return rows.select("query_id", (F.col("hits") / F.col("n")).alias("recall_at_5"), (F.col("hits") / F.col("cut")).alias("precision_at_5"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
+def percentile_by_index(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """(key, value): the element at floor(n * share) of each key's sorted values. Equal
+    values are counted first, so a key's window holds its distinct values only."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("__n"))
+    all_ = Window.partitionBy(key)
+    upto = F.sum("__n").over(all_.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    n = F.sum("__n").over(all_)
+    placed = counts.select(key, value, upto.alias("__upto"), F.least(n - 1, F.floor(n * F.lit(share))).alias("__at"))
+    return placed.where(F.col("__upto") > F.col("__at")).groupBy(key).agg(F.min(value).alias(value))

@@ -33,14 +33,18 @@ def top(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", tie
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame:
-    """Exact cosine search. vectors: (chunk_id, vector, ...); queries: (query_id, vector).
-    Queries and vectors meet in one scan of the vectors; only ids and scores go on to the ranking."""
+def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): the cosine of every vector (chunk_id, vector, ...)
+    with every query (query_id, vector), in one scan of the vectors."""
     q = checked(queries.select("query_id", F.col("vector").alias("asked")))
     rows = vectors.where(F.col("vector").isNotNull()).crossJoin(q)
     norm = F.sqrt(_dot(F.col("vector"), F.col("vector"))) * F.sqrt(_dot(F.col("asked"), F.col("asked")))
-    scored = rows.select("query_id", "chunk_id", (_dot(F.col("vector"), F.col("asked")) / norm).alias("score"))
-    return top(scored, k)
+    return rows.select("query_id", "chunk_id", (_dot(F.col("vector"), F.col("asked")) / norm).alias("score"))
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame:
+    """Exact cosine search: only ids and scores go on to the ranking."""
+    return top(dense_scores(vectors, queries), k)
 
 
 def postings(chunks: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -53,6 +57,10 @@ def postings(chunks: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]
 
 
 def bm25(chunks: DataFrame, queries: list[tuple[int, str]], k: int = CANDIDATES) -> DataFrame:
+    return top(bm25_scores(chunks, queries), k)
+
+
+def bm25_scores(chunks: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
     """BM25 over lower-cased words without stemming. queries: (query_id, text)."""
     spark = chunks.sparkSession
     asked = sorted({(q, w) for q, text in queries for w in _words(text)})
@@ -63,8 +71,7 @@ def bm25(chunks: DataFrame, queries: list[tuple[int, str]], k: int = CANDIDATES)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     # df has a row for each asked term, sizes one row: both bounded by the query batch.
     rows = held.join(F.broadcast(df), "term").join(terms, "term").crossJoin(F.broadcast(sizes))
-    scored = rows.groupBy("query_id", "chunk_id").agg(F.sum(idf * part).alias("score"), F.count("*").alias("n_terms"))
-    return top(scored, k)
+    return rows.groupBy("query_id", "chunk_id").agg(F.sum(idf * part).alias("score"), F.count("*").alias("n_terms"))
 
 
 def _words(text: str) -> list[str]:
@@ -83,7 +90,7 @@ def matches_all(chunks: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
 
 
 def scope(ranked: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Ranked rows whose chunk belongs to the query's tenant."""
+    """Scored rows whose chunk belongs to the query's tenant."""
     owned = chunks.select("chunk_id", "tenant").join(checked(queries.select("query_id", "tenant")), "tenant").select("query_id", "chunk_id")
     return ranked.join(owned, ["query_id", "chunk_id"], "left_semi")
 
@@ -97,9 +104,9 @@ def fuse(dense_ranked: DataFrame, lexical_ranked: DataFrame) -> DataFrame:
 
 
 def blend(lexical: DataFrame, chunks: DataFrame, recency: float, quality: float) -> DataFrame:
-    """Lexical rows re-ranked by their score plus weighted recency and quality. chunks: (chunk_id, age_days, quality)."""
+    """Lexical scores plus weighted recency and quality. chunks: (chunk_id, age_days, quality)."""
     decay = F.lit(float(RECENCY_DAYS)) / (F.greatest(F.col("age_days"), F.lit(0)) + RECENCY_DAYS)
-    rows = lexical.drop("rank").join(chunks.select("chunk_id", "age_days", "quality"), "chunk_id")
+    rows = lexical.join(chunks.select("chunk_id", "age_days", "quality"), "chunk_id")
     return rows.select("query_id", "chunk_id", (F.col("score") + recency * decay + quality * F.coalesce("quality", F.lit(0))).alias("score"))
 
 

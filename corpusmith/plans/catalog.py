@@ -38,6 +38,14 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
+def _dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.dense_scores(_vectors(spark, sf_dir), corpus.centroids(spark, sf_dir))
+
+
+def _lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25_scores(corpus.chunks(spark, sf_dir), corpus.QUERIES)
+
+
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return retrieval.dense(_vectors(spark, sf_dir), corpus.centroids(spark, sf_dir), k)
 
@@ -85,8 +93,8 @@ def hybrid_rrf_sql(spark, sf_dir):
 @query
 def hybrid_rrf_scoped(spark, sf_dir):
     chunks, queries = corpus.chunks(spark, sf_dir), corpus.text_queries(spark)
-    d = retrieval.top(retrieval.scope(_dense(spark, sf_dir, 1 << 30), chunks, queries).drop("rank"), retrieval.CANDIDATES)
-    x = retrieval.top(retrieval.scope(_lexical(spark, sf_dir, 1 << 30), chunks, queries).drop("rank"), retrieval.CANDIDATES)
+    d = retrieval.top(retrieval.scope(_dense_scores(spark, sf_dir), chunks, queries), retrieval.CANDIDATES)
+    x = retrieval.top(retrieval.scope(_lexical_scores(spark, sf_dir), chunks, queries), retrieval.CANDIDATES)
     return _ranked(retrieval.top(retrieval.fuse(d, x), retrieval.RESULTS))
 
 
@@ -94,7 +102,7 @@ def hybrid_rrf_scoped(spark, sf_dir):
 def hybrid_rrf_attr(spark, sf_dir):
     labels = corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
     chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "age_days").join(labels, "chunk_id", "left")
-    blended = retrieval.top(retrieval.blend(_lexical(spark, sf_dir, 1 << 30), chunks, 0.5, 0.3), retrieval.CANDIDATES)
+    blended = retrieval.top(retrieval.blend(_lexical_scores(spark, sf_dir), chunks, 0.5, 0.3), retrieval.CANDIDATES)
     return _ranked(retrieval.top(retrieval.fuse(_dense(spark, sf_dir, retrieval.CANDIDATES), blended), retrieval.RESULTS))
 
 
@@ -195,7 +203,7 @@ def graph_traverse(spark, sf_dir):
 
 @query
 def graph_lineage(spark, sf_dir):
-    root = corpus.table(spark, sf_dir, "supplier").select(F.lit(0).alias("query_id"), F.concat(F.lit("s"), F.min("s_suppkey").over(Window.partitionBy(F.lit(0))).cast("string")).alias("concept")).distinct()
+    root = corpus.table(spark, sf_dir, "supplier").agg(F.min("s_suppkey").alias("s_suppkey")).select(F.lit(0).alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("concept"))
     return graph.lineage(root, corpus.edges(spark, sf_dir), 1)
 
 
@@ -343,9 +351,8 @@ def hit_at_k(spark, sf_dir):
 
 @query
 def precision_recall_at5(spark, sf_dir):
-    got = _dense(spark, sf_dir, retrieval.RESULTS).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("g")).select("query_id", F.col("g.chunk_id").alias("got"))
-    expected = _qrels(spark, sf_dir).where("rel > 1").groupBy("query_id").agg(F.collect_list("chunk_id").alias("expected"))
-    rows = evaluate.at_five(got.join(expected, "query_id"))
+    relevant = _qrels(spark, sf_dir).where("rel > 1").select("query_id", "chunk_id")
+    rows = evaluate.at_k(_dense(spark, sf_dir, retrieval.RESULTS), relevant)
     return rows.select("query_id", *(rounded(c).alias(c) for c in ("recall_at_5", "precision_at_5", "mrr")))
 
 
@@ -588,13 +595,14 @@ def grounding(spark, sf_dir):
     rows = _dense(spark, sf_dir, retrieval.RESULTS).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("g"))
     name = lambda k: F.concat(F.lit("Chunk "), F.element_at("g", k)["chunk_id"].cast("string"))
     got = rows.select("query_id", service.harvested_ids([name(k) for k in range(1, 6)] + [F.lit(None).cast("string")]).alias("got"))
-    expected = _qrels(spark, sf_dir).groupBy("query_id").agg(F.collect_list(F.col("chunk_id").cast("string")).alias("expected"))
-    return evaluate.at_five(got.join(expected, "query_id")).select("query_id", rounded("precision_at_5").alias("grounded"))
+    cited = got.select("query_id", F.posexplode("got").alias("at", "id")).select("query_id", F.col("id").cast("long").alias("chunk_id"), (F.col("at") + 1).alias("rank"))
+    rows = evaluate.at_k(cited, _qrels(spark, sf_dir).select("query_id", "chunk_id"))
+    return rows.select("query_id", rounded("precision_at_5").alias("grounded"))
 
 
 @query
 def index_percentiles(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "events").groupBy("event_type").agg(evaluate.percentile_by_index(F.col("value"), 0.95).alias("p95"))
+    return evaluate.percentile_by_index(corpus.table(spark, sf_dir, "events"), "event_type", "value", 0.95).withColumnRenamed("value", "p95")
 
 
 @query
