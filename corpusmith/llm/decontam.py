@@ -28,44 +28,65 @@ WINDOW, SHARE = 5, 0.8
 SLOT_SHARE = 0.9
 #: Units that count as such after a number.
 UNITS = "%|km|m|cm|mm|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|liters?|litres?|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|mph|kmh|degrees?"
-MARK = "\u0001"
+#: MARK opens a placeholder, its type and value follow; POINT stands for a separator inside a number.
+MARK, POINT = "\u0001", "\u0002"
+INSIDE = rf"\p{{L}}\p{{N}}{MARK}{POINT}"
 
 
-def slots(text):
-    """A text's words with placeholders that hold their values: MARK, type, value."""
-    text = F.translate(text, MARK, " ")
-    text = F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])([0-9][0-9.,]*)[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
-    text = F.regexp_replace(text, rf"(?<![{MARK}\p{{N}}\p{{L}}])(?<!{MARK}n[0-9.,]{{1,20}})([0-9][0-9.,]*)", f" {MARK}n$1 ")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", f"{MARK}p$1")
-    text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
-    return F.trim(text)
+def _numbers(text):
+    text = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", POINT)
+    number = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}{POINT}])([0-9][0-9{POINT}]*)"
+    text = F.regexp_replace(text, rf"(?i){number}[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
+    return F.regexp_replace(text, number, f" {MARK}n$1 ")
+
+
+def marked(text):
+    """A lower-cased text with placeholders that hold their values."""
+    text = F.replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(POINT), F.lit(" "))
+    text = F.when(text.rlike("[0-9]"), _numbers(text)).otherwise(text)
+    return F.lower(F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+", f"{MARK}p$0"))
+
+
+def words(text, values: bool):
+    """The words of a marked text, placeholders with their values or without."""
+    if not values:
+        text = F.when(F.contains(text, F.lit(MARK)), F.regexp_replace(text, rf"({MARK}[nup])[\p{{L}}\p{{N}}{POINT}]*", "$1")).otherwise(text)
+    return F.array_remove(F.split(text, f"[^{INSIDE}]+"), "")
+
+
+def _starts(array):
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(array) - (WINDOW - 1)))
 
 
 def windows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, slots): every window of every text; slots holds the values of its placeholders, or null."""
-    marked = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), slots(F.col(text_col)).alias("marked"))
-    has = F.contains(F.col("marked"), F.lit(MARK))
-    plain = F.when(has, F.regexp_replace("marked", f"({MARK}[nup])[^ ]*", "$1")).otherwise(F.col("marked"))
-    words = marked.where("marked <> ''").select("id", F.split(plain, " ").alias("words"), F.when(has, F.split("marked", " ")).alias("held"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (WINDOW - 1)))
+    """(id, h): every window of every text."""
+    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(marked(F.col(text_col)), False).alias("words"))
+    hashes = F.transform(_starts("words"), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
+    return texts.where(F.size("words") > 0).select("id", F.explode(hashes).alias("h"))
+
+
+def slots(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, slots): every window that holds placeholders, with their values."""
+    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), marked(F.col(text_col)).alias("marked")).where(F.contains("marked", F.lit(MARK)))
+    texts = texts.select("id", words(F.col("marked"), False).alias("words"), words(F.col("marked"), True).alias("held"))
 
     def window(i):
         values = F.filter(F.slice("held", i, WINDOW), lambda v: F.startswith(v, F.lit(MARK)))
-        return F.struct(F.xxhash64(F.slice("words", i, WINDOW)).alias("h"), F.when(F.col("held").isNotNull(), values).alias("slots"))
+        return F.struct(F.xxhash64(F.slice("words", i, WINDOW)).alias("h"), values.alias("slots"))
 
     # Nothing but the window itself goes along with it.
-    return words.select("id", F.explode(F.transform(starts, window)).alias("x")).select("id", "x.h", "x.slots")
+    found = texts.select("id", F.explode(F.transform(_starts("words"), window)).alias("x")).select("id", "x.h", "x.slots")
+    return found.where(F.size("slots") > 0)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_slots): one row per document and item found in it."""
-    asked = windows(items, item_col, item_text_col).select("h", F.col("id").alias("item"), F.col("slots").alias("item_slots"))
-    asked = save(asked, "benchmark-windows")
-    wanted = asked.select("item", "h").distinct()
+    asked = save(windows(items, item_col, item_text_col).select(F.col("id").alias("item"), "h"), "benchmark-windows")
+    wanted = asked.distinct()
     # What meets no item's window goes no further than its task while the items are few.
     met = windows(docs, id_col, text_col).join(small(asked.select("h").distinct()), "h", "left_semi")
-    met = save(met.select("id", "h", F.col("slots").alias("doc_slots")), "window-hits")
-    seen = met.select("id", "h").distinct()
+    met = save(met, "window-hits")
+    seen = met.distinct()
     # An item can only reach SHARE through one of its rarest windows: the others alone are too few.
     often = seen.groupBy("h").agg(F.count("*").alias("often"))
     rare = Window.partitionBy("item").orderBy("often", "h")
@@ -77,16 +98,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     shares = pairs.join(small(ranked.select("item", "h", "n_windows")), "item").join(seen, ["id", "h"])
     found = shares.groupBy("id", "item").agg(F.count("*").alias("n_found"), F.first("n_windows").alias("n_windows"))
     found = save(found.where(F.col("n_found") >= F.col("n_windows") * SHARE), "window-shares")
-    held = asked.where(F.size("item_slots") > 0)
-    answers = found.select("id", "item").join(small(held), "item").join(met, ["id", "h"])
+    found = found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found")
+    held = save(slots(items, item_col, item_text_col).select(F.col("id").alias("item"), "h", F.col("slots").alias("item_slots")).distinct(), "benchmark-slots")
+    if held.isEmpty():
+        return found.withColumn("n_slots", F.lit(0).cast("long"))
+    # Only documents that hold an item are read again for their slots.
+    pairs = found.select(F.col(id_col).alias("id"), F.col(item_col).alias("item")).join(small(held.select("item").distinct()), "item", "left_semi")
+    again = docs.join(small(pairs.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
+    answered = slots(again, id_col, text_col).join(small(held.select("h").distinct()), "h", "left_semi").withColumnRenamed("slots", "doc_slots").distinct()
+    answers = pairs.join(small(held), "item").join(answered, ["id", "h"])
     answers = answers.select("id", "item", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).select("id", "item", F.col("x.item_slots").alias("a"), F.col("x.doc_slots").alias("b"))
     answers = answers.groupBy("id", "item", "a", "b").agg(F.count("*").alias("n"))
     # The commonest answer of each slot value, and the commonest question of each answer, must be each other's.
     best = answers.groupBy("id", "item", "a").agg(F.max(F.struct("n", "b")).alias("top"), F.sum("n").alias("all"))
     back = best.groupBy("id", "item", F.col("top.b").alias("b")).agg(F.max(F.col("top.n")).alias("n"), F.sum("all").alias("all"))
     good = back.groupBy("id", "item").agg(F.sum("n").alias("good"), F.sum("all").alias("n_slots"))
-    rows = found.join(good, ["id", "item"], "left").where(F.coalesce(F.col("good") >= F.col("n_slots") * SLOT_SHARE, F.lit(True)))
-    return rows.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
+    good = good.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "good", "n_slots")
+    rows = found.join(good, [id_col, item_col], "left").where(F.coalesce(F.col("good") >= F.col("n_slots") * SLOT_SHARE, F.lit(True)))
+    return rows.select(id_col, item_col, "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
