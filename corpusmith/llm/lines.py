@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmith.llm.common import save
+from corpusmith.llm.common import save, small
 
 #: Sites from which a line is boilerplate; log2 of sketch registers; relative width of the band that is counted exactly.
 SITES, REGISTERS, BAND = 8, 9, 0.25
@@ -40,15 +40,15 @@ def boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", tex
     guess = F.hll_sketch_estimate("sketch")
     spread = save(spread.select("h", "first", guess.alias("guess")).where(F.col("guess") >= sites * (1 - BAND)), "line-spread")
     close = spread.where(F.col("guess") <= sites * (1 + BAND)).select("h")
-    exact = rows.join(close, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("exact"))
+    exact = rows.join(small(close), "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("exact"))
     found = spread.join(exact, "h", "left").select("h", F.coalesce("exact", "guess").alias("n_sites"), F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))
-    return rows.drop("site"), found.where(F.col("n_sites") >= sites)
+    return rows.drop("site"), save(found.where(F.col("n_sites") >= sites), "boilerplate")
 
 
 def dedup(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs without repeated boilerplate lines, plus `__lines` and `__removed`."""
     rows, found = boilerplate(docs, sites, id_col, text_col, site_col)
-    extra = rows.join(found, "h").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("line") == F.col("first_line"))))
+    extra = rows.join(small(found), "h").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("line") == F.col("first_line"))))
     # A document's line numbers are no more than its own lines.
     gone = extra.groupBy(F.col("id").alias("__id"), F.col("whole").alias("__whole")).agg(F.collect_set("line").alias("__gone"))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__whole"))
