@@ -4,8 +4,9 @@ Lexicon. Words and word stems (prefixes) are counted in labelled documents. A
 unit is an insult if the share of toxic documents among those that hold it
 surprises beyond what testing all units explains, and if no single preceding
 word accounts for most of its toxic uses (else it merely comes along in copies
-of one text). Its weight is its log-odds. Fixed seed words give threats,
-targets, negations and reported speech.
+of one text). Its weight is its log-odds. Seed insults have a fixed weight until
+enough labelled documents confirm or contradict them; fixed seed words give
+threats, targets, negations and reported speech.
 
 Grammar. The lexicon is one finite automaton that runs over the whole text. Each
 clause with a match then runs through the composition of three transducers:
@@ -44,7 +45,9 @@ FIT_ROWS, STEMS, PASSENGER, ODDS = 30_000, (5, 6, 7), 0.4, 6.0
 NEGATED, REPORTED, AIMED, THREAT_WEIGHT, REACH = 0.4, 0.6, 1.3, 2.0, 3
 TRAIN_PARTITIONS, SEED = 24, 11
 
-#: Seed words.
+#: Seed words. An insult's weight until labelled documents say otherwise, and the documents that can say so.
+INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb trottel dummkopf crétin imbécile estúpido imbécil"
+INSULT_WEIGHT, EVIDENCE = 3.0, 5
 THREATS = "kill murder hurt destroy stab shoot strangle töten umbringen tuer frapper matar"
 TARGETS = "you your yourself he she they them him her people du dich dein ihr euch sie tu toi vous ton il elle ils tú usted ustedes ellos"
 NEGATIONS = "not never no isn't aren't wasn't don't nicht kein keine nie pas jamais ne nunca"
@@ -168,8 +171,12 @@ def learn_units(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, boo
     # Each accepted unit stands in several of the FIT_ROWS documents, which bounds their number.
     rows = counts.where((F.col("toxic") > bar / -math.log(base) / 2) & (odds >= ODDS)).collect()
     picked = {r.unit: (r.toxic, r.clean) for r in rows if surprise(r.toxic, r.toxic + r.clean, base) >= bar}
+    seeds = {w + ".": None for w in INSULTS.split()}
+    for r in counts.where(F.col("unit").isin(*seeds)).collect():
+        seeds[r.unit] = (r.toxic + 0.5) / (toxic + 1) * (clean + 1) / (r.clean + 0.5) >= ODDS if r.toxic + r.clean >= EVIDENCE else None
+    seeded = [(u.rstrip("."), True, INSULT_WEIGHT) for u, agreed in seeds.items() if agreed is not False and u not in picked]
     if not picked:
-        return []
+        return seeded
     names = frozenset(picked)
 
     def befores(it):
@@ -188,7 +195,7 @@ def learn_units(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, boo
     shares = pairs.groupBy("unit", "before").agg(F.sum("n").alias("n")).groupBy("unit").agg((F.max("n") / F.sum("n")).alias("share"))
     keep = [r.unit for r in shares.collect() if r.share <= PASSENGER]
     weigh = lambda t, c: math.log((t + 0.5) / (toxic + 1) * (clean + 1) / (c + 0.5))
-    return sorted((u.rstrip("."), u.endswith("."), weigh(*picked[u])) for u in keep)
+    return sorted([(u.rstrip("."), u.endswith("."), weigh(*picked[u])) for u in keep] + seeded)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 40) -> np.ndarray:
