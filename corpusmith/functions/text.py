@@ -44,7 +44,12 @@ QUALITY_WEIGHTS = {"extraction": 0.25, "clean": 0.15, "header": 0.10, "code": 0.
 
 def tokens(text):
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def tokens_among(text, terms: list[str]):
+    """Those of a text's tokens that are asked for, repeats included, without splitting the rest."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])"), 1)
 
 
 def rough_tokens(text):

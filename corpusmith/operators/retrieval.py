@@ -48,11 +48,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame
 
 
 def postings(chunks: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(chunk_id, term, tf, length) of the asked terms, and (n, mean_length) of the corpus."""
-    words = chunks.select("chunk_id", tx.tokens(F.col("content")).alias("words"))
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_length"))
-    wanted = F.array(*map(F.lit, terms))
-    held = words.select("chunk_id", F.size("words").alias("length"), F.explode(F.filter("words", lambda w: F.array_contains(wanted, w))).alias("term"))
+    """(chunk_id, term, tf, length) of the asked terms (letters and digits only), and
+    (n, mean_length) of the corpus. Only chunks that hold a term are split into words."""
+    sizes = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tx.tokens(F.col("content")))).alias("mean_length"))
+    found = chunks.select("chunk_id", "content", tx.tokens_among(F.col("content"), terms).alias("terms")).where(F.size("terms") > 0)
+    held = found.select("chunk_id", F.size(tx.tokens(F.col("content"))).alias("length"), F.explode("terms").alias("term"))
     return held.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf")), sizes
 
 
