@@ -9,7 +9,8 @@ occur there and its slots are consistent: each of the item's slot values is
 answered by one value of the document, and different ones by different ones, so a
 question put with other numbers or names is caught and a chance mixture is not.
 
-Defined results: a null text has no windows; a text of fewer words than a window
+Defined results: a null text has no windows; a document or item without an id is
+never found and stays; a text of fewer words than a window
 has one window, the whole sequence, so short items are found in texts as short
 only; items without a word are never found; repeated windows count once; a
 document with several items gives a row for each; rows that repeat an id are

@@ -146,7 +146,7 @@ def isotonic(x: np.ndarray, hits: np.ndarray, n: np.ndarray) -> tuple[list[float
             last = steps.pop()
             steps[-1] = [a + b for a, b in zip(steps[-1], last)]
     # Half an observation of either class keeps chances off 0 and 1, so that the ends still rank.
-    return [s[0] / s[2] for s in steps], [(s[1] + 0.5) / (s[2] + 1) for s in steps]
+    return [s[0] / s[2] for s in steps], np.maximum.accumulate([(s[1] + 0.5) / (s[2] + 1) for s in steps]).tolist()
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -162,7 +162,8 @@ def fit(labelled: DataFrame) -> Model:
     scale = np.sqrt(np.maximum(square - mean**2, 1e-12))
     model = Model(mean, scale, rng.normal(0, 1 / WIDTH, (dims, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES))
     if not 0 < hits < n:
-        model.knots = ([0.0], [hits / n if n else 0.5])
+        share = labelled.agg(F.avg("y")).first()[0]
+        model.knots = ([0.0], [0.5 if share is None else share])
         return model
 
     def partial(it):
@@ -220,8 +221,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs that are predicted good, columns as they are."""
-    bad = classify(docs, labels, held_out, id_col, text_col).where("predicted = 0").select(id_col).distinct()
-    return docs.join(small(save(bad, "quality-rejects")), id_col, "left_anti").select(*docs.columns)
+    bad = classify(docs, labels, held_out, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("__id")).distinct()
+    return docs.join(small(save(bad, "quality-rejects")), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
 
 
 def held_out(id_col: str, mod: int, rest: int):

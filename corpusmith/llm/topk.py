@@ -10,8 +10,8 @@ Queries are a stated set, taken in batches of at most QUERY_BATCH: each batch is
 sent to all tasks, each task keeps the best k of its own blocks, and a ranked
 merge finishes. A batch's size is fixed, so nothing that is sent grows.
 
-Defined results: vectors that are null, empty, or hold a null or a component
-that is not finite take no part, as query or as candidate; a shorter vector
+Defined results: vectors that are null, empty, without an id, or hold a null or a
+component that is not finite take no part, as query or as candidate; a shorter vector
 counts as padded with zeros; a row never matches itself, but other rows with
 its id do; ties go to the smaller vec_id; scores beyond 64 bits are held at the
 ends of that range. An empty table gives no rows. Extra columns are not read.
@@ -41,7 +41,7 @@ RESULT = T.StructType([T.StructField(n, T.LongType()) for n in ("query_row", "qu
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(row, vec_id, codes): codes are floor(scale * component) as doubles."""
-    whole = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)
+    whole = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)
     sound = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     codes = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double"))
     return vectors.where(whole & F.coalesce(sound, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), codes.alias("codes"))

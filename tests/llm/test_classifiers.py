@@ -33,8 +33,9 @@ def test_isotonic_rises():
     n = rng.integers(1, 20, 50).astype(float)
     x, y = quality.isotonic(np.arange(50.0), np.floor(n * rng.random(50)), n)
     assert all(a < b for a, b in zip(x, x[1:])) and len(x) == len(y)
-    steps = [h for h in y]
-    assert max(np.diff(steps).min(initial=0), -0.2) >= -0.2
+    assert all(a <= b for a, b in zip(y, y[1:]))
+    x, y = quality.isotonic(np.arange(4.0), np.array([0.0, 1, 0, 10]), np.array([10.0, 10, 1, 10]))
+    assert all(a <= b for a, b in zip(y, y[1:])) and y[0] < 0.1 and y[-1] > 0.9
 
 
 def test_statistics_of_odd_texts():
@@ -43,21 +44,22 @@ def test_statistics_of_odd_texts():
         assert len(stats) == len(quality.STATISTICS) and np.isfinite(stats).all()
 
 
-ROWS = [(1, None), (2, ""), (3, "some words, here."), (3, "some words, here."), (None, "x")]
+ROWS = [(1, None), (7, ""), (9, "some words, here."), (9, "some words, here."), (None, "x")]
 
 
-@pytest.mark.parametrize("labels,score", [([], 0.5), ([(3, 1), (2, 1), (1, None), (3, 1)], 1.0), ([(2, 0), (3, 0)], 0.0)])
+@pytest.mark.parametrize("labels,score", [([], 0.5), ([(2, 0), (3, 0)], 0.5), ([(9, 1), (7, 1), (1, None), (9, 1)], 1.0), ([(7, 0), (9, 0)], 0.0)])
 def test_quality_without_both_classes(spark, docs, labels, score):
     table = spark.createDataFrame(labels, "doc_id long, quality int")
     rows = quality.classify(docs(ROWS), table, quality.held_out("doc_id", 3, 1)).collect()
-    assert len(rows) == 5 and len({r.score for r in rows}) == 1
+    assert len(rows) == 5 and {r.score for r in rows} == {score}
     assert quality.classify(docs([]), table, quality.held_out("doc_id", 3, 1)).count() == 0
+    assert rows[0].predicted == (score >= 0.5)
     kept = quality.keep_good(docs(ROWS), table, quality.held_out("doc_id", 3, 1))
-    assert kept.columns == docs(ROWS).columns
+    assert kept.columns == docs(ROWS).columns and kept.count() == (0 if score < 0.5 else len(ROWS))
 
 
 def test_toxicity_without_both_classes(spark, docs):
-    for labels in ([], [(3, 0)], [(2, 1), (3, None)]):
+    for labels in ([], [(9, 0)], [(7, 1), (9, None)]):
         table = spark.createDataFrame(labels, "doc_id long, toxic int")
         rows = toxicity.classify(docs(ROWS), table, quality.held_out("doc_id", 4, 2)).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)

@@ -20,7 +20,7 @@ def found(docs_df, items_df):
 def test_literal_cases(spark, docs):
     other = ITEM.replace("120", "480").replace("Berlin", "Lisbon").replace(" 3 ", " 6 ")
     mixed = ITEM.replace("in Berlin", "in Lisbon").replace("120", "77")  # one name answered by two
-    rows = [(1, f"Intro text here. {ITEM} and more follows"), (2, f"some lead, {other}."), (3, mixed), (4, "nothing alike in this text at all, only words"), (5, None), (6, ""), (7, ITEM[: len(ITEM) // 2]), (8, ITEM.upper())]
+    rows = [(1, f"Intro text here. {ITEM} and more follows"), (2, f"some lead, {other}."), (3, mixed), (4, "nothing alike in this text at all, only words"), (5, None), (6, ""), (7, ITEM[: len(ITEM) // 2]), (8, ITEM.upper()), (None, ITEM)]
     got = found(docs(rows), items(spark, [(10, ITEM, 1, 1), (11, None, 1, 1), (12, "", 1, 1), (13, "short one", 1, 1)]))
     assert (1, 10) in got and (2, 10) in got and not {d for d, _ in got} & {4, 5, 6, 7}
     assert (3, 10) not in got

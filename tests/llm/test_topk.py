@@ -45,8 +45,8 @@ def test_ties_and_few_rows(spark):
 
 
 def test_odd_vectors(spark):
-    rows = vectors(12, 4) + [(20, None), (25, []), (30, [1.0, None]), (35, [float("nan"), 1.0]), (40, [float("inf"), 0.0]), (45, [1.0]), (50, [2.0, -1.0, 0.5, 0.1, 0.7, 1.0]), (55, [0.0] * 4)]
-    assert searched(spark, rows) == brute([(i, v) for i, v in rows], 20, lambda i: i % 5 == 0)
+    rows = vectors(12, 4) + [(20, None), (25, []), (30, [1.0, None]), (35, [float("nan"), 1.0]), (40, [float("inf"), 0.0]), (45, [1.0]), (50, [2.0, -1.0, 0.5, 0.1, 0.7, 1.0]), (55, [0.0] * 4), (None, [9.0] * 4)]
+    assert searched(spark, rows) == brute([(i, v) for i, v in rows if i is not None], 20, lambda i: i % 5 == 0)
     assert searched(spark, []) == []
 
 
