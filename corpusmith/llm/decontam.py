@@ -5,12 +5,18 @@ words inside a sentence) turn into typed placeholders that keep their value as a
 slot; the other words are lower-cased and stripped of punctuation. Windows of
 WINDOW template words are hashed and joined with the windows of all benchmark
 items. An item is found in a document if at least SHARE of its distinct windows
-occur there and its slots are consistent: each of the item's slot values is
-answered by one value of the document, and different ones by different ones, so a
-question put with other numbers or names is caught and a chance mixture is not.
+occur there and its slots are consistent, over the whole document or within one
+occurrence: each of the item's slot values is answered by one value, and different
+ones by different ones, so a question put with other numbers or names is caught
+and a chance mixture is not. Within an occurrence each place has one answer, so
+there numbers are free if words make up half of the item or more.
+
+Two more forms of a text are matched likewise: its plain words, which find a copy
+whatever its case and line breaks and need no slots, and the template with every
+capitalised word as a name, which types names at the start of a sentence or line.
 
 Defined results: a null text has no windows; a document or item without an id is
-never found and stays; a text of fewer words than a window
+never found; a text of fewer words than a window
 has one window, the whole sequence, so short items are found in texts as short
 only; items without a word are never found; repeated windows count once; a
 document with several items gives a row for each; rows that repeat an id are
@@ -31,6 +37,8 @@ SLOT_SHARE = 0.9
 UNITS = "%|km|m|cm|mm|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|liters?|litres?|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|mph|kmh|degrees?"
 #: MARK opens a placeholder, its type and value follow; POINT stands for a separator inside a number.
 MARK, POINT = "\u0001", "\u0002"
+#: Forms of a text: the template, the plain words, the template with every capitalised word as a name.
+TEMPLATE, PLAIN, NAMED = 0, 1, 2
 INSIDE = rf"\p{{L}}\p{{N}}{MARK}{POINT}"
 
 
@@ -42,81 +50,141 @@ def _numbers(text):
 
 
 def marked(text):
-    """A lower-cased text with placeholders that hold their values."""
+    """A lower-cased text with placeholders that hold their values: numbers, units,
+    names inside a sentence (p) and capitalised words anywhere else (q)."""
     text = F.replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(POINT), F.lit(" "))
     text = F.when(text.rlike("[0-9]"), _numbers(text)).otherwise(text)
-    return F.lower(F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+", f"{MARK}p$0"))
+    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+", f"{MARK}p$0")
+    return F.lower(F.regexp_replace(text, rf"\p{{Lu}}(?<![{INSIDE}].)\p{{Ll}}+", f"{MARK}q$0"))
 
 
-def words(text, values: bool):
-    """The words of a marked text, placeholders with their values or without."""
-    if not values:
-        text = F.when(F.contains(text, F.lit(MARK)), F.regexp_replace(text, rf"({MARK}[nup])[\p{{L}}\p{{N}}{POINT}]*", "$1")).otherwise(text)
+def words(text):
+    """The words of a marked text, placeholders with their values."""
     return F.array_remove(F.split(text, f"[^{INSIDE}]+"), "")
 
 
-def _starts(array):
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(array) - (WINDOW - 1)))
-
+def _forms(word) -> list:
+    """A marked word as TEMPLATE, PLAIN and NAMED have it."""
+    kind, value = F.substring(word, 2, 1), F.substring(word, 3, 1 << 20)
+    is_marked, typed = F.startswith(word, F.lit(MARK)), F.substring(word, 1, 2)
+    template = F.when(~is_marked, word).when(kind == "q", value).otherwise(typed)
+    named = F.when(~is_marked, word).when(kind.isin("p", "q"), f"{MARK}p").otherwise(typed)
+    return [template, F.when(is_marked, value).otherwise(word), named]
 
-def windows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h): every window of every text."""
-    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(marked(F.col(text_col)), False).alias("words"))
-    hashes = F.transform(_starts("words"), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
-    return texts.where(F.size("words") > 0).select("id", F.explode(hashes).alias("h"))
 
+def _placed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, w0..): the words of every window of every text."""
+    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(marked(F.col(text_col))).alias("words"))
+    # An outer explode: a plain one would have the words made once more, to see whether there are any.
+    texts = texts.select("id", "words", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - WINDOW))).alias("pos"))
+    return texts.select("id", "pos", *(F.get("words", F.col("pos") + k).alias(f"w{k}") for k in range(WINDOW)))
 
-def slots(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, slots): every window that holds placeholders, with their values."""
-    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), marked(F.col(text_col)).alias("marked")).where(F.contains("marked", F.lit(MARK)))
-    texts = texts.select("id", words(F.col("marked"), False).alias("words"), words(F.col("marked"), True).alias("held"))
 
-    def window(i):
-        values = F.filter(F.slice("held", i, WINDOW), lambda v: F.startswith(v, F.lit(MARK)))
-        return F.struct(F.xxhash64(F.slice("words", i, WINDOW)).alias("h"), values.alias("slots"))
-
-    # Nothing but the window itself goes along with it.
-    found = texts.select("id", F.explode(F.transform(_starts("words"), window)).alias("x")).select("id", "x.h", "x.slots")
-    return found.where(F.size("slots") > 0)
+def windows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, kind, h): every window of every text; as PLAIN or NAMED only where that differs from TEMPLATE."""
+    forms = list(zip(*(_forms(F.col(f"w{k}")) for k in range(WINDOW))))
+    template, plain, named = (F.xxhash64(*f) for f in forms)
+    # Null beyond a text's end hashes as nothing.
+    kinds = F.concat(*(F.coalesce(F.when(F.startswith(F.col(f"w{k}"), F.lit(MARK)), F.substring(f"w{k}", 2, 1)), F.lit("")) for k in range(WINDOW)))
+    rows = _placed(rows, id_col, text_col).where(F.col("w0").isNotNull()).select("id", kinds.alias("kinds"), template.alias("h"), plain.alias("plain"), named.alias("named"))
+    found = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(name).alias("h")) for k, name in ((TEMPLATE, "h"), (PLAIN, "plain"), (NAMED, "named"))))
+    rows = rows.select("id", "kinds", F.explode_outer(found).alias("x")).select("id", "kinds", "x.kind", "x.h")
+    return rows.where((F.col("kind") == TEMPLATE) | F.when(F.col("kind") == PLAIN, F.col("kinds").rlike("[nup]")).otherwise(F.contains("kinds", F.lit("q")))).drop("kinds")
+
+
+def asked_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, kind, h, pos, slots): the windows that a form of an item has, with their slots' values; PLAIN has none."""
+    forms = list(zip(*(_forms(F.col(f"w{k}")) for k in range(WINDOW))))
+    held = F.array(*(F.col(f"w{k}") for k in range(WINDOW)))
+    template = F.filter(held, lambda v: F.coalesce(v.rlike(f"^{MARK}[nup]"), F.lit(False)))
+    named = F.filter(held, lambda v: F.coalesce(F.startswith(v, F.lit(MARK)), F.lit(False)))
+    values = (template, F.filter(held, lambda v: F.lit(False)), named)
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.xxhash64(*forms[k]).alias("h"), F.transform(values[k], lambda v: F.regexp_replace(v, f"^{MARK}q", f"{MARK}p")).alias("slots")) for k in (TEMPLATE, PLAIN, NAMED)))
+    rows = _placed(items, item_col, text_col).where(F.col("w0").isNotNull() & F.col("id").isNotNull())
+    return rows.select("id", "pos", F.explode_outer(each).alias("x")).select("id", "pos", "x.kind", "x.h", "x.slots")
+
+
+def consistent(pairs: DataFrame, held: DataFrame, answered: DataFrame) -> DataFrame:
+    """(id, item, kind, n_slots, ok) of pairs (id, item, kind, n_windows). held: (item, kind, h, pos, item_slots,
+    worded) of the items; answered: (id, kind, h, at, doc_slots) of the documents.
+
+    Slots may agree over the whole document or within one stretch, an occurrence:
+    windows whose places differ from the item's by about the same shift. There each
+    place of the item has one answer, so other occurrences have no say.
+    """
+    hits = save(pairs.join(small(held), ["item", "kind"]).join(answered, ["id", "kind", "h"]), "slot-hits")
+
+    def judged(rows, by, worded):
+        slots = rows.select(*by, "worded", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x"))
+        slots = slots.select(*by, "worded", F.col("x.item_slots").alias("a"), F.col("x.doc_slots").alias("b"))
+        # In place, a number among words needs no other proof: two may be equal in a copy, and one may stand for two.
+        free = F.col("worded") & F.col("a").rlike(f"^{MARK}n") if worded else F.lit(False)
+        numbers = slots.where(free).groupBy(*by).agg(F.count("*").alias("n"), F.count("*").alias("all"))
+        answers = slots.where(~free).groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+        # The commonest answer of each slot value, and the commonest question of each answer, must be each other's.
+        best = answers.groupBy(*by, "a").agg(F.max(F.struct("n", "b")).alias("top"), F.sum("n").alias("all"))
+        back = best.groupBy(*by, F.col("top.b").alias("b")).agg(F.max(F.col("top.n")).alias("n"), F.sum("all").alias("all"))
+        both = back.select(*by, "n", "all").union(numbers.select(*by, "n", "all"))
+        return both.groupBy(*by).agg(F.sum("n").alias("good"), F.sum("all").alias("n_slots")).withColumn("ok", F.col("good") >= F.col("n_slots") * SLOT_SHARE)
+
+    pair = ["id", "item", "kind"]
+    whole = judged(hits.select(*pair, "worded", "h", "item_slots", "doc_slots").where(F.size("item_slots") > 0).distinct(), pair, False).select(*pair, "n_slots", "ok")
+    # Words put in or left out may shift an occurrence by as much as SHARE leaves open.
+    slack = F.floor(F.col("n_windows") * (1 - SHARE)).cast("int")
+    shifts = hits.groupBy(*pair, "n_windows", (F.col("at") - F.col("pos")).alias("shift")).agg(F.countDistinct("h").alias("n"))
+    shifts = shifts.where(F.col("n") * (2 * slack + 1) >= F.col("n_windows") * SHARE)
+    cell = F.floor(F.col("shift") / (slack + 1)).cast("int")
+    shifts = shifts.select(*pair, "shift", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    off = F.col("at") - F.col("pos")
+    near = hits.withColumn("cell", F.floor(off / (slack + 1)).cast("int")).join(shifts, [*pair, "cell"]).where(F.abs(off - F.col("shift")) <= slack)
+    stretch = [*pair, "shift"]
+    near = near.groupBy(*stretch, "n_windows", "worded", "pos", "h", "item_slots").agg(F.min_by("doc_slots", F.struct(F.abs(off - F.col("shift")), F.col("at"))).alias("doc_slots"))
+    near = save(near, "slot-stretches")
+    full = near.groupBy(*stretch, "n_windows").agg(F.countDistinct("h").alias("n")).where(F.col("n") >= F.col("n_windows") * SHARE).select(*stretch)
+    local = judged(near.where(F.size("item_slots") > 0).join(full, stretch), stretch, True).where("ok").select(*pair, F.lit(True).alias("within")).distinct()
+    return whole.join(local, pair, "left").select(*pair, "n_slots", (F.col("ok") | F.col("within").isNotNull()).alias("ok"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_slots): one row per document and item found in it."""
-    asked = save(windows(items, item_col, item_text_col).select(F.col("id").alias("item"), "h"), "benchmark-windows")
+    placed = save(asked_windows(items, item_col, item_text_col).withColumnRenamed("id", "item"), "benchmark-windows")
+    asked = placed.select("item", F.col("kind").alias("form"), "h")
     wanted = asked.distinct()
     # What meets no item's window goes no further than its task while the items are few.
-    met = windows(docs, id_col, text_col).join(small(asked.select("h").distinct()), "h", "left_semi")
+    met = windows(docs, id_col, text_col).where(F.col("id").isNotNull()).join(small(asked.select("h").distinct()), "h", "left_semi")
     met = save(met, "window-hits")
+    # Each form of an item reads the template windows that differ from it nowhere, and those made for it.
     seen = met.distinct()
+    forms = F.explode(F.when(F.col("kind") == TEMPLATE, F.array(F.lit(TEMPLATE), F.lit(PLAIN), F.lit(NAMED))).otherwise(F.array("kind")))
+    seen = save(seen.select("id", "h", forms.alias("form")).distinct(), "window-seen")
     # An item can only reach SHARE through one of its rarest windows: the others alone are too few.
-    often = seen.groupBy("h").agg(F.count("*").alias("often"))
-    rare = Window.partitionBy("item").orderBy("often", "h")
-    ranked = wanted.join(often, "h", "left").select("item", "h", F.coalesce("often", F.lit(0)).alias("often"))
-    ranked = ranked.select("item", "h", F.row_number().over(rare).alias("place"), F.count("*").over(Window.partitionBy("item")).alias("n_windows"))
+    often = seen.groupBy("h", "form").agg(F.count("*").alias("often"))
+    rare = Window.partitionBy("item", "form").orderBy("often", "h")
+    ranked = wanted.join(often, ["h", "form"], "left").select("item", "form", "h", F.coalesce("often", F.lit(0)).alias("often"))
+    ranked = ranked.select("item", "form", "h", F.row_number().over(rare).alias("place"), F.count("*").over(Window.partitionBy("item", "form")).alias("n_windows"))
     ranked = save(ranked, "benchmark-order")
-    probes = ranked.where(F.col("place") <= F.col("n_windows") - F.ceil(F.col("n_windows") * SHARE) + 1).select("item", "h")
-    pairs = seen.join(small(probes), "h").select("id", "item").distinct()
-    shares = pairs.join(small(ranked.select("item", "h", "n_windows")), "item").join(seen, ["id", "h"])
-    found = shares.groupBy("id", "item").agg(F.count("*").alias("n_found"), F.first("n_windows").alias("n_windows"))
+    probes = ranked.where(F.col("place") <= F.col("n_windows") - F.ceil(F.col("n_windows") * SHARE) + 1).select("item", "form", "h")
+    pairs = seen.join(small(probes), ["h", "form"]).select("id", "item", "form").distinct()
+    shares = pairs.join(small(ranked.select("item", "form", "h", "n_windows")), ["item", "form"]).join(seen, ["id", "h", "form"])
+    found = shares.groupBy("id", "item", F.col("form").alias("kind")).agg(F.count("*").alias("n_found"), F.first("n_windows").alias("n_windows"))
     found = save(found.where(F.col("n_found") >= F.col("n_windows") * SHARE), "window-shares")
-    found = found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found")
-    held = save(slots(items, item_col, item_text_col).select(F.col("id").alias("item"), "h", F.col("slots").alias("item_slots")).distinct(), "benchmark-slots")
+    # The plain words are proof by themselves; the other forms need consistent slots.
+    typed = placed.where(F.col("kind") != PLAIN)
+    slotted = typed.where(F.size("slots") > 0).select("item", "kind").distinct()
+    worded = placed.where(F.col("kind") == NAMED).groupBy("item").agg((F.sum(F.size("slots")) * 2 <= F.count("*") * WINDOW).alias("worded"))
+    held = save(typed.join(slotted, ["item", "kind"], "left_semi").join(worded, "item").withColumnRenamed("slots", "item_slots"), "benchmark-slots")
+    by_item = [F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found"]
+    first = F.min_by(F.struct("n_windows", "n_found", "n_slots"), "kind").alias("x")
     if held.isEmpty():
-        return found.withColumn("n_slots", F.lit(0).cast("long"))
+        return found.withColumn("n_slots", F.lit(0).cast("long")).groupBy("id", "item").agg(first).select("id", "item", "x.*").select(*by_item, "n_slots")
     # Only documents that hold an item are read again for their slots.
-    pairs = found.select(F.col(id_col).alias("id"), F.col(item_col).alias("item")).join(small(held.select("item").distinct()), "item", "left_semi")
+    pairs = found.join(small(slotted), ["item", "kind"], "left_semi").select("id", "item", "kind", "n_windows")
     again = docs.join(small(pairs.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
-    answered = slots(again, id_col, text_col).join(small(held.select("h").distinct()), "h", "left_semi").withColumnRenamed("slots", "doc_slots").distinct()
-    answers = pairs.join(small(held), "item").join(answered, ["id", "h"])
-    answers = answers.select("id", "item", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).select("id", "item", F.col("x.item_slots").alias("a"), F.col("x.doc_slots").alias("b"))
-    answers = answers.groupBy("id", "item", "a", "b").agg(F.count("*").alias("n"))
-    # The commonest answer of each slot value, and the commonest question of each answer, must be each other's.
-    best = answers.groupBy("id", "item", "a").agg(F.max(F.struct("n", "b")).alias("top"), F.sum("n").alias("all"))
-    back = best.groupBy("id", "item", F.col("top.b").alias("b")).agg(F.max(F.col("top.n")).alias("n"), F.sum("all").alias("all"))
-    good = back.groupBy("id", "item").agg(F.sum("n").alias("good"), F.sum("all").alias("n_slots"))
-    good = good.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "good", "n_slots")
-    rows = found.join(good, [id_col, item_col], "left").where(F.coalesce(F.col("good") >= F.col("n_slots") * SLOT_SHARE, F.lit(True)))
-    return rows.select(id_col, item_col, "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
+    answered = asked_windows(again, id_col, text_col).where(F.col("kind") != PLAIN).join(small(held.select("kind", "h").distinct()), ["kind", "h"], "left_semi")
+    answered = answered.select("id", "kind", "h", F.col("pos").alias("at"), F.col("slots").alias("doc_slots")).distinct()
+    rows = found.join(consistent(pairs, held, answered), ["id", "item", "kind"], "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
+    rows = rows.groupBy("id", "item").agg(F.max(F.coalesce("ok", F.lit(True))).alias("ok"), first).where("ok")
+    return rows.select("id", "item", "x.*").select(*by_item, "n_slots")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,6 +40,26 @@ def template(text):
     return re.findall(r"\x01p|[^\W_]+", text.lower().replace("\x01P", "\x01p"))
 
 
+def test_occurrences_do_not_disturb_each_other(spark, docs):
+    """A verbatim copy and variants in one document, equal numbers, one number in two roles."""
+    variant = lambda a, b, c, name: ITEM.replace("120", a).replace(" 3 ", f" {b} ").replace(" 15 ", f" {c} ").replace("Berlin", name)
+    other, third = variant("480", "6", "25", "Lisbon"), variant("77", "8", "41", "Madrid")
+    twice = ITEM.replace(" 15 ", " 3 ")  # 3 hours and 3 minutes
+    rows = [(1, f"{ITEM}. Or so: {other}."), (2, f"See, {other}. Then {third}."), (3, variant("9", "9", "9", "Lisbon")), (4, f"Well, {variant('50', '5', '8', 'Lisbon')}.")]
+    got = found(docs(rows), items(spark, [(10, ITEM, 1, 1), (11, twice, 1, 1)]))
+    assert [(d, 10) for d in (1, 2, 3, 4)] == [x for x in got if x[1] == 10] and (4, 11) in got
+    wrong = "1 2 3 4 5 6 7 8 9 1 2 3"
+    assert found(docs([(1, "4 4 4 9 9 1 1 1 2 7 5 5 0 3 3 3")]), items(spark, [(10, wrong, 1, 1)])) == []
+
+
+def test_case_and_place_of_names(spark, docs):
+    rows = [(1, ITEM.lower()), (2, ITEM.upper()), (3, ITEM.replace(" Berlin", "\nBerlin")), (4, ITEM.replace(" Berlin", "  Berlin"))]
+    assert found(docs(rows), items(spark, [(10, ITEM, 1, 1)])) == [(d, 10) for d in (1, 2, 3, 4)]
+    sums = "Alice has 3 red apples and buys 5 more at the market. Bob gives her 4 of his own apples. How many apples does she then have in her basket"
+    other = sums.replace("Alice", "Carol").replace("Bob", "David").replace("3", "8").replace("4", "6")
+    assert found(docs([(1, other), (2, "Nothing of all that. " + other)]), items(spark, [(10, sums, 1, 1)])) == [(1, 10), (2, 10)]
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
 def test_query(spark, sf_dir):
     """The share of an item's windows that a document holds, by sets in Python (no digits in these tables' items)."""
