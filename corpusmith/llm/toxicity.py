@@ -183,17 +183,18 @@ def learn_units(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, boo
         counts: Counter = Counter()
         for batch in it:
             for text in batch.column(0):
-                before = ""
-                for w in WORD.findall((text.as_py() or "").lower()):
-                    if 3 <= len(w) <= 30:
-                        counts.update((u, before) for u in (w + ".", *(w[:k] for k in STEMS if len(w) > k)) if u in names)
-                    before = w
+                words = ["", "", *WORD.findall((text.as_py() or "").lower())]
+                # Once per document, whatever it repeats.
+                counts.update({(u, f"{words[k - 2]} {words[k - 1]}") for k in range(2, len(words)) for w in (words[k],) if 3 <= len(w) <= 30 for u in (w + ".", *(w[:c] for c in STEMS if len(w) > c)) if u in names})
         pairs = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([counts[p] for p in pairs], pa.int64())], ["unit", "before", "n"])
 
+    # Two words before: 'you' alone precedes many an insult.
     pairs = train.where("y = 1").select("text").mapInArrow(befores, "unit string, before string, n long")
     shares = pairs.groupBy("unit", "before").agg(F.sum("n").alias("n")).groupBy("unit").agg((F.max("n") / F.sum("n")).alias("share"))
-    keep = [r.unit for r in shares.collect() if r.share <= PASSENGER]
+    keep = {r.unit for r in shares.collect() if r.share <= PASSENGER}
+    # Seeds that the labels confirm stay whatever stands before them.
+    keep |= names & seeds.keys()
     weigh = lambda t, c: math.log((t + 0.5) / (toxic + 1) * (clean + 1) / (c + 0.5))
     return sorted([(u.rstrip("."), u.endswith("."), weigh(*picked[u])) for u in keep] + seeded)
 

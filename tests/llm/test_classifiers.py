@@ -100,3 +100,19 @@ def test_lexicon_ignores_copies(spark, docs):
     table = spark.createDataFrame(labels, "doc_id long, toxic int")
     found = {r.doc_id: r.predicted for r in toxicity.classify(docs(rows), table, quality.held_out("doc_id", 4, 2)).collect()}
     assert found[1000] == 1 and found[1001] == 0
+
+
+def test_lexicon_keeps_repeated_insults(spark):
+    """One long repetitive text, a usual preceding word and copies do not remove an insult."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    vocabulary = [word() for _ in range(300)]
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(words(30), 0) for _ in range(300)]
+    rows += [(f"{words(12)} {rng.choice(vocabulary)} grobian {words(12)} you flegel {words(6)}", 1) for _ in range(40)]
+    rows += [("grobian " * 3000, 1)] + [(f"that stupid idiot came along {k}{word()}", 1) for k in range(30)]
+    train = spark.createDataFrame(rows, "text string, y int")
+    found = {u for u, whole, _ in toxicity.learn_units(train, 71, 300) if whole}
+    assert {"grobian", "flegel", "idiot"} <= found and "along" not in found
