@@ -1,4 +1,4 @@
-"""Shared plumbing: shared scratch tables, table readers, partial sums."""
+"""Shared plumbing: shared scratch tables, table readers, checked broadcasts."""
 
 from __future__ import annotations
 
@@ -8,15 +8,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: XXH64 words are read as 53-bit fractions when a stable uniform draw is needed.
 DRAW_BITS = 53
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where none is named."""
+    """The folder that all executors share. Without one, a temporary folder will do
+    only where driver and executors are one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"corpusmith-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -26,26 +31,52 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 
     Lost executors cost nothing written so far, and the plan above starts from
-    a scan again. The folder goes when the session's file system closes.
+    a scan again. The folder goes with drop(), or when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/corpusmith/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = _place(spark, path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._corpusmith_path = path
+    _SAVED.append(path)
     return kept
 
 
+#: Folders that save() wrote and that are still there, oldest first.
+_SAVED: list[str] = []
+
+
+def _place(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = _place(spark, path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _SAVED:
+        _SAVED.remove(path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that save() wrote and that nothing reads any more."""
     path = getattr(df, "_corpusmith_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def save_alone(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """save(df), then delete what was saved from place `since` on and only df needed. See saved()."""
+    kept = save(df, tag)
+    for path in _SAVED[since:-1]:
+        _delete(df.sparkSession, path)
+    return kept
+
+
+def saved() -> int:
+    """How many tables are there."""
+    return len(_SAVED)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +94,22 @@ def crc32_of_id(col):
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))
 
 
-#: Rows of narrow columns (a few words each) that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes of a side that may be broadcast, and what a row costs besides its values.
+BROADCAST_BYTES, ROW_BYTES = 48_000_000, 32
+
+
+def _bytes(field: T.StructField):
+    """About how many bytes a value takes."""
+    col = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return 4 * F.octet_length(F.to_json(F.struct(col)))
+    return F.lit(8)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if a count proves it small; Spark joins it by shuffle otherwise."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if a sum of its values' bytes proves it small; Spark joins it by shuffle otherwise."""
+    each = sum((_bytes(f) for f in df.schema.fields), F.lit(ROW_BYTES))
+    size = df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df

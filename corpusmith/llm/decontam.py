@@ -1,193 +1,243 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions only.
 
-Texts become templates: numbers, units after numbers, and names (capitalised
-words inside a sentence) turn into typed placeholders that keep their value as a
-slot; the other words are lower-cased and stripped of punctuation. Windows of
-WINDOW template words are hashed and joined with the windows of all benchmark
-items. An item is found in a document if at least SHARE of its distinct windows
-occur there and its slots are consistent, over the whole document or within one
-occurrence: each of the item's slot values is answered by one value, and different
-ones by different ones, so a question put with other numbers or names is caught
-and a chance mixture is not. Within an occurrence each place has one answer, so
-there numbers are free if words make up half of the item or more.
-
-Two more forms of a text are matched likewise: its plain words, which find a copy
-whatever its case and line breaks and need no slots, and the template with every
-capitalised word as a name, which types names at the start of a sentence or line.
-
-Defined results: a null text has no windows; a document or item without an id is
-never found; a text of fewer words than a window
-has one window, the whole sequence, so short items are found in texts as short
-only; items without a word are never found; repeated windows count once; a
-document with several items gives a row for each; rows that repeat an id are
-taken as one document; empty tables give no rows. Extra columns are not read.
+Texts become templates: numbers, units after numbers and names turn into typed
+placeholders, all other words are lower-cased and stripped of punctuation. A
+name is a capitalised word, wherever it stands.
+
+Search. Windows of WINDOW words of every text are hashed and joined with the
+windows of all items: as plain words (numbers and units typed, whatever the
+case), and, for items whose windows hold names almost throughout, with names
+typed too. An item of fewer words than a window is one window of its own width.
+At most 1 - SHARE of an item's windows may be missing, so the rarest few of its
+windows name all documents that can hold it.
+
+Check. A document so named is laid beside the item at every shift that a window
+met. A word fits if it is equal, a number fits a number, a unit a unit, a name a
+name; a window is found where all its words fit. An item is found in a document
+if at least SHARE of its distinct windows are, and its slots are consistent at
+one shift, in a stretch of close shifts (words put in or left out), or over all
+of them: each slot value of the item is answered by one value, with up to
+1 - SLOT_SHARE exceptions. Different values may have the same answer.
+
+Items of fewer words than a window, or of more slots than words, are templates
+that fit by chance; their values must be equal, but for case.
+
+Defined results: a null text holds nothing; items without a word are never
+found; rows are judged by their text, so a row without an id is found with a
+null id, an item without one likewise, and rows that repeat an id are judged one
+by one; a document with several items gives a row for each, equal rows one;
+spelled-out numbers fit numbers in the check, not in the search; a name of two
+words does not fit one of one word, which costs the windows over it; empty
+tables give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.llm.common import save, small
 
 WINDOW, SHARE = 5, 0.8
-#: Share of an item's slots that must be answered consistently.
-SLOT_SHARE = 0.9
-#: Units that count as such after a number.
+#: Share of an item's slots that must be answered consistently; least words of a window with names that are none.
+SLOT_SHARE, HARD = 0.9, 2
+#: Shifts of an item along a text that are laid out at once.
+SHIFTS = 256
+#: Units that count as such after a number; numbers written as words.
 UNITS = "%|km|m|cm|mm|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|liters?|litres?|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|mph|kmh|degrees?"
+SPELLED = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand".split()
 #: MARK opens a placeholder, its type and value follow; POINT stands for a separator inside a number.
 MARK, POINT = "\u0001", "\u0002"
-#: Forms of a text: the template, the plain words, the template with every capitalised word as a name.
-TEMPLATE, PLAIN, NAMED = 0, 1, 2
-INSIDE = rf"\p{{L}}\p{{N}}{MARK}{POINT}"
+#: Not between words. The first ranges say nothing new, but are quick to look up.
+INSIDE = rf"a-z0-9{MARK}{POINT}\p{{L}}\p{{N}}"
 
 
-def _numbers(text):
-    text = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", POINT)
+def _numbered(rows: DataFrame, values: bool) -> DataFrame:
+    """rows with numbers and units of `text` as placeholders, with their values or without."""
+    x = F.col("text")
     number = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}{POINT}])([0-9][0-9{POINT}]*)"
-    text = F.regexp_replace(text, rf"(?i){number}[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
-    return F.regexp_replace(text, number, f" {MARK}n$1 ")
-
-
-def marked(text):
-    """A lower-cased text with placeholders that hold their values: numbers, units,
-    names inside a sentence (p) and capitalised words anywhere else (q)."""
-    text = F.replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(POINT), F.lit(" "))
-    text = F.when(text.rlike("[0-9]"), _numbers(text)).otherwise(text)
-    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+", f"{MARK}p$0")
-    return F.lower(F.regexp_replace(text, rf"\p{{Lu}}(?<![{INSIDE}].)\p{{Ll}}+", f"{MARK}q$0"))
-
-
-def words(text):
-    """The words of a marked text, placeholders with their values."""
-    return F.array_remove(F.split(text, f"[^{INSIDE}]+"), "")
-
-
-def _forms(word) -> list:
-    """A marked word as TEMPLATE, PLAIN and NAMED have it."""
-    kind, value = F.substring(word, 2, 1), F.substring(word, 3, 1 << 20)
-    is_marked, typed = F.startswith(word, F.lit(MARK)), F.substring(word, 1, 2)
-    template = F.when(~is_marked, word).when(kind == "q", value).otherwise(typed)
-    named = F.when(~is_marked, word).when(kind.isin("p", "q"), f"{MARK}p").otherwise(typed)
-    return [template, F.when(is_marked, value).otherwise(word), named]
-
-
-def _placed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, w0..): the words of every window of every text."""
-    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(marked(F.col(text_col))).alias("words"))
+    n, u = (f" {MARK}n$1 ", f"{MARK}u$2 ") if values else (f" {MARK}n ", f"{MARK}u ")
+    # The capital dotted I has a lower case of two characters, the second of which would part a word.
+    out = F.translate(x, f"{MARK}{POINT}İ", "  I")
+    out = F.regexp_replace(out, r"(?<=[0-9])[.,](?=[0-9])", POINT)
+    out = F.regexp_replace(out, rf"(?i){number}[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", n + u)
+    out = F.regexp_replace(out, number, n)
+    return rows.withColumn("text", F.when(x.rlike(f"[0-9{MARK}{POINT}İ]"), out).otherwise(x))
+
+
+def _split(text):
+    return F.split(F.lower(text), f"[^{INSIDE}]+")
+
+
+def scanned(rows: DataFrame, named: bool) -> DataFrame:
+    """rows with `plain` and, if asked for, `named`, the words of `text`; a blank may stand at either end."""
+    rows = _numbered(rows, False)
+    rows = rows.withColumn("plain", _split(F.col("text")))
+    return rows.withColumn("named", _split(F.regexp_replace("text", r"\p{Lu}\p{L}*", f"{MARK}p")) if named else F.lit(None)).drop("text")
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """rows with `words`, in the same places as scanned() has them: (v, k), value and kind (n, u, p, s or none)."""
+    marked = _split(F.regexp_replace("text", r"\p{Lu}\p{L}*", f"{MARK}p$0"))
+    value = lambda w: F.regexp_replace(w, f"{MARK}[nup]", "")
+    kind = lambda w: F.when(F.startswith(w, F.lit(MARK)), F.substring(w, 2, 1)).when(w.isin(SPELLED), "s").otherwise("")
+    return _numbered(rows, True).withColumn("words", F.transform(marked, lambda w: F.struct(value(w).alias("v"), kind(w).alias("k")))).drop("text")
+
+
+def text_key(text):
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
+def _hash(words, at, width: int, form: int):
+    """The hash of a window, null beyond the words."""
+    parts = [F.get(words, at + k) for k in range(width)]
+    return F.when(parts[-1].isNotNull(), F.xxhash64(*parts, F.lit(form)))
+
+
+def asked(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """One row per distinct item of one word or more: item, ik (its key), words, width, free (its slots may
+    differ), windows (pos, rep: the first place of an equal one, h, named, soft, hard)."""
+    rows = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
+    rows = rows.withColumn("ik", F.xxhash64("item", "text"))
+    rows = typed(rows.withColumn("kept", F.col("text"))).withColumnRenamed("kept", "text")
+    rows = scanned(rows, True)
+    rows = rows.withColumn("solid", F.filter(F.sequence(F.lit(0), F.size("plain") - 1), lambda i: F.get("plain", i) != ""))
+    pick = lambda c: F.transform("solid", lambda i: F.get(c, i))
+    rows = rows.select("item", "ik", *(pick(c).alias(c) for c in ("plain", "named", "words")))
+    # Written down, so that what follows reads words instead of making them at each mention.
+    rows = save(rows, "benchmark-words").where(F.size("plain") > 0)
+    kinds = F.transform("words", lambda w: w["k"])
+    n_hard = F.size(F.filter(kinds, lambda k: k == ""))
+    rows = rows.withColumns({"n": F.size("plain"), "kinds": kinds, "free": (F.size("plain") >= WINDOW) & (n_hard * 2 >= F.size("plain"))})
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - WINDOW))
+    # A short item's one window has its own width, which also tells its hash apart.
+    whole = reduce(lambda a, w: a.when(F.col("n") == w, _hash(F.col("plain"), F.lit(0), w, -w)), range(2, WINDOW), F.when(F.col("n") == 1, _hash(F.col("plain"), F.lit(0), 1, -1)))
+    h = lambda i: F.when(F.col("n") >= WINDOW, _hash(F.col("plain"), i, WINDOW, 0)).otherwise(whole)
+    seen = lambda i: F.slice("kinds", i + 1, WINDOW)
+    count = lambda i, test: F.size(F.filter(seen(i), test))
+    windows = F.transform(places, lambda i: F.struct(
+        i.alias("pos"), h(i).alias("h"), F.when((F.col("n") >= WINDOW) & (count(i, lambda k: k == "p") > 0), _hash(F.col("named"), i, WINDOW, 1)).alias("named"),
+        (count(i, lambda k: k.isin("p", "s")) > 0).alias("soft"), (count(i, lambda k: k == "s") > 0).alias("spelled"), count(i, lambda k: k == "").alias("hard"),
+    ))
+    rows = rows.withColumn("windows", windows)
+    hashes = F.transform("windows", lambda w: w["h"])
+    rows = rows.withColumn("rep", F.transform(hashes, lambda x: (F.array_position(hashes, x) - 1).cast("int")))
+    return rows.select("item", "ik", "words", F.least("n", F.lit(WINDOW)).alias("width"), "free", "windows", "rep", F.size(F.array_distinct(hashes)).alias("n_windows"), F.size(F.filter("kinds", lambda k: k != "")).alias("n_slots"))
+
+
+def probes(items: DataFrame) -> DataFrame:
+    """(ik, pos, h, missing): the windows by which an item may be searched, with names as they are and, where
+    that leaves too few, typed too; any missing + 1 of the windows suffice."""
+    missing = F.col("n_windows") - F.ceil(F.col("n_windows") * SHARE)
+    rows = items.select("ik", "free", missing.cast("int").alias("missing"), "rep", F.posexplode("windows").alias("at", "w")).where(F.element_at("rep", F.col("at") + 1) == F.col("at"))
+    rows = rows.select("ik", "free", "missing", "w.*")
+    sure = rows.groupBy("ik").agg(F.count_if(~F.col("soft")).alias("sure"))
+    rows = rows.join(sure, "ik")
+    plain = ~F.col("free") | ((F.col("sure") > F.col("missing")) & ~F.col("soft"))
+    masked = F.col("free") & (F.col("sure") <= F.col("missing")) & ~F.col("spelled") & (F.col("hard") >= HARD)
+    found = F.when(plain, F.array("h")).when(masked, F.array_compact(F.array("h", "named")))
+    return rows.select("ik", "pos", F.explode(found).alias("h"), "missing")
+
+
+def hits(docs: DataFrame, wanted: DataFrame, forms: dict[int, bool], text_col: str) -> DataFrame:
+    """(key, at, h): the places of all texts where a wanted window stands. forms: which kinds of hash are wanted."""
+    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).select(text_key("text").alias("key"), "text")
+    rows = scanned(rows, forms[1])
+    least = 1 if any(forms[-w] for w in range(1, WINDOW)) else WINDOW
     # An outer explode: a plain one would have the words made once more, to see whether there are any.
-    texts = texts.select("id", "words", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - WINDOW))).alias("pos"))
-    return texts.select("id", "pos", *(F.get("words", F.col("pos") + k).alias(f"w{k}") for k in range(WINDOW)))
-
-
-def windows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, h): every window of every text; as PLAIN or NAMED only where that differs from TEMPLATE."""
-    forms = list(zip(*(_forms(F.col(f"w{k}")) for k in range(WINDOW))))
-    template, plain, named = (F.xxhash64(*f) for f in forms)
-    # Null beyond a text's end hashes as nothing.
-    kinds = F.concat(*(F.coalesce(F.when(F.startswith(F.col(f"w{k}"), F.lit(MARK)), F.substring(f"w{k}", 2, 1)), F.lit("")) for k in range(WINDOW)))
-    rows = _placed(rows, id_col, text_col).where(F.col("w0").isNotNull()).select("id", kinds.alias("kinds"), template.alias("h"), plain.alias("plain"), named.alias("named"))
-    found = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(name).alias("h")) for k, name in ((TEMPLATE, "h"), (PLAIN, "plain"), (NAMED, "named"))))
-    rows = rows.select("id", "kinds", F.explode_outer(found).alias("x")).select("id", "kinds", "x.kind", "x.h")
-    return rows.where((F.col("kind") == TEMPLATE) | F.when(F.col("kind") == PLAIN, F.col("kinds").rlike("[nup]")).otherwise(F.contains("kinds", F.lit("q")))).drop("kinds")
-
-
-def asked_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item, kind, h, pos, slots): the windows that a form of an item has, with their slots' values; PLAIN has none."""
-    forms = list(zip(*(_forms(F.col(f"w{k}")) for k in range(WINDOW))))
-    held = F.array(*(F.col(f"w{k}") for k in range(WINDOW)))
-    template = F.filter(held, lambda v: F.coalesce(v.rlike(f"^{MARK}[nup]"), F.lit(False)))
-    named = F.filter(held, lambda v: F.coalesce(F.startswith(v, F.lit(MARK)), F.lit(False)))
-    values = (template, F.filter(held, lambda v: F.lit(False)), named)
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.xxhash64(*forms[k]).alias("h"), F.transform(values[k], lambda v: F.regexp_replace(v, f"^{MARK}q", f"{MARK}p")).alias("slots")) for k in (TEMPLATE, PLAIN, NAMED)))
-    rows = _placed(items, item_col, text_col).where(F.col("w0").isNotNull() & F.col("id").isNotNull())
-    return rows.select("id", "pos", F.explode_outer(each).alias("x")).select("id", "pos", "x.kind", "x.h", "x.slots")
-
-
-def consistent(pairs: DataFrame, held: DataFrame, answered: DataFrame) -> DataFrame:
-    """(id, item, kind, n_slots, ok) of pairs (id, item, kind, n_windows). held: (item, kind, h, pos, item_slots,
-    worded) of the items; answered: (id, kind, h, at, doc_slots) of the documents.
-
-    Slots may agree over the whole document or within one stretch, an occurrence:
-    windows whose places differ from the item's by about the same shift. There each
-    place of the item has one answer, so other occurrences have no say.
-    """
-    hits = save(pairs.join(small(held), ["item", "kind"]).join(answered, ["id", "kind", "h"]), "slot-hits")
-
-    def judged(rows, by, worded):
-        slots = rows.select(*by, "worded", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x"))
-        slots = slots.select(*by, "worded", F.col("x.item_slots").alias("a"), F.col("x.doc_slots").alias("b"))
-        # In place, a number among words needs no other proof: two may be equal in a copy, and one may stand for two.
-        free = F.col("worded") & F.col("a").rlike(f"^{MARK}n") if worded else F.lit(False)
-        numbers = slots.where(free).groupBy(*by).agg(F.count("*").alias("n"), F.count("*").alias("all"))
-        answers = slots.where(~free).groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
-        # The commonest answer of each slot value, and the commonest question of each answer, must be each other's.
-        best = answers.groupBy(*by, "a").agg(F.max(F.struct("n", "b")).alias("top"), F.sum("n").alias("all"))
-        back = best.groupBy(*by, F.col("top.b").alias("b")).agg(F.max(F.col("top.n")).alias("n"), F.sum("all").alias("all"))
-        both = back.select(*by, "n", "all").union(numbers.select(*by, "n", "all"))
-        return both.groupBy(*by).agg(F.sum("n").alias("good"), F.sum("all").alias("n_slots")).withColumn("ok", F.col("good") >= F.col("n_slots") * SLOT_SHARE)
-
-    pair = ["id", "item", "kind"]
-    whole = judged(hits.select(*pair, "worded", "h", "item_slots", "doc_slots").where(F.size("item_slots") > 0).distinct(), pair, False).select(*pair, "n_slots", "ok")
-    # Words put in or left out may shift an occurrence by as much as SHARE leaves open.
-    slack = F.floor(F.col("n_windows") * (1 - SHARE)).cast("int")
-    shifts = hits.groupBy(*pair, "n_windows", (F.col("at") - F.col("pos")).alias("shift")).agg(F.countDistinct("h").alias("n"))
-    shifts = shifts.where(F.col("n") * (2 * slack + 1) >= F.col("n_windows") * SHARE)
-    cell = F.floor(F.col("shift") / (slack + 1)).cast("int")
-    shifts = shifts.select(*pair, "shift", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    off = F.col("at") - F.col("pos")
-    near = hits.withColumn("cell", F.floor(off / (slack + 1)).cast("int")).join(shifts, [*pair, "cell"]).where(F.abs(off - F.col("shift")) <= slack)
-    stretch = [*pair, "shift"]
-    near = near.groupBy(*stretch, "n_windows", "worded", "pos", "h", "item_slots").agg(F.min_by("doc_slots", F.struct(F.abs(off - F.col("shift")), F.col("at"))).alias("doc_slots"))
-    near = save(near, "slot-stretches")
-    full = near.groupBy(*stretch, "n_windows").agg(F.countDistinct("h").alias("n")).where(F.col("n") >= F.col("n_windows") * SHARE).select(*stretch)
-    local = judged(near.where(F.size("item_slots") > 0).join(full, stretch), stretch, True).where("ok").select(*pair, F.lit(True).alias("within")).distinct()
-    return whole.join(local, pair, "left").select(*pair, "n_slots", (F.col("ok") | F.col("within").isNotNull()).alias("ok"))
+    rows = rows.select("key", "plain", "named", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("plain") - least))).alias("at"))
+    columns = {"h0": _hash(F.col("plain"), F.col("at"), WINDOW, 0)}
+    if forms[1]:
+        columns["h1"] = F.when(F.array_contains(F.array(*(F.get("named", F.col("at") + k) == f"{MARK}p" for k in range(WINDOW))), True), _hash(F.col("named"), F.col("at"), WINDOW, 1))
+    columns |= {f"s{w}": _hash(F.col("plain"), F.col("at"), w, -w) for w in range(1, WINDOW) if forms[-w]}
+    rows = rows.select("key", "at", *(x.alias(c) for c, x in columns.items()))
+    for c in columns:
+        rows = rows.join(wanted.select(F.col("h").alias(c), F.lit(True).alias(f"{c}_met")), c, "left")
+    met = reduce(lambda a, b: a | b, (F.col(f"{c}_met").isNotNull() for c in columns))
+    found = F.array_compact(F.array(*(F.when(F.col(f"{c}_met").isNotNull(), F.col(c)) for c in columns)))
+    return rows.where(met).select("key", "at", F.explode(found).alias("h"))
+
+
+def laid(pairs: DataFrame, items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, ik, shift, wins, slots): the windows found at each shift of pairs (key, ik, shifts), by their first
+    equal, and the slots under them: (a, b), the item's value and the text's."""
+    rows = pairs.join(texts.withColumnRenamed("words", "there"), "key").join(small(items.select("ik", "words", "width", "free", "rep")), "ik")
+    some = F.transform(F.sequence(F.lit(0), F.floor((F.size("shifts") - 1) / SHIFTS).cast("int")), lambda c: F.slice("shifts", c * SHIFTS + 1, SHIFTS))
+    rows = rows.select("key", "ik", "words", "there", "width", "free", "rep", F.explode(some).alias("some"))
+    # Only the words under an item go on with its shift, not the whole text.
+    beside = F.transform("some", lambda s: F.struct(s.alias("shift"), F.transform("words", lambda t, i: F.get("there", s + i)).alias("here")))
+    rows = rows.select("key", "ik", "words", "width", "free", "rep", F.explode(beside).alias("x")).select("key", "ik", "words", "width", "free", "rep", "x.*")
+    numbers = lambda k: k.isin("n", "s")
+    alike = lambda t, d: (numbers(t["k"]) & numbers(d["k"])) | ((t["k"] == d["k"]) & t["k"].isin("u", "p"))
+    fits = F.zip_with("words", "here", lambda t, d: F.coalesce((t["v"] == d["v"]) | (F.col("free") & alike(t, d)), F.lit(False)))
+    rows = rows.withColumn("fits", fits)
+    rows = rows.withColumn("won", F.transform("rep", lambda r, j: F.forall(F.slice("fits", j + 1, F.col("width")), lambda x: x)))
+    rows = rows.where(F.exists("won", lambda x: x))
+    under = lambda i: F.exists(F.slice("won", F.greatest(i - F.col("width") + 2, F.lit(1)), F.least(F.col("width"), i + 1)), lambda x: x)
+    slots = F.transform("words", lambda t, i: F.when((t["k"] != "") & under(i), F.struct(t["v"].alias("a"), F.get("here", i)["v"].alias("b"))))
+    wins = F.array_distinct(F.filter(F.transform("rep", lambda r, j: F.when(F.get("won", j), r)), lambda x: x.isNotNull()))
+    return rows.select("key", "ik", "shift", wins.alias("wins"), F.filter(slots, lambda x: x.isNotNull()).alias("slots"))
+
+
+def judged(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, ik, n_windows, n_found, n_slots) of what is found, from laid()."""
+    pair = ["key", "ik"]
+    rows = rows.join(small(items.select("ik", "n_windows", "n_slots")), "ik")
+    slack = F.greatest(F.lit(1), F.floor(F.col("n_windows") * (1 - SHARE)))
+    order = Window.partitionBy(*pair).orderBy("shift")
+    rows = rows.withColumn("starts", F.coalesce((F.col("shift") - F.lag("shift").over(order) > slack).cast("int"), F.lit(1)))
+    rows = rows.withColumn("stretch", F.sum("starts").over(order))
+    # The slots may agree at one shift, over a stretch of close ones, or over all.
+    levels = (F.col("shift").cast("long"), F.col("stretch"), F.lit(0).cast("long"))
+    scope = F.explode(F.array(*(F.struct(F.lit(how).alias("how"), at.alias("at")) for how, at in enumerate(levels)))).alias("x")
+    rows = save(rows.select(*pair, "n_windows", "n_slots", "wins", "slots", scope).select(*pair, "n_windows", "n_slots", "wins", "slots", "x.*"), "laid-windows")
+    by = [*pair, "how", "at"]
+    wins = rows.select(*by, "n_windows", "n_slots", F.explode("wins").alias("w")).groupBy(*by).agg(F.countDistinct("w").alias("n"), F.first("n_windows").alias("n_windows"), F.first("n_slots").alias("n_slots"))
+    full = wins.where(F.col("n") >= F.col("n_windows") * SHARE)
+    answers = rows.select(*by, F.explode("slots").alias("s")).select(*by, "s.*").groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+    firm = answers.groupBy(*by, "a").agg(F.max("n").alias("good"), F.sum("n").alias("all")).groupBy(*by).agg(F.sum("good").alias("good"), F.sum("all").alias("all"))
+    sound = full.join(firm, by, "left").where(F.col("good").isNull() | (F.col("good") >= F.col("all") * SLOT_SHARE))
+    sound = sound.select(*pair).distinct()
+    return full.where("how = 2").join(sound, pair, "left_semi").select(*pair, "n_windows", F.col("n").alias("n_found"), "n_slots")
+
+
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is found (key, ik, ...), the documents in question (id, key, text), and the items."""
+    known = save(asked(items, item_col, item_text_col), "benchmark-items")
+    tried = save(probes(known), "benchmark-probes")
+    plain = known.select("ik", F.posexplode("windows").alias("pos", "w"), "rep").where(F.element_at("rep", F.col("pos") + 1) == F.col("pos")).select("ik", "pos", "w.h", "w.named")
+    both = plain.select("ik", "pos", "h").union(plain.select("ik", "pos", F.col("named").alias("h")).join(tried.select("ik", "h"), ["ik", "h"], "left_semi").select("ik", "pos", "h"))
+    places = save(both, "benchmark-windows")
+    widths = {r.width for r in known.select("width").distinct().collect()}
+    forms = {-w: w in widths for w in range(1, WINDOW)} | {1: not tried.join(plain.select("ik", F.col("named").alias("h")), ["ik", "h"], "left_semi").isEmpty()}
+    met = save(hits(docs, small(save(places.select("h").distinct(), "benchmark-hashes")), forms, text_col), "window-hits")
+    # Of the windows that may be missing and one more, the rarest; any of them names a document.
+    often = met.groupBy("h").agg(F.count("*").alias("often"))
+    rare = Window.partitionBy("ik").orderBy("often", "pos")
+    ranked = tried.join(often, "h", "left").groupBy("ik", "pos", "missing").agg(F.coalesce(F.sum("often"), F.lit(0)).alias("often"), F.collect_list("h").alias("hs"))
+    ranked = ranked.withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("missing") + 1).where("often > 0")
+    ranked = ranked.select("ik", F.explode("hs").alias("h")).distinct()
+    pairs = save(met.join(small(save(ranked, "benchmark-rarest")), "h").select("key", "ik").distinct(), "window-pairs")
+    shifts = pairs.join(small(places), "ik").join(met, ["key", "h"]).groupBy("key", "ik").agg(F.collect_set(F.col("at") - F.col("pos")).alias("shifts"))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", text_key("text"))
+    there = save(named.join(small(pairs.select("key").distinct()), "key", "left_semi"), "window-texts")
+    texts = typed(there.groupBy("key").agg(F.first("text").alias("text")))
+    return save(judged(laid(shifts, known, texts), known), "leaks"), there, known
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_slots): one row per document and item found in it."""
-    placed = save(asked_windows(items, item_col, item_text_col).withColumnRenamed("id", "item"), "benchmark-windows")
-    asked = placed.select("item", F.col("kind").alias("form"), "h")
-    wanted = asked.distinct()
-    # What meets no item's window goes no further than its task while the items are few.
-    met = windows(docs, id_col, text_col).where(F.col("id").isNotNull()).join(small(asked.select("h").distinct()), "h", "left_semi")
-    met = save(met, "window-hits")
-    # Each form of an item reads the template windows that differ from it nowhere, and those made for it.
-    seen = met.distinct()
-    forms = F.explode(F.when(F.col("kind") == TEMPLATE, F.array(F.lit(TEMPLATE), F.lit(PLAIN), F.lit(NAMED))).otherwise(F.array("kind")))
-    seen = save(seen.select("id", "h", forms.alias("form")).distinct(), "window-seen")
-    # An item can only reach SHARE through one of its rarest windows: the others alone are too few.
-    often = seen.groupBy("h", "form").agg(F.count("*").alias("often"))
-    rare = Window.partitionBy("item", "form").orderBy("often", "h")
-    ranked = wanted.join(often, ["h", "form"], "left").select("item", "form", "h", F.coalesce("often", F.lit(0)).alias("often"))
-    ranked = ranked.select("item", "form", "h", F.row_number().over(rare).alias("place"), F.count("*").over(Window.partitionBy("item", "form")).alias("n_windows"))
-    ranked = save(ranked, "benchmark-order")
-    probes = ranked.where(F.col("place") <= F.col("n_windows") - F.ceil(F.col("n_windows") * SHARE) + 1).select("item", "form", "h")
-    pairs = seen.join(small(probes), ["h", "form"]).select("id", "item", "form").distinct()
-    shares = pairs.join(small(ranked.select("item", "form", "h", "n_windows")), ["item", "form"]).join(seen, ["id", "h", "form"])
-    found = shares.groupBy("id", "item", F.col("form").alias("kind")).agg(F.count("*").alias("n_found"), F.first("n_windows").alias("n_windows"))
-    found = save(found.where(F.col("n_found") >= F.col("n_windows") * SHARE), "window-shares")
-    # The plain words are proof by themselves; the other forms need consistent slots.
-    typed = placed.where(F.col("kind") != PLAIN)
-    slotted = typed.where(F.size("slots") > 0).select("item", "kind").distinct()
-    worded = placed.where(F.col("kind") == NAMED).groupBy("item").agg((F.sum(F.size("slots")) * 2 <= F.count("*") * WINDOW).alias("worded"))
-    held = save(typed.join(slotted, ["item", "kind"], "left_semi").join(worded, "item").withColumnRenamed("slots", "item_slots"), "benchmark-slots")
-    by_item = [F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found"]
-    first = F.min_by(F.struct("n_windows", "n_found", "n_slots"), "kind").alias("x")
-    if held.isEmpty():
-        return found.withColumn("n_slots", F.lit(0).cast("long")).groupBy("id", "item").agg(first).select("id", "item", "x.*").select(*by_item, "n_slots")
-    # Only documents that hold an item are read again for their slots.
-    pairs = found.join(small(slotted), ["item", "kind"], "left_semi").select("id", "item", "kind", "n_windows")
-    again = docs.join(small(pairs.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
-    answered = asked_windows(again, id_col, text_col).where(F.col("kind") != PLAIN).join(small(held.select("kind", "h").distinct()), ["kind", "h"], "left_semi")
-    answered = answered.select("id", "kind", "h", F.col("pos").alias("at"), F.col("slots").alias("doc_slots")).distinct()
-    rows = found.join(consistent(pairs, held, answered), ["id", "item", "kind"], "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
-    rows = rows.groupBy("id", "item").agg(F.max(F.coalesce("ok", F.lit(True))).alias("ok"), first).where("ok")
-    return rows.select("id", "item", "x.*").select(*by_item, "n_slots")
+    found, there, known = _found(docs, items, id_col, text_col, item_col, item_text_col)
+    rows = there.select("id", "key").distinct().join(small(found), "key").join(small(known.select("ik", "item")), "ik")
+    rows = rows.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max_by(F.struct("n_windows", "n_found", "n_slots"), F.struct("n_found", "n_windows")).alias("x"))
+    return rows.select(id_col, item_col, "x.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs in which no item is found, columns as they are."""
-    gone = contaminated(docs, items, id_col, text_col).select(id_col).distinct()
-    return docs.join(small(save(gone, "leaks")), id_col, "left_anti").select(*docs.columns)
+    """Rows of docs in whose text no item is found, columns as they are."""
+    found = _found(docs, items, id_col, text_col, "item_id", "text")[0]
+    gone = save(found.select(F.col("key").alias("__leak_key")).distinct(), "leak-keys")
+    return docs.join(small(gone), text_key(F.col(text_col)) == F.col("__leak_key"), "left_anti")
