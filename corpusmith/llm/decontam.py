@@ -6,8 +6,7 @@ name is a capitalised word, wherever it stands.
 
 Search. Windows of WINDOW words of every text are hashed and joined with the
 windows of all items: as plain words (numbers and units typed, whatever the
-case), and, for items whose windows hold names almost throughout, with names
-typed too. An item of fewer words than a window is one window of its own width.
+case) and, where they hold names, with names typed too. An item of fewer words than a window is one window of its own width.
 At most 1 - SHARE of an item's windows may be missing, so the rarest few of its
 windows name all documents that can hold it.
 
@@ -208,11 +207,11 @@ def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     """What is found (key, ik, ...), the documents in question (id, key, text), and the items."""
     known = save(asked(items, item_col, item_text_col), "benchmark-items")
     tried = save(probes(known), "benchmark-probes")
-    plain = known.select("ik", F.posexplode("windows").alias("pos", "w"), "rep").where(F.element_at("rep", F.col("pos") + 1) == F.col("pos")).select("ik", "pos", "w.h", "w.named")
-    both = plain.select("ik", "pos", "h").union(plain.select("ik", "pos", F.col("named").alias("h")).join(tried.select("ik", "h"), ["ik", "h"], "left_semi").select("ik", "pos", "h"))
+    first = known.select("ik", "free", "rep", F.posexplode("windows").alias("pos", "w")).where(F.element_at("rep", F.col("pos") + 1) == F.col("pos"))
+    both = first.select("ik", "pos", F.explode(F.array_compact(F.array("w.h", F.when(F.col("free"), F.col("w.named"))))).alias("h"))
     places = save(both, "benchmark-windows")
     widths = {r.width for r in known.select("width").distinct().collect()}
-    forms = {-w: w in widths for w in range(1, WINDOW)} | {1: not tried.join(plain.select("ik", F.col("named").alias("h")), ["ik", "h"], "left_semi").isEmpty()}
+    forms = {-w: w in widths for w in range(1, WINDOW)} | {1: not first.where("free and w.named is not null").isEmpty()}
     met = save(hits(docs, small(save(places.select("h").distinct(), "benchmark-hashes")), forms, text_col), "window-hits")
     # Of the windows that may be missing and one more, the rarest; any of them names a document.
     often = met.groupBy("h").agg(F.count("*").alias("often"))

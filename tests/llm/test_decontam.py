@@ -166,7 +166,7 @@ def test_like_brute_force_with_slots(spark, docs):
     assert not got - want
     # Spelled-out numbers fit in the check, but are not what is searched by.
     unseen = {(d, i) for d, i in want - got if not any(k == "s" for _, k in words(asked[i]))}
-    assert len(want) > 150 and not unseen
+    assert len(want) > 150 and not unseen, [(asked[i], texts[d]) for d, i in sorted(unseen)]
 
 
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
