@@ -11,7 +11,8 @@ Grammar of the rendered text:
 A turn is first rendered as it is and parsed again; where the parser recovers
 anything but the source, conflicting control strings get escaped and the turn
 is parsed once more, until both are identical. The loss mask covers the body
-of assistant turns.
+of assistant turns. Reading back parses each conversation as one text, across
+the edges of its pieces, and cuts the loss text out by the mask's spans.
 
 Defined results: a null text or role counts as empty; rows of a conversation
 are ordered by turn (nulls first), then role, then text, so ties and repeated
@@ -22,6 +23,7 @@ an empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +41,23 @@ def escape(text: str, controls: tuple[str, ...]) -> str:
     return text
 
 
+#: What may need a closer look: the first characters of escapes, control strings and stops.
+SIGNS = {stop: re.compile(f"[{re.escape(ESC)}#<{stop[0]}]") for stop in ("\n", END)}
+ESCAPED = re.compile(re.escape(ESC) + "(" + "|".join(map(re.escape, BODY_CONTROLS)) + ")")
+
+
+def unescape(body: str) -> str:
+    """The text that a rendered body stands for."""
+    return ESCAPED.sub(r"\1", body)
+
+
+class Unfinished(ValueError):
+    """A turn has begun, but not ended."""
+
+
 def scan(text: str, at: int, controls: tuple[str, ...], stop: str) -> tuple[str, int]:
     """Plain text from `at` up to an unescaped `stop`, and the place of that stop.
-    ValueError: another control string stands unescaped, or no stop comes."""
+    ValueError: another control string stands unescaped; Unfinished: no stop comes."""
     out, plain = [], at
     while at < len(text):
         if text[at] == ESC:
@@ -55,8 +71,9 @@ def scan(text: str, at: int, controls: tuple[str, ...], stop: str) -> tuple[str,
             return "".join(out), at
         elif text.startswith("###", at) or text.startswith(END, at):
             raise ValueError("control string without escape")
-        at = min((x for c in (ESC, "#", stop[0], "<") if (x := text.find(c, at + 1)) >= 0), default=len(text))
-    raise ValueError("no end of turn")
+        sign = SIGNS[stop].search(text, at + 1)
+        at = sign.start() if sign else len(text)
+    raise Unfinished("no end of turn")
 
 
 def parse(rendered: str) -> list[tuple[str, str, int, int]]:
@@ -112,10 +129,42 @@ def format_turns(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "text").mapInArrow(batches, schema)
 
 
+class Reader:
+    """Reads one conversation from pieces of its rendered text, which may break anywhere."""
+
+    def __init__(self, conv):
+        self.conv, self.n, self.length, self.loss_chars = conv, 0, 0, 0
+        self.turns, self.loss, self.rest = hashlib.sha256(), hashlib.sha256(), ""
+
+    def feed(self, piece: str, spans: list[tuple[int, int]]) -> None:
+        """spans: what the loss mask covers of this piece."""
+        for start, end in spans:
+            text = unescape(piece[start:end])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+        self.length += len(piece)
+        self.rest += piece
+        # A turn may only be complete where its last line ends.
+        if self.rest.endswith(f"{END}\n"):
+            try:
+                found = parse(self.rest)
+            except Unfinished:  # that end was an escaped one
+                return
+            for role, text, _, _ in found:
+                self.n += 1
+                self.turns.update(f"{role}\n{text}\n".encode())
+            self.rest = ""
+
+    def close(self) -> tuple:
+        if self.rest:
+            raise Unfinished("no end of turn")
+        return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.length
+
+
 def read_back(turns: DataFrame) -> DataFrame:
-    """One row per conversation, from the rendered turns alone: what the parser
-    recovers, as digests. Turns stream past in order, so that a conversation of
-    any length needs the memory of one turn."""
+    """One row per conversation, from the rendered text and its loss mask alone: digests of what the parser
+    recovers and of what the mask covers. Turns stream past in order, so that a conversation of any length
+    needs the memory of one turn."""
     kind = turns.schema["conv_id"].dataType
     schema = T.StructType(
         [T.StructField("conv_id", kind)]
@@ -123,33 +172,23 @@ def read_back(turns: DataFrame) -> DataFrame:
     )
 
     def batches(it):
-        def closed():
-            return (conv, n, whole.hexdigest(), chars, loss.hexdigest(), length)
-
-        done, conv, n = [], None, 0
-        whole = loss = None
-        chars = length = 0
+        done, reader = [], None
         for batch in it:
-            for c, rendered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if whole is None or c != conv:
-                    if whole is not None:
-                        done.append(closed())
-                    conv, n, chars, length, whole, loss = c, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                for role, text, _, _ in parse(rendered):
-                    n += 1
-                    whole.update(f"{role}\n{text}\n".encode())
-                    if role == "assistant":
-                        chars += len(text)
-                        loss.update(text.encode())
-                length += len(rendered)
+            for c, rendered, masked, start, end in zip(*(x.to_pylist() for x in batch.columns)):
+                if reader is None or c != reader.conv:
+                    if reader is not None:
+                        done.append(reader.close())
+                    reader = Reader(c)
+                reader.feed(rendered, [(start, end)] if masked else [])
             yield _table(done, schema)
             done = []
-        if whole is not None:
-            yield _table([closed()], schema)
+        if reader is not None:
+            yield _table([reader.close()], schema)
 
     # One conversation's digest is one chain, so its turns meet in one task, but stream through it.
     order = ["conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
-    return turns.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "rendered").mapInArrow(batches, schema)
+    rows = turns.repartition("conv_id").sortWithinPartitions(*order)
+    return rows.select("conv_id", "rendered", "in_loss", "body_from", "body_to").mapInArrow(batches, schema)
 
 
 def _table(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:

@@ -67,7 +67,7 @@ def drop(df: DataFrame) -> None:
 
 
 def save_alone(df: DataFrame, tag: str, since: int) -> DataFrame:
-    """save(df), then delete what was saved from place `since` on and only df needed. See saved()."""
+    """save(df), then delete all other tables saved since there were `since` of them: only df needed them."""
     kept = save(df, tag)
     for path in _SAVED[since:-1]:
         _delete(df.sparkSession, path)
@@ -79,6 +79,17 @@ def saved() -> int:
     return len(_SAVED)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that df has not, whatever the case: the given ones, with underscores put before where they are taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

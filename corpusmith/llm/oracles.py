@@ -4,17 +4,18 @@ BPE, SimHash, sharding and the classifiers have none: SQL lacks the merges,
 XXH64, CRC-32 and the fits. Their tests hold them against brute force.
 """
 
-LINES = """
+LINES = r"""
 WITH numbered AS (
-  SELECT doc_id, source, t.line, t.pos FROM documents,
+  SELECT doc_id, source, t.line, rtrim(t.line, chr(13)) AS bare, t.pos FROM documents,
     LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) t),
+bar AS (SELECT greatest(3, least(8, ceil(count(DISTINCT coalesce(source, chr(0) || 'none')) * 0.4))) AS sites FROM documents),
 firsts AS (
-  SELECT line, min((doc_id, pos)) AS first FROM numbered
-  WHERE length(trim(line, ' ')) > 0
-  GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0) || 'none')) >= 8),
+  SELECT bare, min((doc_id, pos)) AS first FROM numbered
+  WHERE regexp_matches(bare, '[^ \t\n\x0B\f\r]')
+  GROUP BY bare HAVING count(DISTINCT coalesce(source, chr(0) || 'none')) >= (SELECT sites FROM bar)),
 marked AS (
-  SELECT n.doc_id, n.pos, n.line, f.line IS NOT NULL AND f.first <> (n.doc_id, n.pos) AS gone
-  FROM numbered n LEFT JOIN firsts f ON n.line = f.line)
+  SELECT n.doc_id, n.pos, n.line, f.bare IS NOT NULL AND f.first <> (n.doc_id, n.pos) AS gone
+  FROM numbered n LEFT JOIN firsts f ON n.bare = f.bare)
 SELECT d.doc_id, coalesce(count(m.pos), 0) AS n_lines, coalesce(count(m.pos) FILTER (WHERE gone), 0) AS n_removed,
   CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT gone), '')) END AS text_sha256
 FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text

@@ -41,7 +41,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.dedup(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
