@@ -9,18 +9,23 @@ enough labelled documents confirm or contradict them; fixed seed words give
 threats, targets, negations and reported speech.
 
 Grammar. The lexicon is one finite automaton that runs over the whole text. Each
-clause with a match then runs through the composition of three transducers:
-negation (turns the weights of the next tokens down), reported speech (turns
-down the rest of the clause) and target (turns the clause up). The result is a
-weight for each matched clause; documents are scored by a logistic regression on
-their clauses, never on isolated words.
+clause with a match then runs through the composition of five weighted
+transducers: insult and threat (let the weights of their own words through, on
+a tape each), negation (turns the weights of the next tokens down), reported
+speech (turns down the rest of the clause) and target (whose final weight turns
+the clause up, and lets threats through only where someone is meant). The result
+is a weight for each matched clause; documents are scored by a logistic
+regression on their clauses, never on isolated words.
 
 The fit reads at most FIT_ROWS labelled rows, drawn by a hash of the id; all
 texts are scored whole.
 
+Words are runs of letters, two or more, of any length; a script without spaces
+is learned by whole runs only.
+
 Defined results: a null text counts as empty and scores as a text without a
-match; several labels of an id count one by one, null labels not at all; without
-labels of both classes every score is that class's chance, or 0; an empty table
+match; an id with labels of both kinds is toxic, null labels count not at all;
+without labels of both classes every score is that class's chance, or 0; an empty table
 gives no rows. Extra columns are not read.
 """
 
@@ -30,6 +35,8 @@ import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmith.llm.common import draw, save
+from corpusmith.llm.common import draw, save, small
 
 #: Labelled rows that the fit reads; lengths of stems; share of one preceding word beyond which a unit is a passenger; least odds ratio.
 FIT_ROWS, STEMS, PASSENGER, ODDS = 30_000, (5, 6, 7), 0.4, 6.0
@@ -59,18 +66,34 @@ STOP = re.compile(r"[.!?;\n]")
 FEATURES = ("best", "total", "clauses", "density")
 
 
-def compose() -> tuple[dict, tuple]:
-    """The product of the negation, reported-speech and target transducers:
-    (state, symbol) -> (state, factor), and the start state."""
-    negation = {(s, c): REACH if c == "N" else max(0, s - 1) for s in range(REACH + 1) for c in "IHTNRO"}
-    reported = {(s, c): int(s or c == "R") for s in (0, 1) for c in "IHTNRO"}
-    target = {(s, c): int(s or c == "T") for s in (0, 1) for c in "IHTNRO"}
-    table = {}
-    for n, r, t in itertools.product(range(REACH + 1), (0, 1), (0, 1)):
+class Transducer(NamedTuple):
+    """Over the word classes I, H, T, N, R, O: what follows each state, the factors put out on the insult and
+    the threat tape on the way, and the factors of ending in a state."""
+
+    states: range
+    step: Callable[[int, str], int]
+    out: Callable[[int, str], tuple[float, float]]
+    final: Callable[[int], tuple[float, float]] = lambda s: (1.0, 1.0)
+
+
+INSULT = Transducer(range(1), lambda s, c: 0, lambda s, c: (float(c == "I"), 1.0))
+THREAT = Transducer(range(1), lambda s, c: 0, lambda s, c: (1.0, float(c == "H")))
+NEGATION = Transducer(range(REACH + 1), lambda s, c: REACH if c == "N" else max(0, s - 1), lambda s, c: (NEGATED, NEGATED) if s else (1.0, 1.0))
+REPORTING = Transducer(range(2), lambda s, c: int(s or c == "R"), lambda s, c: (REPORTED, REPORTED) if s else (1.0, 1.0))
+TARGET = Transducer(range(2), lambda s, c: int(s or c == "T"), lambda s, c: (1.0, 1.0), lambda s: (AIMED, AIMED) if s else (1.0, 0.0))
+
+
+def compose(parts: tuple[Transducer, ...] = (INSULT, THREAT, NEGATION, REPORTING, TARGET)) -> tuple[dict, dict, tuple]:
+    """Their product: (state, class) -> (state, insult factor, threat factor); state -> final factors; the start."""
+    table, final = {}, {}
+    for state in itertools.product(*(p.states for p in parts)):
+        ends = [p.final(s) for p, s in zip(parts, state)]
+        final[state] = math.prod(e[0] for e in ends), math.prod(e[1] for e in ends)
         for c in "IHTNRO":
-            factor = (NEGATED if n else 1.0) * (REPORTED if r else 1.0) * (c in "IH")
-            table[(n, r, t), c] = (negation[n, c], reported[r, c], target[t, c]), factor
-    return table, (0, 0, 0)
+            outs = [p.out(s, c) for p, s in zip(parts, state)]
+            after = tuple(p.step(s, c) for p, s in zip(parts, state))
+            table[state, c] = after, math.prod(o[0] for o in outs), math.prod(o[1] for o in outs)
+    return table, final, tuple(0 for _ in parts)
 
 
 class Grammar:
@@ -89,7 +112,7 @@ class Grammar:
         for text, kinds in arcs.items():
             self.found.add_word(text, (len(text), kinds))
         self.found.make_automaton()
-        self.table, self.start = compose()
+        self.table, self.final, self.start = compose()
 
     def matches(self, text: str) -> dict[int, tuple[float, str]]:
         """Start of each matched word: its weight and class."""
@@ -108,23 +131,22 @@ class Grammar:
     def clauses(self, text: str) -> list[float]:
         """Weights of the matched clauses of a lower-cased text."""
         matches = self.matches(text)
-        out, until = [], -1
+        out, until = [], 0
         for at in sorted(matches):
             if at < until:
                 continue
+            # The clause begins behind the last stop, which is no further back than the last clause's end.
+            begin = max(until, *(text.rfind(c, until, at) + 1 for c in ".!?;\n"))
             stop = STOP.search(text, at)
             until = stop.start() if stop else len(text)
-            begin = max(text.rfind(c, 0, at) for c in ".!?;\n") + 1
-            state, total, threats = self.start, 0.0, 0.0
+            state, insults, threats = self.start, 0.0, 0.0
             for m in WORD.finditer(text, begin, until):
                 weight, kind = matches.get(m.start(), (0.0, SEEDS.get(m[0], "O")))
-                state, factor = self.table[state, kind if kind != "H" or weight else "O"]
-                if kind == "H":
-                    threats += weight * factor
-                else:
-                    total += weight * factor
-            aimed = bool(state[2])
-            total = (total + threats * aimed) * (AIMED if aimed else 1.0)  # a threat needs a target
+                state, insult, threat = self.table[state, kind]
+                insults += weight * insult
+                threats += weight * threat
+            insult, threat = self.final[state]
+            total = insults * insult + threats * threat
             if total > 0:
                 out.append(total)
         return out
@@ -138,7 +160,7 @@ class Grammar:
 
 def units_of(text: str) -> set[str]:
     """Whole words (marked by a full stop) and stems of a text."""
-    words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 30}
+    words = {w for w in WORD.findall(text.lower()) if len(w) > 1}
     return {w + "." for w in words} | {w[:k] for w in words for k in STEMS if len(w) > k}
 
 
@@ -185,7 +207,7 @@ def learn_units(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, boo
             for text in batch.column(0):
                 words = ["", "", *WORD.findall((text.as_py() or "").lower())]
                 # Once per document, whatever it repeats.
-                counts.update({(u, f"{words[k - 2]} {words[k - 1]}") for k in range(2, len(words)) for w in (words[k],) if 3 <= len(w) <= 30 for u in (w + ".", *(w[:c] for c in STEMS if len(w) > c)) if u in names})
+                counts.update({(u, f"{words[k - 2]} {words[k - 1]}") for k in range(2, len(words)) for w in (words[k],) if len(w) > 1 for u in (w + ".", *(w[:c] for c in STEMS if len(w) > c)) if u in names})
         pairs = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([counts[p] for p in pairs], pa.int64())], ["unit", "before", "n"])
 
@@ -217,10 +239,10 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.
     """(id, held_out, score, predicted): one row per row of docs. held_out: a
     condition on id_col; labels of rows that meet it are never read."""
     known = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(~held_out)
+    known = known.groupBy(id_col).agg(F.max("y").alias("y"))
     n = known.count()
-    known = known.where(draw(id_col, seed=SEED) < min(1.0, FIT_ROWS / max(1, n)))
-    # About FIT_ROWS rows of two numbers: a proven bound.
-    train = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(known), id_col)
+    known = save(known.where(draw(id_col, seed=SEED) < min(1.0, FIT_ROWS / max(1, n))), "toxicity-labels")
+    train = docs.select(id_col, F.col(text_col).alias("text")).join(small(known), id_col)
     # Each text once, so that copies do not vote; a text with labels of both kinds is toxic.
     train = train.groupBy(F.xxhash64("text").alias("key")).agg(F.max("y").alias("y"), F.first("text").alias("text"))
     train = save(train.repartition(TRAIN_PARTITIONS, "key").select("text", "y"), "toxicity-train")

@@ -116,3 +116,70 @@ def test_lexicon_keeps_repeated_insults(spark):
     train = spark.createDataFrame(rows, "text string, y int")
     found = {u for u, whole, _ in toxicity.learn_units(train, 71, 300) if whole}
     assert {"grobian", "flegel", "idiot"} <= found and "along" not in found
+
+
+def test_composed_transducers():
+    """The product gives what the five do one after another, on all short clauses."""
+    import itertools
+
+    parts = (toxicity.INSULT, toxicity.THREAT, toxicity.NEGATION, toxicity.REPORTING, toxicity.TARGET)
+    table, final, start = toxicity.compose(parts)
+    for clause in itertools.product("IHTNRO", repeat=4):
+        state, tapes = start, [0.0, 0.0]
+        for c in clause:
+            state, a, b = table[state, c]
+            tapes = [tapes[0] + a, tapes[1] + b]
+        got = tapes[0] * final[state][0] + tapes[1] * final[state][1]
+        want = 0.0
+        for at, c in enumerate(clause):
+            if c in "IH":
+                negated = any(x == "N" for x in clause[max(0, at - toxicity.REACH) : at])
+                weight = (toxicity.NEGATED if negated else 1) * (toxicity.REPORTED if "R" in clause[:at] else 1)
+                want += weight * (toxicity.AIMED if "T" in clause else c == "I")
+        assert abs(got - want) < 1e-12, clause
+
+
+def test_clauses_of_long_texts_take_time_in_proportion():
+    import time
+
+    g, took = toxicity.Grammar([("idiot", True, 4.0)]), []
+    for n in (40_000, 160_000):
+        start = time.perf_counter()
+        assert len(g.clauses("an idiot came by; " * n)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_fit_like_direct_solve(spark):
+    """Normal equations summed by partitions against one solve over all rows, with random features and without."""
+    rng = np.random.default_rng(2)
+    dims = len(quality.STATISTICS)
+    stats = rng.normal(0, 1, (600, 2))[:, np.arange(dims) % 2] + rng.normal(0, 0.01, (600, dims))
+    y = ((stats[:, 0] ** 2 + stats[:, 1] ** 2) > 2).astype(int)  # no plane parts these
+    u = rng.random(600)
+    table = spark.createDataFrame([(stats[k].tolist(), int(y[k]), float(u[k])) for k in range(600)], "stats array<double>, y int, u double").repartition(5)
+    model = quality.fit(table)
+    train = u >= quality.CALIBRATION
+    x = model.features(stats[train])
+    ridge = np.eye(x.shape[1]) * quality.RIDGE * train.sum()
+    ridge[-1, -1] = 1e-9
+    want = np.linalg.solve(x.T @ x + ridge, x.T @ y[train])
+    assert np.abs(model.raw(stats) - model.features(stats) @ want).max() < 1e-6
+    rest = ~train
+    plain = x[:, quality.FEATURES :]
+    flat = np.linalg.lstsq(plain, y[train], rcond=None)[0]
+    error = lambda raw: np.mean((raw > 0.5) != y[rest])
+    assert error(model.raw(stats[rest])) < error(model.features(stats[rest])[:, quality.FEATURES :] @ flat) - 0.05
+
+
+def test_isotonic_like_plain_version():
+    """Pooled steps against the best rising sequence by the min-max formula."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        m = int(rng.integers(1, 25))
+        n = rng.integers(1, 9, m).astype(float)
+        hits = np.array([float(rng.integers(0, k + 1)) for k in n])
+        best = [max(min(hits[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, m)) for a in range(i + 1)) for i in range(m)]
+        x, y = quality.isotonic(np.arange(float(m)), hits, n)
+        assert len(x) == len(np.unique(np.round(best, 12)))
+        assert all(a <= b for a, b in zip(y, y[1:]))
