@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmith.llm.common import save, small
+from corpusmith.llm.common import fresh, save, small
 
 WINDOW, SHARE = 5, 0.8
 #: Share of an item's slots that must be answered consistently; least words of a window with names that are none.
@@ -238,5 +238,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs in whose text no item is found, columns as they are."""
     found = _found(docs, items, id_col, text_col, "item_id", "text")[0]
-    gone = save(found.select(F.col("key").alias("__leak_key")).distinct(), "leak-keys")
-    return docs.join(small(gone), text_key(F.col(text_col)) == F.col("__leak_key"), "left_anti")
+    key = fresh(docs, "__key")[0]
+    gone = save(found.select(F.col("key").alias(key)).distinct(), "leak-keys")
+    return docs.join(small(gone), text_key(F.col(text_col)) == F.col(key), "left_anti")

@@ -21,13 +21,18 @@ SELECT d.doc_id, coalesce(count(m.pos), 0) AS n_lines, coalesce(count(m.pos) FIL
 FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
-URLS = """
+URLS = r"""
 WITH parts AS (
   SELECT page_id,
     CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(rest, '') AS rest FROM parts)),
+  SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS name FROM (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(rest, '') AS rest FROM parts))),
+places AS (
+  SELECT name, CASE WHEN regexp_full_match(name, '[0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\]') THEN name WHEN regexp_matches(name, '(^|[.])(ac|co|com|edu|gob|gov|go|ne|net|or|org)[.][a-z]{2}$') THEN regexp_extract(name, '([^.]*[.])?[^.]*[.][^.]*$') ELSE regexp_extract(name, '([^.]*[.])?[^.]*$') END AS domain,
+    CASE WHEN regexp_full_match(name, '[0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\]') THEN name WHEN regexp_matches(name, '(^|[.])(ac|co|com|edu|gob|gov|go|ne|net|or|org)[.][a-z]{2}$') THEN regexp_extract(name, '[^.]*[.][^.]*$') ELSE regexp_extract(name, '[^.]*$') END AS suffix
+  FROM (SELECT DISTINCT name FROM split)),
 rules(what, rule, name, start) AS (VALUES
   ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('block', 'net/de/', 'net', '/de/'),
   ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
@@ -36,9 +41,9 @@ ruled AS (
   FROM split s JOIN rules r ON (s.host = r.name OR ends_with(s.host, '.' || r.name)) AND starts_with(s.path, r.start) GROUP BY s.page_id),
 bad AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 outcomes AS (
-  SELECT s.page_id, s.host, max(b.bad) AS bad FROM split s JOIN bad b ON b.doc_id = TRY_CAST(regexp_extract(s.path, '/([0-9]{1,18})', 1) AS BIGINT) GROUP BY ALL),
+  SELECT s.page_id, s.name, max(b.bad) AS bad FROM split s JOIN bad b ON b.bad IS NOT NULL AND b.doc_id = TRY_CAST(regexp_extract(s.path, '/([0-9]{1,18})', 1) AS BIGINT) GROUP BY ALL),
 hosts AS (
-  SELECT host, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(*) AS n, sum(bad) AS bad FROM outcomes GROUP BY ALL),
+  SELECT name AS host, domain, suffix, count(*) AS n, sum(bad) AS bad FROM outcomes JOIN places USING (name) GROUP BY ALL),
 overall AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1.0) ELSE 0.0 END::DOUBLE AS p FROM hosts),
 s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, (SELECT p FROM overall) AS prior FROM hosts GROUP BY suffix),
 sw AS (SELECT sum(n * (bad / n - prior) ** 2 - prior * (1 - prior)) / nullif(sum(n * prior * (1 - prior)), 0) AS x FROM s0 WHERE n > 1),
@@ -54,8 +59,7 @@ hk AS (SELECT CASE WHEN x > 0 THEN least(200.0, greatest(2.0, 1 / x - 1)) ELSE 2
 h1 AS (SELECT host, (bad + prior * k) / (n + k) AS mean, n + k AS weight FROM h0, hk),
 judged AS (
   SELECT s.*, coalesce(h1.mean, d1.mean, s1.mean, (SELECT p FROM overall)) AS m, coalesce(h1.weight, d1.weight, s1.weight, 2.0) AS w
-  FROM split s LEFT JOIN h1 ON h1.host = s.host LEFT JOIN d1 ON d1.domain = regexp_extract(s.host, '([^.]*[.])?[^.]*$')
-  LEFT JOIN s1 ON s1.suffix = regexp_extract(s.host, '[^.]*$'))
+  FROM split s JOIN places p USING (name) LEFT JOIN h1 ON h1.host = s.name LEFT JOIN d1 ON d1.domain = p.domain LEFT JOIN s1 ON s1.suffix = p.suffix)
 SELECT j.page_id, j.host, j.path, r.rule,
   coalesce(r.what, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN ruled r USING (page_id)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmith.llm.common import crc32_of_id, draw, save, small
+from corpusmith.llm.common import crc32_of_id, draw, fresh, save, small
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_spread", "upper", "digits", "punctuation", "symbols", "bangs",
@@ -99,15 +99,20 @@ def statistics(text: str | None) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, stats): one row per row of docs."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("stats", T.ArrayType(T.DoubleType()))])
+    """(id, key, stats): one row per row of docs; key stands for its text."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("key", T.BinaryType()), T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def batches(it):
         for batch in it:
-            stats = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], schema.names)
+            stats = [statistics(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float64()))], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(batches, schema)
+    return docs.select(id_col, text_key(F.col(text_col)), text_col).mapInArrow(batches, schema)
+
+
+def text_key(text):
+    """16 bytes that stand for a text; a null one has an empty one's."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 @dataclass
@@ -200,29 +205,30 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, held_out, score, predicted): one row per row of docs. held_out: a
-    condition on id_col; labels of rows that meet it are never read."""
+    """(id, held_out, score, predicted, key): one row per row of docs; key stands for its
+    text. held_out: a condition on id_col; labels of rows that meet it are never read."""
     stats = save(document_statistics(docs, id_col, text_col), "quality-statistics")
     known = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(~held_out)
     n = known.count()
-    known = known.where(draw(id_col, seed=SEED) < min(1.0, FIT_ROWS / max(1, n)))
-    labelled = save(stats.join(known, id_col).select("stats", "y", draw(id_col, seed=SEED + 1).alias("u")), "quality-labelled")
+    known = save(known.where(draw(id_col, seed=SEED) < min(1.0, FIT_ROWS / max(1, n))), "quality-labels")
+    labelled = save(stats.join(small(known), id_col).select("stats", "y", draw(id_col, seed=SEED + 1).alias("u")), "quality-labelled")
     model = fit(labelled)
-    schema = T.StructType([stats.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([stats.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("key", T.BinaryType())])
 
     def scored(it):
         for batch in it:
-            x = np.array(batch.column(2).to_pylist(), float).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x), pa.float64())], schema.names)
+            x = np.array(batch.column(3).to_pylist(), float).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x), pa.float64()), batch.column(2)], schema.names)
 
-    rows = stats.select(id_col, held_out.alias("held_out"), "stats").mapInArrow(scored, schema)
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = stats.select(id_col, held_out.alias("held_out"), "key", "stats").mapInArrow(scored, schema)
+    return rows.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that are predicted good, columns as they are."""
-    bad = classify(docs, labels, held_out, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(small(save(bad, "quality-rejects")), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    """Rows of docs whose text is predicted good, columns as they are. Each row goes or stays by its own text."""
+    key = fresh(docs, "__key")[0]
+    bad = classify(docs, labels, held_out, id_col, text_col).where("predicted = 0").select(F.col("key").alias(key)).distinct()
+    return docs.join(small(save(bad, "quality-rejects")), text_key(F.col(text_col)) == F.col(key), "left_anti")
 
 
 def held_out(id_col: str, mod: int, rest: int):

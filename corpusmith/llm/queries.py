@@ -32,7 +32,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.held_out("doc_id", 3, 1))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.held_out("doc_id", 3, 1)).drop("key")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     doc = F.regexp_extract(hosts.parts(F.col("url"))[1], r"/([0-9]{1,18})", 1).try_cast("long")
     bad = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
-    outcomes = pages.select("page_id", doc.alias("doc_id")).join(bad, "doc_id").select("page_id", (F.col("bad") == 1).alias("bad"))
+    outcomes = pages.select("page_id", doc.alias("doc_id")).join(bad.where("bad is not null"), "doc_id").select("page_id", (F.col("bad") == 1).alias("bad"))
     return hosts.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmith.llm.common import drop, save, small
+from corpusmith.llm.common import drop, fresh, save, small
 
 BITS, RADIUS, WIDTH, SEED = 64, 2, 3, 42
 #: Shingles whose bits are counted at once.
@@ -150,8 +150,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """Rows of docs whose id names its component, columns as they are; a null id
     goes if any other id is reached. Rows that repeat an id and differ stay together."""
     marks = near_duplicates(docs, id_col, text_col, width)
-    gone = marks.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(small(save(gone, "simhash-gone")), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    same = fresh(docs, "__id")[0]
+    gone = marks.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(same)).distinct()
+    return docs.join(small(save(gone, "simhash-gone")), F.col(id_col).eqNullSafe(F.col(same)), "left_anti")
 
 
 def hex16(col):

@@ -133,11 +133,13 @@ def search(vectors: DataFrame, queries, k: int, id_col: str = "vec_id", vector_c
     asked = save(asked, "topk-queries")
     parts = max(1, math.ceil(asked.count() / QUERY_BATCH))
     found = None
-    # Batches hold QUERY_BATCH queries on average; a hash deals them out.
+    # Batches hold QUERY_BATCH queries on average; a hash deals them out. Each is sent, answered, written down
+    # and taken back before the next one, so that neither the driver nor an executor holds two.
     for part in range(parts):
         batch = asked.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == part) if parts > 1 else asked
-        batch = batch.toArrow()
-        here = kept.coalesce(tasks).mapInArrow(_scorer(spark.sparkContext.broadcast(batch), k), RESULT)
+        sent = spark.sparkContext.broadcast(batch.toArrow())
+        here = save(kept.coalesce(tasks).mapInArrow(_scorer(sent, k), RESULT), "topk-part")
+        sent.destroy()
         found = here if found is None else found.union(here)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

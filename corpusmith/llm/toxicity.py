@@ -50,7 +50,8 @@ from corpusmith.llm.common import draw, save, small
 FIT_ROWS, STEMS, PASSENGER, ODDS = 30_000, (5, 6, 7), 0.4, 6.0
 #: Factors: negated, reported, aimed at a target; weight of a threat; tokens that a negation reaches.
 NEGATED, REPORTED, AIMED, THREAT_WEIGHT, REACH = 0.4, 0.6, 1.3, 2.0, 3
-TRAIN_PARTITIONS, SEED = 24, 11
+#: Partitions of the fit; folds by which lexicon and clause weights are fitted crosswise.
+TRAIN_PARTITIONS, FOLDS, SEED = 24, 3, 11
 
 #: Seed words. An insult's weight until labelled documents say otherwise, and the documents that can say so.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb trottel dummkopf crétin imbécile estúpido imbécil"
@@ -235,6 +236,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 40)
     return w
 
 
+def _measured(units: list[tuple[str, bool, float]]):
+    def batches(it):
+        grammar = Grammar(units)
+        for batch in it:
+            f = [grammar.features(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column(1)], ["f", "y"])
+
+    return batches
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, held_out, score, predicted): one row per row of docs. held_out: a
     condition on id_col; labels of rows that meet it are never read."""
@@ -245,20 +256,20 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.
     train = docs.select(id_col, F.col(text_col).alias("text")).join(small(known), id_col)
     # Each text once, so that copies do not vote; a text with labels of both kinds is toxic.
     train = train.groupBy(F.xxhash64("text").alias("key")).agg(F.max("y").alias("y"), F.first("text").alias("text"))
-    train = save(train.repartition(TRAIN_PARTITIONS, "key").select("text", "y"), "toxicity-train")
+    train = save(train.repartition(TRAIN_PARTITIONS, "key").select("text", "y", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-train")
     tally = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
     clean, toxic = tally.get(0, 0), tally.get(1, 0)
     units = learn_units(train, toxic, clean) if toxic and clean else []
     weights = None
-
-    def measured(it):
-        grammar = Grammar(units)
-        for batch in it:
-            f = [grammar.features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column(1)], ["f", "y"])
-
     if toxic and clean:
-        rows = train.select("text", F.col("y").cast("long").alias("y")).mapInArrow(measured, "f array<double>, y long").toArrow()
+        # Clauses of a text count by a lexicon that has not seen the text, so that its own words do not vouch for it.
+        parts = []
+        for fold in range(FOLDS):
+            others = train.where(F.col("fold") != fold)
+            seen = {r.y: r["count"] for r in others.groupBy("y").count().collect()}
+            lexicon = learn_units(others, seen[1], seen[0]) if len(seen) == 2 else units
+            parts.append(train.where(F.col("fold") == fold).select("text", F.col("y").cast("long").alias("y")).mapInArrow(_measured(lexicon), "f array<double>, y long").toArrow())
+        rows = pa.concat_tables(parts)
         weights = logistic(np.array(rows.column("f").to_pylist(), float).reshape(-1, len(FEATURES)), rows.column("y").to_numpy().astype(float))
     constant = 1.0 if toxic else 0.0
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusmith.llm import bpe, decontam, lines, quality, queries, simhash
+from corpusmith.llm import bpe, decontam, lines, near, quality, queries
 
 
 def rows(columns, found):
@@ -39,7 +39,12 @@ def test_pipeline(spark, sf_dir):
     bad = {r.doc_id for r in quality.classify(documents, labels, quality.held_out("doc_id", 3, 1)).collect() if not r.predicted}
     left = spark.createDataFrame([r for d, r in held.items() if d not in bad], documents.schema)
     left = spark.createDataFrame([(r.doc_id, r.text, r.lang, r.source, len(r.text)) for r in lines.dedup(left).collect()], documents.schema)
-    keep = {r.doc_id for r in simhash.near_duplicates(left).collect() if r.doc_id == r.component_id}
+    keep = []  # (id, shingles) of documents that are near none of a smaller id
+    for r in sorted(left.collect(), key=lambda r: r.doc_id):
+        mine = set(near.shingles(r.text))
+        if all(near.jaccard(mine, other) < near.SIMILAR for _, other in keep):
+            keep.append((r.doc_id, mine))
+    keep = {d for d, _ in keep}
     left = spark.createDataFrame([r for r in left.collect() if r.doc_id in keep], documents.schema)
     leaks = {r.doc_id for r in decontam.contaminated(left, benchmark).collect()}
     want = sorted(tuple(r) for r in left.collect() if r.doc_id not in leaks)
