@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -47,11 +48,6 @@ def tokens(text):
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def tokens_among(text, terms: list[str]):
-    """Those of a text's tokens that are asked for, repeats included, without splitting the rest."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])"), 1)
-
-
 def rough_tokens(text):
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
 
@@ -105,27 +101,90 @@ def strip_toc(text):
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
+def _recoded(part):
+    """A part of a query string, decoded and encoded again."""
+    return F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(part), part)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def clean_url(url):
-    """A URL without tracking parameters and without blank ones; a relative one stays."""
-    head = F.regexp_extract(url, r"^([^?#]*)", 1)
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    tail = F.regexp_extract(url, r"(#.*)$", 1)
-    kept = F.filter(
-        F.split(query, "&"),
-        lambda p: F.contains(p, F.lit("=")) & (F.substring_index(p, "=", -1) != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING),
-    )
-    cleaned = F.concat(head, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""), tail)
+    """A URL without tracking parameters and without blank ones, the others encoded anew; a relative one stays."""
+    head, query, tail = (F.regexp_extract(url, pattern, 1) for pattern in (r"^([^?#]*)", r"^[^?#]*\?([^#]*)", r"(#.*)$"))
+    name, value = (lambda p: F.regexp_extract(p, "^([^=]*)=", 1)), (lambda p: F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1))
+    kept = F.filter(F.split(query, "&"), lambda p: (value(p) != "") & ~F.lower(name(p)).isin(TRACKING))
+    again = F.array_join(F.transform(kept, lambda p: F.concat(_recoded(name(p)), F.lit("="), _recoded(value(p)))), "&")
+    cleaned = F.concat(head, F.when(again != "", F.concat(F.lit("?"), again)).otherwise(""), tail)
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), cleaned).otherwise(url)
 
 
+LINK = r"\[([^\]]+)\]\(([^)]+)\)"
+
+
+def clean_links(text):
+    """Markdown with the targets of its links cleaned."""
+    names, urls = (F.regexp_extract_all(text, F.lit(LINK), k) for k in (1, 2))
+    links = F.zip_with(names, urls, lambda n, u: F.concat(F.lit("["), n, F.lit("]("), clean_url(u), F.lit(")")))
+    # As many links as gaps between the parts; the last part has none behind it.
+    return F.array_join(F.zip_with(F.split(text, LINK), links, lambda part, link: F.concat(part, F.coalesce(link, F.lit("")))), "")
+
+
+def _ascii_letters() -> tuple[str, str]:
+    """Characters whose compatibility form has one ASCII character, and these."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000]
+    single = [(c, a) for c, a in pairs if len(a) == 1]
+    return "".join(c for c, _ in single), "".join(a for _, a in single)
+
+
+FOLDED = _ascii_letters()
+
+
+def ascii_only(text):
+    """Letters without their accents; what has no ASCII form, or one of several characters, goes."""
+    plain = F.regexp_replace(F.translate(text, *FOLDED), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
+
+
 def canonical_id(value):
-    """Ids in one spelling; characters beyond ASCII are dropped."""
-    out = F.lower(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^\x00-\x7F]", "")))
-    out = F.regexp_replace(out, r"^doc(?:ument)?[_:\-\s]+", "")
-    out = F.regexp_replace(out, r"^chunk[_:\-\s]+", "")
-    out = F.regexp_replace(out, r"[\s/|:]+", "-")
-    out = F.regexp_replace(out, r"[^a-z0-9#._\-]+", "")
-    return F.regexp_replace(F.regexp_replace(out, r"-{2,}", "-"), r"^[\-_.]+|[\-_.]+$", "")
+    """Ids in one spelling: what they are made of, in small ASCII letters and joined by dashes, without the kind before it."""
+    low = F.lower(stripped(ascii_only(F.coalesce(value, F.lit("")))))
+    bare = F.regexp_replace(low, r"^(?:doc(?:ument)?[_:\-\s]+)?(?:chunk[_:\-\s]+)?", "")
+    pieces = F.split(F.regexp_replace(bare, r"[^a-z0-9#._\-\s/|:]", ""), r"[\s/|:\-]+")
+    return F.regexp_replace(F.array_join(F.array_remove(pieces, ""), "-"), r"^[-_.]+|[-_.]+$", "")
+
+
+def stripped(text):
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+#: What a context sheds: rules of one kind of sign, then heads of headings and quotes, then runs of blanks and of blank lines.
+RULES, HEADS = r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?)"
+
+
+def fingerprint(text):
+    """Its words in small letters."""
+    return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")))
+
+
+def distinct_sentences(text):
+    """A context in plain sentences, the first of those alike in their words."""
+    plain = F.regexp_replace(F.regexp_replace(text, RULES, ""), LINK, "$1 ($2)")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, HEADS, ""), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+    sentences = F.split(F.regexp_replace(stripped(plain), r"([.!?])\s+", "$1\x01"), "\x01")
+    marked = F.array_sort(F.transform(sentences, lambda x, i: F.struct(fingerprint(x).alias("words"), i.alias("at"), x.alias("text"))))
+    # Sorted by words, each is alike to the one before it or the first of its kind.
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(marked, lambda x: x["words"]))
+    pairs = F.zip_with(marked, before, lambda x, w: F.when((x["words"] == "") | w.isNull() | (x["words"] != w), F.struct(x["at"].alias("at"), stripped(x["text"]).alias("text"))))
+    kept = F.array_sort(F.filter(pairs, lambda x: x.isNotNull() & (x["text"] != "")))
+    return F.array_join(F.transform(kept, lambda x: x["text"]), " ")
+
+
+def cut_context(text, most):
+    """A text of at most so many characters, and an ellipsis where it was longer; cut at
+    the last blank if that is in the last third or so."""
+    cut = F.regexp_replace(F.substring(text, F.lit(1), most), r"\s+$", "")
+    head = F.regexp_extract(cut, r"(?s)^(.*[ \n])", 1)
+    short = F.when(F.length(head) - 1 > most * 0.65, F.regexp_replace(head, r"\s+$", "")).otherwise(cut)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(short, F.lit("...")))
 
 
 def concept_name(name):

@@ -49,6 +49,12 @@ def compare(rows: DataFrame, metrics: list[str], systems: list[str]) -> DataFram
     return long.groupBy("metric").pivot("system", systems).agg(F.avg("value"))
 
 
+def coverage(rows: DataFrame, metrics: list[str], systems: list[str]) -> DataFrame:
+    """One row per metric, the share of rows of each system that have a value. rows: (system, metrics...)."""
+    long = rows.unpivot(["system"], metrics, "metric", "value")
+    return long.groupBy("metric").pivot("system", systems).agg(F.avg(F.when(F.col("value").isNotNull() & ~F.isnan("value"), 1.0).otherwise(0.0)))
+
+
 def at_k(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     """The same from rows: ranked (query_id, chunk_id, rank from 1), relevant (query_id, chunk_id)."""
     total = relevant.groupBy("query_id").agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,11 @@ def top(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", tie
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): the cosine of every vector (chunk_id, vector, ...)
     with every query (query_id, vector), in one scan of the vectors."""
-    q = checked(queries.select("query_id", F.col("vector").alias("asked")))
-    rows = vectors.where(F.col("vector").isNotNull()).crossJoin(q)
-    norm = F.sqrt(_dot(F.col("vector"), F.col("vector"))) * F.sqrt(_dot(F.col("asked"), F.col("asked")))
-    return rows.select("query_id", "chunk_id", (_dot(F.col("vector"), F.col("asked")) / norm).alias("score"))
+    norm = lambda c: F.sqrt(_dot(F.col(c), F.col(c)))
+    q = checked(queries.select("query_id", F.col("vector").alias("asked"), norm("vector").alias("asked_norm")))
+    # Norms are a column on either side, made once for each vector and not for each pair.
+    rows = vectors.where(F.col("vector").isNotNull()).withColumn("norm", norm("vector")).crossJoin(q)
+    return rows.select("query_id", "chunk_id", (_dot(F.col("vector"), F.col("asked")) / (F.col("norm") * F.col("asked_norm"))).alias("score"))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame:
@@ -47,13 +50,10 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame
     return top(dense_scores(vectors, queries), k)
 
 
-def postings(chunks: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(chunk_id, term, tf, length) of the asked terms (letters and digits only), and
-    (n, mean_length) of the corpus. Only chunks that hold a term are split into words."""
-    sizes = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tx.tokens(F.col("content")))).alias("mean_length"))
-    found = chunks.select("chunk_id", "content", tx.tokens_among(F.col("content"), terms).alias("terms")).where(F.size("terms") > 0)
-    held = found.select("chunk_id", F.size(tx.tokens(F.col("content"))).alias("length"), F.explode("terms").alias("term"))
-    return held.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf")), sizes
+def postings(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """(chunk_id, length, terms): the asked terms among each chunk's words, repeats included."""
+    words = chunks.select("chunk_id", tx.tokens(F.col("content")).alias("words"))
+    return words.select("chunk_id", F.size("words").alias("length"), F.filter("words", lambda w: w.isin(terms)).alias("terms"))
 
 
 def bm25(chunks: DataFrame, queries: list[tuple[int, str]], k: int = CANDIDATES) -> DataFrame:
@@ -62,16 +62,21 @@ def bm25(chunks: DataFrame, queries: list[tuple[int, str]], k: int = CANDIDATES)
 
 def bm25_scores(chunks: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
     """BM25 over lower-cased words without stemming. queries: (query_id, text)."""
-    spark = chunks.sparkSession
     asked = sorted({(q, w) for q, text in queries for w in _words(text)})
-    held, sizes = postings(chunks, sorted({w for _, w in asked}))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    terms = F.broadcast(spark.createDataFrame(asked, "query_id int, term string"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    # df has a row for each asked term, sizes one row: both bounded by the query batch.
-    rows = held.join(F.broadcast(df), "term").join(terms, "term").crossJoin(F.broadcast(sizes))
-    return rows.groupBy("query_id", "chunk_id").agg(F.sum(idf * part).alias("score"), F.count("*").alias("n_terms"))
+    held = postings(chunks, sorted({w for _, w in asked}))
+    # One pass for all statistics: a row for each asked term and one, of a blank term, for the corpus.
+    seen = held.select("length", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))
+    stats = {r.term: r for r in seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()}
+    n, total = (stats[""].n, stats[""].length) if stats else (0, 0)
+    df = {t: r.n for t, r in stats.items()}
+    weights = [(q, t, math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))) for q, t in asked if t in df]
+    # As many rows as the query batch has words.
+    terms = F.broadcast(chunks.sparkSession.createDataFrame(weights, "query_id int, term string, idf double"))
+    found = held.where(F.size("terms") > 0).select("chunk_id", "length", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    tf = F.size(F.filter("terms", lambda x: x == F.col("term")))
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") * n / max(1, total)))
+    rows = found.select("chunk_id", "term", part.alias("part")).join(terms, "term")
+    return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"), F.count("*").alias("n_terms"))
 
 
 def _words(text: str) -> list[str]:
@@ -82,11 +87,10 @@ def _words(text: str) -> list[str]:
 
 def matches_all(chunks: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
     """(query_id, chunk_id) where every query word occurs."""
-    spark = chunks.sparkSession
-    asked = spark.createDataFrame([(q, _words(t)) for q, t in queries], "query_id int, wanted array<string>")
-    words = chunks.select("chunk_id", tx.tokens(F.col("content")).alias("words"))
-    held = F.forall("wanted", lambda w: F.array_contains("words", w))
-    return words.crossJoin(F.broadcast(asked)).where(held).select("query_id", "chunk_id")
+    wanted = {q: sorted(set(_words(t))) for q, t in queries}
+    held = postings(chunks, sorted({w for words in wanted.values() for w in words}))
+    fits = F.array(*(F.when(F.size(F.array_except(F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"), "terms")) == 0, F.lit(q)) for q, words in wanted.items()))
+    return held.select("chunk_id", F.explode(F.array_compact(fits)).alias("query_id")).select("query_id", "chunk_id")
 
 
 def scope(ranked: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -166,3 +170,45 @@ def middle_last(rows: DataFrame) -> DataFrame:
     """Prompt places that put the best rows at both ends. rows: (query_id, rank from 1)."""
     i, n = F.col("rank") - 1, F.count("*").over(Window.partitionBy("query_id"))
     return rows.withColumn("slot", F.when(i % 2 == 0, F.floor(i / 2)).otherwise(n - 1 - F.floor((i - 1) / 2)).cast("long"))
+
+
+#: Contexts of a prompt, characters of one (at most, and at least while there is room), of all, and of a fingerprint.
+PROMPT_ROWS, PROMPT_CHARS, PROMPT_LEAST, PROMPT_TOTAL, PRINT_CHARS = 3, 1000, 250, 3000, 500
+
+
+def compress(rows: DataFrame, most: int = PROMPT_ROWS) -> DataFrame:
+    """(query_id, rank, content, token_count) of the contexts that fit a prompt. rows: (query_id, rank, doc_id string,
+    content), a query's few candidates. Taken in order while there is room: no text twice, and one of each document
+    beyond the first."""
+    made = rows.select("query_id", "rank", tx.canonical_id(F.col("doc_id")).alias("doc"), tx.distinct_sentences(F.coalesce("content", F.lit(""))).alias("text"))
+    per_query = made.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc", "text"))).alias("rows"))
+    out = "array<struct<rank:int,content:string,token_count:int,doc:string,print:string>>"
+
+    def step(state, row):
+        used = F.aggregate(state, F.lit(0), lambda n, x: n + F.length(x["content"]))
+        room = F.greatest(F.lit(PROMPT_LEAST), F.least(F.lit(PROMPT_CHARS), PROMPT_TOTAL - used))
+        text = tx.cut_context(row["text"], room)
+        print_ = tx.fingerprint(F.substring(text, 1, PRINT_CHARS))
+        known = F.exists(state, lambda x: ((print_ != "") & (x["print"] == print_)) | ((row["doc"] != "") & (x["doc"] == row["doc"])))
+        more = F.array(F.struct(row["rank"].cast("int").alias("rank"), text.alias("content"), tx.rough_tokens(text).alias("token_count"), row["doc"].alias("doc"), print_.alias("print"))).cast(out)
+        return F.when((F.size(state) >= most) | (used >= PROMPT_TOTAL) | known, state).otherwise(F.concat(state, more))
+
+    taken = per_query.select("query_id", F.explode(F.aggregate("rows", F.array().cast(out), step)).alias("x"))
+    return taken.select("query_id", "x.rank", "x.content", "x.token_count")
+
+
+def depth_trim(rows: DataFrame, depths: DataFrame) -> DataFrame:
+    """Gated rows (query_id, chunk_id, score, match_source): of hybrid ones the best as many as the depth
+    (query_id, depth) says where that is 1 or 2; dense ones all."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    ranked = rows.join(depths, "query_id").withColumn("place", F.row_number().over(order))
+    return ranked.where((F.col("match_source") == "dense") | (F.col("depth") > 2) | (F.col("place") <= F.col("depth"))).drop("place", "depth")
+
+
+def negate_reranked(rows: DataFrame, terms, penalty: float = 2.0) -> DataFrame:
+    """Re-ranked rows (query_id, chunk_id, content, rerank_score, score): what holds a negative term loses `penalty` of
+    its rerank score and half of its score; places anew by rerank score, where there is one, else by score."""
+    hit = tx.holds_any(F.col("content"), terms)
+    rows = rows.withColumns({"rerank_score": F.when(hit, F.col("rerank_score") - penalty).otherwise(F.col("rerank_score")), "score": F.when(hit, F.col("score") * 0.5).otherwise(F.col("score"))})
+    by = F.round(F.coalesce("rerank_score", "score"), 9)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "chunk_id")))

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmith.functions import text as tx
+from corpusmith.operators import tables
 
 #: Seconds that a cached answer lives; fixed shares of the simulated graph search.
 CACHE_TTL, SIM_DECAY, SIM_GAIN = 3600, 0.1, 0.35
@@ -20,9 +22,15 @@ def authenticate(presented: DataFrame, keys: DataFrame, now) -> DataFrame:
 
 
 def cache_hits(requests: DataFrame, keys: list[str], ttl: int = CACHE_TTL) -> DataFrame:
-    """Requests (ts, id, keys...) with `hit`: an equal one was computed at most ttl seconds before."""
-    order, at = Window.partitionBy(*keys).orderBy("ts", "id"), F.col("ts").cast("timestamp")
-    return requests.withColumn("hit", F.coalesce(F.unix_micros(at) - F.unix_micros(F.lag(at).over(order)) <= ttl * 1_000_000, F.lit(False)))
+    """Requests (ts, id, keys...) with `hit`: an equal one was computed and kept less than ttl seconds before.
+    A hit does not keep the answer any longer."""
+
+    def step(until, values):
+        at = values[0]
+        return (until, (True,)) if at < until else (at + ttl * 1_000_000, (False,))
+
+    rows = requests.withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return tables.folded(rows, keys, ["__at", "id"], ["__at"], -(1 << 62), step, [T.StructField("hit", T.BooleanType())]).drop("__at")
 
 
 def cache_key(*cols):
@@ -70,6 +78,10 @@ def hop_mode(queries: DataFrame) -> DataFrame:
     return queries.withColumns({"mode": F.when(F.col("hops").isNotNull(), "manual").when(low, "concept_direct").otherwise("auto"), "walk": hops})
 
 
+def cited(source_url, document_id):
+    return F.coalesce(F.nullif(source_url, F.lit("")), document_id.cast("string"), F.lit("unknown"))
+
+
 def fallback_answers(rows: DataFrame) -> DataFrame:
     """(query_id, answer): the excerpts (query_id, rank, content) that are not blank, joined."""
     kept = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("rank", F.trim(F.coalesce("content", F.lit(""))).alias("t")))), lambda x: x["t"] != ""), lambda x: x["t"])
@@ -77,9 +89,17 @@ def fallback_answers(rows: DataFrame) -> DataFrame:
     return joined.withColumn("answer", F.when(F.col("answer") == "", "No matching knowledge was found.").otherwise(F.col("answer")))
 
 
-def simulated_graph_scores(seeds: DataFrame, reached: DataFrame, links: DataFrame) -> DataFrame:
-    """Keyword seeds (query_id, chunk_id, matches, place from 0) plus a share of each link reached."""
-    base = seeds.select("query_id", "chunk_id", (F.col("matches") / (1 + SIM_DECAY * F.col("place"))).alias("score"))
+def keyword_scores(chunks: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
+    """(query_id, chunk_id, score): how many of a query's words a chunk (chunk_id, content, place from 0) holds anywhere
+    in its text, less the further back it stands."""
+    low = F.lower("content")
+    found = [F.struct(F.lit(q).alias("query_id"), sum(F.contains(low, F.lit(w)).cast("int") for w in sorted(set(t.lower().split()))).alias("matches")) for q, t in queries if t.split()]
+    rows = chunks.select("chunk_id", "place", F.explode(F.array(*found)).alias("x")).where("x.matches > 0")
+    return rows.select("x.query_id", "chunk_id", (F.col("x.matches") / (1 + SIM_DECAY * F.col("place"))).alias("score"))
+
+
+def simulated_graph_scores(base: DataFrame, reached: DataFrame, links: DataFrame) -> DataFrame:
+    """Keyword scores (query_id, chunk_id, score) plus a share of each link to what is reached."""
     gains = reached.join(links, "concept").select("query_id", "chunk_id", (F.col("confidence") * SIM_GAIN / (1.0 + F.col("depth"))).alias("score"))
     return base.unionByName(gains).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_of(rows: DataFrame, keys: list[str], order) -> DataFrame:
@@ -33,11 +37,38 @@ def delete_cascade(tables: dict[str, DataFrame], parents: dict[str, tuple[str, s
     return out
 
 
+def folded(rows: DataFrame, keys: list[str], order: list[str], read: list[str], start, step: Callable, out: list[T.StructField]) -> DataFrame:
+    """rows with what a fold yields at each of them: step(state, values of read) -> (state, values of out). A key's
+    rows stream past in order, so that a long one needs time, but no memory."""
+    schema = T.StructType([*rows.schema.fields, *out])
+
+    def run(frames):
+        last, state = None, start
+        for frame in frames:
+            made = []
+            for key, values in zip(zip(*(frame[k] for k in keys)), zip(*(frame[c] for c in read))):
+                if key != last:
+                    last, state = key, start
+                state, put = step(state, values)
+                made.append(put)
+            yield pd.concat([frame, pd.DataFrame(made, columns=[f.name for f in out], index=frame.index)], axis=1)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def quota(events: DataFrame, limit: int) -> DataFrame:
-    """Events (event_id, tenant, ts, tokens) with the day's use so far and whether it still fits."""
-    day = Window.partitionBy("tenant", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Events (event_id, tenant, ts, tokens) with the day's use after each and whether it was let in.
+    What was turned away uses nothing; a limit of 0 or less lets all in."""
+
+    def step(used, values):
+        tokens = values[0]
+        fits = limit <= 0 or used + tokens <= limit
+        used += max(tokens, 0) * fits
+        return used, (used, fits)
+
     rows = events.withColumn("day", F.to_date("ts"))
-    return rows.withColumn("used", F.sum("tokens").over(day)).withColumn("admitted", F.col("used") <= limit)
+    out = [T.StructField("used", T.LongType()), T.StructField("admitted", T.BooleanType())]
+    return folded(rows, ["tenant", "day"], ["ts", "event_id"], ["tokens"], 0, step, out)
 
 
 def since(rows: DataFrame, column: str, watermark) -> DataFrame:

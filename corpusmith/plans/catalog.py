@@ -22,6 +22,8 @@ QUERIES: dict = {}
 QUESTIONS = ["What is Postgres?", "How does auth depend on tokens?", "Trace the lineage of chunks", "who calls the parser", "impact of the schema change", "define vector search", "FastAPI authentication NOT OAuth2", "PostgreSQL vector search -pinecone -weaviate", "LLM inference without transformers except onnx", "between ingest and query", "list all settings"]
 ERROR_TEXTS = ["Request timed out", "HTTP 429 too many", "422 String should have at most 10", "client error", "malformed JSON", "eval_failed", "missing field", "odd", None]
 TOC = "# Doc\n\n## Table of Contents\n- [A](#a)\n- [B](#b)\n- [C](#c)\n\n## A\ntext\n\n### Index\nmore"
+#: Fixed value: requests a minute.
+RATE_LIMIT = 120
 TRADE_HOPS, WATERMARK = 2, datetime.datetime(1998, 1, 1)
 
 
@@ -244,9 +246,10 @@ def concept_ilike(spark, sf_dir):
 
 @query
 def title_mentions(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in sorted({w for _, t in corpus.QUERIES for w in t.lower().split()} - {"not"})], "entity string")
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    return docs.crossJoin(F.broadcast(words)).where(F.contains(F.col("text"), F.col("entity"))).groupBy("entity").agg(F.count("*").alias("n"))
+    words = sorted({w for _, t in corpus.QUERIES for w in t.lower().split()} - {"not"})
+    docs = corpus.table(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
+    held = F.array_compact(F.array(*(F.when(F.contains(F.col("text"), F.lit(w)), F.lit(w)) for w in words)))
+    return docs.select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
 @query
@@ -313,14 +316,14 @@ def canonical_ids(spark, sf_dir):
 
 @query
 def context_normalize(spark, sf_dir):
-    clean = F.udf(lambda t: sequential.normalize_context(t or ""), "string", useArrow=True)
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", clean("text").alias("context"))
+    plain = corpus.table(spark, sf_dir, "documents").select("doc_id", tx.distinct_sentences(F.coalesce("text", F.lit(""))).alias("plain"))
+    return plain.select("doc_id", tx.cut_context(F.col("plain"), F.lit(retrieval.PROMPT_CHARS)).alias("context"))
 
 
 @query
 def context_compress(spark, sf_dir):
     rows = retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS).join(corpus.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
-    return sequential.compress_contexts(rows.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("doc_id"), "content"))
+    return retrieval.compress(rows.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("doc_id"), "content"))
 
 
 @query
@@ -402,7 +405,8 @@ def quota_daily(spark, sf_dir):
 @query
 def rate_per_minute(spark, sf_dir):
     rows = corpus.table(spark, sf_dir, "events")
-    return rows.groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n")).where("n > 1")
+    minutes = rows.groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"))
+    return minutes.select("user_id", "minute", "n", (F.col("n") > RATE_LIMIT).alias("limited"))
 
 
 @query
@@ -470,7 +474,9 @@ def json_props(spark, sf_dir):
 @query
 def vector_literals(spark, sf_dir):
     rows = corpus.table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", F.size("embedding").alias("dim"), F.aggregate("embedding", F.lit(0), lambda s, x: s + (x > 0).cast("int")).alias("n_positive"))
+    # Whole numbers, as engines write fractions differently.
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64))
+    return rows.select("vec_id", F.size("embedding").alias("dim"), tx.vector_literal(whole).alias("literal"))
 
 
 @query
@@ -544,7 +550,7 @@ def slowest_samples(spark, sf_dir):
 @query
 def order_scan(spark, sf_dir):
     rows = corpus.table(spark, sf_dir, "orders").select(F.nullif("o_orderstatus", F.lit("O")).alias("status"), F.col("o_orderkey").alias("id"))
-    return rows.orderBy(F.asc_nulls_first("status"), "id").limit(20)
+    return rows.orderBy(F.asc_nulls_first("status"), "id")
 
 
 @query
@@ -567,12 +573,10 @@ def fallback_answers(spark, sf_dir):
 
 @query
 def graph_simulated(spark, sf_dir):
-    matched = retrieval.matches_all(corpus.chunks(spark, sf_dir), corpus.QUERIES)
-    order = Window.partitionBy("query_id").orderBy("chunk_id")
-    seeds = matched.withColumn("place", F.row_number().over(order) - 1).where("place < 5").withColumn("matches", F.lit(2))
-    links = corpus.links(spark, sf_dir)
-    roots = seeds.join(links, "chunk_id").select("query_id", "concept").distinct()
-    return _ranked(retrieval.top(service.simulated_graph_scores(seeds, graph.traverse(roots, corpus.edges(spark, sf_dir), 1), links), retrieval.RESULTS))
+    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "content", F.col("chunk_id").alias("place"))
+    base, links = service.keyword_scores(chunks, corpus.QUERIES), corpus.links(spark, sf_dir)
+    roots = retrieval.top(base, retrieval.GRAPH_SEEDS).join(links, "chunk_id").select("query_id", "concept").distinct()
+    return _ranked(retrieval.top(service.simulated_graph_scores(base, graph.traverse(roots, corpus.edges(spark, sf_dir), 1), links), retrieval.RESULTS))
 
 
 @query
@@ -632,8 +636,36 @@ def chunk_sections(spark, sf_dir):
 
 @query
 def markdown_links(spark, sf_dir):
-    clean = F.udf(sequential.normalize_links, "string", useArrow=True)
-    return corpus.table(spark, sf_dir, "pages").select("page_id", clean(F.concat(F.lit("see [page]("), "url", F.lit(")"))).alias("text"))
+    text = F.concat(F.lit("see [page]("), "url", F.lit(") and [here](b?ref=1)"))
+    return corpus.table(spark, sf_dir, "pages").select("page_id", tx.clean_links(text).alias("text"))
+
+
+@query
+def citation_sources(spark, sf_dir):
+    """What an answer cites: the source's address, else the document, else that it is unknown."""
+    rows = corpus.table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("url")).alias("source_url"), F.when(F.col("page_id") % 6 != 0, F.col("page_id").cast("string")).alias("document_id"))
+    return rows.select("page_id", service.cited(F.col("source_url"), F.col("document_id")).alias("source"))
+
+
+@query
+def depth_trim(spark, sf_dir):
+    depths = corpus.centroids(spark, sf_dir).select("query_id", (F.col("query_id") % 5 + 1).alias("depth"))
+    return retrieval.depth_trim(_gated(spark, sf_dir), depths).select("query_id", "chunk_id", "match_source")
+
+
+@query
+def rerank_negated(spark, sf_dir):
+    rows = retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS).drop("rank").join(corpus.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    rows = rows.join(F.broadcast(corpus.text_queries(spark).select("query_id", "query")), "query_id")
+    best = retrieval.rerank(rows, 7).select("query_id", "chunk_id", "content", "rerank_score", "score")
+    return retrieval.negate_reranked(best, F.array(F.lit("onble"))).select("query_id", "chunk_id", "rank", rounded("rerank_score").alias("rerank_score"), rounded("score").alias("score"))
+
+
+@query
+def metric_coverage(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("system"), F.when(F.col("doc_id") % 7 != 0, F.col("quality").cast("double")).alias("quality"), F.when(F.col("toxic") == 0, F.lit(1.0)).alias("toxic"))
+    rows = evaluate.coverage(rows, ["quality", "toxic"], ["even", "odd"])
+    return rows.select("metric", rounded("even").alias("even"), rounded("odd").alias("odd"))
 
 
 def queries() -> dict:

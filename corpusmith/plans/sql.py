@@ -109,10 +109,21 @@ def _html() -> str:
 
 
 def _canonical(col: str) -> str:
-    out = rf"lower(trim(regexp_replace(coalesce({col}, ''), '[^\x00-\x7F]', '', 'g'), ' '))"
-    for pattern, put in ((r"^doc(?:ument)?[_:\-\s]+", ""), (r"^chunk[_:\-\s]+", ""), (r"[\s/|:]+", "-"), (r"[^a-z0-9#._\-]+", ""), (r"-{2,}", "-"), (r"^[\-_.]+|[\-_.]+$", "")):
-        out = f"regexp_replace({out}, '{pattern}', '{put}', 'g')"
-    return out
+    bare = rf"regexp_replace(lower(trim(regexp_replace(strip_accents(coalesce({col}, '')), '[^\x00-\x7F]', '', 'g'), ' ')), '^(doc(ument)?[_:\-\s]+)?(chunk[_:\-\s]+)?', '')"
+    pieces = rf"list_filter(regexp_split_to_array(regexp_replace({bare}, '[^a-z0-9#._\-\s/|:]', '', 'g'), '[\s/|:\-]+'), lambda x: x <> '')"
+    return rf"regexp_replace(array_to_string({pieces}, '-'), '^[\-_.]+|[\-_.]+$', '', 'g')"
+
+
+def _context(rows: str, key: str, text: str) -> str:
+    """(key, plain) of rows: distinct sentences."""
+    steps = ((r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", "''"), (r"\[([^\]]+)\]\(([^)]+)\)", r"'\1 (\2)'"), (r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?)", "''"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''"), (r"([.!?])\s+", r"'\1' || chr(1)"))
+    out = f"coalesce({text}, '')"
+    for pattern, put in steps:
+        out = f"regexp_replace({out}, '{pattern}', {put}, 'g')"
+    return rf"""sentences AS (SELECT {key}, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT {key}, string_split({out}, chr(1)) AS s FROM {rows})),
+marked AS (SELECT *, trim(lower(regexp_replace(x, '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ') AS words FROM sentences),
+kept AS (SELECT {key}, i, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM marked QUALIFY words = '' OR row_number() OVER (PARTITION BY {key}, words ORDER BY i) = 1),
+plains AS (SELECT {key}, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE x <> ''), '') AS plain FROM kept GROUP BY {key})"""
 
 
 def _quality(content: str, n: str) -> str:
@@ -198,8 +209,14 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "parse_confidence": "WITH l AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ') <> '') AS lines FROM documents) SELECT doc_id, (CASE WHEN length(trim(coalesce(text, ''), ' ')) < 50 THEN 0.5 ELSE least(1.0, round(0.7 + CASE WHEN len(list_filter(lines, lambda x: starts_with(x, '#'))) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(lines) > 5 THEN 0.1 ELSE 0 END + CASE WHEN contains(text, '```') THEN 0.1 ELSE 0 END, 2)) END)::DOUBLE AS confidence FROM l",
         "html_to_markdown": f"SELECT page_id, {_html()} AS markdown FROM pages",
         "toc_strip": rf"SELECT item_id, regexp_replace(regexp_replace(regexp_replace({toc} || text, '(?m)(?:^[ \t]*(?:\*|-|\d+\.)\s*\[.+?\]\(#.+?\)\s*\n){{3,}}', chr(10), 'g'), '(?mi)^#{{1,4}}\s+(Table of Contents|Contents|TOC|Index)\s*$\n?', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM benchmark",
-        "url_params_clean": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: contains(x, '=') AND string_split(x, '=')[-1] <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || tail AS url FROM k",
+        "url_params_clean": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^[^=]*=(.*)$', 1) <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || tail AS url FROM k",
         "canonical_ids": f"SELECT page_id, {_canonical(chr(39) + ' Document:' + chr(39) + ' || url')} AS id, {name} AS name FROM pages",
+        "context_normalize": f"WITH {_context('documents', 'doc_id', 'text')}, c AS (SELECT doc_id, plain, rtrim(substr(plain, 1, 1000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM plains), h AS (SELECT *, regexp_extract(cut, '(?s)^(.*[ \\n])', 1) AS head FROM c) SELECT doc_id, CASE WHEN length(plain) <= 1000 THEN plain WHEN length(head) - 1 > 650 THEN regexp_replace(head, '\\s+$', '') || '...' ELSE cut || '...' END AS context FROM h",
+        "markdown_links": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^[^=]*=(.*)$', 1) <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, 'see [page](' || head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || tail || ') and [here](b?ref=1)' AS text FROM k",
+        "citation_sources": "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE url END, ''), CASE WHEN page_id % 6 <> 0 THEN page_id::VARCHAR END, 'unknown') AS source FROM pages",
+        "depth_trim": f"WITH {GATED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place, query_id % 5 + 1 AS depth FROM gated) SELECT query_id, chunk_id, match_source FROM r WHERE match_source = 'dense' OR depth > 2 OR place <= depth",
+        "rerank_negated": f"WITH {FUSED}, q(query_id, wanted) AS (VALUES {_values((k, '[' + ', '.join(map(_text, sorted(set(r._words(t))))) + ']') for k, t in corpus.QUERIES)}), s AS (SELECT f.query_id, f.chunk_id, f.score, contains(lower(d.text), 'onble') AS hit, 8.0::DOUBLE * len(list_intersect(wanted, {_tokens('d.text')})) / greatest(len(wanted), 1) - 4 AS rr FROM fused10 f JOIN q USING (query_id) JOIN documents d ON d.doc_id = f.chunk_id), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rr, 9) DESC, chunk_id) <= 7), n AS (SELECT query_id, chunk_id, rr - CASE WHEN hit THEN 2 ELSE 0 END AS rr, score * CASE WHEN hit THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS score FROM b) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rr, 9) DESC, chunk_id)::INT AS rank, round(rr, 6) AS rerank_score, round(score, 6) AS score FROM n",
+        "metric_coverage": "WITH l AS (SELECT doc_id % 2 = 0 AS even, CASE WHEN doc_id % 7 <> 0 THEN quality END AS quality, CASE WHEN toxic = 0 THEN 1 END AS toxic FROM labels) SELECT 'quality' AS metric, round((count(quality) FILTER (WHERE even))::DOUBLE / (count(*) FILTER (WHERE even)), 6) AS even, round((count(quality) FILTER (WHERE NOT even))::DOUBLE / (count(*) FILTER (WHERE NOT even)), 6) AS odd FROM l UNION ALL SELECT 'toxic', round((count(toxic) FILTER (WHERE even))::DOUBLE / (count(*) FILTER (WHERE even)), 6), round((count(toxic) FILTER (WHERE NOT even))::DOUBLE / (count(*) FILTER (WHERE NOT even)), 6) FROM l",
         "ndcg_recall_mrr": f"WITH {DENSE_ALL}, {QRELS}, {_metrics('m', 'dense10')} SELECT query_id, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(mrr, 6) AS mrr FROM m",
         "hit_at_k": f"WITH {DENSE_ALL}, {QRELS}, {_metrics('m', 'dense10')} SELECT k, round(avg(CASE WHEN first <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_rate FROM m, (VALUES (1), (3), (5), (10)) v(k) GROUP BY k",
         "precision_recall_at5": f"WITH {DENSE_ALL}, {QRELS}, e AS (SELECT query_id, chunk_id FROM qrels WHERE rel > 1), t AS (SELECT query_id, count(*) AS n FROM e GROUP BY query_id), g AS (SELECT d.query_id, count(*) FILTER (WHERE rank <= 5) AS cut, count(e.chunk_id) FILTER (WHERE rank <= 5) AS hit, min(rank) FILTER (WHERE e.chunk_id IS NOT NULL) AS first FROM dense10 d LEFT JOIN e ON e.query_id = d.query_id AND e.chunk_id = d.chunk_id GROUP BY d.query_id) SELECT g.query_id, round(hit::DOUBLE / n, 6) AS recall_at_5, round(hit::DOUBLE / cut, 6) AS precision_at_5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr FROM g JOIN t USING (query_id)",
@@ -208,8 +225,8 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "ingest_dedup": "WITH d AS (SELECT doc_id, source AS collection, sha256(text) AS h FROM documents), f AS (SELECT collection, h, min(doc_id) AS doc_id FROM d GROUP BY ALL) SELECT collection, count(*) AS n_new, min(doc_id) AS first_doc FROM f WHERE NOT (collection = 'src1' AND h IN (SELECT h FROM d WHERE collection = 'src0')) GROUP BY collection",
         "cascade_delete": "WITH k AS (SELECT * FROM documents WHERE source NOT IN ('src0', 'src3')) SELECT 'collections' AS name, count(DISTINCT source) AS n FROM k UNION ALL SELECT 'documents', count(*) FROM k UNION ALL SELECT 'links', count(*) FROM k",
         "upsert_latest": "SELECT user_id, event_type, value, event_id AS version FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
-        "quota_daily": "WITH e AS (SELECT user_id AS tenant, ts::DATE AS day, floor(value)::BIGINT AS tokens, sum(floor(value)) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events) SELECT tenant, day, sum(tokens)::BIGINT AS tokens, count(*) FILTER (WHERE used <= 200) AS n_admitted, count(*) AS n FROM e GROUP BY tenant, day",
-        "rate_per_minute": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
+        "quota_daily": "WITH RECURSIVE e AS (SELECT user_id AS tenant, ts::DATE AS day, floor(value)::BIGINT AS tokens, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS k FROM events), f AS (SELECT tenant, day, k, tokens, tokens <= 200 AS ok, CASE WHEN tokens <= 200 THEN greatest(tokens, 0) ELSE 0 END AS used FROM e WHERE k = 1 UNION ALL SELECT e.tenant, e.day, e.k, e.tokens, f.used + e.tokens <= 200, f.used + CASE WHEN f.used + e.tokens <= 200 THEN greatest(e.tokens, 0) ELSE 0 END FROM f JOIN e ON e.tenant = f.tenant AND e.day = f.day AND e.k = f.k + 1) SELECT tenant, day, sum(tokens)::BIGINT AS tokens, count(*) FILTER (WHERE ok) AS n_admitted, count(*) AS n FROM f GROUP BY tenant, day",
+        "rate_per_minute": f"SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > {c.RATE_LIMIT} AS limited FROM events GROUP BY 1, 2",
         "log_monthly": "SELECT strftime(ts, '%Y_%m') AS partition, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
         "export_delta": f"SELECT o_orderkey AS id, sha256(o_orderkey || '|' || sha256(o_orderkey::VARCHAR)) AS sync_hash FROM orders WHERE o_orderdate > TIMESTAMP '{c.WATERMARK:%Y-%m-%d}'",
         "export_rows": "SELECT doc_id::VARCHAR AS chunk_id, source, 'unknown' AS upstream_license, doc_id::VARCHAR AS document_id, 0 AS chunk_index, CASE WHEN coalesce(text, '') = '' THEN doc_id::VARCHAR ELSE sha256(text) END AS content_hash, lang AS namespace, lang || ', x' AS tags, source AS collection_name FROM documents",
@@ -220,20 +237,20 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "valid_rows": "WITH g AS (SELECT conv_id, trim(arg_max(text, turn), ' ') AS answer, list(text) AS texts, list(role) AS ids FROM conversations GROUP BY conv_id) SELECT conv_id, coalesce(length(answer) >= 30 AND len(list_filter(texts, lambda x: trim(coalesce(x, ''), ' ') <> '')) > 0 AND len(ids) > 0 AND NOT ends_with(answer, '...') AND 1 - len(list_distinct(ids))::DOUBLE / len(ids) <= 0.6, false) AS valid FROM g",
         "quality_gate": "SELECT *, CASE WHEN error_rate < 0.1 AND coverage >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT round(avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS error_rate, round(avg(CASE WHEN value >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS coverage FROM events)",
         "json_props": "SELECT event_id, props AS json FROM events",
-        "vector_literals": "SELECT vec_id, len(embedding)::INT AS dim, len(list_filter(embedding, lambda x: x > 0))::INT AS n_positive FROM embeddings",
+        "vector_literals": "SELECT vec_id, len(embedding)::INT AS dim, '[' || array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT), ',') || ']' AS literal FROM embeddings",
         "auth_lookup": "SELECT c_mktsegment AS plan, count(*) AS n FROM customer WHERE c_acctbal > 0 AND c_custkey % 3 <> 0 GROUP BY 1",
-        "cache_hit_rate": "WITH e AS (SELECT event_type, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 3600 SECONDS, false) AS hit FROM events) SELECT event_type, count(*) FILTER (WHERE hit) AS n_hits, count(*) AS n FROM e GROUP BY event_type",
+        "cache_hit_rate": "WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events), f AS (SELECT user_id, event_type, k, false AS hit, t + 3600000000 AS until FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_type, e.k, e.t < f.until, CASE WHEN e.t < f.until THEN f.until ELSE e.t + 3600000000 END FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.k = f.k + 1) SELECT event_type, count(*) FILTER (WHERE hit) AS n_hits, count(*) AS n FROM f GROUP BY event_type",
         "cache_keys": "SELECT event_id, sha256(user_id || chr(31) || event_type || chr(31) || props) AS key FROM events",
         "queue_states": f"{jobs} SELECT status, count(*) AS n FROM jobs GROUP BY status",
         "queue_dequeue": f"{jobs} SELECT job, status, \"at\" FROM jobs WHERE status = 'queued' ORDER BY \"at\", job LIMIT 10",
         "tombstones": "WITH g AS (SELECT user_id, max(event_id) AS gone FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT e.user_id, count(*) AS n FROM events e LEFT JOIN g USING (user_id) WHERE gone IS NULL OR event_id > gone GROUP BY e.user_id",
         "failure_report": f"SELECT class, count(*) AS n FROM (SELECT {_error_case()} AS class FROM (SELECT lower(coalesce(CASE WHEN event_type = 'error' THEN 'timed out' WHEN event_type = 'click' THEN 'HTTP ' || user_id ELSE props END, '')) AS e FROM events)) GROUP BY class",
         "slowest_samples": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 5",
-        "order_scan": "SELECT nullif(o_orderstatus, 'O') AS status, o_orderkey AS id FROM orders ORDER BY status NULLS FIRST, id LIMIT 20",
+        "order_scan": "SELECT nullif(o_orderstatus, 'O') AS status, o_orderkey AS id FROM orders",
         "rerank_gate": f"WITH {GATED} SELECT c.query_id, (c.query_id % 5 + 1 = 5) OR (c.query_id % 5 + 1 >= 3 AND NOT EXISTS (SELECT 1 FROM gated g WHERE g.query_id = c.query_id AND match_source = 'dense' AND score >= 0.45)) AS rerank FROM centroids c",
         "hop_modes": f"SELECT id, CASE WHEN id % 4 = 0 THEN 'manual' WHEN id % 5 + 1 <= 2 THEN 'concept_direct' ELSE 'auto' END AS mode, CASE WHEN id % 4 = 0 THEN 2 WHEN id % 5 + 1 <= 2 THEN 0 WHEN regexp_matches(trim(query), {_text(relational)}) THEN 1 ELSE 0 END AS hops FROM (VALUES {questions}) q(id, query)",
         "fallback_answers": f"WITH {FUSED}, a AS (SELECT f.query_id, string_agg(trim(d.text, ' '), chr(10) || chr(10) ORDER BY rank) AS answer FROM fused10 f JOIN documents d ON d.doc_id = f.chunk_id WHERE trim(d.text, ' ') <> '' GROUP BY f.query_id) SELECT query_id, sha256(answer) AS answer_sha256, ceil(length(answer)::DOUBLE / 500)::BIGINT AS n_pieces FROM a",
-        "graph_simulated": f"WITH RECURSIVE words AS (SELECT doc_id AS chunk_id, {_tokens('text')} AS words FROM documents), q(query_id, wanted) AS (VALUES {_values((k, '[' + ', '.join(map(_text, r._words(t))) + ']') for k, t in corpus.QUERIES)}), m AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS place FROM words, q WHERE list_has_all(words, wanted)), {EDGES}, starts AS (SELECT query_id, chunk_id, place - 1 AS place FROM m WHERE place <= 5), seeds AS (SELECT DISTINCT s.query_id, l.concept FROM starts s JOIN links l USING (chunk_id)), {_walk('edges', 'seeds', 1)}, parts AS (SELECT query_id, chunk_id, 2 / (1 + 0.1::DOUBLE * place) AS score FROM starts UNION ALL SELECT query_id, chunk_id, confidence * 0.35::DOUBLE / (1.0 + depth) FROM reached JOIN links USING (concept)), total AS (SELECT query_id, chunk_id, sum(score) AS score FROM parts GROUP BY ALL), {_top('best', 'total', r.RESULTS)} {RANKED} best",
+        "graph_simulated": f"WITH RECURSIVE w(query_id, word) AS (VALUES {_values((k, _text(x)) for k, t in corpus.QUERIES for x in sorted(set(t.lower().split())))}), base AS (SELECT query_id, doc_id AS chunk_id, count(*) / (1 + 0.1::DOUBLE * doc_id) AS score FROM documents, w WHERE contains(lower(text), word) GROUP BY query_id, doc_id), {_top('starts', 'base', 5)}, {EDGES}, seeds AS (SELECT DISTINCT s.query_id, l.concept FROM starts s JOIN links l USING (chunk_id)), {_walk('edges', 'seeds', 1)}, parts AS (SELECT query_id, chunk_id, score FROM base UNION ALL SELECT query_id, chunk_id, confidence * 0.35::DOUBLE / (1.0 + depth) FROM reached JOIN links USING (concept)), total AS (SELECT query_id, chunk_id, sum(score) AS score FROM parts GROUP BY ALL), {_top('best', 'total', r.RESULTS)} {RANKED} best",
         "graph_second_ring": f"WITH RECURSIVE {EDGES}, roots AS (SELECT 0 AS query_id, 'r' || r_regionkey AS concept FROM region), {_walk('edges', 'roots', 2)} SELECT substr(concept, 1, 1) AS kind, count(*) AS n FROM reached WHERE depth = 2 GROUP BY 1",
         "benchmark_questions": "WITH t AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS k FROM nation) SELECT i AS id, replace(['What is {topic}?', 'How does {topic} relate to trade?', 'How to ship to {topic}'][i % 3 + 1], '{topic}', n_name) AS query, ['fact', 'relation', 'procedure'][i % 3 + 1] AS kind FROM range(120) g(i) JOIN t ON t.k = (i // 3) % 25",
         "grounding": f"WITH {DENSE_ALL}, {QRELS} SELECT d.query_id, round(count(q.chunk_id) / 5.0::DOUBLE, 6) AS grounded FROM dense10 d LEFT JOIN qrels q ON q.query_id = d.query_id AND q.chunk_id = d.chunk_id WHERE rank <= 5 GROUP BY d.query_id",

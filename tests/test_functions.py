@@ -87,18 +87,30 @@ def test_negations(spark):
 
 def test_canonical_ids(spark):
     for value, want in (("document_123", "123"), ("chunk:456", "456"), ("doc_API-Guide/v1.0", "api-guide-v1.0")):
-        assert one(spark, tx.canonical_id, value) == want == sq.canonical_id(value)
+        assert one(spark, tx.canonical_id, value) == want
+    for value, want in (("Café 7", "cafe-7"), ("Doc Chunk: Ünïted  States ", "united-states"), ("--a!b--_", "ab"), (None, ""), ("日本", "")):
+        assert one(spark, tx.canonical_id, value) == want
 
 
 def test_html(spark):
     assert one(spark, tx.html_to_markdown, "<h1>Title</h1><p>Paragraph with &amp; entity</p>") == "\n# TitleParagraph with & entity\n".strip(" ")
 
 
-def test_context():
-    text = "## Section 1\n\nSee [Python](https://python.org). Duplicate sentence. Duplicate sentence. Unique!"
-    out = sq.normalize_context(text)
-    assert "##" not in out and "Python (https://python.org)" in out and out.count("Duplicate") == 1 and "Unique!" in out
-    assert [k for k, _, _ in sq.compress([("doc_1", "alpha one"), ("doc_1", "beta two"), ("doc_2", "gamma")], most=2)] == [0, 2]
+def test_context(spark):
+    plain = lambda t: one(spark, tx.distinct_sentences, t)
+    text = "## Part 2\n\nRead [the guide](https://guide.test). It is short. It is SHORT! Why not?\n> quoted\n---\n-*-\nend\there  now"
+    assert plain(text) == "Part 2\n\nRead the guide (https://guide.test). It is short. Why not? quoted\n\n-*-\nend\there now"
+    cut = lambda t, n: spark.createDataFrame([(t,)], "x string").select(tx.cut_context(F.col("x"), F.lit(n)).alias("y")).first().y
+    assert cut("short", 10) == "short"
+    assert cut("one two three", 9) == "one two..." and cut("abcdefghijkl", 5) == "abcde..." and cut("a bcdefghijkl", 8) == "a bcdefg..."
+
+
+def test_compress(spark):
+    rows = [(1, 1, "doc_1", "alpha one"), (1, 2, "doc_1", "beta two"), (1, 3, "doc_2", "gamma"), (1, 4, "doc_3", "Gamma!"), (1, 5, "doc_4", "delta " * 500), (1, 6, "doc_5", "late"), (2, 1, None, None), (2, 2, "", "x")]
+    table = spark.createDataFrame(rows, "query_id int, rank int, doc_id string, content string")
+    found = sorted((r.query_id, r["rank"], r.token_count) for r in retrieval.compress(table).collect())
+    assert found == [(1, 1, 2), (1, 3, 1), (1, 5, 249), (2, 1, 1), (2, 2, 1)]
+    assert sorted(r["rank"] for r in retrieval.compress(table, 2).where("query_id = 1").collect()) == [1, 3]
 
 
 def test_quality(spark):
@@ -152,8 +164,11 @@ def test_toc_and_links(spark):
     text = "# T\n- [a](#a)\n- [b](#b)\n- [c](#c)\n## Contents\nbody"
     once = one(spark, tx.strip_toc, text)
     assert "(#a)" not in once and "Contents" not in once and one(spark, tx.strip_toc, once) == once
-    link = sq.normalize_links("[x](https://a.b/c?utm_source=1&q=2&e=) [y](rel?ref=1)")
-    assert link == "[x](https://a.b/c?q=2) [y](rel?ref=1)" == sq.normalize_links(link)
+    link = one(spark, tx.clean_links, "[x](https://a.b/c?utm_source=1&q=2&e=) [y](rel?ref=1) end")
+    assert link == "[x](https://a.b/c?q=2) [y](rel?ref=1) end" == one(spark, tx.clean_links, link)
+    assert one(spark, tx.clean_links, "none here") == "none here"
+    for url, want in (("https://h/p?token=abc==&x=1", "https://h/p?token=abc%3D%3D&x=1"), ("https://h/p?a=b+c&REF=z#f", "https://h/p?a=b+c#f"), ("https://h/?a=%7E%2a~", "https://h/?a=~%2A~"), ("p?ref=1", "p?ref=1")):
+        assert one(spark, tx.clean_url, url) == want
     assert sq.config_hash({"t": 0.3}) != sq.config_hash({"t": 0.9})
 
 
@@ -196,8 +211,38 @@ def test_ingest_once(spark):
 
 def test_quota(spark):
     at = datetime.datetime(2024, 1, 1)
-    df = spark.createDataFrame([Row(event_id=i, tenant=1, ts=at, tokens=60) for i in range(3)])
-    assert [r.admitted for r in tables.quota(df, 120).orderBy("event_id").collect()] == [True, True, False]
+
+    def admitted(tokens, limit):
+        df = spark.createDataFrame([Row(event_id=i, tenant=1, ts=at, tokens=t) for i, t in enumerate(tokens)])
+        return [(r.admitted, r.used) for r in tables.quota(df, limit).orderBy("event_id").collect()]
+
+    assert admitted([60, 60, 60], 120) == [(True, 60), (True, 120), (False, 120)]
+    assert admitted([500, 10, 10], 200) == [(False, 0), (True, 10), (True, 20)]
+    assert [a for a, _ in admitted([500, 10], 0)] == [True, True]
+
+
+def test_cache(spark):
+    from corpusmith.operators import service
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(k, "a" if k < 9 else "b", at + datetime.timedelta(minutes=m)) for k, m in enumerate([0, 50, 100, 150, 160, 161])] + [(10, "b", at)]
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp")
+    found = {r.id: r.hit for r in service.cache_hits(df, ["key"]).collect()}
+    assert found == {0: False, 1: True, 2: False, 3: True, 4: False, 5: True, 10: False}
+
+
+def test_simulated_search(spark):
+    from corpusmith.operators import service
+
+    chunks = spark.createDataFrame([(10, 0, "Tokens and keys"), (11, 1, "a token"), (12, 2, "nothing")], "chunk_id int, place int, content string")
+    found = {r.chunk_id: round(r.score, 6) for r in service.keyword_scores(chunks, [(1, "token KEY token")]).collect()}
+    assert found == {10: 2.0, 11: round(1 / 1.1, 6)}
+
+
+def test_negation_after_reranking(spark):
+    rows = spark.createDataFrame([(1, 1, "plain", 1.0, 0.5), (1, 2, "has OAuth2", 2.5, 0.6), (2, 1, "x", None, 0.2), (2, 2, "oauth2", None, 0.3)], "query_id int, chunk_id int, content string, rerank_score double, score double")
+    found = sorted((r.query_id, r["rank"], r.chunk_id, r.rerank_score, r.score) for r in retrieval.negate_reranked(rows, F.array(F.lit("oauth2"))).collect())
+    assert found == [(1, 1, 1, 1.0, 0.5), (1, 2, 2, 0.5, 0.3), (2, 1, 1, None, 0.2), (2, 2, 2, None, 0.15)]
 
 
 def test_valid_rows(spark):
