@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.operators.retrieval import GRAPH_SEEDS, GRAPH_WEIGHT, RRF_K, top
+from corpusmith.scratch import save
 
 
 def traverse(roots: DataFrame, edges: DataFrame, hops: int, by: str = "query_id") -> DataFrame:
@@ -13,11 +14,16 @@ def traverse(roots: DataFrame, edges: DataFrame, hops: int, by: str = "query_id"
     least depth and by the first of its shortest paths. Frontiers advance by joins;
     what was visited drops out by an anti join, so paths do not multiply."""
     steps = edges.select(F.col("src").alias("concept"), F.col("dst")).distinct()
+    if hops > 1:
+        steps = save(steps, "steps")
     seen = roots.select(by, "concept").distinct().select(by, "concept", F.lit(0).alias("depth"), F.array("concept").alias("path"))
     frontier = seen
     for depth in range(1, hops + 1):
         reached = frontier.join(steps, "concept").groupBy(by, F.col("dst").alias("concept")).agg(F.min("path").alias("path"))
         frontier = reached.join(seen.select(by, "concept"), [by, "concept"], "left_anti").select(by, "concept", F.lit(depth).alias("depth"), F.concat("path", F.array("concept")).alias("path"))
+        if depth < hops:
+            # The next hop reads it twice; the plan does not grow with the hops.
+            frontier = save(frontier, "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

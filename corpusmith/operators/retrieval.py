@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as tx
+from corpusmith.scratch import save
 
 #: Fusion constant, candidates per list, results, graph weight and seeds, recency midpoint in days.
 RRF_K, CANDIDATES, RESULTS, GRAPH_WEIGHT, GRAPH_SEEDS, RECENCY_DAYS = 60, 40, 10, 0.25, 5, 30
 #: Fixed value: the rank of an item that a zero-based list lacks.
 ABSENT = 1_000_000
 K1, B = 1.2, 0.75
-#: Query rows that may be broadcast; a batch beyond it is split by its caller.
+#: Query rows that may be broadcast at once.
 MOST_QUERIES = 10_000
 
 
@@ -37,17 +39,24 @@ def top(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", tie
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): the cosine of every vector (chunk_id, vector, ...)
-    with every query (query_id, vector), in one scan of the vectors."""
+    with every query (query_id, vector), in one scan of the vectors. Vectors without a
+    direction (null, all zero, with a null in them) take no part."""
     norm = lambda c: F.sqrt(_dot(F.col(c), F.col(c)))
-    q = checked(queries.select("query_id", F.col("vector").alias("asked"), norm("vector").alias("asked_norm")))
+    q = checked(queries.select("query_id", F.col("vector").alias("asked"), norm("vector").alias("asked_norm")).where("asked_norm > 0"))
     # Norms are a column on either side, made once for each vector and not for each pair.
-    rows = vectors.where(F.col("vector").isNotNull()).withColumn("norm", norm("vector")).crossJoin(q)
+    rows = vectors.withColumn("norm", norm("vector")).where("norm > 0").crossJoin(q)
     return rows.select("query_id", "chunk_id", (_dot(F.col("vector"), F.col("asked")) / (F.col("norm") * F.col("asked_norm"))).alias("score"))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame:
-    """Exact cosine search: only ids and scores go on to the ranking."""
-    return top(dense_scores(vectors, queries), k)
+    """Exact cosine search: only ids and scores go on to the ranking. Queries beyond
+    MOST_QUERIES go in batches, each written down before the next is broadcast."""
+    parts = math.ceil(2 * queries.count() / MOST_QUERIES)
+    if parts <= 2:
+        return top(dense_scores(vectors, queries), k)
+    dealt = queries.withColumn("__part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    found = [save(top(dense_scores(vectors, dealt.where(F.col("__part") == b).drop("__part")), k), "dense-part") for b in range(parts)]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def postings(chunks: DataFrame, terms: list[str]) -> DataFrame:
@@ -63,7 +72,8 @@ def bm25(chunks: DataFrame, queries: list[tuple[int, str]], k: int = CANDIDATES)
 def bm25_scores(chunks: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
     """BM25 over lower-cased words without stemming. queries: (query_id, text)."""
     asked = sorted({(q, w) for q, text in queries for w in _words(text)})
-    held = postings(chunks, sorted({w for _, w in asked}))
+    # Texts are split once: statistics and scores both read what is written down here.
+    held = save(postings(chunks, sorted({w for _, w in asked})), "postings")
     # One pass for all statistics: a row for each asked term and one, of a blank term, for the corpus.
     seen = held.select("length", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))
     stats = {r.term: r for r in seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()}

@@ -13,6 +13,7 @@ from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
 from corpusmith.operators import evaluate, graph, retrieval, service, tables
 from corpusmith.plans import sql
+from corpusmith.scratch import save
 from corpusmith.sources import sinks
 from corpusmith.streaming import flows
 
@@ -64,12 +65,10 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "chunk_id", "rank", rounded("score").alias("score"))
 
 
-def _user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as markdown documents, a section a turn."""
-    rows = corpus.table(spark, sf_dir, "conversations")
-    part = F.concat(F.lit("## "), F.coalesce("role", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
-    return turns.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"), F.array_join("parts.part", "\n\n").alias("text"))
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as markdown of two sections: the text below its language, then the source."""
+    parts = [F.lit("# "), F.coalesce("lang", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n## Source\n\n"), F.coalesce("source", F.lit(""))]
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
 
 
 @query
@@ -77,6 +76,14 @@ def dense_top10(spark, sf_dir):
     return _ranked(_dense(spark, sf_dir, retrieval.RESULTS))
 
 
+@query
+def dense_rows_top10(spark, sf_dir):
+    """Every row whose id is divisible by 100 against all rows, itself among them."""
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.where(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
+    return _ranked(retrieval.dense(vectors, asked))
+
+
 @query
 def bm25_top40(spark, sf_dir):
     return _ranked(_lexical(spark, sf_dir))
@@ -133,7 +140,10 @@ def negation_partition(spark, sf_dir):
 
 
 def _gated(spark, sf_dir):
-    return retrieval.gate(_dense(spark, sf_dir, retrieval.RESULTS), retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS))
+    """One dense search serves both lists: its best ten stand alone, all are fused."""
+    d = save(_dense(spark, sf_dir, retrieval.CANDIDATES), "dense")
+    hybrid = save(retrieval.top(retrieval.fuse(d, _lexical(spark, sf_dir)), retrieval.RESULTS), "hybrid")
+    return retrieval.gate(d.where(F.col("rank") <= retrieval.RESULTS), hybrid)
 
 
 @query
@@ -211,14 +221,14 @@ def graph_lineage(spark, sf_dir):
 
 @query
 def graph_rrf(spark, sf_dir):
-    fused = _fused(spark, sf_dir)
+    fused = save(_fused(spark, sf_dir), "fused")
     scores = graph.graph_scores(fused, corpus.links(spark, sf_dir), corpus.edges(spark, sf_dir), 1)
     return _ranked(graph.graph_fuse(fused, scores, retrieval.RESULTS))
 
 
 @query
 def graph_bench_sum(spark, sf_dir):
-    return _ranked(graph.graph_sum(_fused(spark, sf_dir), corpus.links(spark, sf_dir), corpus.edges(spark, sf_dir), retrieval.RESULTS))
+    return _ranked(graph.graph_sum(save(_fused(spark, sf_dir), "fused"), corpus.links(spark, sf_dir), corpus.edges(spark, sf_dir), retrieval.RESULTS))
 
 
 @query
@@ -266,18 +276,18 @@ def hash_embedding(spark, sf_dir):
 
 @query
 def chunk_simple(spark, sf_dir):
-    """A chunk at each heading of the conversations' markdown."""
-    parts = F.posexplode(F.split(F.col("text"), "(?m)^(?=## )")).alias("at", "content")
-    rows = _user_turns(spark, sf_dir).select("doc_id", parts).where("trim(content) <> ''")
+    """A chunk at each heading of the documents' markdown."""
+    parts = F.posexplode(F.split(F.col("text"), "\n(?=## )")).alias("at", "content")
+    rows = _markdown(spark, sf_dir).select("doc_id", parts).where("trim(content) <> ''")
     title = F.trim(F.regexp_extract("content", r"^#+ ([^\n]*)", 1))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
-    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#c"), F.lpad(order.cast("string"), 3, "0")).alias("chunk_id"), F.when(title == "", "Overview").otherwise(title).alias("section"), F.length(F.rtrim(F.regexp_replace("content", r"\s+$", ""))).alias("chars"))
+    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#c"), F.lpad(order.cast("string"), 3, "0")).alias("chunk_id"), F.when(title == "", "Overview").otherwise(title).alias("section"), F.length(F.rtrim("content", F.lit(" \t\n\x0b\f\r"))).alias("chars"))
 
 
 @query
 def chunk_pack(spark, sf_dir):
-    rows = sequential.chunk_documents(_user_turns(spark, sf_dir))
-    doc = F.sha2(F.concat(F.lit("conv:"), F.col("doc_id").cast("string")), 256)
+    rows = sequential.chunk_documents(_markdown(spark, sf_dir))
+    doc = F.sha2(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), 256)
     return rows.select("doc_id", "chunk_order", "token_count", tx.chunk_id(doc, F.col("chunk_order"), F.col("content")).alias("chunk_id"), tx.chunk_quality(F.col("content"), F.col("token_count")).alias("quality"))
 
 
@@ -301,7 +311,7 @@ def html_to_markdown(spark, sf_dir):
 @query
 def toc_strip(spark, sf_dir):
     text = F.concat(F.lit(TOC + "\n"), F.col("text"))
-    return corpus.table(spark, sf_dir, "benchmark").select("item_id", tx.strip_toc(text).alias("text"))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", tx.strip_toc(text).alias("text"))
 
 
 @query
@@ -617,7 +627,7 @@ def document_counts(spark, sf_dir):
 
 @query
 def chunk_paragraphs(spark, sf_dir):
-    rows = _user_turns(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("at", "part")).where("trim(part) <> ''")
+    rows = _markdown(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("at", "part")).where("trim(part) <> ''")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("part")).alias("chars"))
 
 
@@ -630,7 +640,7 @@ def filtered_export(spark, sf_dir):
 
 @query
 def chunk_sections(spark, sf_dir):
-    rows = sequential.chunk_documents(_user_turns(spark, sf_dir), how=sequential.sections)
+    rows = sequential.chunk_documents(_markdown(spark, sf_dir), how=sequential.sections)
     return rows.select("doc_id", "chunk_order", "token_count", F.sha2("content", 256).alias("content_hash"))
 
 

@@ -33,6 +33,8 @@ dense_all AS (
 dense_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense_all),
 dense40 AS (SELECT * FROM dense_ranked WHERE rank <= {r.CANDIDATES}), dense10 AS (SELECT * FROM dense_ranked WHERE rank <= {r.RESULTS})"""
 
+COSINE = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
+
 LEX_ALL = f"""asked(query_id, term) AS (VALUES {_values((q, _text(w)) for q, w in ASKED)}),
 words AS (SELECT doc_id AS chunk_id, {_tokens('text')} AS words FROM documents),
 sizes AS (SELECT count(*) AS n, avg(len(words)) AS mean_length FROM words),
@@ -93,7 +95,7 @@ def _metrics(name: str, ranked: str) -> str:
   FROM {name}_ideal i LEFT JOIN {name}_hits h USING (query_id))"""
 
 
-MARKDOWN = """turns AS (SELECT conv_id AS doc_id, string_agg('## ' || coalesce(role, '') || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
+MARKDOWN = """marked AS (SELECT doc_id, '# ' || coalesce(lang, '') || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '## Source' || chr(10) || chr(10) || coalesce(source, '') AS text FROM documents)"""
 
 
 def _html() -> str:
@@ -177,6 +179,7 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
     jobs = "WITH jobs AS (SELECT user_id AS job, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' ELSE 'complete' END AS status, ts AS \"at\" FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
     return {
         "dense_top10": f"WITH {DENSE_ALL} {RANKED} dense10",
+        "dense_rows_top10": f"SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 9) DESC, e.vec_id)::INT AS rank, round({COSINE}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= {r.RESULTS}",
         "bm25_top40": f"WITH {LEX_ALL} {RANKED} lex40",
         "fts_and_match": f"WITH words AS (SELECT doc_id, {_tokens('text')} AS words FROM documents), q(query_id, wanted) AS (VALUES {_values((k, '[' + ', '.join(map(_text, r._words(t))) + ']') for k, t in corpus.QUERIES)}) SELECT query_id, count(*) AS n, min(doc_id) AS first_chunk FROM words, q WHERE list_has_all(words, wanted) GROUP BY query_id",
         "hybrid_rrf_sql": f"WITH {FUSED} {RANKED} fused10",
@@ -204,11 +207,11 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "concept_ilike": "SELECT '### Concept: ' || n_name || ' (nation)' || chr(10) || 'A nation.' AS content, 1.0::DOUBLE AS score, 'concept:' || n_name AS source_url FROM nation WHERE n_name ILIKE '%an%' OR n_name ILIKE '%1%' ORDER BY n_name LIMIT 4",
         "title_mentions": f"SELECT entity, count(*) AS n FROM documents, (VALUES {_values((_text(t),) for t in terms)}) v(entity) WHERE contains(lower(text), entity) GROUP BY entity",
         "hash_embedding": "WITH w AS (SELECT item_id, sha256(word) AS h FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM benchmark) WHERE word <> ''), s AS (SELECT item_id, ('0x' || substr(h, 1, 8))::BIGINT % 768 AS dim, sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM w GROUP BY ALL) SELECT * FROM (SELECT item_id, dim, round(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY item_id)), 0), 8) AS x FROM s) WHERE x <> 0",
-        "chunk_simple": "WITH t AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) SELECT doc_id, doc_id || '#c' || lpad(k::VARCHAR, 3, '0') AS chunk_id, CASE WHEN trim(role) = '' THEN 'Overview' ELSE trim(role) END AS section, length(regexp_replace('## ' || role || chr(10) || chr(10) || text, '\\s+$', ''))::INT AS chars FROM t",
+        "chunk_simple": f"WITH {MARKDOWN}, p AS (SELECT doc_id, unnest(c) AS content, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10) || '## ', chr(1) || '## '), chr(1)) AS c FROM marked)), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, trim(regexp_extract(content, '^#+ ([^\\n]*)', 1), ' ') AS title FROM p WHERE trim(content, ' ') <> '') SELECT doc_id, doc_id || '#c' || lpad(k::VARCHAR, 3, '0') AS chunk_id, CASE WHEN title = '' THEN 'Overview' ELSE title END AS section, length(rtrim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))::INT AS chars FROM t",
         "chunk_ids_quality": f"SELECT doc_id, n AS token_count, {_chunk_id('doc_id', '0', 'text')} AS chunk_id, {_quality('text', 'n')} AS quality, substr(sha256(doc_id || '::' || source), 1, 24) AS short_id FROM (SELECT *, greatest(1, length(text) // 4)::INT AS n FROM documents WHERE text IS NOT NULL)",
         "parse_confidence": "WITH l AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ') <> '') AS lines FROM documents) SELECT doc_id, (CASE WHEN length(trim(coalesce(text, ''), ' ')) < 50 THEN 0.5 ELSE least(1.0, round(0.7 + CASE WHEN len(list_filter(lines, lambda x: starts_with(x, '#'))) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(lines) > 5 THEN 0.1 ELSE 0 END + CASE WHEN contains(text, '```') THEN 0.1 ELSE 0 END, 2)) END)::DOUBLE AS confidence FROM l",
         "html_to_markdown": f"SELECT page_id, {_html()} AS markdown FROM pages",
-        "toc_strip": rf"SELECT item_id, regexp_replace(regexp_replace(regexp_replace({toc} || text, '(?m)(?:^[ \t]*(?:\*|-|\d+\.)\s*\[.+?\]\(#.+?\)\s*\n){{3,}}', chr(10), 'g'), '(?mi)^#{{1,4}}\s+(Table of Contents|Contents|TOC|Index)\s*$\n?', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM benchmark",
+        "toc_strip": rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({toc} || text, '(?m)(?:^[ \t]*(?:\*|-|\d+\.)\s*\[.+?\]\(#.+?\)\s*\n){{3,}}', chr(10), 'g'), '(?mi)^#{{1,4}}\s+(Table of Contents|Contents|TOC|Index)\s*$\n?', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents",
         "url_params_clean": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^[^=]*=(.*)$', 1) <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || tail AS url FROM k",
         "canonical_ids": f"SELECT page_id, {_canonical(chr(39) + ' Document:' + chr(39) + ' || url')} AS id, {name} AS name FROM pages",
         "context_normalize": f"WITH {_context('documents', 'doc_id', 'text')}, c AS (SELECT doc_id, plain, rtrim(substr(plain, 1, 1000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM plains), h AS (SELECT *, regexp_extract(cut, '(?s)^(.*[ \\n])', 1) AS head FROM c) SELECT doc_id, CASE WHEN length(plain) <= 1000 THEN plain WHEN length(head) - 1 > 650 THEN regexp_replace(head, '\\s+$', '') || '...' ELSE cut || '...' END AS context FROM h",
@@ -256,7 +259,7 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "grounding": f"WITH {DENSE_ALL}, {QRELS} SELECT d.query_id, round(count(q.chunk_id) / 5.0::DOUBLE, 6) AS grounded FROM dense10 d LEFT JOIN qrels q ON q.query_id = d.query_id AND q.chunk_id = d.chunk_id WHERE rank <= 5 GROUP BY d.query_id",
         "index_percentiles": "SELECT event_type, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95::DOUBLE)::BIGINT) + 1] AS p95 FROM events GROUP BY event_type",
         "document_counts": "SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1",
-        "chunk_paragraphs": f"WITH {MARKDOWN}, p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part FROM turns) SELECT doc_id, count(*) AS n, sum(length(part))::BIGINT AS chars FROM p WHERE trim(part, ' ') <> '' GROUP BY doc_id",
+        "chunk_paragraphs": f"WITH {MARKDOWN}, p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part FROM marked) SELECT doc_id, count(*) AS n, sum(length(part))::BIGINT AS chars FROM p WHERE trim(part, ' ') <> '' GROUP BY doc_id",
         "filtered_export": f"SELECT o_orderpriority, count(*) AS n, max(o_orderdate) AS watermark FROM orders WHERE o_orderdate > TIMESTAMP '{c.WATERMARK:%Y-%m-%d}' AND o_orderstatus = 'F' AND starts_with(o_orderpriority, '1') GROUP BY 1",
         "ext_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
         "ext_sliding": "SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY start",
