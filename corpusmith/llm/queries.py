@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmith.deploy import shipped
-from corpusmith.llm import bpe, chat, decontam, hosts, lines, quality, shards, simhash, topk, toxicity
+from corpusmith.llm import bpe, centroids, chat, decontam, hosts, late, lines, onebit, quality, shards, simhash, topk, toxicity
 from corpusmith.llm.common import table
 
 #: The rules that op6 is asked for, as (verdict, host and path).
@@ -14,6 +16,9 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net
 #: The conversation that op7 adds.
 ADDED_CONVERSATION, ADDED_TEXT = -7, r"\### Assistant: </turn> ok"
 
+#: The arrival from which op11's rows are late, and the number that sets its rows a file.
+LATE_FROM, LATE_FILES = datetime.datetime(2024, 4, 10), 700
+
 
 def vocabulary() -> str:
     import public_tokenizers
@@ -71,8 +76,23 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = table(spark, sf_dir, "sales")
+    made, days = late.overwrite(late.with_copies(sales), LATE_FROM, 1 + sales.count() // LATE_FILES)
+    return late.described(made, days)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(*centroids.cluster(table(spark, sf_dir, "embeddings"), 40, 5))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def queries() -> dict:
-    return {f.__name__: shipped(f) for f in (op1_bpe, op2_simhash, op3_quality, op4_decontamination, op5_line_dedup, op6_url_filters, op7_chat, op8_toxicity, op9_sharding, op10_topk)}
+    found = (op1_bpe, op2_simhash, op3_quality, op4_decontamination, op5_line_dedup, op6_url_filters, op7_chat, op8_toxicity, op9_sharding, op10_topk, op11_late_overwrite, op12_centroids, op13_neighbours)
+    return {f.__name__: shipped(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
