@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions only.
 
 Texts become templates: numbers, units after numbers and names turn into typed
-placeholders, all other words are lower-cased and stripped of punctuation. A
-name is a capitalised word, wherever it stands.
+placeholders, all other words are lower-cased and stripped of punctuation. A number
+may be spelled out ("three", "twenty-five"). A name is a capitalised word; one at the
+start of a sentence fits a name, but counts as a word where words are counted.
 
 Search. Windows of WINDOW words of every text are hashed and joined with the
 windows of all items: as plain words (numbers and units typed, whatever the
@@ -18,15 +19,17 @@ one shift, in a stretch of close shifts (words put in or left out), or over all
 of them: each slot value of the item is answered by one value, with up to
 1 - SLOT_SHARE exceptions. Different values may have the same answer.
 
-Items of fewer words than a window, or of more slots than words, are templates
-that fit by chance; their values must be equal, but for case.
+Of an item with fewer words than slots the units must be equal, as they are what is left
+to know it by; where words and units together are fewer than the other slots (a row
+of numbers), and in items of fewer words than a window, all values must be equal, but
+for case: such templates fit by chance.
 
 Defined results: a null text holds nothing; items without a word are never
 found; rows are judged by their text, so a row without an id is found with a
 null id, an item without one likewise, and rows that repeat an id are judged one
-by one; a document with several items gives a row for each, equal rows one;
-spelled-out numbers fit numbers in the check, not in the search; a name of two
-words does not fit one of one word, which costs the windows over it; empty
+by one; a document with several items gives a row for each, equal rows one; "one" is a
+word, not a number; a name of two words does not fit one of one word, which costs
+the windows over it; an item of one word is found wherever that word stands; empty
 tables give no rows. Extra columns are not read.
 """
 
@@ -46,24 +49,38 @@ SLOT_SHARE, HARD = 0.9, 2
 SHIFTS = 256
 #: Units that count as such after a number; numbers written as words.
 UNITS = "%|km|m|cm|mm|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|liters?|litres?|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|mph|kmh|degrees?"
-SPELLED = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand".split()
+SPELLED = dict(zip("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand".split(), [*range(2, 21), *range(30, 100, 10), 100, 1000]))
 #: MARK opens a placeholder, its type and value follow; POINT stands for a separator inside a number.
 MARK, POINT = "\u0001", "\u0002"
 #: Not between words. The first ranges say nothing new, but are quick to look up.
 INSIDE = rf"a-z0-9{MARK}{POINT}\p{{L}}\p{{N}}"
 
 
+#: A spelled-out number, and where one ends.
+_SPELLED, _END = f"(?:{'|'.join(SPELLED)})", r"(?![\p{L}\p{N}])"
+
+
+def _digits(text, values: bool):
+    """text with spelled-out numbers in digits, several in a row as one number; all as 0 if their values do not matter."""
+    start = r"(?i)(?=[efhnst])(?<![\p{L}\p{N}])"
+    if not values:
+        return F.regexp_replace(text, f"{start}{_SPELLED}(?:[ -]{_SPELLED}{_END})*{_END}", "0")
+    text = F.regexp_replace(text, f"{start}({_SPELLED})[ -](?={_SPELLED}{_END})", f"$1{POINT}")
+    return reduce(lambda t, w: F.regexp_replace(t, f"{start}{w}{_END}", str(SPELLED[w])), SPELLED, text)
+
+
 def _numbered(rows: DataFrame, values: bool) -> DataFrame:
     """rows with numbers and units of `text` as placeholders, with their values or without."""
+    rows = rows.withColumn("text", _digits(F.translate("text", POINT, " "), values))
     x = F.col("text")
     number = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}{POINT}])([0-9][0-9{POINT}]*)"
     n, u = (f" {MARK}n$1 ", f"{MARK}u$2 ") if values else (f" {MARK}n ", f"{MARK}u ")
     # The capital dotted I has a lower case of two characters, the second of which would part a word.
-    out = F.translate(x, f"{MARK}{POINT}İ", "  I")
+    out = F.translate(x, f"{MARK}İ", " I")
     out = F.regexp_replace(out, r"(?<=[0-9])[.,](?=[0-9])", POINT)
     out = F.regexp_replace(out, rf"(?i){number}[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", n + u)
     out = F.regexp_replace(out, number, n)
-    return rows.withColumn("text", F.when(x.rlike(f"[0-9{MARK}{POINT}İ]"), out).otherwise(x))
+    return rows.withColumn("text", F.when(x.rlike(f"[0-9{MARK}İ]"), out).otherwise(x))
 
 
 def _split(text):
@@ -78,10 +95,12 @@ def scanned(rows: DataFrame, named: bool) -> DataFrame:
 
 
 def typed(rows: DataFrame) -> DataFrame:
-    """rows with `words`, in the same places as scanned() has them: (v, k), value and kind (n, u, p, s or none)."""
-    marked = _split(F.regexp_replace("text", r"\p{Lu}\p{L}*", f"{MARK}p$0"))
-    value = lambda w: F.regexp_replace(w, f"{MARK}[nup]", "")
-    kind = lambda w: F.when(F.startswith(w, F.lit(MARK)), F.substring(w, 2, 1)).when(w.isin(SPELLED), "s").otherwise("")
+    """rows with `words`, in the same places as scanned() has them: (v, k), value and kind: n, u, p (name), c (capital at
+    the start of a sentence) or none."""
+    marked = F.regexp_replace("text", r"\p{Lu}\p{L}*", f"{MARK}p$0")
+    marked = _split(F.regexp_replace(marked, rf"((?:^|[.!?\n])[^\p{{L}}\p{{N}}{MARK}]*){MARK}p", f"$1{MARK}c"))
+    value = lambda w: F.regexp_replace(w, f"{MARK}[nupc]", "")
+    kind = lambda w: F.when(F.startswith(w, F.lit(MARK)), F.substring(w, 2, 1)).otherwise("")
     return _numbered(rows, True).withColumn("words", F.transform(marked, lambda w: F.struct(value(w).alias("v"), kind(w).alias("k")))).drop("text")
 
 
@@ -109,8 +128,10 @@ def asked(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     # Written down, so that what follows reads words instead of making them at each mention.
     rows = save(rows, "benchmark-words").where(F.size("plain") > 0)
     kinds = F.transform("words", lambda w: w["k"])
-    n_hard = F.size(F.filter(kinds, lambda k: k == ""))
-    rows = rows.withColumns({"n": F.size("plain"), "kinds": kinds, "free": (F.size("plain") >= WINDOW) & (n_hard * 2 >= F.size("plain"))})
+    number = lambda *of: F.size(F.filter(kinds, lambda k: k.isin(*of)))
+    rows = rows.withColumns({"n": F.size("plain"), "wordy": number("", "c") * 2 >= F.size("plain"), "free": (F.size("plain") >= WINDOW) & (number("", "c", "u") * 2 >= F.size("plain"))})
+    rows = rows.withColumn("words", F.transform("words", lambda w: F.struct(w["v"].alias("v"), F.when((w["k"] == "u") & ~F.col("wordy"), "").otherwise(w["k"]).alias("k"))))
+    rows = rows.withColumn("kinds", kinds)
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - WINDOW))
     # A short item's one window has its own width, which also tells its hash apart.
     whole = reduce(lambda a, w: a.when(F.col("n") == w, _hash(F.col("plain"), F.lit(0), w, -w)), range(2, WINDOW), F.when(F.col("n") == 1, _hash(F.col("plain"), F.lit(0), 1, -1)))
@@ -118,8 +139,8 @@ def asked(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     seen = lambda i: F.slice("kinds", i + 1, WINDOW)
     count = lambda i, test: F.size(F.filter(seen(i), test))
     windows = F.transform(places, lambda i: F.struct(
-        i.alias("pos"), h(i).alias("h"), F.when((F.col("n") >= WINDOW) & (count(i, lambda k: k == "p") > 0), _hash(F.col("named"), i, WINDOW, 1)).alias("named"),
-        (count(i, lambda k: k.isin("p", "s")) > 0).alias("soft"), (count(i, lambda k: k == "s") > 0).alias("spelled"), count(i, lambda k: k == "").alias("hard"),
+        i.alias("pos"), h(i).alias("h"), F.when((F.col("n") >= WINDOW) & (count(i, lambda k: k.isin("p", "c")) > 0), _hash(F.col("named"), i, WINDOW, 1)).alias("named"),
+        (count(i, lambda k: k.isin("p", "c")) > 0).alias("soft"), count(i, lambda k: k.isin("", "c")).alias("hard"),
     ))
     rows = rows.withColumn("windows", windows)
     hashes = F.transform("windows", lambda w: w["h"])
@@ -136,7 +157,7 @@ def probes(items: DataFrame) -> DataFrame:
     sure = rows.groupBy("ik").agg(F.count_if(~F.col("soft")).alias("sure"))
     rows = rows.join(sure, "ik")
     plain = ~F.col("free") | ((F.col("sure") > F.col("missing")) & ~F.col("soft"))
-    masked = F.col("free") & (F.col("sure") <= F.col("missing")) & ~F.col("spelled") & (F.col("hard") >= HARD)
+    masked = F.col("free") & (F.col("sure") <= F.col("missing")) & (F.col("hard") >= HARD)
     found = F.when(plain, F.array("h")).when(masked, F.array_compact(F.array("h", "named")))
     return rows.select("ik", "pos", F.explode(found).alias("h"), "missing")
 
@@ -153,11 +174,9 @@ def hits(docs: DataFrame, wanted: DataFrame, forms: dict[int, bool], text_col: s
         columns["h1"] = F.when(F.array_contains(F.array(*(F.get("named", F.col("at") + k) == f"{MARK}p" for k in range(WINDOW))), True), _hash(F.col("named"), F.col("at"), WINDOW, 1))
     columns |= {f"s{w}": _hash(F.col("plain"), F.col("at"), w, -w) for w in range(1, WINDOW) if forms[-w]}
     rows = rows.select("key", "at", *(x.alias(c) for c, x in columns.items()))
-    for c in columns:
-        rows = rows.join(wanted.select(F.col("h").alias(c), F.lit(True).alias(f"{c}_met")), c, "left")
-    met = reduce(lambda a, b: a | b, (F.col(f"{c}_met").isNotNull() for c in columns))
-    found = F.array_compact(F.array(*(F.when(F.col(f"{c}_met").isNotNull(), F.col(c)) for c in columns)))
-    return rows.where(met).select("key", "at", F.explode(found).alias("h"))
+    if len(columns) > 1:
+        rows = rows.select("key", "at", F.explode(F.array(*columns)).alias("h")).where("h is not null")
+    return rows.withColumnRenamed("h0", "h").join(wanted, "h", "left_semi").select("key", "at", "h")
 
 
 def laid(pairs: DataFrame, items: DataFrame, texts: DataFrame) -> DataFrame:
@@ -169,8 +188,8 @@ def laid(pairs: DataFrame, items: DataFrame, texts: DataFrame) -> DataFrame:
     # Only the words under an item go on with its shift, not the whole text.
     beside = F.transform("some", lambda s: F.struct(s.alias("shift"), F.transform("words", lambda t, i: F.get("there", s + i)).alias("here")))
     rows = rows.select("key", "ik", "words", "width", "free", "rep", F.explode(beside).alias("x")).select("key", "ik", "words", "width", "free", "rep", "x.*")
-    numbers = lambda k: k.isin("n", "s")
-    alike = lambda t, d: (numbers(t["k"]) & numbers(d["k"])) | ((t["k"] == d["k"]) & t["k"].isin("u", "p"))
+    name = lambda k: k.isin("p", "c")
+    alike = lambda t, d: (name(t["k"]) & name(d["k"])) | ((t["k"] == d["k"]) & t["k"].isin("n", "u"))
     fits = F.zip_with("words", "here", lambda t, d: F.coalesce((t["v"] == d["v"]) | (F.col("free") & alike(t, d)), F.lit(False)))
     rows = rows.withColumn("fits", fits)
     rows = rows.withColumn("won", F.transform("rep", lambda r, j: F.forall(F.slice("fits", j + 1, F.col("width")), lambda x: x)))
