@@ -56,16 +56,18 @@ MARK, POINT = "\u0001", "\u0002"
 INSIDE = rf"a-z0-9{MARK}{POINT}\p{{L}}\p{{N}}"
 
 
-#: A spelled-out number, and where one ends.
+#: A spelled-out number, those that another may follow, those that may follow any, and where one ends.
+_TENS, _POWERS = "|".join(w for w, n in SPELLED.items() if n >= 20), "(?:hundred|thousand)"
 _SPELLED, _END = f"(?:{'|'.join(SPELLED)})", r"(?![\p{L}\p{N}])"
 
 
 def _digits(text, values: bool):
-    """text with spelled-out numbers in digits, several in a row as one number; all as 0 if their values do not matter."""
+    """text with spelled-out numbers in digits, those of several words as one number; all as 0 if their values do not matter."""
     start = r"(?i)(?=[efhnst])(?<![\p{L}\p{N}])"
     if not values:
-        return F.regexp_replace(text, f"{start}{_SPELLED}(?:[ -]{_SPELLED}{_END})*{_END}", "0")
-    text = F.regexp_replace(text, f"{start}({_SPELLED})[ -](?={_SPELLED}{_END})", f"$1{POINT}")
+        return F.regexp_replace(text, f"{start}{_SPELLED}(?:(?:(?<={_TENS})[ -]{_SPELLED}|[ -]{_POWERS}){_END})*{_END}", "0")
+    text = F.regexp_replace(text, f"{start}({_TENS})[ -](?={_SPELLED}{_END})", f"$1{POINT}")
+    text = F.regexp_replace(text, f"{start}({_SPELLED})[ -](?={_POWERS}{_END})", f"$1{POINT}")
     return reduce(lambda t, w: F.regexp_replace(t, f"{start}{w}{_END}", str(SPELLED[w])), SPELLED, text)
 
 
