@@ -5,8 +5,11 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmith.functions import text as tx
 from corpusmith.scratch import save
@@ -16,8 +19,8 @@ RRF_K, CANDIDATES, RESULTS, GRAPH_WEIGHT, GRAPH_SEEDS, RECENCY_DAYS = 60, 40, 10
 #: Fixed value: the rank of an item that a zero-based list lacks.
 ABSENT = 1_000_000
 K1, B = 1.2, 0.75
-#: Query rows that may be broadcast at once.
-MOST_QUERIES = 10_000
+#: Query rows, and components of query vectors, that may be sent to all tasks at once.
+MOST_QUERIES, BATCH_CELLS = 10_000, 1 << 21
 
 
 def _dot(a, b):
@@ -48,44 +51,123 @@ def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "chunk_id", (_dot(F.col("vector"), F.col("asked")) / (F.col("norm") * F.col("asked_norm"))).alias("score"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame:
-    """Exact cosine search: only ids and scores go on to the ranking. Queries beyond
-    MOST_QUERIES go in batches, each written down before the next is broadcast."""
-    parts = math.ceil(2 * queries.count() / MOST_QUERIES)
-    if parts <= 2:
-        return top(dense_scores(vectors, queries), k)
-    dealt = queries.withColumn("__part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    found = [save(top(dense_scores(vectors, dealt.where(F.col("__part") == b).drop("__part")), k), "dense-part") for b in range(parts)]
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column, padded with zeros to at least width."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    width = max(width, int(lengths.max(initial=0)))
+    if (lengths == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width)[None, :] < lengths[:, None]] = flat
+    return out
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their lengths; those without a direction become NaN."""
+    with np.errstate(all="ignore"):
+        x = x / np.abs(x).max(axis=1, initial=0)[:, None]
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _best(sent, k: int):
+    """Each query's k best rows of those that a task sees, a batch and part at a time as one matrix product."""
+
+    def batches(it):
+        asked = sent.value.combine_chunks()
+        ids, parts = asked.column("query_id").combine_chunks(), asked.column("parts").to_pylist()
+        q = units(matrix(asked.column("vector").combine_chunks(), 0))
+        best = [(np.empty(0), []) for _ in parts]
+        for batch in it:
+            x = units(matrix(batch.column(1), q.shape[1]))
+            sound, part = ~np.isnan(x).any(axis=1), batch.column(2).to_numpy()
+            wide = np.pad(q, ((0, 0), (0, x.shape[1] - q.shape[1])))
+            for p in np.unique(part[sound]):
+                here = np.flatnonzero(sound & (part == p))
+                there = np.array([n for n, want in enumerate(parts) if want is None or p in want], np.int64)
+                names = batch.column(0).take(pa.array(here))
+                for at, row in zip(there, wide[there] @ x[here].T):
+                    old, old_names = best[at]
+                    # Ranks go by nine places, so what equals the kth score there may still enter by its id.
+                    pick = np.flatnonzero(row >= (old[k - 1] - 1e-8 if len(old) >= k else -2.0))
+                    if len(pick) > 8 * k:
+                        pick = pick[row[pick] >= np.partition(row[pick], len(pick) - k)[len(pick) - k] - 1e-8]
+                    if len(pick):
+                        new = zip(row[pick].tolist(), names.take(pa.array(pick)).to_pylist())
+                        rows = sorted([*zip(old.tolist(), old_names), *new], key=lambda r: (-round(r[0], 9), r[1]))[:k]
+                        best[at] = (np.array([r[0] for r in rows]), [r[1] for r in rows])
+        filled = np.repeat(np.arange(len(best)), [len(s) for s, _ in best])
+        if len(filled):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(filled)), pa.array([n for _, names in best for n in names], batch.schema.types[0]), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "chunk_id", "score"])
+
+    return batches
+
+
+def scan(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest by cosine of each query (query_id, vector, parts array<int>) among
+    the rows (chunk_id, vector, part int) of its parts, all of them where that is null. Queries are sent to all tasks
+    in batches of at most BATCH_CELLS components; each task keeps the best k of its own rows. Vectors without a
+    direction (null, all zero, with a null or a component that is not finite) take no part."""
+    spark = rows.sparkSession
+    doubles = F.col("vector").cast("array<double>").alias("vector")
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
+    asked = save(queries.where(F.coalesce(sound, F.lit(False))).select("query_id", doubles, "parts"), "scan-queries")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    there = rows.where(F.coalesce(sound, F.lit(False))).select("chunk_id", doubles, "part")
+    fields = [T.StructField(c, t.schema[c].dataType) for t, c in ((asked, "query_id"), (there, "chunk_id"))] + [T.StructField("score", T.DoubleType())]
+    parts = max(1, math.ceil(size.n * (size.width or 1) / BATCH_CELLS))
+    found = []
+    for p in range(parts):
+        batch = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else asked
+        sent = spark.sparkContext.broadcast(batch.toArrow())
+        here = top(there.mapInArrow(_best(sent, k), T.StructType(fields)), k)
+        if parts == 1:
+            return here
+        found.append(save(here, "scan-part"))
+        sent.destroy()
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def postings(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """(chunk_id, length, terms): the asked terms among each chunk's words, repeats included."""
-    words = chunks.select("chunk_id", tx.tokens(F.col("content")).alias("words"))
-    return words.select("chunk_id", F.size("words").alias("length"), F.filter("words", lambda w: w.isin(terms)).alias("terms"))
+def dense(vectors: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame:
+    """Exact cosine search of vectors (chunk_id, vector) for queries (query_id, vector)."""
+    return scan(vectors.withColumn("part", F.lit(0)), queries.withColumn("parts", F.lit(None).cast("array<int>")), k)
+
+
+def dense_scoped(vectors: DataFrame, owners: DataFrame, queries: DataFrame, k: int = RESULTS) -> DataFrame:
+    """The same where a query (query_id, vector, tenant) sees its own tenant's chunks only. owners: (chunk_id, tenant int)."""
+    mine = vectors.join(owners.select("chunk_id", F.col("tenant").alias("part")), "chunk_id")
+    return scan(mine.where("part is not null"), queries.where("tenant is not null").withColumn("parts", F.array(F.col("tenant").cast("int"))), k)
+
+
+def postings(chunks: DataFrame, terms: list[str], *more: str) -> DataFrame:
+    """(chunk_id, more..., length, terms): the asked terms among each chunk's words, repeats included."""
+    words = chunks.select("chunk_id", *more, tx.tokens(F.col("content")).alias("words"))
+    return words.select("chunk_id", *more, F.size("words").alias("length"), F.filter("words", lambda w: w.isin(terms)).alias("terms"))
 
 
 def bm25(chunks: DataFrame, queries: list[tuple[int, str]], k: int = CANDIDATES) -> DataFrame:
     return top(bm25_scores(chunks, queries), k)
 
 
-def bm25_scores(chunks: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
-    """BM25 over lower-cased words without stemming. queries: (query_id, text)."""
+def bm25_scores(chunks: DataFrame, queries: list[tuple[int, str]], tenants: dict[int, int] | None = None) -> DataFrame:
+    """BM25 over lower-cased words without stemming. queries: (query_id, text). With tenants, by query_id, a query scores its
+    own tenant's chunks alone; frequencies are those of all."""
+    scope = [] if tenants is None else ["tenant"]
     asked = sorted({(q, w) for q, text in queries for w in _words(text)})
     # Texts are split once: statistics and scores both read what is written down here.
-    held = save(postings(chunks, sorted({w for _, w in asked})), "postings")
+    held = save(postings(chunks, sorted({w for _, w in asked}), *scope), "postings")
     # One pass for all statistics: a row for each asked term and one, of a blank term, for the corpus.
     seen = held.select("length", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))
     stats = {r.term: r for r in seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()}
     n, total = (stats[""].n, stats[""].length) if stats else (0, 0)
     df = {t: r.n for t, r in stats.items()}
-    weights = [(q, t, math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))) for q, t in asked if t in df]
+    weights = [(q, t, math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)), (tenants or {}).get(q)) for q, t in asked if t in df]
     # As many rows as the query batch has words.
-    terms = F.broadcast(chunks.sparkSession.createDataFrame(weights, "query_id int, term string, idf double"))
-    found = held.where(F.size("terms") > 0).select("chunk_id", "length", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    terms = F.broadcast(chunks.sparkSession.createDataFrame(weights, "query_id int, term string, idf double, tenant int").select("query_id", "term", "idf", *scope))
+    found = held.where(F.size("terms") > 0).select("chunk_id", *scope, "length", "terms", F.explode(F.array_distinct("terms")).alias("term"))
     tf = F.size(F.filter("terms", lambda x: x == F.col("term")))
     part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") * n / max(1, total)))
-    rows = found.select("chunk_id", "term", part.alias("part")).join(terms, "term")
+    rows = found.select("chunk_id", *scope, "term", part.alias("part")).join(terms, ["term", *scope])
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"), F.count("*").alias("n_terms"))
 
 

@@ -11,7 +11,7 @@ from corpusmith import corpus
 from corpusmith.deploy import shipped
 from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
-from corpusmith.operators import evaluate, graph, retrieval, service, tables
+from corpusmith.operators import cells, evaluate, fulltext, graph, retrieval, service, tables
 from corpusmith.plans import sql
 from corpusmith.scratch import save
 from corpusmith.sources import sinks
@@ -41,10 +41,6 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-def _dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.dense_scores(_vectors(spark, sf_dir), corpus.centroids(spark, sf_dir))
-
-
 def _lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_scores(corpus.chunks(spark, sf_dir), corpus.QUERIES)
 
@@ -79,9 +75,27 @@ def dense_top10(spark, sf_dir):
 @query
 def dense_rows_top10(spark, sf_dir):
     """Every row whose id is divisible by 100 against all rows, itself among them."""
-    vectors = _vectors(spark, sf_dir)
-    asked = vectors.where(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
-    return _ranked(retrieval.dense(vectors, asked))
+    return _ranked(retrieval.dense(_vectors(spark, sf_dir), _asked_rows(spark, sf_dir)))
+
+
+def _asked_rows(spark, sf_dir):
+    return _vectors(spark, sf_dir).where(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
+
+
+@query
+def cell_index_top10(spark, sf_dir):
+    """The same rows by the index of k-means cells, with as many probes as a recall of 0.95 needs."""
+    index, asked = cells.build(_vectors(spark, sf_dir)), _asked_rows(spark, sf_dir)
+    return _ranked(cells.search(index, asked, probes=cells.probes_for(index, asked)))
+
+
+@query
+def fts_rank_top40(spark, sf_dir):
+    """The first three words of every document whose id is divisible by 100, as a query to the stemmed index of all."""
+    chunks = corpus.chunks(spark, sf_dir)
+    words = F.slice(tx.tokens(F.col("content")), 1, 3)
+    asked = chunks.where(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    return _ranked(fulltext.ranked(fulltext.read(spark, fulltext.build(chunks.select("chunk_id", "content"))), asked))
 
 
 @query
@@ -101,9 +115,11 @@ def hybrid_rrf_sql(spark, sf_dir):
 
 @query
 def hybrid_rrf_scoped(spark, sf_dir):
-    chunks, queries = corpus.chunks(spark, sf_dir), corpus.text_queries(spark)
-    d = retrieval.top(retrieval.scope(_dense_scores(spark, sf_dir), chunks, queries), retrieval.CANDIDATES)
-    x = retrieval.top(retrieval.scope(_lexical_scores(spark, sf_dir), chunks, queries), retrieval.CANDIDATES)
+    """Queries meet the chunks of their own tenant alone, before anything is scored."""
+    chunks, tenants = corpus.chunks(spark, sf_dir), {q: q % corpus.TENANTS for q, _ in corpus.QUERIES}
+    asked = corpus.centroids(spark, sf_dir).join(F.broadcast(corpus.text_queries(spark).select("query_id", "tenant")), "query_id")
+    d = retrieval.dense_scoped(_vectors(spark, sf_dir), chunks.select("chunk_id", "tenant"), asked, retrieval.CANDIDATES)
+    x = retrieval.top(retrieval.bm25_scores(chunks, corpus.QUERIES, tenants), retrieval.CANDIDATES)
     return _ranked(retrieval.top(retrieval.fuse(d, x), retrieval.RESULTS))
 
 
