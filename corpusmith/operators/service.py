@@ -48,6 +48,20 @@ def dequeue(states: DataFrame, n: int) -> DataFrame:
     return states.where("status = 'queued'").orderBy("at", "job").limit(n)
 
 
+def queue_outcomes(log: DataFrame) -> DataFrame:
+    """(job, status, error) after a log (job, id, at, action, error): queue makes a job, once; dequeue takes a queued one;
+    complete and fail end any that is there, the last of them counts; what comes before the job is there, or has no time,
+    does nothing."""
+    when = F.struct("at", "id")
+    made = log.where("action = 'queue' and at is not null").groupBy("job").agg(F.min(when).alias("made"))
+    later = log.where("action <> 'queue'").join(made, "job", "right").where(F.col("action").isNull() | (when > F.col("made")))
+    ended = F.max_by(F.struct("action", "error"), F.when(F.col("action").isin("complete", "fail"), when))
+    rows = later.groupBy("job").agg(ended.alias("x"), F.count_if(F.col("action") == "dequeue").alias("taken"))
+    status = F.when(F.col("x.action") == "complete", "complete").when(F.col("x.action") == "fail", "failed").when(F.col("taken") > 0, "processing").otherwise("queued")
+    left = made.join(rows, "job", "left")
+    return left.select("job", status.alias("status"), F.when(F.col("x.action") == "fail", F.col("x.error")).alias("error"))
+
+
 def without_tombstones(rows: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
     """Rows (key, version) that no tombstone (key, deleted_version) of the same or a later version covers."""
     last = tombstones.groupBy(key).agg(F.max("deleted_version").alias("__gone"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,19 +57,49 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], read: list[str],
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def admitted(tokens: np.ndarray, used: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The use after each of some requests in order, and which are let in: those that fit the limit with what was
+    used before. A step for each run of refusals, not for each request."""
+    gains, n = np.maximum(tokens, 0), len(tokens)
+    after, fits = np.full(n, used, np.int64), np.zeros(n, bool)
+    at = 0
+    while at < n:
+        total = used + np.cumsum(gains[at:])
+        refused = np.flatnonzero(total - gains[at:] + tokens[at:] > limit) if limit > 0 else []
+        stop = at + int(refused[0]) if len(refused) else n
+        after[at:stop], fits[at:stop] = total[: stop - at], True
+        used = int(after[stop - 1]) if stop > at else used
+        # Nothing is let in until one fits what is left.
+        next_fit = np.flatnonzero(used + tokens[stop:] <= limit)
+        at = stop + int(next_fit[0]) if len(next_fit) else n
+        after[stop:at] = used
+    return after, fits
+
+
 def quota(events: DataFrame, limit: int) -> DataFrame:
-    """Events (event_id, tenant, ts, tokens) with the day's use after each and whether it was let in.
-    What was turned away uses nothing; a limit of 0 or less lets all in."""
-
-    def step(used, values):
-        tokens = values[0]
-        fits = limit <= 0 or used + tokens <= limit
-        used += max(tokens, 0) * fits
-        return used, (used, fits)
-
-    rows = events.withColumn("day", F.to_date("ts"))
-    out = [T.StructField("used", T.LongType()), T.StructField("admitted", T.BooleanType())]
-    return folded(rows, ["tenant", "day"], ["ts", "event_id"], ["tokens"], 0, step, out)
+    """Events (event_id, tenant, ts, tokens) with the day's use after each and whether it was let in, by days in UTC.
+    What was turned away uses nothing; a limit of 0 or less lets all in; null tokens are none. A tenant's day streams
+    past in order, so that a long one needs time, but no memory."""
+
+    def run(frames):
+        last, used = None, 0
+        for frame in frames:
+            keys = frame["tenant"].to_numpy(), frame["day"].to_numpy()
+            edges = np.flatnonzero(np.any([pd.Series(k[1:]).ne(pd.Series(k[:-1])) for k in keys], axis=0)) + 1 if len(frame) else []
+            tokens, outs = frame["tokens"].fillna(0).to_numpy(np.int64), []
+            for a, b in zip([0, *edges], [*edges, len(frame)]):
+                key = (keys[0][a], keys[1][a])
+                used = used if key == last else 0
+                outs.append(admitted(tokens[a:b], used, limit))
+                last, used = key, int(outs[-1][0][-1])
+            yield frame.assign(used=np.concatenate([o[0] for o in outs]), admitted=np.concatenate([o[1] for o in outs]))
+
+    kind = events.schema["ts"].dataType
+    # An instant's day is its day in UTC, whatever the session's zone; a time without a zone has its own.
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("ts") / 86_400).cast("int")) if isinstance(kind, T.TimestampType) else F.to_date("ts")
+    rows = events.withColumn("day", day)
+    schema = T.StructType([*rows.schema.fields, T.StructField("used", T.LongType()), T.StructField("admitted", T.BooleanType())])
+    return rows.repartition("tenant", "day").sortWithinPartitions("tenant", "day", "ts", "event_id").mapInPandas(run, schema)
 
 
 def since(rows: DataFrame, column: str, watermark) -> DataFrame:

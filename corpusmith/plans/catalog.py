@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
 from corpusmith.operators import cells, evaluate, fulltext, graph, retrieval, service, tables
 from corpusmith.plans import sql
-from corpusmith.scratch import save
+from corpusmith.scratch import save, scratch_root
 from corpusmith.sources import sinks
-from corpusmith.streaming import flows
+from corpusmith.streaming import flows, state
 
 QUERIES: dict = {}
 
@@ -694,6 +695,77 @@ def metric_coverage(spark, sf_dir):
     return rows.select("metric", rounded("even").alias("even"), rounded("odd").alias("odd"))
 
 
+def _new_folder(spark, tag: str) -> str:
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf_dir, name: str, folder: str) -> DataFrame:
+    """A table as a stream of files, which are laid in a new folder, as a stream reads folders only."""
+    rows = corpus.table(spark, sf_dir, name)
+    rows.write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+
+
+@query
+def quota_stream(spark, sf_dir):
+    """quota_daily from state: events stream in, the admitted ones are written, and the log is read back."""
+    folder = _new_folder(spark, "quota")
+    rows = _stream(spark, sf_dir, "events", folder).select(F.col("user_id").alias("tenant"), "event_id", "ts", F.floor("value").cast("long").alias("tokens"))
+    state.run_once(state.admissions(rows, 200), f"{folder}/log", f"{folder}/checkpoint")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("window_start") / 86_400_000_000).cast("int"))
+    return spark.read.parquet(f"{folder}/log").groupBy("tenant", day.alias("day")).agg(F.sum("tokens").alias("tokens"), F.count_if("admitted").alias("n_admitted"), F.count("*").alias("n"))
+
+
+@query
+def rate_stream(spark, sf_dir):
+    """Requests beyond two a user and minute, from state."""
+    folder = _new_folder(spark, "rate")
+    rows = _stream(spark, sf_dir, "events", folder).select(F.col("user_id").alias("tenant"), "event_id", "ts", F.lit(1).alias("tokens"))
+    state.run_once(state.admissions(rows, 2, 60, 120), f"{folder}/log", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/log").groupBy(F.col("tenant").alias("user_id")).agg(F.count_if(~F.col("admitted")).alias("n_limited"), F.count("*").alias("n"))
+
+
+def _actions(events: DataFrame) -> DataFrame:
+    action = F.when(F.col("event_type") == "view", "queue").when(F.col("event_type") == "click", "dequeue").when(F.col("event_type") == "error", "fail").otherwise("complete")
+    return events.select(F.col("user_id").alias("job"), F.col("event_id").alias("id"), F.col("ts").alias("at"), action.alias("action"), F.col("props").alias("error"))
+
+
+@query
+def queue_outcomes(spark, sf_dir):
+    return service.queue_outcomes(_actions(corpus.table(spark, sf_dir, "events")))
+
+
+@query
+def queue_stream(spark, sf_dir):
+    """queue_outcomes from state: each job's last status in the stream of transitions."""
+    folder = _new_folder(spark, "queue")
+    state.run_once(state.transitions(_actions(_stream(spark, sf_dir, "events", folder))), f"{folder}/log", f"{folder}/checkpoint")
+    when = F.when(F.col("moved"), F.struct("at", "id"))
+    rows = spark.read.parquet(f"{folder}/log").groupBy("job").agg(F.max_by(F.struct("status", "error"), when).alias("x"))
+    return rows.where("x.status is not null").select("job", "x.status", "x.error")
+
+
+@query
+def log_partitions(spark, sf_dir):
+    """Events written as a log by month, those of the odd months' folders declared, and a span of two months read back."""
+    events, folder = corpus.table(spark, sf_dir, "events"), _new_folder(spark, "log")
+    span = events.agg(F.min("ts"), F.max("ts")).first()
+    first = span[0].date().replace(day=1) if span[0] else datetime.date(2024, 1, 1)
+    months = [f"{first.year + (first.month - 1 + k) // 12}_{(first.month - 1 + k) % 12 + 1:02}" for k in range(0, 24, 2)]
+    sinks.write_log(events, folder, "ts", months)
+    after = datetime.date(first.year + (first.month + 1) // 12, (first.month + 1) % 12 + 1, 1)
+    return sinks.read_log(spark, folder, "ts", first, after).groupBy("month", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query
+def published_snapshot(spark, sf_dir):
+    """Documents published twice, the second time without a language; the first version read again."""
+    folder, docs = _new_folder(spark, "release"), corpus.table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("content_hash"))
+    first = sinks.publish(docs, folder)
+    sinks.publish(docs.drop("lang"), folder)
+    return sinks.snapshot(spark, folder, first).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("n_texts"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -245,6 +245,11 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "cache_hit_rate": "WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events), f AS (SELECT user_id, event_type, k, false AS hit, t + 3600000000 AS until FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_type, e.k, e.t < f.until, CASE WHEN e.t < f.until THEN f.until ELSE e.t + 3600000000 END FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.k = f.k + 1) SELECT event_type, count(*) FILTER (WHERE hit) AS n_hits, count(*) AS n FROM f GROUP BY event_type",
         "cache_keys": "SELECT event_id, sha256(user_id || chr(31) || event_type || chr(31) || props) AS key FROM events",
         "queue_states": f"{jobs} SELECT status, count(*) AS n FROM jobs GROUP BY status",
+        "queue_outcomes": """WITH log AS (SELECT user_id AS job, event_id AS id, ts, CASE event_type WHEN 'view' THEN 'queue' WHEN 'click' THEN 'dequeue' WHEN 'error' THEN 'fail' ELSE 'complete' END AS action, props FROM events),
+made AS (SELECT job, min((ts, id)) AS first FROM log WHERE action = 'queue' AND ts IS NOT NULL GROUP BY job),
+r AS (SELECT job, arg_max(action, (ts, id)) FILTER (WHERE action IN ('complete', 'fail')) AS e, arg_max(props, (ts, id)) FILTER (WHERE action IN ('complete', 'fail')) AS props, count(*) FILTER (WHERE action = 'dequeue') AS taken
+  FROM log JOIN made USING (job) WHERE (ts, id) > first AND action <> 'queue' GROUP BY job)
+SELECT m.job, CASE WHEN e = 'complete' THEN 'complete' WHEN e = 'fail' THEN 'failed' WHEN taken > 0 THEN 'processing' ELSE 'queued' END AS status, CASE WHEN e = 'fail' THEN r.props END AS error FROM made m LEFT JOIN r USING (job)""",
         "queue_dequeue": f"{jobs} SELECT job, status, \"at\" FROM jobs WHERE status = 'queued' ORDER BY \"at\", job LIMIT 10",
         "tombstones": "WITH g AS (SELECT user_id, max(event_id) AS gone FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT e.user_id, count(*) AS n FROM events e LEFT JOIN g USING (user_id) WHERE gone IS NULL OR event_id > gone GROUP BY e.user_id",
         "failure_report": f"SELECT class, count(*) AS n FROM (SELECT {_error_case()} AS class FROM (SELECT lower(coalesce(CASE WHEN event_type = 'error' THEN 'timed out' WHEN event_type = 'click' THEN 'HTTP ' || user_id ELSE props END, '')) AS e FROM events)) GROUP BY class",
