@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -94,11 +95,43 @@ def html_to_markdown(html):
     return F.trim(out)
 
 
+#: What heads a list of contents.
+CONTENTS = ["table of contents", "contents", "toc", "index"]
+
+
+def _let(value, body):
+    """body(value), with value made once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _without(lines, kinds, run: str, put: int):
+    """lines without the runs of kinds (a letter for each line) that a pattern finds; so many empty lines in the place of each."""
+    size = lambda parts, k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda n, x: n + F.length(x))
+    empty = F.array_repeat(F.lit(""), F.lit(put))
+
+    def body(x):
+        part = lambda g, k: F.slice(x["lines"], size(x["gaps"], k) + size(x["runs"], k) + 1, F.length(g))
+        return F.flatten(F.transform(x["gaps"], lambda g, k: F.when(k > 0, F.concat(empty, part(g, k))).otherwise(part(g, k))))
+
+    found = lambda k: F.struct(lines.alias("lines"), F.split(k, run).alias("gaps"), F.regexp_extract_all(k, F.lit(run), F.lit(0)).alias("runs"))
+    return _let(kinds, lambda k: _let(found(k), body))
+
+
+def _kinds(lines, letter: str, test):
+    """A letter for each line: the given one where it passes the test, b where it is blank, else o."""
+    return F.array_join(F.transform(lines, lambda x: F.when(test(x), letter).when(stripped(x) == "", "b").otherwise("o")), "")
+
+
 def strip_toc(text):
-    """Without blocks of three or more anchor items and without contents headings."""
-    out = F.regexp_replace(text, r"(?m)(?:^[ \t]*(?:\*|-|\d+\.)\s*\[.+?\]\(#.+?\)\s*\n){3,}", "\n")
-    out = F.regexp_replace(out, r"(?mi)^#{1,4}\s+(Table of Contents|Contents|TOC|Index)\s*$\n?", "")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    """Without three or more items in a row that link to anchors (blank lines between them count as theirs) and without what
+    heads a list of contents."""
+    item = lambda x: x.rlike(r"^[ \t]*([*-]|[0-9]+[.])\s*\[[^\n]+\]\(#[^\n]+\)\s*$")
+    head = lambda x: x.rlike(r"^#{1,4}\s") & F.lower(stripped(F.ltrim(x, F.lit("#")))).isin(CONTENTS)
+    # An item is a line of its own: what ends the text without a line break is none.
+    kinds = lambda lines: F.concat(_kinds(F.slice(lines, 1, F.size(lines) - 1), "i", item), F.lit("o"))
+    left = _let(F.split(text, "\n"), lambda lines: _without(lines, kinds(lines), "i(?=b*ib*i)[ib]*", 1))
+    left = _let(left, lambda lines: _without(lines, _kinds(lines, "h", head), "hb*", 0))
+    return F.when(F.contains(text, F.lit("#")), stripped(F.array_join(left, "\n"))).otherwise(stripped(text))
 
 
 def _recoded(part):
@@ -107,12 +140,16 @@ def _recoded(part):
 
 
 def clean_url(url):
-    """A URL without tracking parameters and without blank ones, the others encoded anew; a relative one stays."""
-    head, query, tail = (F.regexp_extract(url, pattern, 1) for pattern in (r"^([^?#]*)", r"^[^?#]*\?([^#]*)", r"(#.*)$"))
+    """A URL with its scheme in small letters, without tracking parameters, blank ones and an empty fragment, the others
+    encoded anew, those of one name together where the first of them stood; a relative one stays."""
+    scheme, rest, query, tail = (F.regexp_extract(url, pattern, 1) for pattern in (r"^([^:/?#]*)", r"^[^:/?#]*([^?#]*)", r"^[^?#]*\?([^#]*)", r"(#.+)$"))
     name, value = (lambda p: F.regexp_extract(p, "^([^=]*)=", 1)), (lambda p: F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1))
-    kept = F.filter(F.split(query, "&"), lambda p: (value(p) != "") & ~F.lower(name(p)).isin(TRACKING))
-    again = F.array_join(F.transform(kept, lambda p: F.concat(_recoded(name(p)), F.lit("="), _recoded(value(p)))), "&")
-    cleaned = F.concat(head, F.when(again != "", F.concat(F.lit("?"), again)).otherwise(""), tail)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: value(p) != ""), lambda p: F.struct(_recoded(name(p)).alias("name"), _recoded(value(p)).alias("value")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(TRACKING))
+    names = lambda k: F.array_distinct(F.transform(k, lambda p: p["name"]))
+    grouped = _let(kept, lambda k: F.flatten(F.transform(names(k), lambda n: F.filter(k, lambda p: p["name"] == n))))
+    again = F.array_join(F.transform(grouped, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
+    cleaned = F.concat(F.lower(scheme), rest, F.when(again != "", F.concat(F.lit("?"), again)).otherwise(""), tail)
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), cleaned).otherwise(url)
 
 
@@ -127,19 +164,23 @@ def clean_links(text):
     return F.array_join(F.zip_with(F.split(text, LINK), links, lambda part, link: F.concat(part, F.coalesce(link, F.lit("")))), "")
 
 
-def _ascii_letters() -> tuple[str, str]:
-    """Characters whose compatibility form has one ASCII character, and these."""
+def _ascii_forms() -> tuple[tuple[str, str], dict[str, str]]:
+    """Characters whose compatibility form has one ASCII character, and these; and those whose form has several."""
     pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000]
     single = [(c, a) for c, a in pairs if len(a) == 1]
-    return "".join(c for c, _ in single), "".join(a for _, a in single)
+    return ("".join(c for c, _ in single), "".join(a for _, a in single)), {c: a for c, a in pairs if len(a) > 1}
 
 
-FOLDED = _ascii_letters()
+FOLDED, SPREAD = _ascii_forms()
 
 
 def ascii_only(text):
-    """Letters without their accents; what has no ASCII form, or one of several characters, goes."""
-    plain = F.regexp_replace(F.translate(text, *FOLDED), r"[^\x00-\x7F]", "")
+    """Characters in their ASCII form, of one character or several; what has none goes."""
+    # A map of one literal; it is looked up in texts alone that hold one of its characters.
+    forms = F.str_to_map(F.lit("\x01".join(f"{c}\x02{a}" for c, a in SPREAD.items())), F.lit("\x01"), F.lit("\x02"))
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    spread = F.when(text.rlike(f"[{''.join(map(re.escape, SPREAD))}]"), spread).otherwise(text)
+    plain = F.regexp_replace(F.translate(spread, *FOLDED), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
 
@@ -156,8 +197,8 @@ def stripped(text):
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-#: What a context sheds: rules of one kind of sign, then heads of headings and quotes, then runs of blanks and of blank lines.
-RULES, HEADS = r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?)"
+#: What a context sheds in turn: rules of one kind of sign, heads of headings (set in by three blanks at most), signs of quotes.
+RULES, HEADS, QUOTES = r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", r"(?m)^\s{0,3}#{1,6}\s+", r"(?m)^\s*>\s?"
 
 
 def fingerprint(text):
@@ -168,7 +209,7 @@ def fingerprint(text):
 def distinct_sentences(text):
     """A context in plain sentences, the first of those alike in their words."""
     plain = F.regexp_replace(F.regexp_replace(text, RULES, ""), LINK, "$1 ($2)")
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, HEADS, ""), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, HEADS, ""), QUOTES, ""), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
     sentences = F.split(F.regexp_replace(stripped(plain), r"([.!?])\s+", "$1\x01"), "\x01")
     marked = F.array_sort(F.transform(sentences, lambda x, i: F.struct(fingerprint(x).alias("words"), i.alias("at"), x.alias("text"))))
     # Sorted by words, each is alike to the one before it or the first of its kind.

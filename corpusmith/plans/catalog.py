@@ -185,16 +185,20 @@ def litm_order(spark, sf_dir):
     return retrieval.middle_last(retrieval.top(_fused(spark, sf_dir), retrieval.RESULTS)).select("query_id", "chunk_id", "slot")
 
 
+def _questions(spark, sf_dir, endings=QUESTIONS, name: str = "query") -> DataFrame:
+    """(conv_id, turn, query): what is said in every turn, and one of the questions behind it."""
+    ending = F.get(F.array(*(F.lit(t).cast("string") for t in endings)), F.col("turn") % len(endings))
+    return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", ending).alias(name))
+
+
 @query
 def router_hops(spark, sf_dir):
-    q = spark.createDataFrame([(k, t) for k, t in enumerate(QUESTIONS)], "id int, query string")
-    return q.select("id", tx.graph_hops(F.col("query")).alias("hops"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", tx.graph_hops(F.col("query")).alias("hops"))
 
 
 @query
 def negation_parse(spark, sf_dir):
-    q = spark.createDataFrame([(k, t) for k, t in enumerate(QUESTIONS)], "id int, query string")
-    return q.select("id", tx.clean_query(F.col("query")).alias("cleaned"), F.array_join(tx.negative_terms(F.col("query")), ",").alias("negatives"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", tx.clean_query(F.col("query")).alias("cleaned"), F.array_join(tx.negative_terms(F.col("query")), ",").alias("negatives"))
 
 
 @query
@@ -281,13 +285,13 @@ def title_mentions(spark, sf_dir):
 
 @query
 def hash_embedding(spark, sf_dir):
-    """Signed hashed word counts of the benchmark items, normalised; one row per filled dimension."""
+    """Signed hashed word counts of the documents, normalised; one row per filled dimension."""
     word = F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word")
-    parts = corpus.table(spark, sf_dir, "benchmark").select("item_id", word).withColumn("h", F.sha2("word", 256))
+    parts = corpus.table(spark, sf_dir, "documents").select("doc_id", word).withColumn("h", F.sha2("word", 256))
     at = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % 768
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    sums = parts.groupBy("item_id", at.alias("dim")).agg(F.sum(sign).alias("x"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("item_id")))
+    sums = parts.groupBy("doc_id", at.alias("dim")).agg(F.sum(sign).alias("x"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
     return sums.withColumn("x", F.when(norm > 0, F.round(F.col("x") / norm, 8)).otherwise(0.0)).where("x <> 0")
 
 
@@ -476,8 +480,7 @@ def explain_rows(spark, sf_dir):
 
 @query
 def error_classes(spark, sf_dir):
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ERROR_TEXTS)], "id int, error string")
-    return rows.select("id", tx.error_class(F.col("error")).alias("class"))
+    return _questions(spark, sf_dir, ERROR_TEXTS, "error").select("conv_id", "turn", tx.error_class(F.col("error")).alias("class"))
 
 
 @query
@@ -588,8 +591,8 @@ def rerank_gate(spark, sf_dir):
 
 @query
 def hop_modes(spark, sf_dir):
-    rows = spark.createDataFrame([(k, t, k % 5 + 1, 2 if k % 4 == 0 else None) for k, t in enumerate(QUESTIONS)], "id int, query string, depth int, hops int")
-    return service.hop_mode(rows).select("id", "mode", F.col("walk").alias("hops"))
+    rows = _questions(spark, sf_dir).withColumns({"depth": F.col("turn") % 5 + 1, "hops": F.when(F.col("turn") % 4 == 0, 2)})
+    return service.hop_mode(rows).select("conv_id", "turn", "mode", F.col("walk").alias("hops"))
 
 
 @query

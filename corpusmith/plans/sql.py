@@ -118,7 +118,7 @@ def _canonical(col: str) -> str:
 
 def _context(rows: str, key: str, text: str) -> str:
     """(key, plain) of rows: distinct sentences."""
-    steps = ((r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", "''"), (r"\[([^\]]+)\]\(([^)]+)\)", r"'\1 (\2)'"), (r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?)", "''"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''"), (r"([.!?])\s+", r"'\1' || chr(1)"))
+    steps = ((r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", "''"), (r"\[([^\]]+)\]\(([^)]+)\)", r"'\1 (\2)'"), (tx.HEADS, "''"), (tx.QUOTES, "''"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''"), (r"([.!?])\s+", r"'\1' || chr(1)"))
     out = f"coalesce({text}, '')"
     for pattern, put in steps:
         out = f"regexp_replace({out}, '{pattern}', {put}, 'g')"
@@ -151,8 +151,9 @@ def _error_case() -> str:
 def build() -> dict[str, str]:
     from corpusmith.plans import catalog as c
 
-    questions = _values((k, _text(t)) for k, t in enumerate(c.QUESTIONS))
-    errors = _values((k, _text(t)) for k, t in enumerate(c.ERROR_TEXTS))
+    questions = ", ".join(map(_text, c.QUESTIONS))
+    errors = ", ".join(map(_text, c.ERROR_TEXTS))
+    asked = f"SELECT conv_id, turn, concat_ws(' ', text, ([{questions}])[turn % {len(c.QUESTIONS)} + 1]) AS query FROM conversations"
     terms = sorted({w for _, t in corpus.QUERIES for w in t.lower().split()} - {"not"})
     wordy = r"(?i)(?:^|\s+)(?:NOT|without|except|sans)\s+([A-Za-z0-9_\-]+)"
     dashed = r"(?:^|\s+)-([A-Za-z0-9_\-]+)"
@@ -174,7 +175,9 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
     summed += f", merged AS (SELECT coalesce(f.query_id, s.query_id) AS query_id, coalesce(f.chunk_id, s.chunk_id) AS chunk_id, coalesce(f.score, 0) + coalesce(g, 0) AS score FROM fused f FULL OUTER JOIN scores s ON f.query_id = s.query_id AND f.chunk_id = s.chunk_id), {_top('best', 'merged', r.RESULTS)}"
     toc = _text(c.TOC + "\n").replace("\n", "' || chr(10) || '")
     name = r"trim(regexp_replace('## ' || url || ' **', '^[0-9.\-\s]+|^[#*_`\s]+|[#*_`\s]+$', '', 'g'), ' ')"
-    url_parts = r"regexp_extract(url, '^([^?#]*)', 1) AS head, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q, regexp_extract(url, '(#.*)$', 1) AS tail"
+    url_parts = r"lower(regexp_extract(url, '^([^:/?#]*)', 1)) || regexp_extract(url, '^[^:/?#]*([^?#]*)', 1) AS head, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q, regexp_extract(url, '(#.+)$', 1) AS tail"
+    # Parameters of one name stand together where the first of them stood.
+    together = "list_transform(list_sort(list_transform(kept, lambda x, i: {'first': list_position(list_transform(kept, lambda y: string_split(y, '=')[1]), string_split(x, '=')[1]), 'at': i, 'x': x})), lambda r: r.x)"
     tracking = ", ".join(f"'{t}'" for t in tx.TRACKING)
     jobs = "WITH jobs AS (SELECT user_id AS job, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' ELSE 'complete' END AS status, ts AS \"at\" FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
     return {
@@ -192,8 +195,8 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "crag_tiers": f"WITH {GATED}, best AS (SELECT query_id, max(score) FILTER (WHERE match_source = 'dense') AS d, max(score) AS s FROM gated GROUP BY query_id) SELECT query_id, CASE WHEN d IS NOT NULL THEN CASE WHEN d < 0.55 THEN 'low' WHEN d < 0.7 THEN 'medium' ELSE 'high' END WHEN s < 0.012 THEN 'low' WHEN s < 0.020 THEN 'medium' ELSE 'high' END AS tier FROM best",
         "rerank_overlap": f"WITH {FUSED}, q(query_id, wanted) AS (VALUES {_values((k, '[' + ', '.join(map(_text, sorted(set(r._words(t))))) + ']') for k, t in corpus.QUERIES)}), s AS (SELECT f.query_id, f.chunk_id, 8.0::DOUBLE * len(list_intersect(wanted, {_tokens('d.text')})) / len(wanted) - 4 AS score FROM fused10 f JOIN q USING (query_id) JOIN documents d ON d.doc_id = f.chunk_id), {_top('best', 's', 5)} SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS rerank_score FROM best",
         "litm_order": f"WITH {FUSED} SELECT query_id, chunk_id, CASE WHEN (rank - 1) % 2 = 0 THEN (rank - 1) // 2 ELSE count(*) OVER (PARTITION BY query_id) - 1 - (rank - 2) // 2 END::BIGINT AS slot FROM fused10",
-        "router_hops": f"SELECT id, CASE WHEN regexp_matches(trim(query), {_text(relational)}) THEN 1 ELSE 0 END AS hops FROM (VALUES {questions}) q(id, query)",
-        "negation_parse": f"WITH s AS (SELECT id, query, regexp_replace(query, {_text(wordy)}, ' ', 'g') AS a FROM (VALUES {questions}) q(id, query)), t AS (SELECT *, trim(regexp_replace(regexp_replace(a, {_text(dashed)}, ' ', 'g'), '\\s+', ' ', 'g')) AS b, list_concat(regexp_extract_all(query, {_text(wordy)}, 1), regexp_extract_all(a, {_text(dashed)}, 1)) AS n FROM s) SELECT id, CASE WHEN b = '' THEN trim(query) ELSE b END AS cleaned, coalesce(array_to_string(list_transform(n, lambda x: lower(x)), ','), '') AS negatives FROM t",
+        "router_hops": f"SELECT conv_id, turn, CASE WHEN regexp_matches(trim(query), {_text(relational)}) THEN 1 ELSE 0 END AS hops FROM ({asked})",
+        "negation_parse": f"WITH s AS (SELECT conv_id, turn, query, regexp_replace(query, {_text(wordy)}, ' ', 'g') AS a FROM ({asked})), t AS (SELECT *, trim(regexp_replace(regexp_replace(a, {_text(dashed)}, ' ', 'g'), '\\s+', ' ', 'g')) AS b, list_concat(regexp_extract_all(query, {_text(wordy)}, 1), regexp_extract_all(a, {_text(dashed)}, 1)) AS n FROM s) SELECT conv_id, turn, CASE WHEN b = '' THEN trim(query) ELSE b END AS cleaned, coalesce(array_to_string(list_filter(list_transform(n, lambda x: lower(x)), lambda x, i: list_position(list_transform(n, lambda y: lower(y)), x) = i), ','), '') AS negatives FROM t",
         "sanitize_queries": _sanitize(),
         "tenant_scope": f"SELECT source AS collection, count(*) AS n_chunks, sum(length(text))::BIGINT AS chars FROM documents WHERE {tenant} = 1 GROUP BY source",
         "star_join": f"SELECT ({tenant})::INT AS tenant, source AS collection, count(*) AS n, count(DISTINCT label) AS n_labels FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY ALL",
@@ -206,16 +209,16 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "neighbors_window": "WITH a AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'system' OR turn = 3) SELECT c.conv_id, a.turn AS anchor, c.turn, c.role FROM conversations c JOIN a ON a.conv_id = c.conv_id AND c.turn BETWEEN a.turn - 2 AND a.turn + 2",
         "concept_ilike": "SELECT '### Concept: ' || n_name || ' (nation)' || chr(10) || 'A nation.' AS content, 1.0::DOUBLE AS score, 'concept:' || n_name AS source_url FROM nation WHERE n_name ILIKE '%an%' OR n_name ILIKE '%1%' ORDER BY n_name LIMIT 4",
         "title_mentions": f"SELECT entity, count(*) AS n FROM documents, (VALUES {_values((_text(t),) for t in terms)}) v(entity) WHERE contains(lower(text), entity) GROUP BY entity",
-        "hash_embedding": "WITH w AS (SELECT item_id, sha256(word) AS h FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM benchmark) WHERE word <> ''), s AS (SELECT item_id, ('0x' || substr(h, 1, 8))::BIGINT % 768 AS dim, sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM w GROUP BY ALL) SELECT * FROM (SELECT item_id, dim, round(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY item_id)), 0), 8) AS x FROM s) WHERE x <> 0",
+        "hash_embedding": "WITH w AS (SELECT doc_id, sha256(word) AS h FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) WHERE word <> ''), s AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 768 AS dim, sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM w GROUP BY ALL) SELECT * FROM (SELECT doc_id, dim, round(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0), 8) AS x FROM s) WHERE x <> 0",
         "chunk_simple": f"WITH {MARKDOWN}, p AS (SELECT doc_id, unnest(c) AS content, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10) || '## ', chr(1) || '## '), chr(1)) AS c FROM marked)), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, trim(regexp_extract(content, '^#+ ([^\\n]*)', 1), ' ') AS title FROM p WHERE trim(content, ' ') <> '') SELECT doc_id, doc_id || '#c' || lpad(k::VARCHAR, 3, '0') AS chunk_id, CASE WHEN title = '' THEN 'Overview' ELSE title END AS section, length(rtrim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))::INT AS chars FROM t",
         "chunk_ids_quality": f"SELECT doc_id, n AS token_count, {_chunk_id('doc_id', '0', 'text')} AS chunk_id, {_quality('text', 'n')} AS quality, substr(sha256(doc_id || '::' || source), 1, 24) AS short_id FROM (SELECT *, greatest(1, length(text) // 4)::INT AS n FROM documents WHERE text IS NOT NULL)",
         "parse_confidence": "WITH l AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ') <> '') AS lines FROM documents) SELECT doc_id, (CASE WHEN length(trim(coalesce(text, ''), ' ')) < 50 THEN 0.5 ELSE least(1.0, round(0.7 + CASE WHEN len(list_filter(lines, lambda x: starts_with(x, '#'))) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(lines) > 5 THEN 0.1 ELSE 0 END + CASE WHEN contains(text, '```') THEN 0.1 ELSE 0 END, 2)) END)::DOUBLE AS confidence FROM l",
         "html_to_markdown": f"SELECT page_id, {_html()} AS markdown FROM pages",
         "toc_strip": rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({toc} || text, '(?m)(?:^[ \t]*(?:\*|-|\d+\.)\s*\[.+?\]\(#.+?\)\s*\n){{3,}}', chr(10), 'g'), '(?mi)^#{{1,4}}\s+(Table of Contents|Contents|TOC|Index)\s*$\n?', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents",
-        "url_params_clean": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^[^=]*=(.*)$', 1) <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || tail AS url FROM k",
+        "url_params_clean": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^[^=]*=(.*)$', 1) <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string({together}, '&') ELSE '' END || tail AS url FROM k",
         "canonical_ids": f"SELECT page_id, {_canonical(chr(39) + ' Document:' + chr(39) + ' || url')} AS id, {name} AS name FROM pages",
         "context_normalize": f"WITH {_context('documents', 'doc_id', 'text')}, c AS (SELECT doc_id, plain, rtrim(substr(plain, 1, 1000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM plains), h AS (SELECT *, regexp_extract(cut, '(?s)^(.*[ \\n])', 1) AS head FROM c) SELECT doc_id, CASE WHEN length(plain) <= 1000 THEN plain WHEN length(head) - 1 > 650 THEN regexp_replace(head, '\\s+$', '') || '...' ELSE cut || '...' END AS context FROM h",
-        "markdown_links": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^[^=]*=(.*)$', 1) <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, 'see [page](' || head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || tail || ') and [here](b?ref=1)' AS text FROM k",
+        "markdown_links": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^[^=]*=(.*)$', 1) <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, 'see [page](' || head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string({together}, '&') ELSE '' END || tail || ') and [here](b?ref=1)' AS text FROM k",
         "citation_sources": "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE url END, ''), CASE WHEN page_id % 6 <> 0 THEN page_id::VARCHAR END, 'unknown') AS source FROM pages",
         "depth_trim": f"WITH {GATED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place, query_id % 5 + 1 AS depth FROM gated) SELECT query_id, chunk_id, match_source FROM r WHERE match_source = 'dense' OR depth > 2 OR place <= depth",
         "rerank_negated": f"WITH {FUSED}, q(query_id, wanted) AS (VALUES {_values((k, '[' + ', '.join(map(_text, sorted(set(r._words(t))))) + ']') for k, t in corpus.QUERIES)}), s AS (SELECT f.query_id, f.chunk_id, f.score, contains(lower(d.text), 'onble') AS hit, 8.0::DOUBLE * len(list_intersect(wanted, {_tokens('d.text')})) / greatest(len(wanted), 1) - 4 AS rr FROM fused10 f JOIN q USING (query_id) JOIN documents d ON d.doc_id = f.chunk_id), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rr, 9) DESC, chunk_id) <= 7), n AS (SELECT query_id, chunk_id, rr - CASE WHEN hit THEN 2 ELSE 0 END AS rr, score * CASE WHEN hit THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS score FROM b) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rr, 9) DESC, chunk_id)::INT AS rank, round(rr, 6) AS rerank_score, round(score, 6) AS score FROM n",
@@ -236,7 +239,7 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "value_counts": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL",
         "citations": f"WITH {FUSED}, a AS (SELECT f.query_id, string_agg('[' || rank || '] ' || substr(d.text, 1, 6000), chr(10) || chr(10) ORDER BY rank) AS answer FROM fused10 f JOIN documents d ON d.doc_id = f.chunk_id GROUP BY f.query_id) SELECT query_id, sha256(answer) AS answer_sha256, regexp_matches(answer, '\\[\\d+\\]') AS cites, {' OR '.join(f'contains(lower(answer), {_text(t)})' for t in tx.ABSTENTIONS)} AS abstains FROM a",
         "explain_rows": f"WITH {GATED} SELECT query_id, count(*) AS n, max(match_source) AS mode, round(max(score), 6) AS best FROM gated GROUP BY query_id",
-        "error_classes": f"SELECT id, {_error_case()} AS class FROM (SELECT id, lower(coalesce(error, '')) AS e FROM (VALUES {errors}) v(id, error))",
+        "error_classes": f"SELECT conv_id, turn, {_error_case()} AS class FROM (SELECT conv_id, turn, lower(concat_ws(' ', text, ([{errors}])[turn % {len(c.ERROR_TEXTS)} + 1])) AS e FROM conversations)",
         "valid_rows": "WITH g AS (SELECT conv_id, trim(arg_max(text, turn), ' ') AS answer, list(text) AS texts, list(role) AS ids FROM conversations GROUP BY conv_id) SELECT conv_id, coalesce(length(answer) >= 30 AND len(list_filter(texts, lambda x: trim(coalesce(x, ''), ' ') <> '')) > 0 AND len(ids) > 0 AND NOT ends_with(answer, '...') AND 1 - len(list_distinct(ids))::DOUBLE / len(ids) <= 0.6, false) AS valid FROM g",
         "quality_gate": "SELECT *, CASE WHEN error_rate < 0.1 AND coverage >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT round(avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS error_rate, round(avg(CASE WHEN value >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS coverage FROM events)",
         "json_props": "SELECT event_id, props AS json FROM events",
@@ -256,7 +259,7 @@ SELECT m.job, CASE WHEN e = 'complete' THEN 'complete' WHEN e = 'fail' THEN 'fai
         "slowest_samples": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 5",
         "order_scan": "SELECT nullif(o_orderstatus, 'O') AS status, o_orderkey AS id FROM orders",
         "rerank_gate": f"WITH {GATED} SELECT c.query_id, (c.query_id % 5 + 1 = 5) OR (c.query_id % 5 + 1 >= 3 AND NOT EXISTS (SELECT 1 FROM gated g WHERE g.query_id = c.query_id AND match_source = 'dense' AND score >= 0.45)) AS rerank FROM centroids c",
-        "hop_modes": f"SELECT id, CASE WHEN id % 4 = 0 THEN 'manual' WHEN id % 5 + 1 <= 2 THEN 'concept_direct' ELSE 'auto' END AS mode, CASE WHEN id % 4 = 0 THEN 2 WHEN id % 5 + 1 <= 2 THEN 0 WHEN regexp_matches(trim(query), {_text(relational)}) THEN 1 ELSE 0 END AS hops FROM (VALUES {questions}) q(id, query)",
+        "hop_modes": f"SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'manual' WHEN turn % 5 + 1 <= 2 THEN 'concept_direct' ELSE 'auto' END AS mode, CASE WHEN turn % 4 = 0 THEN 2 WHEN turn % 5 + 1 <= 2 THEN 0 WHEN regexp_matches(trim(query), {_text(relational)}) THEN 1 ELSE 0 END AS hops FROM ({asked})",
         "fallback_answers": f"WITH {FUSED}, a AS (SELECT f.query_id, string_agg(trim(d.text, ' '), chr(10) || chr(10) ORDER BY rank) AS answer FROM fused10 f JOIN documents d ON d.doc_id = f.chunk_id WHERE trim(d.text, ' ') <> '' GROUP BY f.query_id) SELECT query_id, sha256(answer) AS answer_sha256, ceil(length(answer)::DOUBLE / 500)::BIGINT AS n_pieces FROM a",
         "graph_simulated": f"WITH RECURSIVE w(query_id, word) AS (VALUES {_values((k, _text(x)) for k, t in corpus.QUERIES for x in sorted(set(t.lower().split())))}), base AS (SELECT query_id, doc_id AS chunk_id, count(*) / (1 + 0.1::DOUBLE * doc_id) AS score FROM documents, w WHERE contains(lower(text), word) GROUP BY query_id, doc_id), {_top('starts', 'base', 5)}, {EDGES}, seeds AS (SELECT DISTINCT s.query_id, l.concept FROM starts s JOIN links l USING (chunk_id)), {_walk('edges', 'seeds', 1)}, parts AS (SELECT query_id, chunk_id, score FROM base UNION ALL SELECT query_id, chunk_id, confidence * 0.35::DOUBLE / (1.0 + depth) FROM reached JOIN links USING (concept)), total AS (SELECT query_id, chunk_id, sum(score) AS score FROM parts GROUP BY ALL), {_top('best', 'total', r.RESULTS)} {RANKED} best",
         "graph_second_ring": f"WITH RECURSIVE {EDGES}, roots AS (SELECT 0 AS query_id, 'r' || r_regionkey AS concept FROM region), {_walk('edges', 'roots', 2)} SELECT substr(concept, 1, 1) AS kind, count(*) AS n FROM reached WHERE depth = 2 GROUP BY 1",

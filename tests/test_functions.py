@@ -88,7 +88,7 @@ def test_negations(spark):
 def test_canonical_ids(spark):
     for value, want in (("document_123", "123"), ("chunk:456", "456"), ("doc_API-Guide/v1.0", "api-guide-v1.0")):
         assert one(spark, tx.canonical_id, value) == want
-    for value, want in (("Café 7", "cafe-7"), ("Doc Chunk: Ünïted  States ", "united-states"), ("--a!b--_", "ab"), (None, ""), ("日本", "")):
+    for value, want in (("Café 7", "cafe-7"), ("Doc Chunk: Ünïted  States ", "united-states"), ("\ufb01le 12", "file-12"), ("x\u00bdy", "x12y"), ("\u2116 7\u2122", "no-7tm"), ("--a!b--_", "ab"), (None, ""), ("日本", "")):
         assert one(spark, tx.canonical_id, value) == want
 
 
@@ -100,6 +100,7 @@ def test_context(spark):
     plain = lambda t: one(spark, tx.distinct_sentences, t)
     text = "## Part 2\n\nRead [the guide](https://guide.test). It is short. It is SHORT! Why not?\n> quoted\n---\n-*-\nend\there  now"
     assert plain(text) == "Part 2\n\nRead the guide (https://guide.test). It is short. Why not? quoted\n\n-*-\nend\there now"
+    assert plain("a\n   ### three\n    # four\n# > both") == "a\nthree\n # four\nboth"
     cut = lambda t, n: spark.createDataFrame([(t,)], "x string").select(tx.cut_context(F.col("x"), F.lit(n)).alias("y")).first().y
     assert cut("short", 10) == "short"
     assert cut("one two three", 9) == "one two..." and cut("abcdefghijkl", 5) == "abcde..." and cut("a bcdefghijkl", 8) == "a bcdefg..."
@@ -164,10 +165,14 @@ def test_toc_and_links(spark):
     text = "# T\n- [a](#a)\n- [b](#b)\n- [c](#c)\n## Contents\nbody"
     once = one(spark, tx.strip_toc, text)
     assert "(#a)" not in once and "Contents" not in once and one(spark, tx.strip_toc, once) == once
+    item = "- [a](#a)\n"
+    assert one(spark, tx.strip_toc, f"x\n{item}\n {item}  1. [b](#b) \n\n\ny\n{item}{item}z") == f"x\n\ny\n{item}{item}z"
+    assert one(spark, tx.strip_toc, f"{item * 3}- [last](#l)") == "- [last](#l)" and one(spark, tx.strip_toc, f"{item * 3}## INDEX \n\n\ttext\n#toc\n") == "text\n#toc"
+    assert one(spark, tx.strip_toc, item * 20_000 + "end") == "end" and one(spark, tx.strip_toc, None) is None
     link = one(spark, tx.clean_links, "[x](https://a.b/c?utm_source=1&q=2&e=) [y](rel?ref=1) end")
     assert link == "[x](https://a.b/c?q=2) [y](rel?ref=1) end" == one(spark, tx.clean_links, link)
     assert one(spark, tx.clean_links, "none here") == "none here"
-    for url, want in (("https://h/p?token=abc==&x=1", "https://h/p?token=abc%3D%3D&x=1"), ("https://h/p?a=b+c&REF=z#f", "https://h/p?a=b+c#f"), ("https://h/?a=%7E%2a~", "https://h/?a=~%2A~"), ("p?ref=1", "p?ref=1")):
+    for url, want in (("https://h/p?token=abc==&x=1", "https://h/p?token=abc%3D%3D&x=1"), ("https://h/p?a=b+c&REF=z#f", "https://h/p?a=b+c#f"), ("https://h/?a=%7E%2a~", "https://h/?a=~%2A~"), ("p?ref=1", "p?ref=1"), ("HTTPS://H/p?a=1&b=2&a=3#", "https://H/p?a=1&a=3&b=2"), ("http://h/?", "http://h/"), ("http://h?utm_source=1&x=%201", "http://h?x=+1")):
         assert one(spark, tx.clean_url, url) == want
     assert sq.config_hash({"t": 0.3}) != sq.config_hash({"t": 0.9})
 
