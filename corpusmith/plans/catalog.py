@@ -13,9 +13,9 @@ from corpusmith.deploy import shipped
 from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
 from corpusmith.operators import cells, evaluate, fulltext, graph, retrieval, service, tables
-from corpusmith.plans import sql
+from corpusmith.plans import functions, sql
 from corpusmith.scratch import save, scratch_root
-from corpusmith.sources import sinks
+from corpusmith.sources import scans, sinks
 from corpusmith.streaming import flows, state
 
 QUERIES: dict = {}
@@ -698,6 +698,42 @@ def metric_coverage(spark, sf_dir):
     return rows.select("metric", rounded("even").alias("even"), rounded("odd").alias("odd"))
 
 
+@query
+def sql_dense_search(spark, sf_dir):
+    """dense_top10 from SQL, by a table function called for each query."""
+    functions.register(spark, sf_dir)
+    corpus.centroids(spark, sf_dir).createOrReplaceTempView("corpus_asked")
+    return _ranked(spark.sql("SELECT q.query_id, d.chunk_id, d.place AS rank, d.score FROM corpus_asked q, LATERAL corpus_dense_search(q.vector, 10) d"))
+
+
+@query
+def sql_neighbors(spark, sf_dir):
+    """What stands beside the third turn of every conversation."""
+    functions.register(spark, sf_dir)
+    return spark.sql("SELECT a.conv_id, n.place AS turn, n.role FROM (SELECT DISTINCT conv_id, turn FROM corpus_turns WHERE turn = 3) a, LATERAL corpus_neighbor_chunks(a.conv_id, a.turn, 1) n")
+
+
+@query
+def sql_concepts(spark, sf_dir):
+    """Concepts beside every region, and the chunks that speak of them."""
+    functions.register(spark, sf_dir)
+    rows = spark.sql("SELECT r.concept AS region, b.concept, l.confidence FROM (SELECT DISTINCT src AS concept FROM corpus_edges WHERE src LIKE 'r%') r, LATERAL corpus_concepts_beside(r.concept) b, LATERAL corpus_linked_chunks(b.concept) l")
+    return rows.groupBy("region").agg(F.count_distinct("concept").alias("n_concepts"), F.count("*").alias("n_links"), rounded(F.avg("confidence")).alias("confidence"))
+
+
+@query
+def sql_counts(spark, sf_dir):
+    functions.register(spark, sf_dir)
+    return spark.sql("SELECT s.collection, corpus_collection_document_count(s.collection) AS n, corpus_embedding_dimension() AS dim FROM (SELECT DISTINCT collection FROM corpus_chunks WHERE collection IS NOT NULL) s")
+
+
+@query
+def allowed_scan(spark, sf_dir):
+    """Orders of one status and priority, by an allow-listed scan."""
+    rows = scans.fetch(corpus.table(spark, sf_dir, "orders"), {"o_orderstatus": "O", "o_orderpriority": "1-URGENT"}, {"o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"}, ["o_orderkey", "o_custkey"])
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last_order"))
+
+
 def _new_folder(spark, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 

@@ -248,6 +248,11 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "cache_hit_rate": "WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events), f AS (SELECT user_id, event_type, k, false AS hit, t + 3600000000 AS until FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_type, e.k, e.t < f.until, CASE WHEN e.t < f.until THEN f.until ELSE e.t + 3600000000 END FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.k = f.k + 1) SELECT event_type, count(*) FILTER (WHERE hit) AS n_hits, count(*) AS n FROM f GROUP BY event_type",
         "cache_keys": "SELECT event_id, sha256(user_id || chr(31) || event_type || chr(31) || props) AS key FROM events",
         "queue_states": f"{jobs} SELECT status, count(*) AS n FROM jobs GROUP BY status",
+        "sql_dense_search": f"WITH {DENSE_ALL} {RANKED} dense10",
+        "sql_neighbors": "SELECT c.conv_id, c.turn, c.role FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn = 3) a JOIN conversations c ON c.conv_id = a.conv_id AND c.turn BETWEEN a.turn - 1 AND a.turn + 1",
+        "sql_concepts": f"WITH {EDGES} SELECT e.src AS region, count(DISTINCT e.dst) AS n_concepts, count(*) AS n_links, round(avg(l.confidence), 6) AS confidence FROM (SELECT DISTINCT src, dst, relation FROM edges WHERE src LIKE 'r%') e JOIN links l ON l.concept = e.dst GROUP BY e.src",
+        "sql_counts": "SELECT source AS collection, count(*) AS n, (SELECT max(len(embedding)) FROM embeddings) AS dim FROM documents WHERE source IS NOT NULL GROUP BY source",
+        "allowed_scan": "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last_order FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey",
         "queue_outcomes": """WITH log AS (SELECT user_id AS job, event_id AS id, ts, CASE event_type WHEN 'view' THEN 'queue' WHEN 'click' THEN 'dequeue' WHEN 'error' THEN 'fail' ELSE 'complete' END AS action, props FROM events),
 made AS (SELECT job, min((ts, id)) AS first FROM log WHERE action = 'queue' AND ts IS NOT NULL GROUP BY job),
 r AS (SELECT job, arg_max(action, (ts, id)) FILTER (WHERE action IN ('complete', 'fail')) AS e, arg_max(props, (ts, id)) FILTER (WHERE action IN ('complete', 'fail')) AS props, count(*) FILTER (WHERE action = 'dequeue') AS taken
