@@ -34,7 +34,6 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import Counter
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -173,22 +172,28 @@ def surprise(toxic: float, all_: float, base: float) -> float:
     return all_ * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
 
 
-def learn_units(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool, float]]:
-    """The insult lexicon. train: (text, y), each text once."""
+def _unit_counts(train: DataFrame) -> DataFrame:
+    """(unit, n0, n1, ...): in how many texts of each fold and kind a unit stands, at 2 * fold + y; counted in one pass."""
+    names = ["unit", *(f"n{k}" for k in range(2 * FOLDS))]
 
     def counted(it):
         counts: dict[str, list[int]] = {}
         for batch in it:
-            for text, y in zip(batch.column(0), batch.column(1)):
+            for text, y, fold in zip(batch.column(0), batch.column(1), batch.column(2)):
+                at = 2 * fold.as_py() + y.as_py()
                 for u in units_of(text.as_py() or ""):
-                    counts.setdefault(u, [0, 0])[y.as_py()] += 1
+                    counts.setdefault(u, [0] * (2 * FOLDS))[at] += 1
         keys = list(counts)
         for k in range(0, len(keys), 50_000):
             part = keys[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[u][0] for u in part], pa.int64()), pa.array([counts[u][1] for u in part], pa.int64())], ["unit", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([counts[u][c] for u in part], pa.int64()) for c in range(2 * FOLDS))], names)
 
-    counts = train.select("text", "y").mapInArrow(counted, "unit string, clean long, toxic long")
-    counts = save(counts.groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-units")
+    counts = train.select("text", "y", "fold").mapInArrow(counted, "unit string, " + ", ".join(f"{n} long" for n in names[1:]))
+    return save(counts.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names[1:])), "toxicity-units")
+
+
+def _picked(counts: DataFrame, toxic: int, clean: int) -> tuple[dict, list]:
+    """Units that speak for toxic texts (unit: (toxic, clean)), and the seeds that stay. counts: (unit, toxic, clean)."""
     base, bar = toxic / (toxic + clean), math.log(max(2, counts.count())) + 1
     odds = (F.col("toxic") + 0.5) / (toxic + 1) * (clean + 1) / (F.col("clean") + 0.5)
     # Each accepted unit stands in several of the FIT_ROWS documents, which bounds their number.
@@ -197,29 +202,54 @@ def learn_units(train: DataFrame, toxic: int, clean: int) -> list[tuple[str, boo
     seeds = {w + ".": None for w in INSULTS.split()}
     for r in counts.where(F.col("unit").isin(*seeds)).collect():
         seeds[r.unit] = (r.toxic + 0.5) / (toxic + 1) * (clean + 1) / (r.clean + 0.5) >= ODDS if r.toxic + r.clean >= EVIDENCE else None
-    seeded = [(u.rstrip("."), True, INSULT_WEIGHT) for u, agreed in seeds.items() if agreed is not False and u not in picked]
-    if not picked:
-        return seeded
-    names = frozenset(picked)
+    return picked, [(u.rstrip("."), True, INSULT_WEIGHT) for u, agreed in seeds.items() if agreed is not False and u not in picked]
+
+
+def _befores(train: DataFrame, names: frozenset[str]) -> DataFrame:
+    """(unit, before, n0, n1, ...): in how many toxic texts of each fold two words stand before a unit; counted in one pass."""
+    columns = ["unit", "before", *(f"n{k}" for k in range(FOLDS))]
 
     def befores(it):
-        counts: Counter = Counter()
+        counts: dict[tuple[str, str], list[int]] = {}
         for batch in it:
-            for text in batch.column(0):
+            for text, fold in zip(batch.column(0), batch.column(1)):
                 words = ["", "", *WORD.findall((text.as_py() or "").lower())]
                 # Once per document, whatever it repeats.
-                counts.update({(u, f"{words[k - 2]} {words[k - 1]}") for k in range(2, len(words)) for w in (words[k],) if len(w) > 1 for u in (w + ".", *(w[:c] for c in STEMS if len(w) > c)) if u in names})
+                for pair in {(u, f"{words[k - 2]} {words[k - 1]}") for k in range(2, len(words)) for w in (words[k],) if len(w) > 1 for u in (w + ".", *(w[:c] for c in STEMS if len(w) > c)) if u in names}:
+                    counts.setdefault(pair, [0] * FOLDS)[fold.as_py()] += 1
         pairs = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([counts[p] for p in pairs], pa.int64())], ["unit", "before", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), *(pa.array([counts[p][f] for p in pairs], pa.int64()) for f in range(FOLDS))], columns)
 
     # Two words before: 'you' alone precedes many an insult.
-    pairs = train.where("y = 1").select("text").mapInArrow(befores, "unit string, before string, n long")
-    shares = pairs.groupBy("unit", "before").agg(F.sum("n").alias("n")).groupBy("unit").agg((F.max("n") / F.sum("n")).alias("share"))
-    keep = {r.unit for r in shares.collect() if r.share <= PASSENGER}
-    # Seeds that the labels confirm stay whatever stands before them.
-    keep |= names & seeds.keys()
-    weigh = lambda t, c: math.log((t + 0.5) / (toxic + 1) * (clean + 1) / (c + 0.5))
-    return sorted([(u.rstrip("."), u.endswith("."), weigh(*picked[u])) for u in keep] + seeded)
+    pairs = train.where("y = 1").select("text", "fold").mapInArrow(befores, "unit string, before string, " + ", ".join(f"{n} long" for n in columns[2:]))
+    return save(pairs.groupBy("unit", "before").agg(*(F.sum(n).alias(n) for n in columns[2:])), "toxicity-befores")
+
+
+def learn_lexicons(train: DataFrame) -> dict[int, list[tuple[str, bool, float]]]:
+    """The insult lexicon of each fold, learned from the other folds' texts, and at -1 that of all. A lexicon is missing
+    where the texts are of one kind. train: (text, y, fold), each text once. Texts are read twice, for all lexicons together."""
+    tally = {(r.fold, r.y): r["count"] for r in train.groupBy("fold", "y").count().collect()}
+    counts, found = _unit_counts(train), {}
+    for out in (-1, *range(FOLDS)):
+        folds = [f for f in range(FOLDS) if f != out]
+        clean, toxic = (sum(tally.get((f, y), 0) for f in folds) for y in (0, 1))
+        if clean and toxic:
+            sums = counts.select("unit", *(sum(F.col(f"n{2 * f + y}") for f in folds).alias(name) for y, name in enumerate(("clean", "toxic")))).where("clean + toxic > 0")
+            found[out] = (clean, toxic, *_picked(sums, toxic, clean))
+    names = frozenset(u for _, _, picked, _ in found.values() for u in picked)
+    pairs = _befores(train, names) if names else None
+    lexicons = {}
+    for out, (clean, toxic, picked, seeded) in found.items():
+        lexicons[out] = seeded
+        if picked:
+            rows = pairs.select("unit", sum(F.col(f"n{f}") for f in range(FOLDS) if f != out).alias("n")).where("n > 0")
+            shares = rows.groupBy("unit").agg((F.max("n") / F.sum("n")).alias("share"))
+            keep = {r.unit for r in shares.collect() if r.share <= PASSENGER and r.unit in picked}
+            # Seeds that the labels confirm stay whatever stands before them.
+            keep |= picked.keys() & {w + "." for w in INSULTS.split()}
+            weigh = lambda t, c: math.log((t + 0.5) / (toxic + 1) * (clean + 1) / (c + 0.5))  # noqa: E731, B023
+            lexicons[out] = sorted([(u.rstrip("."), u.endswith("."), weigh(*picked[u])) for u in keep] + seeded)
+    return lexicons
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 40) -> np.ndarray:
@@ -236,11 +266,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 40)
     return w
 
 
-def _measured(units: list[tuple[str, bool, float]]):
+def _measured(lexicons: dict[int, list[tuple[str, bool, float]]]):
     def batches(it):
-        grammar = Grammar(units)
+        grammars = {fold: Grammar(units) for fold, units in lexicons.items()}
         for batch in it:
-            f = [grammar.features(t.as_py()) for t in batch.column(0)]
+            f = [grammars[fold.as_py()].features(t.as_py()) for t, fold in zip(batch.column(0), batch.column(2))]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column(1)], ["f", "y"])
 
     return batches
@@ -259,17 +289,12 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.
     train = save(train.repartition(TRAIN_PARTITIONS, "key").select("text", "y", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-train")
     tally = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
     clean, toxic = tally.get(0, 0), tally.get(1, 0)
-    units = learn_units(train, toxic, clean) if toxic and clean else []
-    weights = None
+    lexicons = learn_lexicons(train) if toxic and clean else {}
+    units, weights = lexicons.get(-1, []), None
     if toxic and clean:
         # Clauses of a text count by a lexicon that has not seen the text, so that its own words do not vouch for it.
-        parts = []
-        for fold in range(FOLDS):
-            others = train.where(F.col("fold") != fold)
-            seen = {r.y: r["count"] for r in others.groupBy("y").count().collect()}
-            lexicon = learn_units(others, seen[1], seen[0]) if len(seen) == 2 else units
-            parts.append(train.where(F.col("fold") == fold).select("text", F.col("y").cast("long").alias("y")).mapInArrow(_measured(lexicon), "f array<double>, y long").toArrow())
-        rows = pa.concat_tables(parts)
+        unseen = {fold: lexicons.get(fold, units) for fold in range(FOLDS)}
+        rows = train.select("text", F.col("y").cast("long").alias("y"), "fold").mapInArrow(_measured(unseen), "f array<double>, y long").toArrow()
         weights = logistic(np.array(rows.column("f").to_pylist(), float).reshape(-1, len(FEATURES)), rows.column("y").to_numpy().astype(float))
     constant = 1.0 if toxic else 0.0
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])

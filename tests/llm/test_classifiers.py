@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmith.llm import quality, queries, toxicity
 
@@ -114,7 +115,7 @@ def test_lexicon_keeps_repeated_insults(spark):
     rows += [(f"{words(12)} {rng.choice(vocabulary)} grobian {words(12)} you flegel {words(6)}", 1) for _ in range(40)]
     rows += [("grobian " * 3000, 1)] + [(f"that stupid idiot came along {k}{word()}", 1) for k in range(30)]
     train = spark.createDataFrame(rows, "text string, y int")
-    found = {u for u, whole, _ in toxicity.learn_units(train, 71, 300) if whole}
+    found = {u for u, whole, _ in toxicity.learn_lexicons(train.withColumn("fold", F.lit(0)))[-1] if whole}
     assert {"grobian", "flegel", "idiot"} <= found and "along" not in found
 
 
