@@ -1,10 +1,12 @@
 """English word stems by Porter's second algorithm, over Arrow columns.
 
-A batch's words are stemmed once each, however often they stand in it.
+A batch's words are stemmed once each, however often they stand in it, and a worker
+remembers the latest.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -70,6 +72,7 @@ def _past(w: str, r1: int) -> str:
     return w
 
 
+@functools.lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     """The stem of a word in small letters; words of up to two letters are their own."""
     if len(word) <= 2:
