@@ -12,7 +12,7 @@ from corpusmith import corpus
 from corpusmith.deploy import shipped
 from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
-from corpusmith.operators import cells, evaluate, fulltext, graph, retrieval, service, tables
+from corpusmith.operators import cells, concepts, evaluate, fulltext, graph, retrieval, service, tables
 from corpusmith.plans import functions, sql
 from corpusmith.scratch import save, scratch_root
 from corpusmith.sources import scans, sinks
@@ -283,6 +283,31 @@ def title_mentions(spark, sf_dir):
     return docs.select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
+def _catalogue(spark, sf_dir):
+    """The first two words of every benchmark item, as names."""
+    return corpus.table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name"))
+
+
+@query
+def entity_mentions(spark, sf_dir):
+    """How many documents mention each name of a catalogue."""
+    found = concepts.mentions(corpus.chunks(spark, sf_dir).select("chunk_id", "content"), _catalogue(spark, sf_dir))
+    return found.groupBy(F.lower("name").alias("entity")).agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"))
+
+
+@query
+def chunk_concepts(spark, sf_dir):
+    """Links of every document to its source and language, and to the names of a catalogue that it mentions."""
+    chunks = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.array_compact(F.array("source", "lang")).alias("hierarchy"), F.lit("corpus").alias("root"))
+    rows = concepts.links(chunks, _catalogue(spark, sf_dir))
+    return rows.groupBy(F.lower("concept").alias("concept"), "confidence").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("chunks"))
+
+
+@query
+def concept_uuids(spark, sf_dir):
+    return corpus.edges(spark, sf_dir).select("src", "dst", concepts.concept_uuid(F.lit(1), F.col("src")).alias("src_id"), concepts.edge_uuid(F.lit(1), concepts.concept_uuid(F.lit(1), F.col("src")), concepts.concept_uuid(F.lit(1), F.col("dst")), F.col("relation")).alias("edge_id"))
+
+
 @query
 def hash_embedding(spark, sf_dir):
     """Signed hashed word counts of the documents, normalised; one row per filled dimension."""

@@ -158,6 +158,9 @@ def build() -> dict[str, str]:
     wordy = r"(?i)(?:^|\s+)(?:NOT|without|except|sans)\s+([A-Za-z0-9_\-]+)"
     dashed = r"(?:^|\s+)-([A-Za-z0-9_\-]+)"
     relational = tx.any_pattern(tx.RELATIONAL)
+    named = r"""WITH names AS (SELECT DISTINCT lower(CASE WHEN b = '' THEN trim(a) ELSE b END) AS low FROM (
+  SELECT a, trim(regexp_replace(a, '^[0-9.\-\s]+|^[#*_`\s]+|[#*_`\s]+$', '', 'g')) AS b FROM (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS a FROM benchmark)) WHERE length(CASE WHEN b = '' THEN trim(a) ELSE b END) >= 3),
+said AS (SELECT doc_id, low FROM documents JOIN names ON contains(lower(text), low))"""
     tenant = f"CAST(substr(source, 4) AS INT) % {corpus.TENANTS}"
     scoped = f"""{BOTH}, owned AS (SELECT q.query_id, d.doc_id AS chunk_id FROM (VALUES {_values((q, q % corpus.TENANTS) for q, _ in corpus.QUERIES)}) q(query_id, tenant) JOIN documents d ON {tenant} = q.tenant),
 d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (query_id, chunk_id)), x_own AS (SELECT query_id, chunk_id, score FROM lex_all JOIN owned USING (query_id, chunk_id)),
@@ -253,6 +256,13 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "sql_concepts": f"WITH {EDGES} SELECT e.src AS region, count(DISTINCT e.dst) AS n_concepts, count(*) AS n_links, round(avg(l.confidence), 6) AS confidence FROM (SELECT DISTINCT src, dst, relation FROM edges WHERE src LIKE 'r%') e JOIN links l ON l.concept = e.dst GROUP BY e.src",
         "sql_counts": "SELECT source AS collection, count(*) AS n, (SELECT max(len(embedding)) FROM embeddings) AS dim FROM documents WHERE source IS NOT NULL GROUP BY source",
         "allowed_scan": "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last_order FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey",
+        "entity_mentions": f"{named} SELECT low AS entity, count(*) AS n, min(doc_id) AS first_chunk FROM said GROUP BY low",
+        "chunk_concepts": f"""{named}, heads AS (
+  SELECT doc_id, lower(source) AS low, CASE WHEN lang IS NULL THEN 1.0 ELSE 0.8 END::DOUBLE AS confidence FROM documents WHERE source IS NOT NULL
+  UNION ALL SELECT doc_id, lower(lang), 1.0::DOUBLE FROM documents WHERE lang IS NOT NULL AND lower(lang) IS DISTINCT FROM lower(source)
+  UNION ALL SELECT doc_id, 'corpus', 1.0::DOUBLE FROM documents WHERE source IS NULL AND lang IS NULL)
+SELECT low AS concept, confidence, count(*) AS n, sum(doc_id)::BIGINT AS chunks FROM (
+  SELECT * FROM heads UNION ALL SELECT doc_id, low, 0.75::DOUBLE FROM said s WHERE low <> 'corpus' AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = s.doc_id AND h.low = s.low)) GROUP BY ALL""",
         "queue_outcomes": """WITH log AS (SELECT user_id AS job, event_id AS id, ts, CASE event_type WHEN 'view' THEN 'queue' WHEN 'click' THEN 'dequeue' WHEN 'error' THEN 'fail' ELSE 'complete' END AS action, props FROM events),
 made AS (SELECT job, min((ts, id)) AS first FROM log WHERE action = 'queue' AND ts IS NOT NULL GROUP BY job),
 r AS (SELECT job, arg_max(action, (ts, id)) FILTER (WHERE action IN ('complete', 'fail')) AS e, arg_max(props, (ts, id)) FILTER (WHERE action IN ('complete', 'fail')) AS props, count(*) FILTER (WHERE action = 'dequeue') AS taken
