@@ -34,6 +34,11 @@ def checked(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries)
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """Rows to broadcast if a count proves them few; Spark joins them by shuffle otherwise."""
+    return F.broadcast(rows) if rows.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES else rows
+
+
 def top(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", ties: str = "chunk_id") -> DataFrame:
     """The k best rows of each query with their rank from 1; ranks are limited within partitions first."""
     order = Window.partitionBy(by).orderBy(F.desc(F.round(score, 9)), ties)
@@ -214,7 +219,7 @@ def fuse_zero_based(lists: DataFrame, k: int = RRF_K, texts: DataFrame | None =
     part = lambda c: 1.0 / (k + F.coalesce(F.col(c), F.lit(ABSENT)))
     rows = first.select("query_id", "id", (part("dense") + part("lex")).alias("score"))
     if negatives is not None:
-        rows = rows.join(F.broadcast(negatives), "query_id", "left")
+        rows = rows.join(sized(negatives), "query_id", "left")
         rows = rows.join(texts, "id", "left") if texts is not None else rows.withColumn("content", F.lit(None).cast("string"))
         hit = F.coalesce(tx.holds_any(F.coalesce("content", "id"), F.col("terms")), F.lit(False))
         rows = rows.select("query_id", "id", F.when(hit, F.col("score") * 0.5).otherwise(F.col("score")).alias("score"))

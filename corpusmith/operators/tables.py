@@ -123,12 +123,11 @@ def export_row(rows: DataFrame) -> DataFrame:
 
 
 def valid_rows(rows: DataFrame) -> DataFrame:
-    """Generation rows (answer, texts array, ids array) with `valid`."""
+    """Generation rows (answer, has_text, n_ids, n_distinct: ids that are not blank) with `valid`."""
     answer = F.trim(F.coalesce("answer", F.lit("")))
-    ids = F.filter("ids", lambda i: F.coalesce(i, F.lit("")) != "")
-    repeats = 1.0 - F.size(F.array_distinct(ids)) / F.size(ids)
-    ok = (F.length(answer) >= 30) & F.exists("texts", lambda t: F.trim(F.coalesce(t, F.lit(""))) != "") & (F.size(ids) > 0) & ~F.endswith(answer, F.lit("..."))
-    return rows.withColumn("valid", F.coalesce(ok & (F.when(F.size(ids) > 0, repeats).otherwise(0.0) <= 0.6), F.lit(False)))
+    repeats = 1.0 - F.col("n_distinct") / F.col("n_ids")
+    ok = (F.length(answer) >= 30) & F.col("has_text") & (F.col("n_ids") > 0) & ~F.endswith(answer, F.lit("..."))
+    return rows.withColumn("valid", F.coalesce(ok & (F.when(F.col("n_ids") > 0, repeats).otherwise(0.0) <= 0.6), F.lit(False)))
 
 
 def quality_gate(rows: DataFrame) -> DataFrame:

@@ -510,7 +510,7 @@ def error_classes(spark, sf_dir):
 
 @query
 def valid_rows(spark, sf_dir):
-    rows = corpus.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"), F.collect_list("text").alias("texts"), F.collect_list("role").alias("ids"))
+    rows = corpus.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"), F.max(F.trim(F.coalesce("text", F.lit(""))) != "").alias("has_text"), F.count(F.nullif("role", F.lit(""))).alias("n_ids"), F.count_distinct(F.nullif("role", F.lit(""))).alias("n_distinct"))
     return tables.valid_rows(rows).select("conv_id", "valid")
 
 

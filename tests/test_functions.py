@@ -254,6 +254,7 @@ def test_valid_rows(spark):
     long = "a sound answer that is long enough to pass"
     rows = [(long, ["t"], ["1"]), (long + "...", ["t"], ["1"]), ("short", ["t"], ["1"]), (long, [" "], ["1"]), (long, ["t"], ["1"] * 5)]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, answer string, texts array<string>, ids array<string>")
+    df = df.selectExpr("id", "answer", "exists(texts, t -> trim(t) <> '') AS has_text", "size(ids) AS n_ids", "size(array_distinct(ids)) AS n_distinct")
     assert [r.valid for r in tables.valid_rows(df).orderBy("id").collect()] == [True, False, False, False, False]
 
 
