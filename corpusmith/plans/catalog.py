@@ -15,7 +15,7 @@ from corpusmith.functions import text as tx
 from corpusmith.operators import cells, concepts, evaluate, fulltext, graph, retrieval, service, tables
 from corpusmith.plans import functions, sql
 from corpusmith.scratch import save, scratch_root
-from corpusmith.sources import scans, sinks
+from corpusmith.sources import readers, scans, sinks
 from corpusmith.streaming import flows, state
 
 QUERIES: dict = {}
@@ -752,6 +752,14 @@ def sql_counts(spark, sf_dir):
     return spark.sql("SELECT s.collection, corpus_collection_document_count(s.collection) AS n, corpus_embedding_dimension() AS dim FROM (SELECT DISTINCT collection FROM corpus_chunks WHERE collection IS NOT NULL) s")
 
 
+@query
+def raw_ingest(spark, sf_dir):
+    """Documents as raw texts to take in, some for collections that have no proper id: how many are refused, and why."""
+    collection = F.when(F.col("doc_id") % 7 == 0, F.col("source")).when(F.col("doc_id") % 7 == 1, concepts.name_uuid(F.col("source")))
+    rows = readers.raw_texts(corpus.table(spark, sf_dir, "documents").select(F.col("text").alias("raw_text"), collection.alias("collection_id")))
+    return rows.groupBy(F.coalesce("reason", F.lit("taken")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.length("raw_text")).alias("chars"))
+
+
 @query
 def allowed_scan(spark, sf_dir):
     """Orders of one status and priority, by an allow-listed scan."""

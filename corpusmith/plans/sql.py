@@ -256,6 +256,8 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "sql_concepts": f"WITH {EDGES} SELECT e.src AS region, count(DISTINCT e.dst) AS n_concepts, count(*) AS n_links, round(avg(l.confidence), 6) AS confidence FROM (SELECT DISTINCT src, dst, relation FROM edges WHERE src LIKE 'r%') e JOIN links l ON l.concept = e.dst GROUP BY e.src",
         "sql_counts": "SELECT source AS collection, count(*) AS n, (SELECT max(len(embedding)) FROM embeddings) AS dim FROM documents WHERE source IS NOT NULL GROUP BY source",
         "allowed_scan": "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last_order FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey",
+        "raw_ingest": """SELECT CASE WHEN length(text) > 100000 THEN 'too long' WHEN NOT regexp_matches(coalesce(text, ''), '\\S') THEN 'blank' WHEN doc_id % 7 = 0 AND coalesce(source, '') <> '' THEN 'collection is no UUID' ELSE 'taken' END AS outcome,
+  count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY outcome""",
         "entity_mentions": f"{named} SELECT low AS entity, count(*) AS n, min(doc_id) AS first_chunk FROM said GROUP BY low",
         "chunk_concepts": f"""{named}, heads AS (
   SELECT doc_id, lower(source) AS low, CASE WHEN lang IS NULL THEN 1.0 ELSE 0.8 END::DOUBLE AS confidence FROM documents WHERE source IS NOT NULL

@@ -82,3 +82,27 @@ def keyed_jsonl(spark: SparkSession, path: str, schema: str, key: str, order: st
     """JSON lines without malformed ones, the last of each key."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col(key).isNotNull())
     return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), order).alias("x")).select(key, "x.*")
+
+
+#: Characters of a raw text; what a collection's id looks like.
+MOST_CHARS, UUID = 100_000, r"^(?i)(urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
+
+
+def raw_texts(rows: DataFrame) -> DataFrame:
+    """rows (raw_text, collection_id, ...) with the `reason` for which one is refused, null for what is taken in: at most
+    MOST_CHARS characters, some of them not blank, and no collection or a UUID."""
+    text, collection = F.col("raw_text"), F.col("collection_id")
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
+    named = F.coalesce(collection, F.lit("")) != ""
+    return rows.withColumn("reason", F.when(F.length(text) > MOST_CHARS, "too long").when(blank, "blank").when(named & ~collection.rlike(UUID), "collection is no UUID"))
+
+
+def uploads(rows: DataFrame) -> DataFrame:
+    """rows (content, metadata, ...) with the `reason` for which a file is refused, null for what is taken in, and its
+    `user_metadata`: the JSON object that came with it, {} where there is none or another kind of JSON."""
+    parsed = F.try_parse_json("metadata")
+    given = F.coalesce("metadata", F.lit("")) != ""
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    reason = F.when(size > MOST_BYTES, "too large").when(size == 0, "empty").when(given & parsed.isNull(), "metadata is no JSON")
+    is_object = given & F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
+    return rows.withColumns({"reason": reason, "user_metadata": F.when(is_object, F.to_json(parsed)).otherwise("{}")})
