@@ -12,7 +12,7 @@ from corpusmith import corpus
 from corpusmith.deploy import shipped
 from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
-from corpusmith.operators import cells, concepts, evaluate, fulltext, graph, retrieval, service, tables
+from corpusmith.operators import cells, concepts, evaluate, fulltext, graph, middleware, retrieval, service, tables
 from corpusmith.plans import functions, sql
 from corpusmith.scratch import save, scratch_root
 from corpusmith.sources import readers, scans, sinks
@@ -760,6 +760,14 @@ def raw_ingest(spark, sf_dir):
     return rows.groupBy(F.coalesce("reason", F.lit("taken")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.length("raw_text")).alias("chars"))
 
 
+@query
+def middleware_chain(spark, sf_dir):
+    """Documents with a list of contents before them, through two steps, the first of them applied once more."""
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(TOC + "\n"), F.col("text")).alias("text"))
+    rows = middleware.applied(middleware.applied(rows, [middleware.CONTENTS, middleware.LINKS]), [middleware.CONTENTS])
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size("trace").alias("n_steps"), middleware.digest().alias("digest"))
+
+
 @query
 def allowed_scan(spark, sf_dir):
     """Orders of one status and priority, by an allow-listed scan."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from corpusmith import corpus
 from corpusmith.functions import text as tx
+from corpusmith.functions.sequential import config_hash
+from corpusmith.operators import middleware
 from corpusmith.operators import retrieval as r
 
 
@@ -158,6 +160,7 @@ def build() -> dict[str, str]:
     wordy = r"(?i)(?:^|\s+)(?:NOT|without|except|sans)\s+([A-Za-z0-9_\-]+)"
     dashed = r"(?:^|\s+)-([A-Za-z0-9_\-]+)"
     relational = tx.any_pattern(tx.RELATIONAL)
+    steps = ";".join(f"{x.name}:{x.version}:{config_hash(x.settings)}" for x in (middleware.CONTENTS, middleware.LINKS))
     named = r"""WITH names AS (SELECT DISTINCT lower(CASE WHEN b = '' THEN trim(a) ELSE b END) AS low FROM (
   SELECT a, trim(regexp_replace(a, '^[0-9.\-\s]+|^[#*_`\s]+|[#*_`\s]+$', '', 'g')) AS b FROM (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS a FROM benchmark)) WHERE length(CASE WHEN b = '' THEN trim(a) ELSE b END) >= 3),
 said AS (SELECT doc_id, low FROM documents JOIN names ON contains(lower(text), low))"""
@@ -218,6 +221,7 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "parse_confidence": "WITH l AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ') <> '') AS lines FROM documents) SELECT doc_id, (CASE WHEN length(trim(coalesce(text, ''), ' ')) < 50 THEN 0.5 ELSE least(1.0, round(0.7 + CASE WHEN len(list_filter(lines, lambda x: starts_with(x, '#'))) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(lines) > 5 THEN 0.1 ELSE 0 END + CASE WHEN contains(text, '```') THEN 0.1 ELSE 0 END, 2)) END)::DOUBLE AS confidence FROM l",
         "html_to_markdown": f"SELECT page_id, {_html()} AS markdown FROM pages",
         "toc_strip": rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({toc} || text, '(?m)(?:^[ \t]*(?:\*|-|\d+\.)\s*\[.+?\]\(#.+?\)\s*\n){{3,}}', chr(10), 'g'), '(?mi)^#{{1,4}}\s+(Table of Contents|Contents|TOC|Index)\s*$\n?', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents",
+        "middleware_chain": rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace({toc} || text, '(?m)(?:^[ \t]*(?:\*|-|\d+\.)\s*\[.+?\]\(#.+?\)\s*\n){{3,}}', chr(10), 'g'), '(?mi)^#{{1,4}}\s+(Table of Contents|Contents|TOC|Index)\s*$\n?', '', 'g'), '^\s+|\s+$', '', 'g')) AS text_sha256, 2 AS n_steps, sha256('{steps}') AS digest FROM documents",
         "url_params_clean": f"WITH p AS (SELECT page_id, url, {url_parts} FROM pages), k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^[^=]*=(.*)$', 1) <> '' AND lower(string_split(x, '=')[1]) NOT IN ({tracking})) AS kept FROM p) SELECT page_id, head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string({together}, '&') ELSE '' END || tail AS url FROM k",
         "canonical_ids": f"SELECT page_id, {_canonical(chr(39) + ' Document:' + chr(39) + ' || url')} AS id, {name} AS name FROM pages",
         "context_normalize": f"WITH {_context('documents', 'doc_id', 'text')}, c AS (SELECT doc_id, plain, rtrim(substr(plain, 1, 1000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM plains), h AS (SELECT *, regexp_extract(cut, '(?s)^(.*[ \\n])', 1) AS head FROM c) SELECT doc_id, CASE WHEN length(plain) <= 1000 THEN plain WHEN length(head) - 1 > 650 THEN regexp_replace(head, '\\s+$', '') || '...' ELSE cut || '...' END AS context FROM h",
