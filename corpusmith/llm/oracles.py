@@ -95,4 +95,31 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DE
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-SQL = {"op5_line_dedup": LINES, "op6_url_filters": URLS, "op7_chat": CHAT, "op10_topk": TOPK}
+
+
+def _centroids(k: int, rounds: int) -> str:
+    """Rounds of clustering, one after another; all numbers are whole and below 2^53, so doubles hold them."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT row, arg_min(n, (d, n)) AS n, min(d) AS d FROM (
+    SELECT x.row, c.n, list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, c.v) + list_dot_product(c.v, c.v) AS d FROM kept x, c{r} c) GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.n, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT n, list(((s - ((s % m) + m) % m) // m)::DOUBLE ORDER BY i) AS v FROM (
+      SELECT a.n, p.i, sum(p.x)::BIGINT AS s, count(*) AS m FROM a{r} a JOIN parts p USING (row) GROUP BY a.n, p.i) GROUP BY n) m USING (n))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, unnest(range(64)) AS i, unnest(v)::BIGINT AS x FROM kept),
+c0 AS MATERIALIZED (SELECT n, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS n, v FROM kept WHERE vec_id IS NOT NULL) WHERE n < {k}),
+{", ".join(steps)}
+SELECT x.vec_id, a.n::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.n))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda y: y::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept x USING (row) JOIN c{rounds} c USING (n)
+"""
+
+
+SQL = {"op12_centroids": _centroids(40, 5), "op5_line_dedup": LINES, "op6_url_filters": URLS, "op7_chat": CHAT, "op10_topk": TOPK}
