@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmith.functions import text as tx
-from corpusmith.scratch import save
+from corpusmith.scratch import save, spread
 
 #: Fusion constant, candidates per list, results, graph weight and seeds, recency midpoint in days.
 RRF_K, CANDIDATES, RESULTS, GRAPH_WEIGHT, GRAPH_SEEDS, RECENCY_DAYS = 60, 40, 10, 0.25, 5, 30
@@ -146,7 +146,7 @@ def dense_scoped(vectors: DataFrame, owners: DataFrame, queries: DataFrame, k: i
 
 def postings(chunks: DataFrame, terms: list[str], *more: str) -> DataFrame:
     """(chunk_id, more..., length, terms): the asked terms among each chunk's words, repeats included."""
-    words = chunks.select("chunk_id", *more, tx.tokens(F.col("content")).alias("words"))
+    words = spread(chunks.select("chunk_id", *more, "content")).select("chunk_id", *more, tx.tokens(F.col("content")).alias("words"))
     return words.select("chunk_id", *more, F.size("words").alias("length"), F.filter("words", lambda w: w.isin(terms)).alias("terms"))
 
 

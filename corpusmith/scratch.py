@@ -39,6 +39,13 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return kept
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where their scan gives fewer tasks than that (a small table of few row groups); larger tables
+    stay as they are read. For work on texts that costs more than moving them."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+
+
 #: Folders that save() wrote and that are still there, oldest first.
 _SAVED: list[str] = []
 
