@@ -302,6 +302,14 @@ def depth_trim(rows: DataFrame, depths: DataFrame) -> DataFrame:
     return ranked.where((F.col("match_source") == "dense") | (F.col("depth") > 2) | (F.col("place") <= F.col("depth"))).drop("place", "depth")
 
 
+def explained(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Gated rows (query_id, chunk_id, score, match_source) with their place, the source (chunk_id, document_id, source_url) each comes
+    from, and how their query was answered: mode and how many rows there are."""
+    query, order = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    placed = rows.withColumns({"place": F.row_number().over(order), "mode": F.max("match_source").over(query), "n_rows": F.count("*").over(query)})
+    return placed.join(sources.select("chunk_id", "document_id", "source_url"), "chunk_id", "left")
+
+
 def negate_reranked(rows: DataFrame, terms, penalty: float = 2.0) -> DataFrame:
     """Re-ranked rows (query_id, chunk_id, content, rerank_score, score): what holds a negative term loses `penalty` of
     its rerank score and half of its score; places anew by rerank score, where there is one, else by score."""

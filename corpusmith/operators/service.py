@@ -73,6 +73,12 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.groupBy(tx.error_class(F.col("error")).alias("class")).agg(F.count("*").alias("n"))
 
 
+def failure_summary(rows: DataFrame) -> DataFrame:
+    """One row of counts over results (error, null where there was none): all, failed, timed out, and those whose evaluation failed."""
+    kind = F.when(F.col("error").isNotNull(), tx.error_class(F.col("error")))
+    return rows.select(kind.alias("kind")).agg(F.count("*").alias("n"), F.count("kind").alias("n_failed"), F.count_if(F.col("kind") == "api_timeout").alias("n_timeout"), F.count_if(F.col("kind") == "evaluator_parse_failure").alias("n_evaluator"))
+
+
 def slowest(rows: DataFrame, column: str, key: str, n: int = 5) -> DataFrame:
     return rows.orderBy(F.desc(column), key).limit(n)
 

@@ -503,6 +503,20 @@ def explain_rows(spark, sf_dir):
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.max("match_source").alias("mode"), rounded(F.max("score")).alias("best"))
 
 
+@query
+def explain_detail(spark, sf_dir):
+    """The diagnostics of every row of an answer."""
+    sources = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_url"))
+    rows = retrieval.explained(_gated(spark, sf_dir), sources)
+    return rows.select("query_id", "place", "chunk_id", "document_id", "source_url", rounded("score").alias("score"), "match_source", "mode", "n_rows")
+
+
+@query
+def failure_summary(spark, sf_dir):
+    text = F.when(F.col("event_type") == "error", "timed out").when(F.col("event_type") == "click", "eval_failed").when(F.col("user_id") % 2 == 0, F.col("props"))
+    return service.failure_summary(corpus.table(spark, sf_dir, "events").select(text.alias("error")))
+
+
 @query
 def error_classes(spark, sf_dir):
     return _questions(spark, sf_dir, ERROR_TEXTS, "error").select("conv_id", "turn", tx.error_class(F.col("error")).alias("class"))

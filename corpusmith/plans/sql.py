@@ -260,6 +260,12 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "sql_concepts": f"WITH {EDGES} SELECT e.src AS region, count(DISTINCT e.dst) AS n_concepts, count(*) AS n_links, round(avg(l.confidence), 6) AS confidence FROM (SELECT DISTINCT src, dst, relation FROM edges WHERE src LIKE 'r%') e JOIN links l ON l.concept = e.dst GROUP BY e.src",
         "sql_counts": "SELECT source AS collection, count(*) AS n, (SELECT max(len(embedding)) FROM embeddings) AS dim FROM documents WHERE source IS NOT NULL GROUP BY source",
         "allowed_scan": "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last_order FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey",
+        "explain_detail": f"""WITH {GATED}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS place, chunk_id, doc_id::VARCHAR AS document_id, source AS source_url, round(score, 6) AS score, match_source,
+  max(match_source) OVER (PARTITION BY query_id) AS mode, count(*) OVER (PARTITION BY query_id) AS n_rows FROM gated LEFT JOIN documents ON doc_id = chunk_id""",
+        "failure_summary": f"""WITH r AS (SELECT CASE WHEN event_type = 'error' THEN 'timed out' WHEN event_type = 'click' THEN 'eval_failed' WHEN user_id % 2 = 0 THEN props END AS error FROM events),
+k AS (SELECT CASE WHEN error IS NOT NULL THEN {_error_case()} END AS kind FROM (SELECT error, lower(error) AS e FROM r))
+SELECT count(*) AS n, count(kind) AS n_failed, count(*) FILTER (WHERE kind = 'api_timeout') AS n_timeout, count(*) FILTER (WHERE kind = 'evaluator_parse_failure') AS n_evaluator FROM k""",
         "raw_ingest": """SELECT CASE WHEN length(text) > 100000 THEN 'too long' WHEN NOT regexp_matches(coalesce(text, ''), '\\S') THEN 'blank' WHEN doc_id % 7 = 0 AND coalesce(source, '') <> '' THEN 'collection is no UUID' ELSE 'taken' END AS outcome,
   count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY outcome""",
         "entity_mentions": f"{named} SELECT low AS entity, count(*) AS n, min(doc_id) AS first_chunk FROM said GROUP BY low",
