@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import datetime
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmith import corpus
 from corpusmith.deploy import shipped
 from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
-from corpusmith.operators import cells, concepts, evaluate, fulltext, graph, middleware, retrieval, service, tables
+from corpusmith.operators import cells, concepts, evaluate, fulltext, graph, middleware, phases, retrieval, service, tables
 from corpusmith.plans import functions, sql
 from corpusmith.scratch import save, scratch_root
 from corpusmith.sources import readers, scans, sinks
@@ -860,6 +865,48 @@ def published_snapshot(spark, sf_dir):
     return sinks.snapshot(spark, folder, first).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("n_texts"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _packed(text: pd.Series) -> pd.Series:
+    """Packages of one paragraph a line."""
+
+    def pack(t):
+        if t is None:
+            return None
+        out, lines = io.BytesIO(), "".join(f"<w:p><w:r><w:t>{escape(x, {chr(13): '&#13;'})}</w:t></w:r></w:p>" for x in t.split("\n"))
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+        return out.getvalue()
+
+    return text.map(pack)
+
+
+@query
+def office_texts(spark, sf_dir):
+    """Every document as a file of its own, as a package or as RTF in turn, parsed back."""
+    text = F.coalesce("text", F.lit(""))
+    # Signs that XML has no place for go into RTF.
+    as_package = (F.col("doc_id") % 2 == 0) & ~text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"([\\{}])", r"\\$1"), "\r", r"\\'0d"), "\n", "\\\\par\n")
+    rtf = F.encode(F.concat(F.lit(r"{\rtf1\ansi\ansicpg65001 "), marked, F.lit("}")), "UTF-8")
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.when(as_package, text).alias("packed"), rtf.alias("rtf"), as_package.alias("is_package"))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("is_package"), ".docx").otherwise(".rtf"))
+    good, _ = readers.parse(rows.select(name.alias("path"), F.coalesce(_packed("packed"), F.col("rtf")).alias("content")))
+    return good.select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "confidence", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def phased_job(spark, sf_dir):
+    """Events through a job that fails for some at first, for some always: outcomes by the attempt they come from."""
+
+    def work(rows, attempt):
+        passing = F.when((F.col("event_type") == "error") & (F.col("event_id") % 5 > attempt), "HTTP 429: rate limit")
+        return rows.withColumn("error", F.coalesce(passing, F.when(F.col("event_id") % 7 == 0, "malformed answer")))
+
+    items = corpus.table(spark, sf_dir, "events").select("event_id", "event_type")
+    rows = phases.run(items, phases.Job(_new_folder(spark, "job"), "event_id", work, slices=4))
+    return rows.groupBy("attempt", "error").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

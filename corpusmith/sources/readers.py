@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as tx
+from corpusmith.sources import office
 
 #: Most bytes of a file; shortest run and text that salvage accepts.
 MOST_BYTES, RUN, SALVAGED = 75 * 1024 * 1024, 6, 30
@@ -48,23 +49,29 @@ def csv_table(content: str) -> str:
     return "\n".join([lines[0], "|" + " --- |" * len(rows[0]), *lines[1:]])
 
 
-def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (path, format, text, confidence, warning) and rejects (path, reason).
-    Formats without a parser here are salvaged or rejected."""
+def parse(rows: DataFrame, latin: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents (path, format, text, confidence, warning) and rejects (path, reason). Office files are read by
+    corpusmith.sources.office; those that are damaged, and formats without a parser here, are salvaged or rejected.
+    Bytes of a text that are no UTF-8 become replacement signs, or the whole text is read as ISO-8859-1 (latin)."""
     rows = detect(rows.withColumn("length", F.length("content")))
 
     def tables(content: pd.Series) -> pd.Series:
         return content.map(lambda c: csv_table(c or ""))
 
-    text = F.make_valid_utf8(F.col("content").cast("string"))
+    kind, text = F.col("format"), F.make_valid_utf8(F.col("content").cast("string"))
+    if latin:
+        text = F.when(F.is_valid_utf8(F.col("content").cast("string")), text).otherwise(F.decode("content", "ISO-8859-1"))
+    wanted = kind.isin(*office.FORMATS) & (F.col("length") <= MOST_BYTES)
+    rows = rows.withColumns({"__office": office.unpacked(F.when(wanted, F.col("content"))), "__csv": F.pandas_udf(tables, "string")(F.when(kind == "csv", text))})
+    whole = F.coalesce("__office.text", tx.stripped(tx.html_to_markdown(F.col("__office.html"))))
     salvaged = F.trim(printable(F.col("content")))
-    kind = F.col("format")
-    body = F.when(kind.isin("markdown", "text"), text).when(kind == "html", tx.html_to_markdown(text)).when(kind == "csv", F.pandas_udf(tables, "string")(text)).otherwise(salvaged)
-    sure = F.when(kind.isin("markdown", "text"), 1.0).when(kind == "html", 0.95).when(kind == "csv", 0.98).when(kind == "binary_unknown", 0.3).otherwise(0.4)
-    rows = rows.select("path", "format", body.alias("text"), sure.alias("confidence"), "length")
+    body = F.when(kind.isin("markdown", "text"), text).when(kind == "html", tx.html_to_markdown(text)).when(kind == "csv", F.col("__csv")).otherwise(F.coalesce(whole, salvaged))
+    sure = F.when(kind.isin("markdown", "text"), 1.0).when(kind == "html", 0.95).when((kind == "csv") | whole.isNotNull(), 0.98).when(kind == "binary_unknown", 0.3).otherwise(0.4)
+    rows = rows.select("path", "format", body.alias("text"), sure.alias("confidence"), "length", F.col("__office.reason").alias("damage"))
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when((F.col("confidence") < 0.5) & (F.length("text") <= SALVAGED), "no text")
     rows = rows.withColumn("reason", reason)
-    good = rows.where("reason is null").select("path", "format", "text", "confidence", F.when(F.col("confidence") < 0.5, "salvaged printable text").alias("warning"))
+    warning = F.when(F.col("confidence") < 0.5, F.concat(F.lit("salvaged printable text"), F.coalesce(F.concat(F.lit("; "), "damage"), F.lit(""))))
+    good = rows.where("reason is null").select("path", "format", "text", "confidence", warning.alias("warning"))
     return good, rows.where("reason is not null").select("path", "reason")
 
 
