@@ -8,10 +8,9 @@ import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmith import corpus
 from corpusmith.deploy import shipped
@@ -865,19 +864,21 @@ def published_snapshot(spark, sf_dir):
     return sinks.snapshot(spark, folder, first).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("n_texts"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _packed(text: pd.Series) -> pd.Series:
-    """Packages of one paragraph a line."""
+def _package(text: str) -> bytes:
+    """A package of one paragraph a line."""
+    out, lines = io.BytesIO(), "".join(f"<w:p><w:r><w:t>{escape(x, {chr(13): '&#13;'})}</w:t></w:r></w:p>" for x in text.split("\n"))
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+    return out.getvalue()
 
-    def pack(t):
-        if t is None:
-            return None
-        out, lines = io.BytesIO(), "".join(f"<w:p><w:r><w:t>{escape(x, {chr(13): '&#13;'})}</w:t></w:r></w:p>" for x in t.split("\n"))
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
-        return out.getvalue()
 
-    return text.map(pack)
+def _packages(batches):
+    """(path, text, content) with packages of the texts as contents where there are none."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            made = [c.as_py() if c.is_valid else _package(t.as_py()) for t, c in zip(part.column(1), part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["path", "content"])
 
 
 @query
@@ -888,9 +889,9 @@ def office_texts(spark, sf_dir):
     as_package = (F.col("doc_id") % 2 == 0) & ~text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]")
     marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"([\\{}])", r"\\$1"), "\r", r"\\'0d"), "\n", "\\\\par\n")
     rtf = F.encode(F.concat(F.lit(r"{\rtf1\ansi\ansicpg65001 "), marked, F.lit("}")), "UTF-8")
-    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.when(as_package, text).alias("packed"), rtf.alias("rtf"), as_package.alias("is_package"))
-    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("is_package"), ".docx").otherwise(".rtf"))
-    good, _ = readers.parse(rows.select(name.alias("path"), F.coalesce(_packed("packed"), F.col("rtf")).alias("content")))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(as_package, ".docx").otherwise(".rtf"))
+    rows = corpus.table(spark, sf_dir, "documents").select(name.alias("path"), F.when(as_package, text).alias("text"), F.when(~as_package, rtf).alias("content"))
+    good, _ = readers.parse(rows.mapInArrow(_packages, "path string, content binary"))
     return good.select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "confidence", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -18,10 +18,6 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.parsers import expat
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 #: Formats that are read here.
 FORMATS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub", "rtf")
 #: The most bytes that the members read of one package may unpack to together, repeated cells included.
@@ -401,9 +397,3 @@ def read(content: bytes) -> tuple[str | None, str | None, str | None]:
         return out.text(), None, None
     except (Damaged, zipfile.BadZipFile, zlib.error, expat.ExpatError, LookupError, ValueError, EOFError, RuntimeError, OSError) as e:
         return None, None, f"{type(e).__name__}: {e}"[:200]
-
-
-@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in ("text", "html", "reason")]))
-def unpacked(content: pd.Series) -> pd.DataFrame:
-    """What read() says of each file; nothing of null."""
-    return pd.DataFrame([(None, None, None) if c is None else read(bytes(c)) for c in content], columns=["text", "html", "reason"])

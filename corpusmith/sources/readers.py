@@ -5,13 +5,16 @@ from __future__ import annotations
 import csv
 import io
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmith.functions import text as tx
 from corpusmith.sources import office
 
+#: Bytes handed to one Arrow output batch.
+BATCH_BYTES = 4 << 20
 #: Most bytes of a file; shortest run and text that salvage accepts.
 MOST_BYTES, RUN, SALVAGED = 75 * 1024 * 1024, 6, 30
 #: Extensions by format; first bytes, in hex, by format.
@@ -49,25 +52,60 @@ def csv_table(content: str) -> str:
     return "\n".join([lines[0], "|" + " --- |" * len(rows[0]), *lines[1:]])
 
 
+def _read(kind: str, content: bytes, latin: bool) -> tuple[str | None, str | None, str | None]:
+    """(markdown, HTML, reason) of a table or an office file: one of the three is there."""
+    if kind != "csv":
+        return office.read(content)
+    try:
+        try:
+            text = content.decode()
+        except UnicodeDecodeError:
+            text = content.decode("latin-1" if latin else "utf-8", "replace")
+        return csv_table(text), None, None
+    except csv.Error as e:
+        return None, None, f"Error: {e}"
+
+
+def unpacked(rows: DataFrame, latin: bool) -> DataFrame:
+    """rows (path, format, length, content) with the markdown or HTML of tables and office files, or the reason why there is
+    none. A content that was read is not passed on; batches are cut by the bytes that are read and made."""
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(name, T.StringType()) for name in ("markdown", "html", "damage"))])
+    kinds, target = {*office.FORMATS, "csv"}, pa.schema([("path", pa.string()), ("format", pa.string()), ("length", pa.int32()), ("content", pa.binary()), ("markdown", pa.string()), ("html", pa.string()), ("damage", pa.string())])
+
+    def batches(frames):
+        made, held = [], 0
+        for batch in frames:
+            for path, kind, length, content in zip(*(batch.column(k) for k in range(4))):
+                kind, length, content = kind.as_py(), length.as_py(), content.as_py()
+                found = (None, None, None)
+                if kind in kinds and length and length <= MOST_BYTES:
+                    found = _read(kind, content, latin)
+                    content = content if found[2] else None
+                made.append((path.as_py(), kind, length, content, *found))
+                held += sum(map(len, filter(None, (content, *found)))) + 64
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), target)], schema=target)
+                    made, held = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), target)], schema=target)
+
+    return rows.mapInArrow(batches, schema)
+
+
 def parse(rows: DataFrame, latin: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents (path, format, text, confidence, warning) and rejects (path, reason). Office files are read by
     corpusmith.sources.office; those that are damaged, and formats without a parser here, are salvaged or rejected.
     Bytes of a text that are no UTF-8 become replacement signs, or the whole text is read as ISO-8859-1 (latin)."""
-    rows = detect(rows.withColumn("length", F.length("content")))
-
-    def tables(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: csv_table(c or ""))
-
+    rows = detect(rows.withColumn("length", F.length("content"))).select("path", "format", "length", "content")
+    rows = unpacked(rows, latin)
     kind, text = F.col("format"), F.make_valid_utf8(F.col("content").cast("string"))
     if latin:
         text = F.when(F.is_valid_utf8(F.col("content").cast("string")), text).otherwise(F.decode("content", "ISO-8859-1"))
-    wanted = kind.isin(*office.FORMATS) & (F.col("length") <= MOST_BYTES)
-    rows = rows.withColumns({"__office": office.unpacked(F.when(wanted, F.col("content"))), "__csv": F.pandas_udf(tables, "string")(F.when(kind == "csv", text))})
-    whole = F.coalesce("__office.text", tx.stripped(tx.html_to_markdown(F.col("__office.html"))))
+    whole = F.coalesce("markdown", tx.stripped(tx.html_to_markdown(F.col("html"))))
     salvaged = F.trim(printable(F.col("content")))
-    body = F.when(kind.isin("markdown", "text"), text).when(kind == "html", tx.html_to_markdown(text)).when(kind == "csv", F.col("__csv")).otherwise(F.coalesce(whole, salvaged))
-    sure = F.when(kind.isin("markdown", "text"), 1.0).when(kind == "html", 0.95).when((kind == "csv") | whole.isNotNull(), 0.98).when(kind == "binary_unknown", 0.3).otherwise(0.4)
-    rows = rows.select("path", "format", body.alias("text"), sure.alias("confidence"), "length", F.col("__office.reason").alias("damage"))
+    body = F.when(kind.isin("markdown", "text"), text).when(kind == "html", tx.html_to_markdown(text)).otherwise(F.coalesce(whole, salvaged))
+    sure = F.when(kind.isin("markdown", "text"), 1.0).when(kind == "html", 0.95).when(F.coalesce("markdown", "html").isNotNull(), 0.98).when(kind == "binary_unknown", 0.3).otherwise(0.4)
+    rows = rows.select("path", "format", body.alias("text"), sure.alias("confidence"), "length", "damage")
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when((F.col("confidence") < 0.5) & (F.length("text") <= SALVAGED), "no text")
     rows = rows.withColumn("reason", reason)
     warning = F.when(F.col("confidence") < 0.5, F.concat(F.lit("salvaged printable text"), F.coalesce(F.concat(F.lit("; "), "damage"), F.lit(""))))
