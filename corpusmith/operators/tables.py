@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,20 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return first_of(old.unionByName(new), keys, [F.desc(version)])
 
 
+def written(old: DataFrame, new: DataFrame, keys: list[str], derived: dict[str, tuple[str, Column]], stamp: str, now: Column) -> DataFrame:
+    """old after new rows, one a key, are inserted or, where their key is there, update the columns that new has. Columns that
+    are derived (name: the column they follow, expression) are made again in rows whose source was written, and the stamp of
+    every row written is now; all other rows stay as they are. What an inserted row was not given is null. Null keys match
+    nothing and are inserted."""
+    there = [c for c in old.columns if c not in keys]
+    marked = old.select(*keys, *(F.col(c).alias(f"__{c}") for c in there), F.lit(True).alias("__there"))
+    kept = {c: F.col(c if c in new.columns else f"__{c}") for c in there}
+    kept |= {c: made if source in new.columns else F.when(F.col("__there"), F.col(f"__{c}")) for c, (source, made) in derived.items()}
+    kept[stamp] = now
+    rows = new.join(marked, keys, "left").select(*keys, *(x.cast(old.schema[c].dataType).alias(c) for c, x in kept.items()))
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(rows)
+
+
 def delete_cascade(tables: dict[str, DataFrame], parents: dict[str, tuple[str, str, str]], root: str, gone: DataFrame) -> dict[str, DataFrame]:
     """Tables without the rows of root in gone (id) and without what hangs on them.
     parents: table -> (parent, own foreign key, parent's key), parents first."""

@@ -864,6 +864,19 @@ def published_snapshot(spark, sf_dir):
     return sinks.snapshot(spark, folder, first).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("n_texts"))
 
 
+@query
+def derived_columns(spark, sf_dir):
+    """Documents inserted, then some of their texts and some of their languages updated: columns made from the text, and the time of the last write."""
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), "lang")
+    derived = {"chunk_hash": ("content", F.sha2("content", 256)), "n_words": ("content", F.size(F.split("content", " ")))}
+    rows = docs.select("*", F.lit(None).cast("string").alias("chunk_hash"), F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("int").alias("updated_at")).where(F.lit(False))
+    texts = docs.where("doc_id % 5 = 0").select("doc_id", F.concat(F.lit("new "), "content").alias("content"))
+    langs = docs.where("doc_id % 7 = 0").select("doc_id", F.concat("lang", F.lit("-x")).alias("lang"))
+    for at, new in enumerate((docs, texts, langs), 1):
+        rows = tables.written(rows, new, ["doc_id"], derived, "updated_at", F.lit(at))
+    return rows.select("doc_id", "lang", "chunk_hash", "n_words", "updated_at")
+
+
 def _package(text: str) -> bytes:
     """A package of one paragraph a line."""
     out, lines = io.BytesIO(), "".join(f"<w:p><w:r><w:t>{escape(x, {chr(13): '&#13;'})}</w:t></w:r></w:p>" for x in text.split("\n"))

@@ -262,6 +262,7 @@ d_own AS (SELECT query_id, chunk_id, score FROM dense_all JOIN owned USING (quer
         "office_texts": "SELECT doc_id, 0.98::DOUBLE AS confidence, sha256(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r\\f\\v]')), chr(10) || chr(10))) AS text_sha256 FROM documents",
         "phased_job": """WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN least(event_id % 5, 2) ELSE 0 END::INT AS attempt, event_type = 'error' AND event_id % 5 > 2 AS never FROM events)
 SELECT attempt, CASE WHEN never THEN 'HTTP 429: rate limit' WHEN event_id % 7 = 0 THEN 'malformed answer' END AS error, count(*) AS n, sum(event_id)::BIGINT AS ids FROM e GROUP BY 1, 2""",
+        "derived_columns": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN lang || '-x' ELSE lang END AS lang, sha256(t) AS chunk_hash, len(string_split(t, ' '))::INT AS n_words, CASE WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS updated_at FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'new ' || text ELSE text END AS t FROM documents)",
         "allowed_scan": "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last_order FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey",
         "explain_detail": f"""WITH {GATED}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS place, chunk_id, doc_id::VARCHAR AS document_id, source AS source_url, round(score, 6) AS score, match_source,
