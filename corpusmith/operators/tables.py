@@ -90,6 +90,27 @@ def admitted(tokens: np.ndarray, used: int, limit: int) -> tuple[np.ndarray, np.
     return after, fits
 
 
+#: Requests of a group up to which all groups' k-th requests are judged at once.
+SHORT = 64
+
+
+def admitted_each(tokens: np.ndarray, first: np.ndarray, used: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """admitted() of many groups that stand one after another: first has where each starts, used what it used before."""
+    after, fits = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+    sizes, used = np.diff(np.append(first, len(tokens))), used.copy()
+    for g in np.flatnonzero(sizes > SHORT):
+        part = slice(first[g], first[g] + sizes[g])
+        after[part], fits[part] = admitted(tokens[part], int(used[g]), limit)
+    here = np.flatnonzero(sizes <= SHORT)
+    for k in range(sizes[here].max() if len(here) else 0):
+        here = here[sizes[here] > k]
+        at = first[here] + k
+        fits[at] = (used[here] + tokens[at] <= limit) | (limit <= 0)
+        used[here] += np.where(fits[at], np.maximum(tokens[at], 0), 0)
+        after[at] = used[here]
+    return after, fits
+
+
 def quota(events: DataFrame, limit: int) -> DataFrame:
     """Events (event_id, tenant, ts, tokens) with the day's use after each and whether it was let in, by days in UTC.
     What was turned away uses nothing; a limit of 0 or less lets all in; null tokens are none. A tenant's day streams

@@ -1,6 +1,6 @@
 """Streams that keep state: admission under a budget for each tenant and window, and a job queue's transitions.
 
-State lives in the session's RocksDB store, a few values for each key. What a stream is fed
+State lives in the session's RocksDB store, one value for each key. What a stream is fed
 twice changes nothing: ids that were seen within LATE drop out before the state, and a
 micro-batch that runs again after a break starts from the state before it. Events more
 than LATE behind the latest are dropped. A budget's counter goes `ttl` seconds after its
@@ -32,27 +32,59 @@ def _ready(spark: SparkSession) -> None:
 
 
 class Budget(StatefulProcessor):
-    """Lets events in while their window's budget lasts."""
+    """Lets events in while their window's budget lasts. A tenant has one value: its windows' starts and their use, in
+    order; and one timer, for the first of them to go. So a micro-batch costs a tenant the same few calls however many
+    windows its events are in."""
 
     def __init__(self, limit: int, seconds: int, ttl: int):
         self.limit, self.outlives = limit, (seconds + ttl) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.used = handle, handle.getMapState("used", "window_start long", "used long")
+        self.handle, self.held = handle, handle.getValueState("windows", "starts array<long>, used array<long>")
+
+    def _read(self) -> tuple[np.ndarray, np.ndarray]:
+        found = self.held.get() or ((), ())
+        return np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+    def _write(self, there: bool, timer: list[int], starts: np.ndarray, used: np.ndarray, now: int) -> None:
+        """Keeps the windows that outlive now, and the timer of the first. there: whether a value is; timer: the start whose timer is set."""
+        stays = starts // 1000 + self.outlives > now
+        starts, used = starts[stays], used[stays]
+        if len(starts):
+            self.held.update((starts.tolist(), used.tolist()))
+        elif there:
+            self.held.clear()
+        after = starts[:1].tolist()
+        if timer != after:
+            for start in timer:
+                self.handle.deleteTimer(start // 1000 + self.outlives)
+            for start in after:
+                self.handle.registerTimer(start // 1000 + self.outlives)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["window_start", "ts", "event_id"], kind="stable")
-        for start, part in batch.groupby("window_start", sort=True):
-            window = (int(start),)
-            before = self.used.getValue(window)[0] if self.used.containsKey(window) else 0
-            used, admitted = tables.admitted(part["tokens"].to_numpy(np.int64), before, self.limit)
-            if used[-1] != before:
-                self.used.updateValue(window, (int(used[-1]),))
-                self.handle.registerTimer(int(start) // 1000 + self.outlives)
-            yield pd.DataFrame({"tenant": key[0], "window_start": int(start), "event_id": part["event_id"].to_numpy(), "tokens": part["tokens"].to_numpy(), "used": used, "admitted": admitted})
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        windows, ids, tokens = batch["window_start"].to_numpy(np.int64), batch["event_id"].to_numpy(), batch["tokens"].to_numpy(np.int64)
+        order = np.lexsort((ids, batch["ts"].to_numpy(), windows))
+        windows, ids, tokens = windows[order], ids[order], tokens[order]
+        starts, first = np.unique(windows, return_index=True)
+        old, old_used = self._read()
+        before = np.zeros(len(starts), np.int64)
+        known = np.isin(starts, old)
+        before[known] = old_used[np.searchsorted(old, starts[known])]
+        used, admitted = tables.admitted_each(tokens, first, before, self.limit)
+        last = used[np.append(first[1:], len(tokens)) - 1]
+        changed = known | (last != before)
+        rest = ~np.isin(old, starts)
+        all_starts, all_used = np.append(old[rest], starts[changed]), np.append(old_used[rest], last[changed])
+        by_start = np.argsort(all_starts)
+        self._write(len(old) > 0, old[:1].tolist(), all_starts[by_start], all_used[by_start], timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"tenant": key[0], "window_start": windows, "event_id": ids, "tokens": tokens, "used": used, "admitted": admitted})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.used.removeKey(((expiredTimerInfo.getExpiryTimeInMs() - self.outlives) * 1000,))
+        fired, (starts, used) = expiredTimerInfo.getExpiryTimeInMs(), self._read()
+        # The timer that fired is gone by itself.
+        self._write(True, [], starts, used, max(fired, timerValues.getCurrentWatermarkInMs()))
         return iter(())
 
     def close(self) -> None:

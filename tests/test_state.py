@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from corpusmith.operators import service, tables
@@ -45,6 +46,75 @@ def test_admitted_like_one_by_one(limit):
         assert list(zip(after.tolist(), fits.tolist())) == want
 
 
+@pytest.mark.parametrize("limit", [0, 1, 40, 300])
+def test_many_groups_like_one_by_one(limit):
+    rng = np.random.default_rng(limit)
+    sizes = [1, 2, 64, 65, 1, 200, 7]
+    first, used = np.cumsum([0, *sizes[:-1]]), rng.integers(0, 60, len(sizes))
+    tokens = rng.integers(-5, 40, sum(sizes))
+    after, fits = tables.admitted_each(tokens, first, used, limit)
+    for a, n, u in zip(first, sizes, used):
+        want = tables.admitted(tokens[a : a + n], int(u), limit)
+        assert after[a : a + n].tolist() == want[0].tolist() and fits[a : a + n].tolist() == want[1].tolist()
+
+
+class Held:
+    """A tenant's state and its timers, with the calls counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_windows_of_a_tenant_cost_one_value_and_one_timer():
+    budget, held = state.Budget(2, 60, 120), Held()
+    budget.init(held)
+    minute = 60_000_000
+    rows = pd.DataFrame({"window_start": np.repeat(np.arange(500) * minute, 3), "ts": 0, "event_id": range(1500), "tokens": 1})
+    out = pd.concat(budget.handleInputRows((7,), iter([rows[:700], rows[700:]]), Clock(0)))
+    assert out["admitted"].tolist() == [True, True, False] * 500 and held.calls <= 3
+    assert len(held.value[0]) == 500 and held.timers == {180_000}
+    # Windows go together once the watermark has passed them, and the timer is that of the first left.
+    held.timers.remove(180_000)
+    list(budget.handleExpiredTimer((7,), Clock(60_000 * 400), Clock(180_000)))
+    assert held.value[0][0] == 398 * minute and held.timers == {60_000 * 401}
+    again = pd.concat(budget.handleInputRows((7,), iter([rows[1497:]]), Clock(0)))
+    assert not again["admitted"].any() and set(held.value[1]) == {2} and len(held.value[0]) == 102
+    held.timers.clear()
+    list(budget.handleExpiredTimer((7,), Clock(60_000 * 900), Clock(60_000 * 401)))
+    assert held.value is None and not held.timers
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_quota_days_are_in_utc(spark, zone):
     rows = events(300)
