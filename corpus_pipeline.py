@@ -32,8 +32,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity of 0.8 or more) the one of the smallest id stays.
 
-    Candidates come from MinHash keys (corpusmith.llm.near), not from SimHash: at 0.8 fingerprints of 64 bits
-    differ by up to 11, for which covering masks are 4,095 tables. op2_simhash itself keeps SimHash and radius 2."""
+    Candidates come from SimHash fingerprints of these shingles by covering masks, sure to meet within near.REACH bits. At 0.8
+    fingerprints differ by up to 11, for which such masks are 4,095 tables, so MinHash keys bring those beyond. The exact
+    similarity of whole texts decides about both (corpusmith.llm.near). op2_simhash itself has radius 2."""
     ship(spark)
     return near.keep_one(docs)
 

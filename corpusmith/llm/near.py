@@ -1,9 +1,11 @@
 """Near-duplicates by word shingles: one document of each group of near copies stays.
 
 Two texts are near copies if the sets of their WIDTH-word shingles have a Jaccard
-similarity of SIMILAR or more. Texts that share a key of BANDS keys of DEEP minima
-each are in question; a pair at 0.8 exactly has a chance of 0.9996 to be, a closer
-one a higher chance.
+similarity of SIMILAR or more. Texts are in question whose SimHash fingerprints (of the
+same shingles) agree under one of the covering masks of corpusmith.llm.simhash: all within
+REACH bits do. As near copies at 0.8 differ by up to 11 bits, so are those that share
+a key of BANDS keys of DEEP minima each; a pair at 0.8 exactly has a chance of 0.9996 to,
+a closer one a higher chance.
 
 Of the texts in question every shingle's frequency is counted, and a text's shingles
 are put in order from the rarest up. Two sets of n and m shingles that are near
@@ -36,9 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmith.llm import simhash
 from corpusmith.llm.common import drop, fresh, save, small
 
 WIDTH, SIMILAR, BANDS, DEEP, SEED = 5, 0.8, 20, 5, 42
+#: Bits by which fingerprints may differ and are sure to meet.
+REACH = 3
 #: What a product of whole numbers and SIMILAR may be off by.
 TINY = 1e-9
 #: Shingles whose minima are taken at once.
@@ -84,14 +89,20 @@ def text_key(text):
 
 
 def sketched(texts: DataFrame, count: int = BANDS, deep: int = DEEP) -> DataFrame:
-    """(key, n, bands) of texts (key, text)."""
+    """(key, n, bands, fp) of texts (key, text); fp is the SimHash fingerprint."""
 
     def batches(it):
         for batch in it:
-            found = [bands(t.as_py(), count, deep) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["key", "n", "bands"])
+            found = [(*bands(t.as_py(), count, deep), simhash.fingerprint(t.as_py(), WIDTH)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.int64())], ["key", "n", "bands", "fp"])
 
-    return texts.select("key", "text").mapInArrow(batches, "key binary, n int, bands array<long>")
+    return texts.select("key", "text").mapInArrow(batches, "key binary, n int, bands array<long>, fp long")
+
+
+def with_fingerprints(sketches: DataFrame) -> DataFrame:
+    """sketches with the buckets of their fingerprints among their keys, one for each of SimHash's covering masks; none for a blank text."""
+    tables = (F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(simhash.masks(REACH)))
+    return sketches.withColumn("bands", F.when(F.col("n") > 0, F.concat(F.array(*tables), "bands")).otherwise(F.col("bands"))).drop("fp")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -171,7 +182,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = save(rows.groupBy("key").agg(F.min("id").alias("least")), "near-classes")
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     sketches = save(sketched(texts), "near-sketches").dropDuplicates(["key"])
-    away = near_texts(named.join(sketches, "key"), texts).withColumn("away", F.lit(True))
+    away = near_texts(named.join(with_fingerprints(sketches), "key"), texts).withColumn("away", F.lit(True))
     marks = rows.join(named.join(small(away), "key", "left"), "key").where(F.col("away").isNotNull() | ~F.col("id").eqNullSafe(F.col("least")))
     same_id, same_key = fresh(docs, "__id", "__key")
     marks = small(save(marks.select(F.col("id").alias(same_id), F.col("key").alias(same_key)).distinct(), "near-marks"))

@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from corpusmith.llm import near
+from pyspark.sql import functions as F
+
+from corpusmith.llm import near, simhash
 
 
 def stage(spark, rows):
@@ -120,3 +122,18 @@ def test_a_very_long_text(spark, docs):
     words = [f"{rng.randrange(10**6)}" for _ in range(120_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-500])), (3, " ".join(words[60_000:])), (4, "short text of a few words only")]
     assert sorted(r.doc_id for r in stage(spark, docs(rows)).collect()) == [1, 3, 4]
+
+
+def test_fingerprints_alone_bring_near_copies_together(spark, docs, monkeypatch):
+    """Without any MinHash key all near copies within REACH bits go; a text whose fingerprint is near, but not its shingles, stays."""
+    rng, sketched = random.Random(6), near.sketched
+    rows, bits = [], {}
+    for k in range(40):
+        words = [f"{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(k, " ".join(words)), (k + 100, " ".join(words[:-1] + ["end"]))]
+        bits[k] = (simhash.fingerprint(rows[-1][1], near.WIDTH) ^ simhash.fingerprint(rows[-2][1], near.WIDTH)) & ((1 << 64) - 1)
+    close = {k for k, b in bits.items() if b.bit_count() <= near.REACH}
+    assert len(close) >= 5
+    monkeypatch.setattr(near, "sketched", lambda texts: sketched(texts).withColumn("bands", F.array().cast("array<long>")))
+    kept = {r.doc_id for r in stage(spark, docs(rows)).collect()}
+    assert set(range(40)) <= kept and not kept & {k + 100 for k in close}
