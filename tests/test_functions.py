@@ -340,3 +340,25 @@ def test_keys_and_gates(spark):
     assert [(r.mode, r.walk) for r in service.hop_mode(modes).collect()] == [("auto", 1), ("concept_direct", 0), ("manual", 2)]
     blank = spark.createDataFrame([(1, 1, " ")], "query_id int, rank int, content string")
     assert service.fallback_answers(blank).first().answer == "No matching knowledge was found."
+
+
+def test_chunks_go_on_by_bytes(monkeypatch):
+    """Whatever rows a batch holds, chunks leave in batches of bounded size, and none is lost."""
+    import pyarrow as pa
+
+    from corpusmith.functions import sequential
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(sequential, "BATCH_BYTES", 10_000)
+    texts = [None, ""] + [f"# title {k}\n" + "some words of a text\n" * 200 for k in range(50)]
+    run = sequential.chunk_documents(Docs(), how=sequential.sections)
+    out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])))
+    assert len(out) > 10 and all(sum(map(len, b.column(2).to_pylist())) < 10_000 + 4_000 for b in out)
+    want = [(d, k, c, sequential.n_tokens(c)) for d, t in enumerate(texts) for k, c in enumerate(sequential.sections(t or ""))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
