@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import io
 import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from corpusmith import corpus
 from corpusmith.deploy import shipped
 from corpusmith.functions import sequential
 from corpusmith.functions import text as tx
+from corpusmith.llm.common import small
 from corpusmith.operators import cells, concepts, evaluate, fulltext, graph, middleware, phases, retrieval, service, tables
 from corpusmith.plans import functions, sql
 from corpusmith.scratch import save, scratch_root
@@ -315,13 +319,38 @@ def concept_uuids(spark, sf_dir):
 @query
 def hash_embedding(spark, sf_dir):
     """Signed hashed word counts of the documents, normalised; one row per filled dimension."""
-    word = F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word")
-    parts = corpus.table(spark, sf_dir, "documents").select("doc_id", word).withColumn("h", F.sha2("word", 256))
-    at = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % 768
-    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    sums = parts.groupBy("doc_id", at.alias("dim")).agg(F.sum(sign).alias("x"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
-    return sums.withColumn("x", F.when(norm > 0, F.round(F.col("x") / norm, 8)).otherwise(0.0)).where("x <> 0")
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words")
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
+    # A row is a document, unless rows share an id: these alone are summed across tasks.
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("shared_id"))
+    shared = small(save(shared, "hash-shared"))
+    same = F.col("doc_id").eqNullSafe(F.col("shared_id"))
+    counted = lambda rows: rows.select("doc_id", words).mapInArrow(_hashed, f"doc_id {kind}, dim long, x double, squares double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sums = counted(docs.join(shared, same, "left_semi")).groupBy("doc_id", "dim").agg(F.sum("x").alias("x"))
+    sums = sums.withColumn("squares", F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
+    rows = counted(docs.join(shared, same, "left_anti")).unionByName(sums)
+    return rows.where("x <> 0").select("doc_id", "dim", F.round(F.col("x") / F.sqrt("squares"), 8).alias("x")).where("x <> 0")
+
+
+def _hashed(batches):
+    """(doc_id, dim, x, squares) of batches of (doc_id, words): a batch's words are hashed once each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            lists = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.dictionary_encode(lists.flatten())
+            digests = [hashlib.sha256(w.encode()).digest() for w in coded.dictionary.to_pylist()]
+            dims = np.array([int.from_bytes(d[:4], "big") % 768 for d in digests], np.int64)
+            signs = np.array([1.0 if d[4] % 2 else -1.0 for d in digests])
+            at_word = coded.indices.to_numpy().astype(np.int64)
+            keys = np.repeat(np.arange(len(sizes)), sizes) * 768 + dims[at_word]
+            sums = np.bincount(keys, signs[at_word], len(sizes) * 768)
+            squares = (sums.reshape(-1, 768) ** 2).sum(axis=1)
+            filled = np.flatnonzero(sums)
+            row, dim = np.divmod(filled, 768)
+            yield pa.RecordBatch.from_arrays([pc.take(part.column(0), pa.array(row)), pa.array(dim), pa.array(sums[filled]), pa.array(squares[row])], ["doc_id", "dim", "x", "squares"])
 
 
 @query

@@ -362,3 +362,29 @@ def test_chunks_go_on_by_bytes(monkeypatch):
     assert len(out) > 10 and all(sum(map(len, b.column(2).to_pylist())) < 10_000 + 4_000 for b in out)
     want = [(d, k, c, sequential.n_tokens(c)) for d, t in enumerate(texts) for k, c in enumerate(sequential.sections(t or ""))]
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
+def test_hash_embedding_of_shared_ids(spark, tmp_path, monkeypatch):
+    """Rows that share an id, null among them, are one document; only these are summed across tasks."""
+    import hashlib
+    import math
+
+    import pytest
+
+    from corpusmith.plans import catalog
+
+    rows = [(1, "a b a\u00e9 A"), (2, "x y"), (2, " y\tz\n"), (None, "q"), (None, "q r"), (3, None), (4, ""), (5, "lone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sums = {}
+    for d, text in rows:
+        for w in (text or "").lower().split():
+            h = hashlib.sha256(w.encode()).digest()
+            key = (d, int.from_bytes(h[:4], "big") % 768)
+            sums[key] = sums.get(key, 0) + (1 if h[4] % 2 else -1)
+    norm = lambda d: math.sqrt(sum(x * x for (e, _), x in sums.items() if e == d))
+    want = {k: round(x / norm(k[0]), 8) for k, x in sums.items() if x}
+    seen, small = [], catalog.small
+    monkeypatch.setattr(catalog, "small", lambda df: (seen.extend(r[0] for r in df.collect()), small(df))[1], raising=False)
+    got = catalog.queries()["hash_embedding"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.dim): r.x for r in got} == pytest.approx(want, abs=1e-8) and len(got) == len(want)
+    assert sorted(seen, key=str) == [2, None]
