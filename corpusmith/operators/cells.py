@@ -121,15 +121,22 @@ def search(index: CellIndex, queries: DataFrame, k: int = retrieval.RESULTS, pro
 
 
 def probes_for(index: CellIndex, queries: DataFrame, recall: float = 0.95, k: int = retrieval.RESULTS) -> int:
-    """The fewest probes by which at most TRIED of the queries find that share of their k nearest."""
+    """The fewest probes by which at most TRIED of the queries find that share of their k nearest. One search of all cells
+    tells: a neighbour is found as soon as its cell is probed, as none nearer can take its place."""
     some = save(queries.orderBy(F.xxhash64(F.lit(SEED), "query_id"), "query_id").limit(TRIED), "cell-tried")
     n = len(index.centres)
     if not n:
         return 1
     true = {(r.query_id, r.chunk_id) for r in search(index, some, k, n).collect()}
-    low, high = 1, n
-    while low < high and true:
-        middle = (low + high) // 2
-        hit = sum((r.query_id, r.chunk_id) in true for r in search(index, some, k, middle).collect())
-        low, high = (low, middle) if hit >= recall * len(true) else (middle + 1, high)
-    return low
+    if not true:
+        return 1
+    found = read(queries.sparkSession, index).where(F.col("chunk_id").isin({c for _, c in true})).select("chunk_id", "cell").collect()
+    cells: dict = {}
+    for r in found:
+        cells.setdefault(r.chunk_id, []).append(r.cell)
+    asked = directions(some, "query_id").collect()
+    order = np.argsort(-(np.array([r.unit for r in asked]) @ index.centres.T), axis=1, kind="stable")
+    turn = {r.query_id: np.argsort(o) for r, o in zip(asked, order)}
+    # How many cells each neighbour needs; one without an id needs all.
+    needed = np.sort([1 + min((turn[q][c] for c in cells.get(chunk, ())), default=n - 1) for q, chunk in true])
+    return int(needed[max(0, math.ceil(recall * len(true)) - 1)])

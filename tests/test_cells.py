@@ -87,3 +87,18 @@ def test_query_recall(spark, sf_dir):
     found = pairs(catalog.queries()["cell_index_top10"](spark, sf_dir))
     exact = pairs(catalog.queries()["dense_rows_top10"](spark, sf_dir))
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_probes_are_chosen_by_one_search(spark, monkeypatch):
+    """The fewest probes of the wanted recall, as trying each number would tell, but from a single search."""
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 6)))], "chunk_id long, vector array<double>")
+    index = cells.build(frame, 8)
+    asked = frame.where("chunk_id % 30 = 0").withColumnRenamed("chunk_id", "query_id")
+    search, calls = cells.search, []
+    monkeypatch.setattr(cells, "search", lambda *a: (calls.append(a), search(*a))[1])
+    chosen = cells.probes_for(index, asked, 0.9)
+    assert len(calls) == 1
+    true = {(r.query_id, r.chunk_id) for r in search(index, asked, 10, 8).collect()}
+    share = lambda p: sum((r.query_id, r.chunk_id) in true for r in search(index, asked, 10, p).collect()) / len(true)
+    assert share(chosen) >= 0.9 and (chosen == 1 or share(chosen - 1) < 0.9)
