@@ -1,6 +1,6 @@
 """Streams that keep state: admission under a budget for each tenant and window, and a job queue's transitions.
 
-State lives in the session's RocksDB store, one value for each key. What a stream is fed
+State lives in the session's RocksDB store, one value for each key: a job, or a bucket of tenants. What a stream is fed
 twice changes nothing: ids that were seen within LATE drop out before the state, and a
 micro-batch that runs again after a break starts from the state before it. Events more
 than LATE behind the latest are dropped. A budget's counter goes `ttl` seconds after its
@@ -22,6 +22,8 @@ from corpusmith.operators import tables
 
 #: Fixed value: seconds that a budget's counter outlives its window. How far behind the latest event one may be.
 COUNTER_TTL, LATE = 172_800, "2 days"
+#: Buckets that tenants are dealt to. A key costs a micro-batch some 20 ms of calls, whatever it holds. A stream's checkpoint holds to their number.
+BUCKETS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ADMITTED = "tenant {0}, window_start long, event_id {1}, tokens long, used long, admitted boolean"
 MOVED = "job {0}, id {1}, at timestamp, status string, error string, moved boolean"
@@ -32,26 +34,26 @@ def _ready(spark: SparkSession) -> None:
 
 
 class Budget(StatefulProcessor):
-    """Lets events in while their window's budget lasts. A tenant has one value: its windows' starts and their use, in
-    order; and one timer, for the first of them to go. So a micro-batch costs a tenant the same few calls however many
-    windows its events are in."""
+    """Lets events in while their window's budget lasts. A key is one tenant, or a bucket of them whose rows say which.
+    It has one value: its windows' starts, their use and their tenants, by start; and one timer, for the first of them to
+    go. So a micro-batch costs a key the same few calls however many windows and tenants its events are in."""
 
     def __init__(self, limit: int, seconds: int, ttl: int):
         self.limit, self.outlives = limit, (seconds + ttl) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("windows", "starts array<long>, used array<long>")
+        self.handle, self.held = handle, handle.getValueState("windows", "starts array<long>, used array<long>, tenants array<string>")
 
-    def _read(self) -> tuple[np.ndarray, np.ndarray]:
-        found = self.held.get() or ((), ())
-        return np.array(found[0], np.int64), np.array(found[1], np.int64)
+    def _read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.held.get() or ((), (), ())
+        return np.array(found[0], np.int64), np.array(found[1], np.int64), np.array(found[2], object)
 
-    def _write(self, there: bool, timer: list[int], starts: np.ndarray, used: np.ndarray, now: int) -> None:
+    def _write(self, there: bool, timer: list[int], starts: np.ndarray, used: np.ndarray, tenants: np.ndarray, now: int) -> None:
         """Keeps the windows that outlive now, and the timer of the first. there: whether a value is; timer: the start whose timer is set."""
         stays = starts // 1000 + self.outlives > now
-        starts, used = starts[stays], used[stays]
+        starts, used, tenants = starts[stays], used[stays], tenants[stays]
         if len(starts):
-            self.held.update((starts.tolist(), used.tolist()))
+            self.held.update((starts.tolist(), used.tolist(), tenants.tolist()))
         elif there:
             self.held.clear()
         after = starts[:1].tolist()
@@ -64,27 +66,37 @@ class Budget(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         frames = list(rows)
         batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        windows, ids, tokens = batch["window_start"].to_numpy(np.int64), batch["event_id"].to_numpy(), batch["tokens"].to_numpy(np.int64)
-        order = np.lexsort((ids, batch["ts"].to_numpy(), windows))
-        windows, ids, tokens = windows[order], ids[order], tokens[order]
-        starts, first = np.unique(windows, return_index=True)
-        old, old_used = self._read()
-        before = np.zeros(len(starts), np.int64)
-        known = np.isin(starts, old)
-        before[known] = old_used[np.searchsorted(old, starts[known])]
+        if "tenant" not in batch:
+            batch = batch.assign(tenant=key[0])
+        old, old_used, old_tenants = self._read()
+        # Tenants are told apart by their text; nulls have a key to themselves.
+        seen, names = pd.factorize(batch["tenant"], use_na_sentinel=False)
+        whose, names = pd.factorize(np.append(old_tenants, np.array(list(map(str, names)), object)))
+        old_whose, who = whose[: len(old)], whose[len(old) :][seen]
+        windows = batch["window_start"].to_numpy(np.int64)
+        order = np.lexsort((batch["event_id"].to_numpy(), batch["ts"].to_numpy(), windows, who))
+        batch, windows, who = batch.take(order), windows[order], who[order]
+        tokens = batch["tokens"].to_numpy(np.int64)
+        first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (windows[1:] != windows[:-1])))
+        # What each window used before: its place among those held, -1 for a new one.
+        place = pd.MultiIndex.from_arrays([old_whose, old]).get_indexer(pd.MultiIndex.from_arrays([who[first], windows[first]]))
+        known = place >= 0
+        before = np.zeros(len(first), np.int64)
+        before[known] = old_used[place[known]]
         used, admitted = tables.admitted_each(tokens, first, before, self.limit)
         last = used[np.append(first[1:], len(tokens)) - 1]
         changed = known | (last != before)
-        rest = ~np.isin(old, starts)
-        all_starts, all_used = np.append(old[rest], starts[changed]), np.append(old_used[rest], last[changed])
-        by_start = np.argsort(all_starts)
-        self._write(len(old) > 0, old[:1].tolist(), all_starts[by_start], all_used[by_start], timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame({"tenant": key[0], "window_start": windows, "event_id": ids, "tokens": tokens, "used": used, "admitted": admitted})
+        rest = np.ones(len(old), bool)
+        rest[place[known]] = False
+        starts, uses, whose = (np.append(a[rest], b[changed]) for a, b in ((old, windows[first]), (old_used, last), (old_whose, who[first])))
+        by_start = np.lexsort((whose, starts))
+        self._write(len(old) > 0, old[:1].tolist(), starts[by_start], uses[by_start], names[whose[by_start]], timerValues.getCurrentWatermarkInMs())
+        yield batch[["tenant", "window_start", "event_id", "tokens"]].assign(used=used, admitted=admitted)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        fired, (starts, used) = expiredTimerInfo.getExpiryTimeInMs(), self._read()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
         # The timer that fired is gone by itself.
-        self._write(True, [], starts, used, max(fired, timerValues.getCurrentWatermarkInMs()))
+        self._write(True, [], *self._read(), max(fired, timerValues.getCurrentWatermarkInMs()))
         return iter(())
 
     def close(self) -> None:
@@ -100,9 +112,10 @@ def admissions(events: DataFrame, limit: int, seconds: int = 86_400, ttl: int =
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.where("ts is not null and tokens is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
     width = seconds * 1_000_000
-    rows = rows.select("tenant", "event_id", "ts", F.col("tokens").cast("long").alias("tokens"), (at - F.pmod(at, F.lit(width))).alias("window_start"))
+    bucket = F.when(F.col("tenant").isNull(), -1).otherwise(F.pmod(F.xxhash64("tenant"), F.lit(BUCKETS)).cast("int"))
+    rows = rows.select(bucket.alias("bucket"), "tenant", "event_id", "ts", F.col("tokens").cast("long").alias("tokens"), (at - F.pmod(at, F.lit(width))).alias("window_start"))
     out = ADMITTED.format(kinds["tenant"], kinds["event_id"])
-    return rows.groupBy("tenant").transformWithStateInPandas(Budget(limit, seconds, ttl), out, "Append", "EventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(Budget(limit, seconds, ttl), out, "Append", "EventTime")
 
 
 class Jobs(StatefulProcessor):

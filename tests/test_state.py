@@ -115,6 +115,36 @@ def test_windows_of_a_tenant_cost_one_value_and_one_timer():
     assert held.value is None and not held.timers
 
 
+def test_tenants_of_a_bucket_cost_one_value():
+    budget, held = state.Budget(40, 86_400, 172_800), Held()
+    budget.init(held)
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "", "none", *map(str, range(300))]), i, T0 + datetime.timedelta(minutes=i % 900), rng.choice([0, 1, 5, 20, 90, -3])) for i in range(4000)]
+    frame = pd.DataFrame(rows, columns=["tenant", "event_id", "ts", "tokens"])
+    frame["window_start"] = frame["ts"].dt.floor("D").astype("datetime64[us]").astype(np.int64)
+    order = frame.sort_values(["ts", "event_id"], kind="stable").index
+    parts = [frame.loc[order[:1500]].sample(frac=1, random_state=1), frame.loc[order[1500:]].sample(frac=1, random_state=2)]
+    out = []
+    for part in parts:
+        held.calls = 0
+        out += list(budget.handleInputRows((5,), iter([part[:700], part[700:]]), Clock(0)))
+        assert held.calls <= 3
+    got = pd.concat(out)
+    assert {i: (u, a) for i, u, a in zip(got["event_id"], got["used"], got["admitted"])} == plain_quota(rows, 40)
+    assert dict(zip(got["event_id"], got["tenant"])) == {r[1]: r[0] for r in rows}
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string", "date"])
+def test_many_tenants_take_few_keys(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    made = {"int": int, "bigint": lambda t: (1 << 60) + t, "string": lambda t: f"t{t}", "date": lambda t: datetime.date(2024, 1, 1) + datetime.timedelta(days=t)}[kind]
+    rng = random.Random(8)
+    rows = [(None if (t := rng.randrange(9)) == 8 else made(t), *r[1:]) for r in sorted(events(150), key=lambda r: (r[2], r[1]))]
+    got = fed(spark, tmp_path, [rows[:70], rows[70:]], f"tenant {kind}, event_id int, ts timestamp_ntz, tokens long", lambda s: state.admissions(s, 60))
+    assert {r.event_id: (r.used, r.admitted) for r in got} == plain_quota(rows, 60)
+    assert {r.event_id: r.tenant for r in got} == {r[1]: r[0] for r in rows}
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_quota_days_are_in_utc(spark, zone):
     rows = events(300)
