@@ -46,8 +46,8 @@ WIDTH, SIMILAR, BANDS, DEEP, SEED = 5, 0.8, 20, 5, 42
 REACH = 3
 #: What a product of whole numbers and SIMILAR may be off by.
 TINY = 1e-9
-#: Shingles whose minima are taken at once.
-CHUNK = 1 << 12
+#: Shingles whose minima are taken at once. Tokens of sets handed to one Arrow output batch.
+CHUNK, BATCH_TOKENS = 1 << 12, 1 << 18
 
 
 def shingles(text: str | None) -> list[bytes]:
@@ -105,17 +105,27 @@ def with_fingerprints(sketches: DataFrame) -> DataFrame:
     return sketches.withColumn("bands", F.when(F.col("n") > 0, F.concat(F.array(*tables), "bands")).otherwise(F.col("bands"))).drop("fp")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(key, n, tokens) of texts (key, text): the hashes of their distinct shingles."""
+def set_batches(batches):
+    """Batches (key, n, tokens) of batches (key, text), cut after BATCH_TOKENS tokens, so that a long batch of texts never has all its sets in memory."""
     import xxhash
 
-    def batches(it):
-        for batch in it:
-            sets = [{xxhash.xxh64_intdigest(p, SEED) for p in shingles(t.as_py())} for t in batch.column(1)]
-            tokens = [np.fromiter(x, np.uint64, len(x)).view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, tokens), pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["key", "n", "tokens"])
+    def made(keys, tokens):
+        return pa.RecordBatch.from_arrays([keys, pa.array(map(len, tokens), pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["key", "n", "tokens"])
 
-    return texts.select("key", "text").mapInArrow(batches, "key binary, n int, tokens array<long>")
+    for batch in batches:
+        start, held, tokens = 0, 0, []
+        for row, text in enumerate(batch.column(1)):
+            parts = shingles(text.as_py())
+            tokens.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))).view(np.int64))
+            held += len(tokens[-1])
+            if held >= BATCH_TOKENS or row == batch.num_rows - 1:
+                yield made(batch.column(0).slice(start, row + 1 - start), tokens)
+                start, held, tokens = row + 1, 0, []
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(key, n, tokens) of texts (key, text): the hashes of their distinct shingles."""
+    return texts.select("key", "text").mapInArrow(set_batches, "key binary, n int, tokens array<long>")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusmith.llm import near, simhash
@@ -137,3 +139,30 @@ def test_fingerprints_alone_bring_near_copies_together(spark, docs, monkeypatch)
     monkeypatch.setattr(near, "sketched", lambda texts: sketched(texts).withColumn("bands", F.array().cast("array<long>")))
     kept = {r.doc_id for r in stage(spark, docs(rows)).collect()}
     assert set(range(40)) <= kept and not kept & {k + 100 for k in close}
+
+
+def test_sets_of_a_long_batch_go_on_in_parts(monkeypatch):
+    monkeypatch.setattr(near, "BATCH_TOKENS", 100)
+    texts = [None, "", "One two", *(" ".join(f"w{(k * i) % 61}" for k in range(60)) for i in range(1, 20)), "the end is the end is the end is the end"]
+    rows = pa.RecordBatch.from_arrays([pa.array([bytes([i]) for i in range(len(texts))]), pa.array(texts)], ["key", "text"])
+    out = list(near.set_batches(iter([rows, rows.slice(0, 0), rows.slice(3, 2)])))
+    assert len(out) > 8 and all(sum(b.column("n").to_pylist()) < 160 for b in out)
+    got = [r for b in out for r in b.to_pylist()]
+    want = [{xxhash.xxh64_intdigest(p, near.SEED) for p in near.shingles(t)} for t in texts]
+    want = [(bytes([i]), x) for i, x in enumerate(want)]
+    assert [(r["key"], {t % 2**64 for t in r["tokens"]}) for r in got] == want + want[3:5]
+    assert all(r["n"] == len(r["tokens"]) == len(set(r["tokens"])) for r in got)
+
+
+def test_pipeline_bounds_arrow_batches_by_bytes(spark, sf_dir):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    corpus_pipeline.bpe_stage(spark, docs, sf_dir)
+    try:
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("4m", "4194304", "4194304b")
+        # Texts of some 2 MB: a batch of rows would hold all of them, a batch of bytes a few.
+        long = spark.range(12, numPartitions=1).select(F.repeat(F.lit("word "), 400_000).alias("text"))
+        sizes = long.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in it), "n long").collect()
+        assert sum(r.n for r in sizes) == 12 and max(r.n for r in sizes) <= 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
